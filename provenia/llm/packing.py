@@ -23,7 +23,7 @@ END = 0
 
 
 def byte_bpe(ranks_path: str, special: dict[str, int]):
-    """text -> ids of a byte-level BPE vocabulary; strings of ``special`` inside texts become their ids.
+    """text -> ids of a byte-level BPE vocabulary (and .decode back); strings of ``special`` inside texts become their ids.
 
     The ranks file gives the same ids as the JSON file of the vocabulary (tests compare them), several times faster.
     """
@@ -33,7 +33,12 @@ def byte_bpe(ranks_path: str, special: dict[str, int]):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: own.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        return own.encode(text, allowed_special="all", disallowed_special=())
+
+    encode.decode = lambda ids: own.decode_bytes(ids).decode("utf-8", "replace")
+    return encode
 
 
 def pieces(docs: DataFrame, ranks_path: str, special: dict[str, int], window: int = WINDOW) -> DataFrame:
