@@ -50,19 +50,14 @@ def words(text: str) -> list[bytes]:
 def links_by_bucket(keyed: DataFrame, key: str, member: str) -> DataFrame:
     """Candidate pairs (a, b), a < b, of the members that share a key.
 
-    Buckets of at most SMALL_BUCKET members give every pair. In larger ones each member meets three leaders
-    (the smallest member and the smallest under two hash orders), so the number of pairs is linear in the
-    number of keyed rows even if one key holds a third of them, and no large bucket is gathered in one task.
+    Buckets of at most SMALL_BUCKET members give every pair. In a larger one each member meets the smallest, so the
+    number of pairs is linear in the number of keyed rows even if one key holds a third of them, and no large bucket
+    is gathered in one task. A group of copies shares many keys, each with a smallest member of its own.
     Rows of ``keyed`` are distinct (key, member) pairs.
     """
-    m = F.col(member)
     met = cut(colliding(keyed, key, member))
-    pairs = small_pairs(met, key, member)
-    large = met.where(F.col("n") > SMALL_BUCKET)
-    more = large.groupBy(key).agg(F.min_by(m, F.xxhash64(m, F.lit(1))).alias("l1"), F.min_by(m, F.xxhash64(m, F.lit(2))).alias("l2"))
-    stars = large.join(more, key).select(m.alias("x"), F.explode(F.array("l0", "l1", "l2")).alias("y"))
-    stars = stars.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    large = met.where((F.col("n") > SMALL_BUCKET) & (F.col("l0") < F.col(member)))
+    return small_pairs(met, key, member).unionByName(large.select(F.col("l0").alias("a"), F.col(member).alias("b"))).distinct()
 
 
 def colliding(keyed: DataFrame, key: str, member: str) -> DataFrame:

@@ -11,6 +11,7 @@ bits: (that segment exactly, a Golay key of the next) is a key of both. Collisio
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import repeat
 
@@ -170,13 +171,21 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Each band of the wide fingerprint: a 23-bit segment (fuzzy, by Golay keys) and EXACT_BITS bits as they are.
-BANDS = 10
-EXACT_BITS = 12
+#: Share of pairs at SIMILARITY that may miss all bands, and their share of differing bits (words; measured).
+MISSED = 0.005
+DIFFERING = 0.067
+#: Chance that two 23-bit segments of such a pair share a Golay key.
+FUZZY = 0.87
 #: Bins of the sketch of 5-word shingles that candidates are verified with; its standard error at 0.8 is 0.025.
 BINS = 256
-_WORDS64 = 6
-_ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
+
+
+def bands_for(n: int) -> tuple[int, int]:
+    """(bands, exact bits of each) for n documents. Each band of the wide fingerprint is a 23-bit segment, fuzzy by
+    its Golay keys, and some bits as they are: so many more with each doubling that chance meetings a document stay
+    as few, and so many bands that a similar pair still meets."""
+    exact = max(12, math.ceil(math.log2(max(2, n))) - 3)
+    return math.ceil(math.log(MISSED) / math.log(1 - FUZZY * (1 - DIFFERING) ** exact)), exact
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -185,7 +194,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def features(text: str | None) -> tuple[bytes, bytes] | None:
+def features(text: str | None, bits: int) -> tuple[bytes, bytes] | None:
     """(wide fingerprint of the set of words, sketch of the set of 5-word shingles); None without words.
 
     Single words give near copies a far smaller angle than shingles do, which lets the fuzzy keys reach a similarity
@@ -199,10 +208,11 @@ def features(text: str | None) -> tuple[bytes, bytes] | None:
         return None
     hashed = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
     own = np.unique(hashed)
-    ones = np.zeros(64 * _WORDS64, np.int64)
+    factors = np.arange(1, 2 * -(-bits // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * len(factors), np.int64)
     for at in range(0, len(own), 8192):
-        wide = np.stack([_mix(own[at : at + 8192] * np.uint64(k)) for k in _ODD], axis=1)
-        ones += np.unpackbits(wide.view(np.uint8).reshape(-1, 8 * _WORDS64), axis=1).sum(0, dtype=np.int64)
+        wide = _mix(own[at : at + 8192, None] * factors[None, :])
+        ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(0, dtype=np.int64)
     sig = np.packbits(ones * 2 > len(own)).tobytes()
     n = max(1, len(parts) - SHINGLE + 1)
     grams = np.zeros(n, np.uint64)
@@ -216,18 +226,18 @@ def features(text: str | None) -> tuple[bytes, bytes] | None:
     return sig, sketch.tobytes()
 
 
-def band_keys(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for wide fingerprints given as an (n, 48) array of bytes."""
+def band_keys(sig: np.ndarray, bands: int, exact_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for wide fingerprints given as rows of bytes."""
     bits = np.unpackbits(sig, axis=1).astype(np.int64)
-    width = 23 + EXACT_BITS
+    width = 23 + exact_bits
     rows, keys = [], []
-    for band in range(BANDS):
+    for band in range(bands):
         part = bits[:, band * width : (band + 1) * width]
         fuzzy = golay_keys(part[:, :23] @ (1 << np.arange(23)))
-        exact = part[:, 23:] @ (1 << np.arange(EXACT_BITS))
+        exact = part[:, 23:] @ (1 << np.arange(exact_bits))
         at, col = np.nonzero(fuzzy >= 0)
         rows.append(at)
-        keys.append(np.int64(band) << (EXACT_BITS + 12) | exact[at] << 12 | fuzzy[at, col])
+        keys.append(np.int64(band) << (exact_bits + 12) | exact[at] << 12 | fuzzy[at, col])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -240,17 +250,20 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_links(docs: DataFrame) -> DataFrame:
     """(a, b): pairs of doc_ids of near copies that connect their groups."""
     ready(docs.sparkSession)
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bands, exact = bands_for(rows.count())
+    bits = bands * (23 + exact)
 
     def describe(batches):
         for batch in batches:
-            rows = [(i, f) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (f := features(t.as_py()))]
+            rows = [(i, f) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (f := features(t.as_py(), bits))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1][0] for r in rows], pa.binary()), pa.array([r[1][1] for r in rows], pa.binary())], names=["doc_id", "sig", "sketch"])
 
     def keyed(batches):
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(0).to_numpy()
-                at, key = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * _WORDS64))
+                at, key = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), bands, exact)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at])], names=["key", "doc_id"])
 
     def verified(batches):
@@ -259,7 +272,6 @@ def near_links(docs: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in (2, 3))
                 yield batch.filter(pa.array(sketch_similarity(x, y) >= SIMILARITY)).select([0, 1])
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = cut(rows.mapInArrow(describe, "doc_id long, sig binary, sketch binary"))
     pairs = links_by_bucket(described.select("doc_id", "sig").mapInArrow(keyed, "key long, doc_id long"), "key", "doc_id")
     one = described.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"))
