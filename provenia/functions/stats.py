@@ -10,12 +10,12 @@ from provenia.codes import Z95
 
 def ratio(hits: Column, n: Column) -> Column:
     """hits / n as double; null over n = 0."""
-    return F.when(n > 0, hits.cast("double") / n.cast("double"))
+    return F.when(n > 0, hits.cast("double") / F.nullif(n.cast("double"), F.lit(0.0)))
 
 
 def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Bounds of the Wilson interval, within [0, 1]; null over n <= 0."""
-    h, k = hits.cast("double"), n.cast("double")
+    h, k = hits.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
     p, z2 = h / k, z * z
     middle = p + z2 / (2 * k)
     half = F.lit(z) * F.sqrt(p * (1 - p) / k + z2 / (4 * k * k))
@@ -36,11 +36,12 @@ def kappa(n: Column, agree: Column, chance: Column) -> tuple[Column, Column, Col
 
     Chance agreement of 1: kappa 1 or 0 and no interval; no variance: no interval; n = 0: nulls.
     """
-    k = n.cast("double")
+    k = F.nullif(n.cast("double"), F.lit(0.0))
     po, pe = agree.cast("double") / k, chance.cast("double") / (k * k)
     value = F.when(n <= 0, F.lit(None)).when(pe >= 1, F.when(po >= 1, 1.0).otherwise(0.0)).otherwise((po - pe) / F.nullif(1 - pe, F.lit(0.0)))
-    spread = F.when((n > 0) & (pe < 1) & (po > 0) & (po < 1), F.sqrt(po * (1 - po) / (k * (1 - pe) * (1 - pe))))
-    return value, F.greatest(F.lit(-1.0), value - Z95 * spread), F.least(F.lit(1.0), value + Z95 * spread)
+    spread = F.when((n > 0) & (pe < 1) & (po > 0) & (po < 1), F.sqrt(po * (1 - po) / F.nullif(k * (1 - pe) * (1 - pe), F.lit(0.0))))
+    low, high = F.greatest(F.lit(-1.0), value - Z95 * spread), F.least(F.lit(1.0), value + Z95 * spread)
+    return value, F.when(spread.isNotNull(), low), F.when(spread.isNotNull(), high)
 
 
 def render_rate(hits: Column, n: Column, unit: str, splits: Column) -> Column:

@@ -1 +1,127 @@
-"""Queries."""
+"""Queries of the document parsers, JSON walks, bodies and the capture queue. Python runs only here, in Arrow batches."""
+
+from __future__ import annotations
+
+import gzip
+import json
+
+from pyspark.sql import functions as F
+
+from provenia.functions import parse
+from provenia.functions import text as X
+from provenia.operators.ordering import keep_first
+from provenia.plans.catalogue import query
+from provenia.plans.standins import answers, table
+from provenia.session import importable
+
+
+@query()
+def html_text_parsed(spark, d):
+    """Text of the pages by a parser, strict and wide, with what a reader of the strict text would miss."""
+    importable(spark)
+    rows = table(spark, d, "pages").select("page_id", F.octet_length("html").cast("long").alias("html_bytes"), parse.html_texts("html").alias("t"))
+    return rows.select("page_id", F.col("t.strict").alias("strict"), F.length("t.wide").cast("long").alias("wide_chars"), X.looks_thin(F.length("t.strict"), F.col("html_bytes")).alias("thin"))
+
+
+def _containers(spark, d):
+    importable(spark)
+    find = parse.containers_in(["article", "main", "div p", "body"])
+    # the test pages link to nothing outside: a passage with citations stands after each
+    html = F.concat("html", F.lit(CITED), F.col("page_id").cast("string"), F.lit('">Agency report +2</a><span data-pplx-citation-url="https://news.example.com/a"><span>news</span></span></main>'))
+    return table(spark, d, "pages").select("page_id", F.explode(find(html)).alias("c")).select("page_id", "c.*")
+
+
+CITED = '<main><p>Said by</p><a href="/inside">x</a><a href="https://www.agency.gov.uk/r?utm_source=chat&id='
+
+
+@query()
+def html_links(spark, d):
+    """Links of each page's body, first of each (marker, address)."""
+    rows = _containers(spark, d).where("selector = 'main'").select("page_id", F.posexplode("links").alias("pos", "l"))
+    return rows.select("page_id", "pos", "l.marker", "l.url", X.registrable_domain(F.col("l.url")).alias("domain"))
+
+
+@query()
+def container_choice(spark, d):
+    """The container with most links, then most text, then the first."""
+    rows = _containers(spark, d).withColumn("fewer", -F.col("n_links")).withColumn("shorter", -F.col("chars"))
+    return keep_first(rows, ["page_id"], ["fewer", "shorter", "seq"]).select("page_id", "selector", "n_links", "chars")
+
+
+PROSE = "As LeClair et al., Supportive Care in Cancer, 2022 found (doi 10.1000/xyz123), NCT03514433 and PMID 34567890; a 2014 Cancer Epidemiology study, published in Nature Health (Nov 2025). "
+
+
+@query()
+def named_citations(spark, d):
+    """Works named in prose, with offsets; the test answers name none, so a sentence that does stands before each."""
+    importable(spark)
+    rows = answers(spark, d).select("query_id", F.concat(F.lit(PROSE), F.col("answer_text")).alias("t"))
+    return rows.select("query_id", F.explode(parse.named_in("t")).alias("c")).select("query_id", "c.*")
+
+
+@query("SELECT kind, n * k AS named FROM (SELECT count(*) AS n FROM conversations WHERE role = 'assistant'), (VALUES ('AUTHOR_ETAL_YEAR', 1), ('DOI', 1), ('TRIAL_ID', 1), ('PUBLICATION_ID', 1), ('YEAR_JOURNAL_STUDY', 1), ('PUBLISHED_IN', 1)) v(kind, k)")
+def named_by_kind(spark, d):
+    return named_citations(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("named"))
+
+
+REPLIES = [
+    ("blocks", json.dumps({"output": [{"content": [{"type": "text", "text": "A long answer in prose.", "annotations": [{"url": "https://a.example/1", "title": "A"}, {"url": "https://a.example/1"}]}]}]})),
+    ("bare", json.dumps({"citations": ["https://b.example/1", "https://b.example/2"], "choices": [{"message": {"content": "Short words here"}}]})),
+    ("nested", json.dumps({"grounding": {"chunks": [{"web": {"uri": "https://c.example", "title": " "}}]}, "answer": "three more words"})),
+    ("none", json.dumps({"url": 5, "link": "https://never.example", "x": None})),
+]
+
+
+@query()
+def json_walk_citations(spark, d):
+    importable(spark)
+    rows = spark.createDataFrame(REPLIES, "reply string, payload string")
+    return rows.select("reply", F.explode(parse.citations_in_json("payload")).alias("c")).select("reply", "c.*")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, '$.k' AS path FROM events")
+def json_fixed_path(spark, d):
+    """At a fixed depth a reply needs no walk: a variant path stays in the JVM."""
+    return table(spark, d, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "string").alias("k"), F.lit("$.k").alias("path"))
+
+
+@query()
+def json_longest_text(spark, d):
+    importable(spark)
+    rows = spark.createDataFrame(REPLIES, "reply string, payload string")
+    return rows.select("reply", parse.longest_in_json("payload").alias("t")).select("reply", "t.*")
+
+
+@query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS folded FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*')")
+def fold_full_text(spark, d):
+    """The full fold agrees with plain SQL on ASCII text."""
+    importable(spark)
+    rows = table(spark, d, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return rows.select("doc_id", parse.fold_text("text").alias("folded"))
+
+
+@query("SELECT conv_id, turn, CAST(strpos(text, substr(text, 6, 30)) - 1 AS BIGINT) AS start FROM conversations WHERE role = 'assistant' AND length(text) > 60 AND substr(text, 6, 1) NOT IN (' ', chr(10)) AND substr(text, 35, 1) NOT IN (' ', chr(10))")
+def claim_offsets(spark, d):
+    """Where a claim stands in its answer: 30 characters of it, upper-cased, found again by folding."""
+    importable(spark)
+    rows = answers(spark, d).where("length(answer_text) > 60 AND substr(answer_text, 6, 1) NOT IN (' ', chr(10)) AND substr(answer_text, 35, 1) NOT IN (' ', chr(10))")
+    found = parse.locate_claim("answer_text", F.substring("answer_text", 6, 30))
+    return rows.select("conv_id", "turn", found["start"].alias("start"))
+
+
+@query()
+def body_readings(spark, d):
+    """Stored bodies read again by the routing of the fetcher: kinds and encodings, refusals included."""
+    importable(spark)
+    page = b"<html><body><article><p>" + b"Readable words stand here. " * 20 + b"</p></article></body></html>"
+    bodies = [("plain", "html", None, page), ("gzip", "html", "gzip", gzip.compress(page)), ("br", "html", "br", page), ("xml", "xml", None, b"<rss><title>T</title><d>x</d></rss>"), ("zip", "docx", None, b"PK not a zip"), ("pdf", "pdf", None, b"%PDF-1.4 nothing")]
+    rows = spark.createDataFrame(bodies, "name string, kind string, encoding string, body binary")
+    return rows.select("name", "kind", parse.body_texts("body", "encoding", "kind").alias("t")).select("name", "kind", F.length("t.strict").alias("chars"), F.col("t.refusal").alias("refusal"))
+
+
+@query()
+def capture_stream_queue(spark, d):
+    """Assistant turns as a stream of capture files: each answer once, drained by a trigger that ends."""
+    from provenia.streaming.queue import drain
+
+    return drain(answers(spark, d))
