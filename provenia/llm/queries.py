@@ -24,7 +24,7 @@ def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_paragraphs(read(spark, sf_dir, "documents"))
+    return substring_dedup.repeats(read(spark, sf_dir, "documents"))
 
 
 def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,8 +176,11 @@ MISSED = 0.005
 DIFFERING = 0.067
 #: Chance that two 23-bit segments of such a pair share a Golay key.
 FUZZY = 0.87
-#: Bins of the sketch of 5-word shingles that candidates are verified with; its standard error at 0.8 is 0.025.
+#: Bins of the sketch of 5-word shingles that candidates must pass; its standard error at 0.8 is 0.025, so this is four below.
 BINS = 256
+SKETCHED = 0.7
+#: Documents whose shingles are compared exactly are named to the tasks up to this many (8 MB); beyond, they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def bands_for(n: int) -> tuple[int, int]:
@@ -214,11 +217,7 @@ def features(text: str | None, bits: int) -> tuple[bytes, bytes] | None:
         wide = _mix(own[at : at + 8192, None] * factors[None, :])
         ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(0, dtype=np.int64)
     sig = np.packbits(ones * 2 > len(own)).tobytes()
-    n = max(1, len(parts) - SHINGLE + 1)
-    grams = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(parts))):
-        grams = grams * np.uint64(0x100000001B3) + hashed[k : k + n]
-    grams = np.sort(_mix(grams))
+    grams = np.sort(_shingles(hashed))
     sketch = np.full(BINS, 0xFFFF, np.uint16)
     bins = (grams >> np.uint64(56)).astype(np.int64)
     first = np.concatenate([[True], bins[1:] != bins[:-1]])
@@ -226,6 +225,36 @@ def features(text: str | None, bits: int) -> tuple[bytes, bytes] | None:
     return sig, sketch.tobytes()
 
 
+def _shingles(hashed: np.ndarray) -> np.ndarray:
+    """Hashes of the 5-word shingles of a text given by its words' hashes; fewer words: one of them all."""
+    n = max(1, len(hashed) - SHINGLE + 1)
+    grams = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(hashed))):
+        grams = grams * np.uint64(0x100000001B3) + hashed[k : k + n]
+    return _mix(grams)
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``ids``: sorted 32-bit hashes of their distinct 5-word shingles."""
+    import xxhash
+
+    few = ids.count() <= BROADCAST_IDS
+    wanted = docs.sparkSession.sparkContext.broadcast({r["doc_id"] for r in ids.toLocalIterator()}) if few else None
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if wanted is None or doc_id in wanted.value:
+                    parts = words(text.as_py() or "")
+                    own = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+                    rows.append((doc_id, np.unique((_shingles(own) >> np.uint64(32)).astype(np.uint32)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "shingles"])
+
+    found = docs.mapInArrow(run, "doc_id long, shingles binary")
+    return found if few else found.join(ids, "doc_id", "left_semi")
+
+
 def band_keys(sig: np.ndarray, bands: int, exact_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) for wide fingerprints given as rows of bytes."""
     bits = np.unpackbits(sig, axis=1).astype(np.int64)
@@ -266,17 +295,31 @@ def near_links(docs: DataFrame) -> DataFrame:
                 at, key = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), bands, exact)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at])], names=["key", "doc_id"])
 
-    def verified(batches):
+    def promising(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in (2, 3))
-                yield batch.filter(pa.array(sketch_similarity(x, y) >= SIMILARITY)).select([0, 1])
+                yield batch.filter(pa.array(sketch_similarity(x, y) >= SKETCHED)).select([0, 1])
+
+    def verified(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_py(), np.uint32) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        one = table.select(F.col("doc_id").alias("a"), F.col(column).alias("x"))
+        two = table.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
     described = cut(rows.mapInArrow(describe, "doc_id long, sig binary, sketch binary"))
     pairs = links_by_bucket(described.select("doc_id", "sig").mapInArrow(keyed, "key long, doc_id long"), "key", "doc_id")
-    one = described.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"))
-    two = described.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long").distinct()
+    pairs = cut(beside(pairs, described, "sketch").mapInArrow(promising, "a long, b long").distinct())
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    return beside(pairs, shingle_sets(rows, ids), "shingles").mapInArrow(verified, "a long, b long").distinct()
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
