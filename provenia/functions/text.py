@@ -252,6 +252,21 @@ def incomplete_capture(hidden: Column, dom: Column, rendered: Column) -> Column:
     return (hidden > 0) | ((dom > 0) & (dom > rendered * F.lit(1.05)))
 
 
+def surname_of(text: Column) -> Column:
+    """The name before 'et al', else the first capitalised word; lower case, '' if none."""
+    named = F.regexp_extract(text, r"\b([A-Z][A-Za-z'’\-]{2,})\s+et\s+al", 1)
+    return F.lower(F.when(named != "", named).otherwise(F.regexp_extract(text, r"\b([A-Z][A-Za-z'’\-]{2,})\b", 1)))
+
+
+def year_of(text: Column) -> Column:
+    """The first year of 1900 to 2099 as int; null if none."""
+    return F.nullif(F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1), F.lit("")).cast("int")
+
+
+def doi_of(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r"\b(10\.\d{4,9}/[^\s,;)\]]+)", 1), F.lit(""))
+
+
 def signature(text: Column) -> Column:
     """Tokens that identify a citation: names, years, long numbers, DOIs; lower case."""
     found = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z][A-Za-z'’\-]{3,}|(?:19|20)\d{2}|\d{6,}|10\.\d{4,9}/\S+)\b"), F.lit(1))

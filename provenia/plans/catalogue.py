@@ -33,5 +33,5 @@ def wilson_sql(hits: str, n: str) -> str:
     return f"{case(f'{h} / {k}')} AS value, {case(f'greatest(0.0::DOUBLE, ({middle} - {half}) / {scale})')} AS lo, {case(f'least(1.0::DOUBLE, ({middle} + {half}) / {scale})')} AS hi"
 
 
-for _name in ("rates", "texts", "orders", "documents"):
+for _name in ("rates", "texts", "orders", "captures", "documents"):
     import_module(f"provenia.plans.{_name}")
