@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenia.llm import chat_format, decontamination, exact_dedup, packing, pii, quality_lm, sharding, simhash, substring_dedup, token_counts
+from provenia.llm import chat_format, decontamination, exact_dedup, packing, pii, pii_sql, quality_lm, sharding, simhash, substring_dedup, token_counts
 from provenia.llm.common import read
 
 SHARDS = 16
@@ -96,4 +96,4 @@ FROM t GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact": OP6_SQL, "op7_prefix_tree": OP7_SQL}
+    return {"op6_exact": OP6_SQL, "op7_prefix_tree": OP7_SQL, "op10_pmi": pii_sql.SQL}

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from provenia.llm import common, queries
 from provenia.llm.exact_dedup import drop_copies
@@ -38,3 +40,26 @@ def test_components_of_chains_and_stars(spark):
     rng.shuffle(links)
     got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(121)}, **{200 + k: 200 for k in range(300)}, 600: 600, 601: 600}
+
+
+def test_stages_on_awkward_documents(spark, docs, tmp_path):
+    """Nulls in any column, blank and very long texts, repeated rows, clashing extra columns; labels and benchmark almost empty."""
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isNull(), "river stone").otherwise(F.col("text")))
+    spark.createDataFrame([(i, 1, 0) for i in [1, *range(100, 160)]] + [(15, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = common.cut(stage(spark, left, str(tmp_path)))
+        assert left.columns == docs.columns, name
+    ids = [r.doc_id for r in left.collect()]
+    assert None in ids and 1 in ids and len(ids) == len(set(ids)) and not {3, 4, 9} & set(ids)
+    assert corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).count() >= len(ids)
+
+
+def test_stages_on_nothing(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = empty
+    for _, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, str(tmp_path))
+        assert left.collect() == []
