@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of at most this many rows are compared pair by pair; larger ones through leaders and rounds.
+#: Buckets of at most this many rows are compared pair by pair; larger ones through their smallest member and then by blocks.
 SMALL_BUCKET = 8
+#: Members of a large bucket that one task compares with as many others at once, and shingles of them.
+BLOCK = 256
+COLUMNS = 4096
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -47,19 +53,86 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def links_by_bucket(keyed: DataFrame, key: str, member: str) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of the members that share a key.
+def links_by_bucket(met: DataFrame, key: str, member: str) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of the members that share a key; a first pass over ``colliding`` rows.
 
-    Buckets of at most SMALL_BUCKET members give every pair. In a larger one each member meets the smallest, so the
-    number of pairs is linear in the number of keyed rows even if one key holds a third of them, and no large bucket
-    is gathered in one task. A group of copies shares many keys, each with a smallest member of its own.
-    Rows of ``keyed`` are distinct (key, member) pairs.
+    Buckets of at most SMALL_BUCKET members give every pair. In a larger one each member meets the smallest, which
+    ties most groups of copies together with few rows; ``large_bucket_links`` then finds what that leaves apart.
     """
-    met = cut(colliding(keyed, key, member))
     large = met.where((F.col("n") > SMALL_BUCKET) & (F.col("l0") < F.col(member)))
     return small_pairs(met, key, member).unionByName(large.select(F.col("l0").alias("a"), F.col(member).alias("b"))).distinct()
 
 
+def large_bucket_links(met: DataFrame, links: DataFrame, key: str, member: str, shingles_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links (a, b) that, with ``links``, connect all pairs of at least ``similarity`` that share a large bucket.
+
+    Members of a bucket that ``links`` connect already need no comparison, nor does a bucket whose members stand in
+    another key too. All others are compared: the members are dealt into blocks (a component of more than BLOCK
+    members into blocks of its own, whose pairs are left out), and each pair of blocks is a group of its own that
+    compares the shingle sets exactly and returns a spanning forest. ``shingles_of`` gives (member, shingles), sorted
+    32-bit hashes, of a table of members.
+    """
+    tops = components(links).select(F.col("node").alias(member), F.col("component").alias("top"))
+    rows = met.where(F.col("n") > SMALL_BUCKET).select(key, member).join(tops, member, "left").withColumn("top", F.coalesce("top", member))
+    h = F.xxhash64(member)
+    sets = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("top").alias("lo"), F.max("top").alias("hi"), F.bit_xor(h).alias("h"), F.sum(F.shiftright(h, 20)).alias("s"))
+    apart = sets.where("lo < hi").groupBy("n", "h", "s").agg(F.min(key).alias(key)).select(key, "n")
+    rows = cut(rows.join(apart, key))
+    if rows.isEmpty():
+        return links.limit(0)
+    held = rows.groupBy(key, "top").agg(F.count(F.lit(1)).alias("c"))
+    own = F.col("c") > BLOCK
+    part = F.when(own, F.pmod(h, F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("top"), F.ceil(F.col("n") / BLOCK)))
+    dealt = cut(rows.join(held, [key, "top"]).select(key, member, F.struct(own.alias("own"), F.when(own, F.col("top")).otherwise(0).alias("top"), part.alias("part")).alias("block")))
+    one = dealt.select(key, F.col("block").alias("i")).distinct()
+    two = one.withColumnRenamed("i", "j")
+    facing = one.join(two, key).where("i <= j AND NOT (i.own AND j.own AND i.top = j.top)")
+    sides = facing.select(key, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    found = shingles_of(cut(dealt.select(member).distinct()))
+    groups = sides.join(dealt, [key, "block"]).join(found, member).select(key, "i", "j", F.col(member).alias("member"), "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table["member"].to_numpy()
+        a, b = spanning_links([np.frombuffer(x.as_py(), np.uint32) for x in table["shingles"]], similarity)
+        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+
+    return groups.groupBy(key, "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def spanning_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links that connect the sets exactly as all pairs of at least ``similarity`` (Jaccard) do."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    order = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], order[column[keep]]
+    by_column = np.argsort(column, kind="stable")
+    owner, column = owner[by_column], column[by_column]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - at] = 1
+        both += dense @ dense.T
+    both = both.astype(np.float64)
+    near = both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+    fresh = np.ones(len(sets), bool)
+    a, b = [], []
+    for start in range(len(sets)):
+        front = [start] if fresh[start] else []
+        fresh[start] = False
+        while front:
+            at = front.pop()
+            reached = np.flatnonzero(near[at] & fresh)
+            fresh[reached] = False
+            a += [at] * len(reached)
+            b += reached.tolist()
+            front += reached.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def colliding(keyed: DataFrame, key: str, member: str) -> DataFrame:
     """The rows whose key has several members, with n (their number) and l0 (the smallest)."""
     counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("l0")).where("n > 1")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.common import SMALL_BUCKET, colliding, components, cut, links_by_bucket, ready, small_pairs, words
+from provenia.llm.common import SMALL_BUCKET, colliding, components, cut, large_bucket_links, links_by_bucket, ready, small_pairs, words
 
 MAX_BITS = 2
 
@@ -316,10 +316,13 @@ def near_links(docs: DataFrame) -> DataFrame:
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
     described = cut(rows.mapInArrow(describe, "doc_id long, sig binary, sketch binary"))
-    pairs = links_by_bucket(described.select("doc_id", "sig").mapInArrow(keyed, "key long, doc_id long"), "key", "doc_id")
+    met = cut(colliding(described.select("doc_id", "sig").mapInArrow(keyed, "key long, doc_id long"), "key", "doc_id"))
+    pairs = links_by_bucket(met, "key", "doc_id")
     pairs = cut(beside(pairs, described, "sketch").mapInArrow(promising, "a long, b long").distinct())
     ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    return beside(pairs, shingle_sets(rows, ids), "shingles").mapInArrow(verified, "a long, b long").distinct()
+    links = cut(beside(pairs, shingle_sets(rows, ids), "shingles").mapInArrow(verified, "a long, b long").distinct())
+    more = large_bucket_links(met, links, "key", "doc_id", lambda ids: shingle_sets(rows, ids).dropDuplicates(["doc_id"]), SIMILARITY)
+    return links.unionByName(more).distinct()
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

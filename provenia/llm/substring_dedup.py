@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.common import components, cut, links_by_bucket, ready, words
+from provenia.llm.common import colliding, components, cut, large_bucket_links, links_by_bucket, ready, words
 
 SHINGLE = 5
 MIN_WORDS = 25
@@ -176,11 +176,12 @@ def near_paragraphs(docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between different paragraphs."""
     rows = keyed(docs)
     hit = rows.groupBy("key").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi").select("key")
-    met = cut(rows.join(hit, "key").distinct())
+    met = cut(colliding(cut(rows.join(hit, "key").distinct()), "key", "pid"))
     pairs = cut(links_by_bucket(met, "key", "pid"))
     ids = pairs.select(F.col("a").alias("pid")).unionByName(pairs.select(F.col("b").alias("pid"))).distinct()
     shingles = cut(shingles_of(docs, cut(ids)))
-    return verified(pairs, shingles)
+    links = cut(verified(pairs, shingles))
+    return links.unionByName(large_bucket_links(met, links, "key", "pid", lambda ids: shingles_of(docs, ids), SIMILARITY))
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -137,3 +137,11 @@ def test_large_bucket_of_near_copies(spark):
 
 def test_empty(empty):
     assert simhash_components(empty).collect() == [] and drop_near_copies(empty).collect() == []
+
+
+def test_star_of_near_copies_leaves_one(spark):
+    rng = random.Random(21)
+    base = ["".join(rng.choices("abcdefghilmnoprstuv", k=7)) for _ in range(60)]
+    rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :]) if i != 150 else " ".join(base)) for i in range(301) for k in [rng.randrange(60)]]
+    left = [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert left == [0]

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from provenia.llm import common
 from provenia.llm.common import words
 from provenia.llm.substring_dedup import _least, band_keys, drop_repeats, paragraphs, repeated_paragraphs, repeats, shingle_hashes
 
@@ -128,5 +129,33 @@ def test_shingles_stay_inside_their_paragraph():
         assert part.tolist() == shingle_hashes([own])[0].tolist()
 
 
+def test_star_of_near_copies_is_one_cluster(spark):
+    rng = random.Random(4)
+    base = line(rng, 60).split()
+    rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :]) if i != 150 else " ".join(base)) for i in range(301) for k in [rng.randrange(60)]]
+    keys = band_keys(*shingle_hashes([words(t) for _, t in rows]))
+    assert (keys == keys[150]).any(axis=1).all()
+    got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 301 and {(r.members, r.keep_doc_id) for r in got} == {(301, 0)}
+
+
+def test_spanning_links_connect_what_all_pairs_do(monkeypatch):
+    monkeypatch.setattr(common, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 30, 25)).astype(np.uint32) for _ in range(60)]
+    near = {(i, j) for i in range(60) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))}
+    a, b = common.spanning_links(sets, 0.6)
+    assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist())} <= near and near
+
+    def groups(pairs):
+        top = list(range(60))
+        for i, j in pairs:
+            x, y = top[i], top[j]
+            top = [x if t == y else t for t in top]
+        return [top.index(t) for t in top]
+
+    assert groups(zip(a, b)) == groups(near)
+
+
 def test_empty(empty):
     assert repeats(empty).collect() == [] and drop_repeats(empty).collect() == []
