@@ -171,7 +171,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Share of pairs at SIMILARITY that may miss all bands, and their share of differing bits (words; measured).
+#: Share of pairs at SIMILARITY with scattered edits that may miss all bands of the wide fingerprint, and their share of
+#: differing bits (words; measured). Other pairs, as with a section added or cut off, may differ in more; MinHash finds those.
 MISSED = 0.005
 DIFFERING = 0.067
 #: Chance that two 23-bit segments of such a pair share a Golay key.
@@ -191,14 +192,20 @@ def bands_for(n: int) -> tuple[int, int]:
     return math.ceil(math.log(MISSED) / math.log(1 - FUZZY * (1 - DIFFERING) ** exact)), exact
 
 
+#: MinHash bands beside the Golay keys, and minima in each: a pair at SIMILARITY misses them all with (1 - 0.8^3)^8 = 0.003.
+BANDS = 8
+ROWS = 3
+_ODD = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def features(text: str | None, bits: int) -> tuple[bytes, bytes] | None:
-    """(wide fingerprint of the set of words, sketch of the set of 5-word shingles); None without words.
+def features(text: str | None, bits: int) -> tuple[bytes, bytes, bytes] | None:
+    """(wide fingerprint of the set of words, sketch of the set of 5-word shingles, MinHash keys of it); None without words.
 
     Single words give near copies a far smaller angle than shingles do, which lets the fuzzy keys reach a similarity
     of 0.8 on 5-word shingles; that similarity itself is read off the sketch (bins of the hash range, least hash of
@@ -222,7 +229,20 @@ def features(text: str | None, bits: int) -> tuple[bytes, bytes] | None:
     bins = (grams >> np.uint64(56)).astype(np.int64)
     first = np.concatenate([[True], bins[1:] != bins[:-1]])
     sketch[bins[first]] = np.minimum((grams[first] >> np.uint64(16)) & np.uint64(0xFFFF), 0xFFFE).astype(np.uint16)
-    return sig, sketch.tobytes()
+    return sig, sketch.tobytes(), minhash_keys(grams).tobytes()
+
+
+def minhash_keys(grams: np.ndarray) -> np.ndarray:
+    """Keys of the BANDS bands. Whether two texts share one depends on the Jaccard similarity of their shingles only:
+    not on where they differ, as the angle of the word sets does, and not on the number of documents. Negative, which
+    keys of ``band_keys`` never are."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 8192):
+        least = np.minimum(least, _mix(grams[at : at + 8192, None] * _ODD[None, :]).min(0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in range(ROWS):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + least[row::ROWS])
+    return (key | np.uint64(1 << 63)).view(np.int64)
 
 
 def _shingles(hashed: np.ndarray) -> np.ndarray:
@@ -286,14 +306,15 @@ def near_links(docs: DataFrame) -> DataFrame:
     def describe(batches):
         for batch in batches:
             rows = [(i, f) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (f := features(t.as_py(), bits))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1][0] for r in rows], pa.binary()), pa.array([r[1][1] for r in rows], pa.binary())], names=["doc_id", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1][0] for r in rows], pa.binary()), pa.array([r[1][1] for r in rows], pa.binary()), pa.array([r[1][2] for r in rows], pa.binary())], names=["doc_id", "sig", "sketch", "minima"])
 
     def keyed(batches):
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(0).to_numpy()
                 at, key = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), bands, exact)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at])], names=["key", "doc_id"])
+                minima = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, minima])), pa.array(np.concatenate([ids[at], np.repeat(ids, BANDS)]))], names=["key", "doc_id"])
 
     def promising(batches):
         for batch in batches:
@@ -315,8 +336,8 @@ def near_links(docs: DataFrame) -> DataFrame:
         two = table.select(F.col("doc_id").alias("b"), F.col(column).alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
-    described = cut(rows.mapInArrow(describe, "doc_id long, sig binary, sketch binary"))
-    met = cut(colliding(described.select("doc_id", "sig").mapInArrow(keyed, "key long, doc_id long"), "key", "doc_id"))
+    described = cut(rows.mapInArrow(describe, "doc_id long, sig binary, sketch binary, minima binary"))
+    met = cut(colliding(described.select("doc_id", "sig", "minima").mapInArrow(keyed, "key long, doc_id long"), "key", "doc_id"))
     pairs = links_by_bucket(met, "key", "doc_id")
     pairs = cut(beside(pairs, described, "sketch").mapInArrow(promising, "a long, b long").distinct())
     ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())

@@ -145,3 +145,23 @@ def test_star_of_near_copies_leaves_one(spark):
     rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :]) if i != 150 else " ".join(base)) for i in range(301) for k in [rng.randrange(60)]]
     left = [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert left == [0]
+
+
+def test_appended_and_cut_off_copies_share_a_key():
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choices("abcdefghilmnoprstuv", k=7)) for _ in range(20_000)]
+    for n in (10_000, 200_000, 10**8):
+        bands, exact = simhash.bands_for(n)
+        golay, either, total = 0, 0, 300
+        for i in range(total):
+            base = rng.choices(vocabulary, k=rng.randint(60, 300))
+            shingles = len(base) - 4
+            longer, shorter = base + rng.choices(vocabulary, k=shingles // 4), base[: -(-shingles * 4 // 5) + 4]
+            one, two = (simhash.features(" ".join(w), bands * (23 + exact)) for w in (base, longer if i % 2 else shorter))
+            row, key = simhash.band_keys(np.frombuffer(one[0] + two[0], np.uint8).reshape(2, -1), bands, exact)
+            assert (key >= 0).all()
+            met = bool(set(key[row == 0].tolist()) & set(key[row == 1].tolist()))
+            golay += met
+            either += met or bool(set(np.frombuffer(one[2], np.int64).tolist()) & set(np.frombuffer(two[2], np.int64).tolist()))
+        print(n, "of", total, "by Golay keys", golay, "by either", either)
+        assert either >= 0.985 * total
