@@ -1,6 +1,6 @@
 """Substring dedup: paragraphs and passages that repeat, exactly or nearly, within and across documents.
 
-A paragraph is a line of at least MIN_WORDS words (lower case, punctuation left out). MinHash over its 5-word
+A paragraph is a line of at least SHINGLE words (lower case, punctuation left out). MinHash over its 5-word
 shingles is cut into BANDS bands of ROWS minima: at similarity 0.8 a pair shares a band with probability 0.997, and
 unrelated prose shares practically no shingle at all. Colliding paragraphs are verified by exact Jaccard similarity
 of their shingle sets, linked ones are clustered by components, and every occurrence but a cluster's first is marked.
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from provenia.llm.common import colliding, components, cut, large_bucket_links, links_by_bucket, ready, words
 
+#: Words of a shingle, and the fewest of a paragraph.
 SHINGLE = 5
+#: Words of a window.
 MIN_WORDS = 25
 SPREAD = 26
 SIMILARITY = 0.8
@@ -40,10 +42,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(text: str) -> list[tuple[int, int, int, list[bytes]]]:
-    """(number of the line, start, length, words) of each line with at least MIN_WORDS words; code points."""
+    """(number of the line, start, length, words) of each line with at least SHINGLE words; code points."""
     out, start = [], 0
     for number, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * MIN_WORDS - 1 and len(parts := words(line)) >= MIN_WORDS:
+        if len(line) >= 2 * SHINGLE - 1 and len(parts := words(line)) >= SHINGLE:
             out.append((number, start, len(line), parts))
         start += len(line) + 1
     return out
@@ -288,8 +290,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, line, start, length (code points of the text), cluster_id, members, keep_doc_id, keep_line,
     removed. The first occurrence by (doc_id, line) stays; a null doc_id comes first. Rows that repeat a doc_id and
-    its text are all the same occurrence, so none of them is removed on behalf of the other. Null, empty and short
-    lines never take part. Empty input: no rows. Other columns aren't read.
+    its text are all the same occurrence, so none of them is removed on behalf of the other. Null and empty
+    lines, and those of fewer than SHINGLE words, never take part. Empty input: no rows. Other columns aren't read.
     """
     ready(docs.sparkSession)
     occ = cut(occurrences(docs))

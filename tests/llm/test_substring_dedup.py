@@ -139,6 +139,15 @@ def test_star_of_near_copies_is_one_cluster(spark):
     assert len(got) == 301 and {(r.members, r.keep_doc_id) for r in got} == {(301, 0)}
 
 
+def test_short_lines_that_repeat_are_found(spark):
+    rng = random.Random(14)
+    notice, five = "All rights reserved by the owners of this work.", "Read the whole story here"
+    rows = [(i, "\n".join([line(rng, 30), notice, line(rng, 12), five, line(rng, 8)])) for i in range(500)] + [(900, notice.upper()), (901, "four words are few"), (902, "four words are few")]
+    got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.line, r.members) for r in got) == sorted([(i, 1, 501) for i in range(500)] + [(900, 0, 501)] + [(i, 3, 500) for i in range(500)])
+    assert sum(not r.removed for r in got) == 2
+
+
 def test_spanning_links_connect_what_all_pairs_do(monkeypatch):
     monkeypatch.setattr(common, "COLUMNS", 7)
     rng = np.random.default_rng(3)
