@@ -17,6 +17,9 @@ SMALL_BUCKET = 8
 BLOCK = 256
 COLUMNS = 4096
 
+#: Keys of a table that are joined by broadcast: the most frequent ones, up to this many (some 50 MB).
+BROADCAST_KEYS = 1_000_000
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -135,10 +138,38 @@ def spanning_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarra
 
 def colliding(keyed: DataFrame, key: str, member: str) -> DataFrame:
     """The rows whose key has several members, with n (their number) and l0 (the smallest)."""
-    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("l0")).where("n > 1")
+    # written first, so that this is a plain join of two tables, in which Spark splits a key with very many rows
+    counts = cut(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("l0")).where("n > 1"))
     return keyed.join(counts, key)
 
 
+def weighed(rows: DataFrame, owner: str, key: str, table: DataFrame, value: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Per owner, total (the sum of n x value) and times (the sum of n) over its rows (owner, key, n).
+
+    ``table`` has (key, n, value) for each key that ``rows`` can hold; a null key in ``rows`` weighs nothing. The most
+    frequent keys, at most ``most`` by count, are joined by broadcast, so an owner's rows become one before anything is
+    shuffled; rows with any other key are shuffled to it. Frequent keys are the ones that would make that join skewed.
+    """
+    steps = table.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("step")).collect()  # 64 at most
+    floor, held = 63, 0
+    for row in steps:
+        held += row["keys"]
+        if held > most:
+            break
+        floor = row["step"]
+    frequent = F.floor(F.log2("n")) >= floor
+    head = table.where(frequent).select(key, F.col(value).alias("_value"))
+    joined = rows.join(F.broadcast(head), key, "left")
+    rare = F.when(F.col("_value").isNull(), F.col(key))
+    sums = joined.groupBy(owner, rare.alias(key)).agg(F.sum(F.col("_value") * F.col("n")).alias("total"), F.sum(F.when(F.col(key).isNotNull(), F.col("n"))).alias("times"))
+    if held > most:
+        sums = cut(sums)
+        tail = table.where(~frequent).select(key, F.col(value).alias("_value"))
+        far = sums.where(F.col(key).isNotNull()).join(tail, key).select(owner, (F.col("_value") * F.col("times")).alias("total"), "times")
+        sums = sums.where(F.col(key).isNull()).select(owner, "total", "times").unionByName(far)
+    return sums.groupBy(owner).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("times"), F.lit(0)).alias("times"))
+
+
 def small_pairs(met: DataFrame, key: str, member: str) -> DataFrame:
     """Every pair (a, b), a < b, within buckets of at most SMALL_BUCKET members."""
     lists = met.where(F.col("n") <= SMALL_BUCKET).groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("ms"))
@@ -155,10 +186,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = _digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are written, so that Spark can split a node with very many links in the plain join with them
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         edges = cut(edges)
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
         near = edges.join(low, "u")
         edges = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(edges)

@@ -9,6 +9,7 @@ group is packed by itself: a group's memory is bounded and its loss is a few hal
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,26 @@ END = 0
 def byte_bpe(ranks_path: str, special: dict[str, int]):
     """text -> ids of a byte-level BPE vocabulary (and .decode back); strings of ``special`` inside texts become their ids.
 
-    The ranks file gives the same ids as the JSON file of the vocabulary (tests compare them), several times faster.
+    The ranks file gives the same ids as the JSON file of the vocabulary beside it (tests compare them), several times
+    faster. Its pattern can't be matched over runs of about a million blanks; such a text goes to ``tokenizers`` and the JSON file.
     """
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    patient: list[tokenizers.Tokenizer] = []
 
     def encode(text: str) -> list[int]:
-        return own.encode(text, allowed_special="all", disallowed_special=())
+        try:
+            return own.encode(text, allowed_special="all", disallowed_special=())
+        except ValueError:
+            if not patient:
+                patient.append(tokenizers.Tokenizer.from_file(os.path.splitext(ranks_path)[0] + ".json"))
+                patient[0].encode_special_tokens = not special
+            return patient[0].encode(text, add_special_tokens=False).ids
 
     encode.decode = lambda ids: own.decode_bytes(ids).decode("utf-8", "replace")
     return encode

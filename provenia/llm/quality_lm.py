@@ -1,109 +1,80 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of order 4 over 64 classes of UTF-8 bytes.
-
-The model is trained on trusted text (labelled good and not toxic). Training counts are sharded by n-gram, the
-quantities of each context by context, and joined there. Words of a real corpus never stop coming, so a join of
-word n-grams with their documents would shuffle several times the text; the 64^4 grams of byte classes are bounded
-whatever the corpus, and the finished table (a half-precision log2 probability for each, 32 MB) goes to every task.
-A document's perplexity is 2 to the mean of its bits a symbol; a document is rejected above a quantile of the
-trusted documents of its language. One trusted document in HELD_OUT, by its id's hash, stays out of the training and
-gives the quantiles, so that they hold for text the model hasn't seen, however little it was trained on.
+"""Quality classifier: an interpolated modified Kneser-Ney model of order 4 over the bytes of UTF-8.
+
+The model is trained on trusted text (labelled good and not toxic). Counts are sharded by n-gram, the quantities of
+each context by context, and joined there: first among themselves, then with the distinct n-grams of the whole
+corpus, whose log probabilities make a table. That table is joined to the n-grams of each document and summed up. A
+document's perplexity is 2 to the mean of its bits a symbol; a document is rejected above a quantile of the trusted
+documents of its language. One trusted document in HELD_OUT, by its id's hash, stays out of the training and gives the
+quantiles, so that they hold for text the model hasn't seen, however little it was trained on.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from provenia.llm.common import cut, ready
+from provenia.llm.common import cut, ready, weighed
 
 ORDER = 4
-CLASS_BITS = 6
-CODES = 1 << CLASS_BITS * ORDER
+SYMBOLS = 256
+#: Before a text's first symbol; no UTF-8 text has this byte.
+START = b"\xff" * (ORDER - 1)
 
-#: The threshold: this quantile of the trusted documents of the language, and this much above it.
-QUANTILE = 0.99
-SLACK = 1.1
+#: The threshold: this quantile of the trusted documents of the language.
+QUANTILE = 0.98
 HELD_OUT = 5
 #: A document's mean counts as if it had so many symbols more at its language's mean, so a short one isn't rejected by chance.
 PRIOR = 200
-#: Trusted doc_ids are broadcast up to this many (16 MB of longs); beyond, they are joined by shuffle.
+#: Ids are broadcast up to this many (16 MB of longs); beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Thresholds are broadcast up to this many languages; beyond, the scored documents are shuffled to them.
 BROADCAST_LANGS = 10_000
-#: Bytes of text whose grams are counted at once.
+#: Bytes of text whose n-grams are counted at once.
 BLOCK = 4_000_000
 
 
-def _classes() -> bytes:
-    table = bytearray(256)
-    for b in range(256):
-        c = chr(b)
-        if b < 0x80:
-            if c.islower():
-                k = 1 + b - ord("a")
-            elif c.isupper():
-                k = 27
-            elif c.isdigit():
-                k = 28
-            else:
-                k = {" ": 29, "\n": 30, ".": 31, ",": 32, "!": 33, "?": 34, "'": 35, '"': 36, "-": 37, ":": 38, ";": 39, "(": 40, ")": 40}.get(c, 41 if b > 0x20 else 42)
-        elif b < 0xC0:
-            k = 47 + (b & 15)  # continuation bytes
-        else:
-            k = 43 if b < 0xC4 else 44 if b < 0xE0 else 45 if b < 0xF0 else 46
-        table[b] = k
-    return bytes(table)
-
-
-_TABLE = _classes()
-
-
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram code of each symbol of the texts (each after three 0, the start), and the symbols of each text."""
-    parts = [t.encode("utf-8", "replace").translate(_TABLE) for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    flat = np.frombuffer(b"".join(b"\0\0\0" + p for p in parts), np.uint8).astype(np.int32)
-    if not len(flat):
-        return np.zeros(0, np.int32), sizes
-    grams = flat[:-3] << 18 | flat[1:-2] << 12 | flat[2:-1] << 6 | flat[3:]
-    return grams[flat[3:] > 0], sizes
-
-
-def _blocks(texts):
-    block: list[str] = []
-    held = 0
-    for t in texts:
-        block.append(t or "")
-        held += len(block[-1])
-        if held > BLOCK:
-            yield block
-            block, held = [], 0
-    yield block
+def codes(text: str | None) -> np.ndarray:
+    """The 4-gram of each byte of the text, as a number of 32 bits."""
+    flat = np.frombuffer(START + (text or "").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    return flat[:-3] << 24 | flat[1:-2] << 16 | flat[2:-1] << 8 | flat[3:]
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(code, n) of the texts' 4-grams, summed within each task first."""
+    """(code, n, trained) of the 4-grams of ``docs`` (text, good): how often in all and in good texts; summed within each task first."""
     ready(docs.sparkSession)
 
     def run(batches):
-        keys, sums = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        keys, sums = np.zeros(0, np.uint32), np.zeros((2, 0), np.int64)
+
+        def add(block):
+            nonlocal keys, sums
+            flat = np.concatenate([keys, *[c for c, _ in block]])
+            good = np.concatenate([np.zeros(0, bool), *[np.full(len(c), g) for c, g in block]])
+            old = len(keys)
+            keys, at = np.unique(flat, return_inverse=True)
+            n = [np.concatenate([s, w]) for s, w in zip(sums, (np.ones(len(flat) - old), good))]
+            sums = np.array([np.bincount(at, w, len(keys)).astype(np.int64) for w in n])
+
         for batch in batches:
-            for block in _blocks(t.as_py() for t in batch.column(0)):
-                own, n = np.unique(codes(block)[0], return_counts=True)
-                both = np.concatenate([keys, own])
-                keys, at = np.unique(both, return_inverse=True)
-                sums = np.bincount(at, np.concatenate([sums, n]), len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["code", "n"])
+            block, held = [], 0
+            for text, good in zip(batch.column(0), batch.column(1).to_pylist()):
+                block.append((codes(text.as_py()), good))
+                held += len(block[-1][0])
+                if held > BLOCK:
+                    add(block)
+                    block, held = [], 0
+            if block:
+                add(block)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["code", "n", "trained"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    each = docs.select(F.col("text").cast("string"), "good").mapInArrow(run, "code long, n long, trained long")
+    return each.groupBy("code").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
 
 
 def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For order 4, 3, 2, 1: (code, alpha) of the grams seen and (context, gamma) of their contexts.
+    """For order 4, 3, 2, 1, of (code, n): (code, alpha) of the grams seen and (context, gamma) of their contexts.
 
     p(w | context) = alpha(context w) + gamma(context) p(w | shorter context); the three discounts of each order come
     from its counts of counts. Below the highest order a gram counts the different symbols seen before it.
@@ -111,33 +82,49 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     out = []
     for order in range(ORDER, 0, -1):
         if order < ORDER:
-            counts = counts.groupBy((F.col("code").bitwiseAND((1 << CLASS_BITS * order) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+            counts = cut(counts.groupBy(F.col("code").bitwiseAND(SYMBOLS**order - 1).alias("code")).agg(F.count(F.lit(1)).alias("n")))
         n1, n2, n3, n4 = (x or 0 for x in counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first())
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         d1, d2, d3 = (min(k - 0.05, max(0.05, k - (k + 1) * y * b / a)) if a and b else k / 2 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        grams = counts.withColumn("context", F.shiftright("code", CLASS_BITS)).withColumn("d", F.least(discount, F.col("n")))
+        grams = counts.withColumn("context", F.shiftright("code", 8)).withColumn("d", F.least(discount, F.col("n")))
         contexts = grams.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
         alpha = grams.join(contexts, "context").select("code", ((F.col("n") - F.col("d")) / F.col("total")).alias("alpha"))
         out.append((alpha, contexts.select("context", (F.col("held") / F.col("total")).alias("gamma"))))
     return out
 
 
-def log_table(model: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """log2 p of every 4-gram of classes, as half floats; the tables collected have at most 64^4 rows by construction."""
-    lower = np.full(1 << CLASS_BITS, 1 / (1 << CLASS_BITS), np.float32)
+def bits_of(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Adds bits, -log2 p of its last symbol, to the rows (code) of ``grams``; by a join with each order's counts."""
+    p = F.lit(1 / SYMBOLS)
     for order, (alpha, gamma) in zip(range(1, ORDER + 1), reversed(model)):
-        size, wide = 1 << CLASS_BITS * order, 1 << CLASS_BITS
-        weight = np.ones(size // wide, np.float32)
-        g = gamma.toPandas()
-        weight[g["context"].to_numpy()] = g["gamma"].to_numpy()
-        below = lower.reshape(-1, wide)
-        # a context's shorter one leaves out its first class
-        grown = weight.reshape(-1, len(below))[:, :, None] * below[None, :, :] if order > 1 else weight[:, None] * below
-        lower = grown.reshape(size)
-        a = alpha.toPandas()
-        lower[a["code"].to_numpy()] += a["alpha"].to_numpy(np.float32)
-    return np.log2(np.maximum(lower, 1e-7)).astype(np.float16)
+        short = F.col("code").bitwiseAND(SYMBOLS**order - 1)
+        a = alpha.select(F.col("code").alias(f"_c{order}"), F.col("alpha").alias(f"_a{order}"))
+        g = gamma.select(F.col("context").alias(f"_x{order}"), F.col("gamma").alias(f"_g{order}"))
+        grams = grams.join(a, short == F.col(f"_c{order}"), "left").join(g, F.shiftright(short, 8) == F.col(f"_x{order}"), "left").drop(f"_c{order}", f"_x{order}")
+        p = F.coalesce(f"_a{order}", F.lit(0.0)) + F.coalesce(f"_g{order}", F.lit(1.0)) * p
+    return grams.withColumn("bits", -F.log2(p)).drop(*[f"_{c}{order}" for c in "ag" for order in range(1, ORDER + 1)])
+
+
+def document_grams(docs: DataFrame) -> DataFrame:
+    """(doc, code, n): the 4-grams of each document; one without text has one row with a null code."""
+
+    def run(batches):
+        for batch in batches:
+            docs, keys, n, held = [], [], [], 0
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                own, times = np.unique(codes(text.as_py()), return_counts=True)
+                docs.append(pa.repeat(doc, max(1, len(own))))
+                keys.append(pa.array(own.astype(np.int64)) if len(own) else pa.nulls(1, pa.int64()))
+                n.append(times if len(own) else np.zeros(1, np.int64))
+                held += len(own)
+                if held > BLOCK // 16:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(docs), pa.concat_arrays(keys), pa.array(np.concatenate(n))], names=["doc", "code", "n"])
+                    docs, keys, n, held = [], [], [], 0
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(docs), pa.concat_arrays(keys), pa.array(np.concatenate(n))], names=["doc", "code", "n"])
+
+    return docs.select("doc", F.col("text").cast("string")).mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, code long, n long")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -145,59 +132,38 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
 
 
-class Model:
-    """A trained model: the table on the executors, and (lang, mean, threshold) of each language."""
-
-    def __init__(self, docs: DataFrame, labels: DataFrame):
-        spark = docs.sparkSession
-        ready(spark)
-        ids = cut(trusted_ids(labels))
-        few = ids.count() <= BROADCAST_IDS
-        held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-        good, unseen = (docs.join(F.broadcast(part) if few else part, "doc_id", "left_semi") for part in (ids.where(~held), ids.where(held)))
-        counts = cut(gram_counts(good))
-        self.trained = not counts.isEmpty()
-        if not self.trained:
-            return
-        self.table = spark.sparkContext.broadcast(log_table(kneser_ney(counts)))
-        scored = cut(self.score(unseen).where("n > 0").select(F.coalesce("lang", F.lit("")).alias("lang"), "bits", "n"))
-        self.trained = not scored.isEmpty()
-        if not self.trained:
-            return
-        rate = F.col("bits") / F.col("n")
-        per = scored.groupBy("lang").agg((F.sum("bits") / F.sum("n")).alias("mean"), (F.percentile_approx(rate, QUANTILE, 10_000) * SLACK).alias("threshold"))
-        self.by_lang = cut(per)
-        if self.by_lang.count() <= BROADCAST_LANGS:
-            self.by_lang = F.broadcast(self.by_lang)
-        row = scored.agg((F.sum("bits") / F.sum("n")).alias("mean"), (F.percentile_approx(rate, QUANTILE, 10_000) * SLACK).alias("threshold")).first()
-        self.overall = (row["mean"], row["threshold"])
-
-    def score(self, docs: DataFrame) -> DataFrame:
-        """Adds bits (the sum of -log2 p) and n (symbols) of each text; null text: 0 and 0."""
-        held = self.table
-
-        @F.pandas_udf("bits double, n long")
-        def bits(texts: pd.Series) -> pd.DataFrame:
-            table = held.value
-            sums, sizes = [], []
-            for block in _blocks(texts):
-                grams, size = codes(block)
-                total = np.concatenate([[0.0], np.cumsum(-table[grams], dtype=np.float64)])
-                ends = np.cumsum(size)
-                sums.append(total[ends] - total[ends - size])
-                sizes.append(size)
-            return pd.DataFrame({"bits": np.concatenate(sums), "n": np.concatenate(sizes)})
-
-        scored = docs.withColumn("_score", bits.asNondeterministic()(F.col("text").cast("string")))
-        return scored.select(*docs.columns, F.col("_score.bits").alias("bits"), F.col("_score.n").alias("n"))
-
-    def judge(self, docs: DataFrame) -> DataFrame:
-        """Adds bits, n, rate (bits a symbol, drawn to the language's mean), threshold and kept."""
-        scored = self.score(docs).withColumn("_lang", F.coalesce("lang", F.lit("")))
-        joined = scored.join(self.by_lang.withColumnRenamed("lang", "_lang"), "_lang", "left")
-        mean, threshold = (F.coalesce(F.col(c), F.lit(v)) for c, v in zip(("mean", "threshold"), self.overall))
-        rate = (F.col("bits") + PRIOR * mean) / (F.col("n") + PRIOR)
-        return joined.select(*docs.columns, "bits", "n", rate.alias("rate"), threshold.alias("threshold"), (rate <= threshold).alias("kept"))
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(doc, bits, n, rate, threshold, kept) of the documents, given as rows (doc, text); doc is a struct with doc_id and lang.
+
+    bits: the sum of -log2 p of the n symbols; rate: bits a symbol, drawn to the language's mean. None without any
+    trusted text to train on, or none to hold out.
+    """
+    ready(docs.sparkSession)
+    ids = cut(trusted_ids(labels))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    good = ids.where(~held).select("doc_id", F.lit(True).alias("good"))
+    if ids.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
+    flagged = docs.select(F.col("doc.doc_id").alias("doc_id"), "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    counts = cut(gram_counts(flagged))
+    trained = counts.where("trained > 0").select("code", F.col("trained").alias("n"))
+    if trained.isEmpty():
+        return None
+    table = cut(bits_of(counts.select("code", "n"), kneser_ney(trained)))
+    scored = cut(weighed(document_grams(docs), "doc", "code", table, "bits").select("doc", F.col("total").alias("bits"), F.col("times").alias("n")))
+    lang = F.coalesce("doc.lang", F.lit(""))
+    unseen = cut(scored.where("n > 0").select(F.col("doc.doc_id").alias("doc_id"), lang.alias("_lang"), "bits", "n").join(ids.where(held), "doc_id", "left_semi"))
+    if unseen.isEmpty():
+        return None
+    found = ((F.sum("bits") / F.sum("n")).alias("mean"), F.percentile_approx(F.col("bits") / F.col("n"), QUANTILE, 10_000).alias("threshold"))
+    by_lang = cut(unseen.groupBy("_lang").agg(*found))
+    if by_lang.count() <= BROADCAST_LANGS:
+        by_lang = F.broadcast(by_lang)
+    overall = unseen.agg(*found).first()
+    joined = scored.withColumn("_lang", lang).join(by_lang, "_lang", "left")
+    mean, threshold = (F.coalesce(F.col(c), F.lit(overall[c])) for c in ("mean", "threshold"))
+    rate = (F.col("bits") + PRIOR * mean) / (F.col("n") + PRIOR)
+    return joined.select("doc", "bits", "n", rate.alias("rate"), threshold.alias("threshold"), (rate <= threshold).alias("kept"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,19 +173,26 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     its own; one without trusted documents has the threshold of all. Without any trusted text to train on, or none to
     hold out, every document is kept with null perplexity and threshold. Repeated rows are judged each. Empty input: no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text", "lang")
-    model = Model(rows, labels)
-    if not model.trained:
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang").alias("doc"), F.col("text").cast("string").alias("text"))
+    found = judged(rows, labels)
+    if found is None:
         none = F.lit(None).cast("double")
-        return rows.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    return model.judge(rows).select("doc_id", "lang", F.col("n").alias("n_symbols"), F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), "threshold").alias("threshold"), "kept")
+        return docs.select(F.col("doc_id").cast("long"), "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
+    return found.select("doc.doc_id", "doc.lang", F.col("n").alias("n_symbols"), F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), "threshold").alias("threshold"), "kept")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that ``classify`` keeps, columns as they were; decided row by row, without moving texts."""
-    plain: StructType = docs.schema
-    body = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long"), "text", "lang")
-    model = Model(body.select("doc_id", "text", "lang"), labels)
-    if not model.trained:
+    """The documents that are kept, columns as they were. Rows alike in doc_id, language and text are judged as one.
+
+    The rejected are named to the tasks up to BROADCAST_IDS; beyond, documents are shuffled to them.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.md5(text).alias("md5"))
+    found = judged(docs.select(name.alias("doc"), F.col("text").cast("string").alias("text")), labels)
+    if found is None:
         return docs
-    return model.judge(body).where("kept").select(*[F.col("_row")[c].alias(c) for c in plain.names])
+    gone = cut(found.where("NOT kept").select(F.xxhash64("doc").alias("_key"), "doc.*").distinct()).toDF("_key", "_id", "_lang", "_md5")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    same = (F.col("_key") == F.xxhash64(name)) & F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & F.col("_lang").eqNullSafe(docs["lang"]) & (F.col("_md5") == F.md5(text))
+    return docs.join(gone, same, "left_anti")

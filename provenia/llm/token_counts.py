@@ -1,10 +1,10 @@
 """Token counts of documents without their ids, by a SentencePiece BPE vocabulary.
 
 No piece of such a vocabulary has a blank after another character, so merges never cross the start of a run of
-blanks, and a text's count is the sum over its pre-tokens (a run of blanks and what follows it up to the next). In
-each block of documents, the distinct pre-tokens are counted once by the library and joined to the documents'
-pre-token frequencies. The join stays within the block: as rows, (document, pre-token, frequency) would be several
-times the text in shuffle.
+blanks, and a text's count is the sum over its pre-tokens (a run of blanks and what follows it up to the next). Each
+distinct pre-token of the corpus is counted once by the library; the table of counts is joined to the documents'
+pre-token frequencies and summed up. Frequent pre-tokens are joined where the documents are read, so only rare ones
+are shuffled.
 """
 
 from __future__ import annotations
@@ -12,16 +12,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.common import ready
+from provenia.llm.common import cut, ready, weighed
 
-#: Pre-tokens whose counts a worker keeps from one block to the next; more than this and it starts anew.
+#: Distinct pre-tokens that a task gathers before it hands them on.
 KEPT = 400_000
-#: Characters of text in a block.
-BLOCK = 4_000_000
+#: Rows of a batch of frequencies.
+ROWS = 200_000
 
 _RUN = re.compile(" +[^ ]*")
 
@@ -43,16 +44,80 @@ def check_model(model) -> None:
             raise ValueError(f"piece {i} has a blank after another character")
 
 
-def count_block(model, texts: list[str], kept: dict[str, int]) -> list[int]:
-    """Counts of each text; ``kept`` has the counts of pre-tokens seen before and gets the new ones."""
-    frequencies = [Counter(pre_tokens(t)) for t in texts]
-    new = list(set().union(*frequencies) - kept.keys())
-    if len(kept) + len(new) > KEPT:
-        kept.clear()
-        new = list(set().union(*frequencies))
-    kept.update(zip(new, map(len, model.encode(new, num_threads=1)), strict=True))
-    kept[""] = 1  # a blank by itself
-    return [sum(n * kept[t] for t, n in f.items()) for f in frequencies]
+def distinct_pieces(docs: DataFrame, model_path: str, seed: int) -> DataFrame:
+    """(key, n, tokens, low, high) of each distinct pre-token: its hash, the texts' occurrences of it, its tokens, and the
+    least and greatest pre-token behind the hash, which differ if two share it. The library counts each once."""
+
+    def found(batches):
+        import xxhash
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(pre_tokens(text.as_py() or ""))
+                if len(seen) > KEPT:
+                    yield _pieces(seen, seed)
+                    seen = Counter()
+        yield _pieces(seen, seed)
+
+    def counted(batches):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        check_model(model)
+        for batch in batches:
+            low = batch.column(2).to_pylist()
+            tokens = [len(x) if t else 1 for t, x in zip(low, model.encode(low, num_threads=1))]  # "": a blank by itself
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), *batch.columns[2:]], names=["key", "n", "tokens", "low", "high"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(found, "key long, n long, piece string")
+    each = rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("piece").alias("low"), F.max("piece").alias("high"))
+    return each.mapInArrow(counted, "key long, n long, tokens long, low string, high string")
+
+
+def _pieces(seen: Counter, seed: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys_of(seen, seed), pa.array(seen.values(), pa.int64()), pa.array(seen.keys(), pa.string())], names=["key", "n", "piece"])
+
+
+def keys_of(pieces, seed: int) -> pa.Array:
+    import xxhash
+
+    hashed = (xxhash.xxh3_64_intdigest(p.encode("utf-8", "replace"), seed) for p in pieces)
+    return pa.array(np.fromiter(hashed, np.uint64, len(pieces)).view(np.int64))
+
+
+def piece_table(docs: DataFrame, model_path: str) -> tuple[DataFrame, int]:
+    """The table of distinct pre-tokens, written, and the seed of its hash: the first under which no two share a key."""
+    for seed in range(16):
+        table = cut(distinct_pieces(docs, model_path, seed))
+        if table.where("low != high").isEmpty():
+            return table.select("key", "n", "tokens"), seed
+    raise ValueError("pre-tokens share 64-bit keys under every seed")
+
+
+def frequencies(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc, key, n): the pre-tokens of each document; a document without any has one row with a null key."""
+
+    def run(batches):
+        for batch in batches:
+            docs, keys, n, held = [], [], [], 0
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                own = Counter(pre_tokens(text.as_py() or ""))
+                keys.append(keys_of(own, seed) if own else pa.nulls(1, pa.int64()))
+                n.append(np.fromiter(own.values(), np.int64, len(own)) if own else np.zeros(1, np.int64))
+                docs.append(pa.repeat(doc, max(1, len(own))))
+                held += len(own)
+                if held > ROWS:
+                    yield _frequencies(docs, keys, n)
+                    docs, keys, n, held = [], [], [], 0
+            if docs:
+                yield _frequencies(docs, keys, n)
+
+    return docs.select("doc", F.col("text").cast("string")).mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, key long, n long")
+
+
+def _frequencies(docs: list[pa.Array], keys: list[pa.Array], n: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(docs), pa.concat_arrays(keys), pa.array(np.concatenate(n))], names=["doc", "key", "n"])
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
@@ -62,26 +127,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     result has no begin or end token, and control strings inside texts are ordinary text.
     """
     ready(docs.sparkSession)
-
-    def run(batches):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        check_model(model)
-        kept: dict[str, int] = {}
-        for batch in batches:
-            counts: list[int] = []
-            block: list[str] = []
-            held = 0
-            for text in batch.column(2):
-                block.append(text.as_py() or "")
-                held += len(block[-1])
-                if held > BLOCK:
-                    counts += count_block(model, block, kept)
-                    block, held = [], 0
-            counts += count_block(model, block, kept)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    table, seed = piece_table(docs.select(text.alias("text")), model_path)
+    # a row's own number keeps repeated rows apart; it only has to differ within one run of the task
+    doc = F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = frequencies(docs.select(doc.alias("doc"), text.alias("text")), seed)
+    counts = weighed(rows, "doc", "key", table, "tokens")
+    return counts.select("doc.doc_id", "doc.n_bytes", F.col("total").alias("n_tokens"), (F.col("total") > limit).alias("over_limit"))

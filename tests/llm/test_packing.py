@@ -27,6 +27,13 @@ def test_ranks_give_the_librarys_ids(library, docs):
         assert encode(text) == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 5_000_000, "x" + " " * 1_500_000 + "<|endoftext|>y", "\u3000" * 1_200_000 + "a", "b" * 2_000_000])
+def test_very_long_runs(library, text):
+    assert packing.byte_bpe(RANKS, SPECIAL)(text) == library.encode(text, add_special_tokens=False).ids
+    plain = packing.byte_bpe(RANKS, {})
+    assert plain.decode(plain(text)) == text
+
+
 def best_fit(lengths, window):
     room, out = [], {}
     for i in np.argsort(-lengths, kind="stable").tolist():

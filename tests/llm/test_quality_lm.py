@@ -2,11 +2,11 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from provenia.llm import quality_lm as lm
-from provenia.llm.common import cut
+from provenia.llm.common import cut, weighed
 
 from .conftest import prose
 
@@ -15,7 +15,7 @@ def brute_table(texts):
     """log2 p of a gram (w1 w2 w3 w4) as a function, straight from the definition."""
     counts = Counter()
     for t in texts:
-        s = b"\0\0\0" + t.encode().translate(lm._TABLE)
+        s = lm.START + t.encode()
         counts.update(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
     levels = [counts]
     for _ in range(3):
@@ -40,7 +40,7 @@ def brute_table(texts):
 
     def p(g, level=0):
         if level == 4:
-            return 1 / 64
+            return 1 / 256
         c, d, held, total = parts[level]
         lower = p(g[1:], level + 1)
         if not total[g[:-1]]:
@@ -51,18 +51,24 @@ def brute_table(texts):
     return lambda g: math.log2(p(g))
 
 
-def test_table_matches_the_definition(spark):
+def test_document_sums_match_the_definition(spark, monkeypatch):
     rng = random.Random(2)
     texts = [prose(rng, 40) + rng.choice(["!", ".", " É 5"]) for _ in range(30)]
-    counts = cut(lm.gram_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)))
-    table = lm.log_table(lm.kneser_ney(counts))
+    others = [prose(rng, 10).upper(), "日本語", "", None, texts[0] + " \x00\n", "a"]
+    rows = spark.createDataFrame([(t, True) for t in texts] + [(t, False) for t in others], "text string, good boolean").repartition(3)
+    counts = cut(lm.gram_counts(rows))
+    model = lm.kneser_ney(counts.where("trained > 0").select("code", F.col("trained").alias("n")))
+    table = cut(lm.bits_of(counts.select("code", "n"), model))
     want = brute_table(texts)
-    for _ in range(3000):
-        g = tuple(rng.choice([0, 1, 5, 9, 14, 19, 20, 29, 31, 33, 41, 60]) for _ in range(4)) if rng.random() < 0.5 else tuple((b"\0\0\0" + texts[0].encode().translate(lm._TABLE))[(i := rng.randrange(100)) : i + 4])
-        code = g[0] << 18 | g[1] << 12 | g[2] << 6 | g[3]
-        assert abs(float(table[code]) - max(want(g), math.log2(1e-7))) < 0.02, g
-    context = 5 << 18 | 14 << 12 | 19 << 6
-    assert abs(np.exp2(table[context : context + 64].astype(float)).sum() - 1) < 0.01
+    for r in table.collect():
+        assert r.bits == pytest.approx(-want(tuple(r.code.to_bytes(4, "big"))), rel=1e-9)
+    docs = rows.select(F.struct(F.col("text").alias("name")).alias("doc"), "text")
+    for most in (1_000_000, 200, 1):  # all by broadcast, some, hardly any
+        got = {r.doc.name: (r.total, r.times) for r in weighed(lm.document_grams(docs), "doc", "code", table, "bits", most).collect()}
+        assert len(got) == len(texts) + len(others)
+        for t in texts + others:
+            s = lm.START + (t or "").encode()
+            assert got[t] == (pytest.approx(-sum(want(tuple(s[i - 3 : i + 1])) for i in range(3, len(s)))), len(s) - 3)
 
 
 @pytest.fixture(scope="module")
@@ -80,16 +86,18 @@ def test_rejects_junk_and_keeps_clean_documents(corpus):
     docs, labels = corpus
     got = lm.classify(docs, labels).collect()
     assert len(got) == docs.count()
-    assert {r.doc_id for r in got if not r.kept} == set(range(1000, 1020))
+    gone = {r.doc_id for r in got if not r.kept}
+    assert gone >= set(range(1000, 1020)) and len(gone) <= 20 + 0.04 * 300
+    assert all(r.kept for r in got if r.n_symbols == 0)
     left = lm.drop_low_quality(docs, labels)
-    assert left.columns == docs.columns and left.count() == docs.count() - 20
-    assert {r.kept for r in left.collect()} == {0}
+    assert left.columns == docs.columns and {r.kept for r in left.collect()} == {0}
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
 def test_held_out_accuracy(corpus):
     docs, labels = corpus
     held = [r for r in lm.classify(docs, labels).collect() if r.doc_id is not None and (r.doc_id % 2 and r.doc_id < 300 or 1002 <= r.doc_id < 1020)]
-    assert sum(r.kept == (r.doc_id < 300) for r in held) == len(held)
+    assert sum(r.kept == (r.doc_id < 300) for r in held) >= 0.96 * len(held)
 
 
 def test_shuffled_ids_give_the_same(corpus, monkeypatch):

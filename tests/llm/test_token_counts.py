@@ -1,9 +1,12 @@
 import random
+from collections import Counter
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
-from provenia.llm.token_counts import count_block, token_counts
+from provenia.llm.common import weighed
+from provenia.llm.token_counts import piece_table, pre_tokens, token_counts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -19,18 +22,22 @@ def test_matches_the_library(docs):
 def test_blanks_and_odd_characters_at_any_place():
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
     rng = random.Random(5)
-    texts = ["".join(rng.choices("ab the▁ \n\t\r.<s>é日😀 　\x00​", k=rng.randint(0, 40))) for _ in range(4000)]
-    assert count_block(model, texts, {}) == [len(x) for x in model.encode(texts)]
+    texts = ["".join(rng.choices("ab the▁ \n\t\r.<s>é日😀 　\x00​", k=rng.randint(0, 40))) for _ in range(4000)]
+    own = [sum(len(model.encode(p)) if p else 1 for p in pre_tokens(t)) for t in texts]
+    assert own == [len(x) for x in model.encode(texts)]
 
 
-def test_counts_survive_a_full_cache(monkeypatch):
+def test_each_pre_token_is_counted_once_and_rare_ones_are_joined_too(spark, docs, monkeypatch):
     from provenia.llm import token_counts as module
 
-    monkeypatch.setattr(module, "KEPT", 5)
-    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    kept: dict[str, int] = {}
-    for text in ("one two three four", "five six seven eight nine ten", "one two"):
-        assert count_block(model, [text], kept) == [len(model.encode(text))]
+    rows = docs.select("text")
+    want = Counter(p for r in rows.collect() for p in pre_tokens(r.text or ""))
+    monkeypatch.setattr(module, "KEPT", 50)
+    table, seed = piece_table(rows, PATH)
+    assert sorted(table.toPandas()["n"]) == sorted(want.values())
+    freq = module.frequencies(docs.select(F.monotonically_increasing_id().alias("doc"), "text"), seed)
+    for most in (0, 3, 10**6):
+        assert sorted(r.total for r in weighed(freq, "doc", "key", table, "tokens", most).collect()) == sorted(r.n_tokens for r in token_counts(docs, PATH).collect())
 
 
 def test_empty(empty):
