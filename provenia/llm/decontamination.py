@@ -1,42 +1,35 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are the runs of LEAST words of a benchmark item. A document is tested against an item if they share a seed.
-Tiling then marks, longest first, non-overlapping matches of at least LEAST words; windows are compared by
+Seeds are the runs of LEAST words. Documents and benchmark items are joined on their seeds, and a pair goes on if it
+shares enough of them for tiles over the threshold; a seed that all items share therefore costs one row a pair and no
+tiling. Tiling marks, longest first, non-overlapping matches of at least LEAST words; windows are compared by
 Karp-Rabin hashes. The share of the item's words that the tiles cover doesn't depend on their order, so reordered
 passages count in full. Only documents over the threshold come out.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.common import ready, words
+from provenia.llm.common import cut, ready, words
 
 LEAST = 5
 COVERAGE = 0.5
-#: Bytes of benchmark text whose seeds are sent to the tasks at once; a larger benchmark takes several passes.
-PASS_BYTES = 8_000_000
+#: Different seeds of the benchmark that are sent to the tasks (8 MB), so that they emit only those; with more, all seeds are joined by shuffle.
+BROADCAST_SEEDS = 1_000_000
+#: Documents that are named to the tasks (some 64 MB); with more, they are joined by shuffle.
+BROADCAST_NAMES = 1_000_000
+#: Rows of a batch of seeds.
+ROWS = 200_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@dataclass
-class Seeds:
-    """The items of one pass: vocabulary, word ids of each item, and sorted seed hashes with the item of each."""
-
-    vocabulary: dict[bytes, int]
-    items: list[tuple[int | None, np.ndarray]]
-    hashes: np.ndarray
-    owner: np.ndarray
-
-
 def prefix_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Karp-Rabin: h[i], the hash of the first i ids, and the powers of the base, both modulo 2^64."""
     powers = np.ones(len(ids) + 1, np.uint64)
@@ -96,85 +89,133 @@ def _free_runs(free: np.ndarray, size: int) -> np.ndarray:
     return total[size:] - total[:-size] == size
 
 
-def seeds_of(items: list[tuple[int | None, str]], least: int = LEAST) -> Seeds:
+def word_hashes(parts: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+
+
+def _named(df: DataFrame, key: str) -> DataFrame:
+    """(name, text): the name is the id and the MD5 of the text, so that rows that share an id are kept apart."""
+    return df.select(_name(df, key).alias("name"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+
+
+def _name(df: DataFrame, key: str) -> Column:
+    return F.struct(F.col(key).isNull().alias("void"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.md5(F.col("text").cast("string")).alias("md5"))
+
+
+_NAME = "struct<void: boolean, id: bigint, md5: string>"
+
+
+def seeds(rows: DataFrame, least: int, wanted=None) -> DataFrame:
+    """(name, seed, n, words): each seed of a text, how often it stands there, and the text's words; of ``wanted`` seeds (a broadcast sorted array) only."""
+
+    def run(batches):
+        for batch in batches:
+            names, found, times, sizes = [], [], [], []
+            for name, text in zip(batch.column(0), batch.column(1)):
+                parts = words(text.as_py())
+                if len(parts) < least:
+                    continue
+                own = window_hashes(word_hashes(parts), least)
+                if wanted is not None:
+                    at = np.minimum(np.searchsorted(wanted.value, own), len(wanted.value) - 1)
+                    own = own[wanted.value[at] == own]
+                own, n = np.unique(own, return_counts=True)
+                names.append(pa.repeat(name, len(own)))
+                found.append(own)
+                times.append(n)
+                sizes.append(np.full(len(own), len(parts)))
+                if sum(map(len, found)) > ROWS:
+                    yield batch_of(names, found, times, sizes)
+                    names, found, times, sizes = [], [], [], []
+            if names:
+                yield batch_of(names, found, times, sizes)
+
+    def batch_of(names, found, times, sizes):
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(times)), pa.array(np.concatenate(sizes))], names=["name", "seed", "n", "words"])
+
+    return rows.mapInArrow(run, f"name {_NAME}, seed long, n long, words long")
+
+
+def candidates(docs: DataFrame, items: DataFrame, coverage: float, least: int) -> DataFrame:
+    """(doc, item): names of the pairs that share enough seeds. ``docs`` and ``items`` are rows (name, text).
+
+    Tiles of ``coverage`` of an item's words hold at least a ``least``-th as many of its seeds' places, whatever their lengths.
+    """
+    of_items = cut(seeds(items.dropDuplicates(["name"]), least))
+    distinct = cut(of_items.select("seed").distinct())
+    wanted = None
+    if 0 < distinct.count() <= BROADCAST_SEEDS:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(distinct.toPandas()["seed"].to_numpy().view(np.uint64)))
+    of_docs = seeds(docs, least, wanted).select(F.col("name").alias("doc"), "seed").distinct() if wanted is None else seeds(docs, least, wanted).select(F.col("name").alias("doc"), "seed")
+    met = of_docs.join(of_items.select(F.col("name").alias("item"), "seed", "n", "words"), "seed")
+    # repeated rows of a document bring its seeds again; they only raise the sum
+    return met.groupBy("doc", "item").agg(F.sum("n").alias("shared"), F.max("words").alias("words")).where(F.col("shared") * least >= coverage * F.col("words")).select("doc", "item")
+
+
+def tiled(item: list[bytes], text: list[bytes], least: int = LEAST) -> tuple[int, int]:
+    """(words of the item that tiles cover, number of tiles)."""
     vocabulary: dict[bytes, int] = {}
-    kept, hashes, owner = [], [], []
-    for item_id, text in items:
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(text)], np.int64)
-        if len(ids) >= least:
-            own = np.unique(window_hashes(ids, least))
-            hashes.append(own)
-            owner.append(np.full(len(own), len(kept)))
-            kept.append((item_id, ids))
-    hashes, owner = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *owner])
-    order = np.argsort(hashes, kind="stable")
-    return Seeds(vocabulary, kept, hashes[order], owner[order])
-
-
-def matched_items(text: str, seeds: Seeds, least: int = LEAST) -> list[tuple[int | None, int, int, int]]:
-    """(item_id, words in the item, words tiled, tiles) for each item that shares a seed with the text."""
-    parts = words(text)
-    if len(parts) < least:
-        return []
-    ids = np.fromiter(map(seeds.vocabulary.get, parts, repeat(-1)), np.int64, len(parts))
+    own = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in item], np.int64)
+    ids = np.fromiter(map(vocabulary.get, text, repeat(-1)), np.int64, len(text))
     starts = np.flatnonzero(_free_runs(ids >= 0, least))
-    if not len(starts):
-        return []
-    own = window_hashes(ids, least)[starts]
-    low, high = np.searchsorted(seeds.hashes, own), np.searchsorted(seeds.hashes, own, side="right")
-    hits: dict[int, list[int]] = {}
-    for k in np.flatnonzero(high > low).tolist():
-        for at in range(int(low[k]), int(high[k])):
-            hits.setdefault(int(seeds.owner[at]), []).append(int(starts[k]))
-    out = []
-    for number, at in sorted(hits.items()):
-        item_id, item = seeds.items[number]
-        # matches of at least ``least`` words lie within the seeds' words; the rest of the document is left out
-        part = np.unique((np.array(at)[:, None] + np.arange(least)[None, :]).ravel())
-        zones = np.split(part, np.flatnonzero(np.diff(part) > 1) + 1)
-        near = np.concatenate([x for z in zones for x in (ids[z], [-1])])
-        found = tiles(item, near, least)
-        out.append((item_id, len(item), sum(n for *_, n in found), len(found)))
-    return out
+    if len(own) < least or not len(starts):
+        return 0, 0
+    at = starts[np.isin(window_hashes(ids, least)[starts], window_hashes(own, least))]
+    if not len(at):
+        return 0, 0
+    # matches of at least ``least`` words lie within the seeds' words; the rest of the document is left out
+    part = np.unique((at[:, None] + np.arange(least)[None, :]).ravel())
+    zones = np.split(part, np.flatnonzero(np.diff(part) > 1) + 1)
+    near = np.concatenate([x for z in zones for x in (ids[z], [-1])])
+    found = tiles(own, near, least)
+    return sum(n for *_, n in found), len(found)
+
+
+def contaminated_names(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int) -> DataFrame:
+    """(doc, item, item_words, matched_words, tiles, coverage): ``contaminated`` with the names of both; a row for each pair of names."""
+    ready(docs.sparkSession)
+    rows, items = _named(docs, "doc_id"), _named(benchmark, "item_id")
+    pairs = cut(candidates(rows, items, coverage, least))
+    few = pairs.count() <= BROADCAST_NAMES
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, (item, text) in enumerate(zip(batch.column(2), batch.column(3))):
+                item = words(item.as_py())
+                n, tiles = tiled(item, words(text.as_py()), least)
+                if n >= coverage * len(item):
+                    out.append((k, len(item), n, tiles, n / len(item)))
+            at = pa.array([r[0] for r in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2, 3)), pa.array([r[4] for r in out], pa.float64())], names=["doc", "item", "item_words", "matched_words", "tiles", "coverage"])
+
+    with_items = pairs.join(items.dropDuplicates(["name"]).select(F.col("name").alias("item"), F.col("text").alias("item_text")), "item")
+    texts = rows.select(F.col("name").alias("doc"), "text")
+    both = texts.join(F.broadcast(with_items) if few else with_items, "doc").select("doc", "item", "item_text", "text")
+    return both.mapInArrow(run, f"doc {_NAME}, item {_NAME}, item_words long, matched_words long, tiles long, coverage double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, item_words, matched_words, tiles, coverage) of documents that hold ``coverage`` of an item.
 
     Items of fewer than ``least`` words, null or blank texts match nothing. Repeated items and documents give a row
-    each. Empty tables: no rows. Other columns aren't read. Items are read in passes of about PASS_BYTES.
+    each. Empty tables: no rows. Other columns aren't read.
     """
-    spark = docs.sparkSession
-    ready(spark)
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    passes = max(1, math.ceil(total / PASS_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, item_words long, matched_words long, tiles long, coverage double"
-    kinds = [pa.int64()] * 5 + [pa.float64()]
-    out = None
-    for number in range(passes):
-        some = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
-        held = spark.sparkContext.broadcast(seeds_of([(r["item_id"], r["text"]) for r in some.collect()], least))
-
-        def run(batches, held=held):
-            seeds = held.value
-            for batch in batches:
-                found = [
-                    (doc_id, *row, row[2] / row[1])
-                    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1))
-                    if (t := text.as_py())
-                    for row in matched_items(t, seeds, least)
-                    if row[2] >= coverage * row[1]
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["doc_id", "item_id", "item_words", "matched_words", "tiles", "coverage"])
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = contaminated_names(docs, benchmark, coverage, least)
+    times = _named(benchmark, "item_id").groupBy(F.col("name").alias("item")).agg(F.count(F.lit(1)).alias("times"))
+    each = found.join(times, "item").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    own = [F.when(~F.col(f"{c}.void"), F.col(f"{c}.id")).alias(f"{c}_id") for c in ("doc", "item")]
+    return each.select(*own, "item_words", "matched_words", "tiles", "coverage")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, columns as they were, that hold no benchmark item. A null doc_id stays."""
-    bad = contaminated(docs, benchmark).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, columns as they were, that hold no benchmark item. Null texts stay.
+
+    The contaminated are named to the tasks up to BROADCAST_NAMES, so that no text moves; beyond, documents are shuffled to them.
+    """
+    bad = cut(contaminated_names(docs, benchmark, COVERAGE, LEAST).select(F.xxhash64("doc").alias("_key"), F.col("doc").alias("_doc")).distinct())
+    if bad.count() <= BROADCAST_NAMES:
+        bad = F.broadcast(bad)
+    return docs.join(bad, (F.col("_key") == F.xxhash64(_name(docs, "doc_id"))) & (F.col("_doc") == _name(docs, "doc_id")), "left_anti")

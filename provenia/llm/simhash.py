@@ -170,16 +170,20 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- near duplicates among long documents
 
 SHINGLE = 5
-SIMILARITY = 0.8
-#: Share of pairs at SIMILARITY with scattered edits that may miss all bands of the wide fingerprint, and their share of
-#: differing bits (words; measured). Other pairs, as with a section added or cut off, may differ in more; MinHash finds those.
-MISSED = 0.005
-DIFFERING = 0.067
-#: Chance that two 23-bit segments of such a pair share a Golay key.
-FUZZY = 0.87
-#: Bins of the sketch of 5-word shingles that candidates must pass; its standard error at 0.8 is 0.025, so this is four below.
+#: Near copies keep this share of their words, as the Jaccard similarity j of their 5-word shingles has it: a word edited
+#: breaks five shingles, so the share of words kept is about 1 + ln(2 j / (1 + j)) / 5 (the Mash similarity).
+KEPT = 0.9
+#: j at KEPT: 0.435.
+JACCARD = 1 / (2 * math.exp(SHINGLE * (1 - KEPT)) - 1)
+#: Share of pairs of original and edited copy that may miss all bands of the wide fingerprint, and their share of
+#: differing bits (measured: the median over pairs with 3 to 5 words edited in a hundred). MinHash finds most of those missed.
+MISSED = 0.05
+DIFFERING = 0.09
+#: Chance that two 23-bit segments of such a pair share a Golay key (measured).
+FUZZY = 0.72
+#: Bins of the sketch of 5-word shingles that candidates must pass; its standard error at JACCARD is 0.031, so this is four below.
 BINS = 256
-SKETCHED = 0.7
+SKETCHED = 0.31
 #: Documents whose shingles are compared exactly are named to the tasks up to this many (8 MB); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -192,7 +196,8 @@ def bands_for(n: int) -> tuple[int, int]:
     return math.ceil(math.log(MISSED) / math.log(1 - FUZZY * (1 - DIFFERING) ** exact)), exact
 
 
-#: MinHash bands beside the Golay keys, and minima in each: a pair at SIMILARITY misses them all with (1 - 0.8^3)^8 = 0.003.
+#: MinHash bands beside the Golay keys, and minima in each: a pair of Jaccard similarity j misses them all
+#: with (1 - j^3)^8, 0.003 at 0.8 and 0.14 at 0.6.
 BANDS = 8
 ROWS = 3
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,8 +212,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def features(text: str | None, bits: int) -> tuple[bytes, bytes, bytes] | None:
     """(wide fingerprint of the set of words, sketch of the set of 5-word shingles, MinHash keys of it); None without words.
 
-    Single words give near copies a far smaller angle than shingles do, which lets the fuzzy keys reach a similarity
-    of 0.8 on 5-word shingles; that similarity itself is read off the sketch (bins of the hash range, least hash of
+    Single words give near copies a far smaller angle than shingles do, which lets the fuzzy keys reach edited
+    copies; the similarity of 5-word shingles itself is read off the sketch (bins of the hash range, least hash of
     each).
     """
     import xxhash
@@ -328,7 +333,7 @@ def near_links(docs: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(z.as_py(), np.uint32) for z in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
+                keep.append(both >= JACCARD * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -342,7 +347,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     pairs = cut(beside(pairs, described, "sketch").mapInArrow(promising, "a long, b long").distinct())
     ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     links = cut(beside(pairs, shingle_sets(rows, ids), "shingles").mapInArrow(verified, "a long, b long").distinct())
-    more = large_bucket_links(met, links, "key", "doc_id", lambda ids: shingle_sets(rows, ids).dropDuplicates(["doc_id"]), SIMILARITY)
+    more = large_bucket_links(met, links, "key", "doc_id", lambda ids: shingle_sets(rows, ids).dropDuplicates(["doc_id"]), JACCARD)
     return links.unionByName(more).distinct()
 
 

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from provenia.llm.decontamination import contaminated, drop_contaminated, matched_items, seeds_of, tiles
+from provenia.llm.common import words
+from provenia.llm.decontamination import contaminated, drop_contaminated, tiled, tiles
 
 
 def brute_tiles(item, text, least):
@@ -41,7 +42,7 @@ ITEM = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima
 def test_reordered_passages_count_in_full():
     w = ITEM.split()
     text = "start " + " ".join(w[10:]) + " something between " + " ".join(w[:10]) + " end"
-    assert matched_items(text, seeds_of([(3, ITEM)])) == [(3, 20, 20, 2)]
+    assert tiled(words(ITEM), words(text)) == (20, 2)
 
 
 def test_flags_and_keeps(spark):
@@ -52,17 +53,39 @@ def test_flags_and_keeps(spark):
     )
     got = contaminated(docs, bench).collect()
     assert sorted((r.doc_id or 0, r.item_id, r.coverage) for r in got) == [(0, 1, 1.0), (0, 1, 1.0), (1, 1, 1.0), (1, 1, 1.0), (6, 1, 1.0), (6, 1, 1.0)]
-    assert sorted(r.doc_id or 0 for r in drop_contaminated(docs, bench).collect()) == [0, 2, 3, 4, 5]
+    left = drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [2, 3, 4, 5]
 
 
-def test_several_passes_give_the_same(spark, monkeypatch):
+def test_query_matches_tiling_of_all_pairs(spark, monkeypatch):
     from provenia.llm import decontamination
 
-    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(20)], "item_id long, text string")
-    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(10))) for i in range(0, 20, 3)], "doc_id long, text string")
-    one = sorted(map(tuple, contaminated(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "PASS_BYTES", 200)
-    assert sorted(map(tuple, contaminated(docs, bench).collect())) == one and len(one) == 7
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(30)]
+    common = "one seed that all items share"
+    items = [(i, common + " " + " ".join(rng.choices(vocabulary, k=rng.randint(0, 40)))) for i in range(25)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _, text in rng.sample(items, 2):
+            w = text.split()
+            cut_at = rng.randint(0, len(w))
+            parts.append(w[cut_at:] + w[:cut_at] if i % 3 else rng.choices(vocabulary, k=20) + w[: len(w) // 2])
+        rows.append((i // 2, " ".join(sum(parts, [])), i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for doc_id, text, _ in rows:
+        for item_id, item in items:
+            n, k = tiled(words(item), words(text))
+            if n >= 0.5 * len(words(item)):
+                want.append((doc_id, item_id, len(words(item)), n, k))
+    assert sorted(tuple(r)[:5] for r in contaminated(docs, bench).collect()) == sorted(want) and len(want) > 30
+    kept = sorted(r.item_id for r in drop_contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_NAMES", 0)
+    assert sorted(tuple(r)[:5] for r in contaminated(docs, bench).collect()) == sorted(want)
+    assert sorted(r.item_id for r in drop_contaminated(docs, bench).collect()) == kept
 
 
 def test_empty(spark, empty):
