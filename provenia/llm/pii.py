@@ -4,15 +4,16 @@ Base spans are found kind by kind, leftmost and not overlapping; those that fail
 patterns are written so that matching takes linear time (possessive runs that begin where a run begins or where the
 last match ended) and give the same matches as the plain ones.
 
-Information-theoretic sanitisation: each base value (a protected entity) has the words around it. Over the corpus,
-the pointwise mutual information of word and entity, as a share of the entity's own information content, says how
-much of the entity the word discloses. A word around an entity that recurs with it in several different texts and
-discloses DISCLOSED of it or more gets a span of kind ``term``, to be generalised or removed with the base spans.
+Information-theoretic sanitisation: over the corpus, the pointwise mutual information of a word and a base value (a
+protected entity) that stand in the same documents, as a share of the entity's own information content, says how much
+of the entity the word discloses. A word that stands beside an entity in several different texts and discloses
+DISCLOSED of it or more gets a span of kind ``term`` wherever it stands in a text that holds the entity, to be
+generalised or removed with the base spans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenia.llm.common import cut
@@ -27,8 +28,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: Characters on either side of a base span whose words count as its surroundings, and the words.
-AROUND = 48
+#: Words that can be terms; those that touch a base span aren't.
 TERM = r"(?<!\p{L})\p{L}{4,40}(?!\p{L})"
 #: Different texts in which a word must stand near the same entity.
 SUPPORT = 3
@@ -100,43 +100,39 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def surroundings(text: Column, base: Column) -> Column:
-    """Array of (entity, term, start, end): whole words near each base span that touch no base span."""
-
-    def near(span: Column) -> Column:
-        def side(left: Column, right: Column) -> Column:
-            window = F.substring(text, left + 1, right - left)
-            words = F.filter(spans_of(window, "term", TERM, lambda m: F.lit(True)), lambda w: ((w["start"] > 0) | (left == 0)) & ((w["end"] < right - left) | (right == F.length(text))))
-            return F.transform(words, lambda w: F.struct(entity(span).alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + left).alias("start"), (w["end"] + left).alias("end")))
+def _scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, base, text): content tells texts apart; the text of those with base spans only."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    return rows.select("doc_id", F.md5("text").alias("content"), "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
 
-        before = side(F.greatest(span["start"] - AROUND, F.lit(0).cast("long")), span["start"])
-        after = side(span["end"], F.least(span["end"] + AROUND, F.length(text).cast("long")))
-        return F.concat(before, after)
 
-    words = F.flatten(F.transform(base, near))
-    return F.filter(words, lambda w: ~F.exists(base, lambda b: (w["start"] < b["end"]) & (w["end"] > b["start"])))
+def holders(scanned: DataFrame) -> DataFrame:
+    """(entity, content, docs, with_entity): the texts that hold an entity of at least SUPPORT different texts, their documents, and all of the entity's."""
+    found = scanned.where(F.size("base") > 0).select("doc_id", "content", F.explode("base").alias("b")).select("doc_id", "content", entity(F.col("b")).alias("entity")).distinct()
+    each = cut(found.groupBy("entity", "content").agg(F.count(F.lit(1)).alias("docs")))
+    often = cut(each.groupBy("entity").agg(F.sum("docs").alias("with_entity"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT).select("entity", "with_entity"))
+    return each.join(often, "entity")
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, base, near): content tells texts apart, near has the words around the base spans."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    near = F.when(F.size("base") > 0, surroundings(F.col("text"), F.col("base")))
-    return rows.select("doc_id", F.md5("text").alias("content"), "base", near.alias("near"))
+def words_of(texts: DataFrame) -> DataFrame:
+    """(content, term, start, end) of every word of the texts (content, text, base) that touches no base span."""
+    found = texts.select("content", "base", F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)).alias("found"), F.split("text", TERM, -1).alias("between"))
+    rows = found.select("content", "base", F.posexplode(F.arrays_zip("found", "between")).alias("i", "x")).where("x.found IS NOT NULL")
+    size = F.length("x.found").cast("long")
+    before = F.sum(size + F.length("x.between")).over(Window.partitionBy("content").orderBy("i"))
+    placed = rows.select("content", "base", F.lower("x.found").alias("term"), (before - size).alias("start"), before.alias("end"))
+    return placed.where(~F.exists("base", lambda b: (F.col("start") < b["end"]) & (F.col("end") > b["start"]))).drop("base")
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosing(held: DataFrame, words: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term) pairs in which the term discloses at least DISCLOSED of the entity."""
-    near = scanned.where(F.size("near") > 0).select("doc_id", "content", F.explode("near").alias("w")).select("doc_id", "content", "w.entity", "w.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("content").alias("texts")).where(F.col("texts") >= SUPPORT)
-    pairs = cut(pairs)
-    total = scanned.count()
-    if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
-    in_docs = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    held = scanned.where(F.size("base") > 0).select("doc_id", "content", F.explode("base").alias("b")).select("doc_id", "content", entity(F.col("b")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    joined = pairs.join(in_docs, "term").join(held, "entity")
+    terms = words.select("content", "term").distinct()
+    pairs = held.join(terms, "content").groupBy("entity", "term", "with_entity").agg(F.sum("docs").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
+    total = docs.count()
+    all_words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
+    in_docs = all_words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    joined = pairs.join(in_docs, "term")
     shared = F.log(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.col("with_term")))
     content = F.log(F.lit(float(total)) / F.col("with_entity"))
     return joined.where((content > 0) & (shared >= DISCLOSED * content)).select("entity", "term")
@@ -145,11 +141,16 @@ def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
 def spans_by_document(docs: DataFrame) -> DataFrame:
     """(doc_id, content, base, terms): the base spans, and the (start, end) of the terms to be removed, by start."""
     scanned = cut(_scan(docs))
-    pairs = disclosing(scanned, docs)
-    here = scanned.where(F.size("near") > 0).select("doc_id", "content", F.explode("near").alias("w")).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), "content", "w.*")
-    hits = here.join(pairs, ["entity", "term"]).groupBy("_id", "_null", "content").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    rows = scanned.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), "content", "base")
-    return rows.join(hits, ["_id", "_null", "content"], "left").select("doc_id", "content", "base", "terms")
+    held = cut(holders(scanned))
+    rows = scanned.select("doc_id", "content", "base")
+    if held.isEmpty():
+        return rows.withColumn("terms", F.lit(None).cast("array<struct<start: long, end: long>>"))
+    texts = scanned.where("text IS NOT NULL").join(held.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"])
+    words = cut(words_of(texts))
+    pairs = disclosing(held, words, docs)
+    here = held.join(pairs, "entity").select("content", "term").distinct()
+    hits = cut(words.join(here, ["content", "term"]).groupBy("content").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms")))
+    return rows.join(hits, "content", "left").select("doc_id", "content", "base", "terms")
 
 
 def _listed(spans: Column) -> Column:

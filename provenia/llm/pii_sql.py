@@ -24,18 +24,18 @@ b AS (SELECT doc_id, kind, s, s + n AS e, kind || ':' || CASE kind WHEN 'email'
     WHEN 'ip' THEN list_bool_and(list_transform(string_split(value, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) <= 255))
     ELSE length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(digits), i, 1) AS INT)
       WHEN CAST(substr(reverse(digits), i, 1) AS INT) > 4 THEN 2 * CAST(substr(reverse(digits), i, 1) AS INT) - 9 ELSE 2 * CAST(substr(reverse(digits), i, 1) AS INT) END)) % 10 = 0 END),
-w AS (SELECT b.doc_id, b.entity, d.text, length(d.text) AS size, x.l, x.r FROM b JOIN d USING (doc_id), LATERAL (SELECT greatest(b.s - 48, 0) AS l, b.s AS r UNION ALL SELECT b.e, least(b.e + 48, length(d.text))) x),
-v AS (SELECT doc_id, entity, size, l, r, substr(text, l + 1, r - l) AS part FROM w)""")
-parts.append(located("run", "v", "doc_id, entity, size, l, r", "part", r"\p{L}+", "'term'"))
-parts.append("""near AS (SELECT DISTINCT doc_id, entity, lower(value) AS term, s + l AS s, s + l + n AS e FROM run WHERE n BETWEEN 4 AND 40 AND (s > 0 OR l = 0) AND (s + n < r - l OR r = size)
-  AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = run.doc_id AND run.s + run.l < b.e AND run.s + run.l + run.n > b.s)),
-pr AS (SELECT entity, term, count(DISTINCT doc_id) AS both_, count(DISTINCT text) AS texts FROM near JOIN d USING (doc_id) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+he AS (SELECT entity, count(DISTINCT doc_id) AS n FROM b JOIN d USING (doc_id) GROUP BY entity HAVING count(DISTINCT text) >= 3),
+h AS (SELECT DISTINCT doc_id, entity FROM b SEMI JOIN he USING (entity)),
+w AS (SELECT doc_id, text FROM d SEMI JOIN h USING (doc_id))""")
+parts.append(located("run", "w", "doc_id", "text", r"\p{L}+", "'term'"))
+parts.append("""near AS (SELECT doc_id, lower(value) AS term, s, s + n AS e FROM run WHERE n BETWEEN 4 AND 40
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = run.doc_id AND run.s < b.e AND run.s + run.n > b.s)),
+pr AS (SELECT entity, term, count(DISTINCT doc_id) AS both_ FROM (SELECT DISTINCT doc_id, term FROM near) JOIN h USING (doc_id) JOIN d USING (doc_id) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
 tt AS (SELECT DISTINCT term FROM pr),
 ft AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM d) SEMI JOIN tt USING (term) GROUP BY term),
-fe AS (SELECT entity, count(DISTINCT doc_id) AS n FROM b GROUP BY entity),
-k AS (SELECT entity, term FROM pr JOIN ft USING (term) JOIN fe USING (entity), (SELECT count(*)::DOUBLE AS total FROM d)
-  WHERE ln(total / fe.n) > 0 AND ln(both_ * total / (fe.n * ft.n)) >= 0.8::DOUBLE * ln(total / fe.n)),
-sp AS (SELECT doc_id, kind, s, e, CASE kind WHEN 'email' THEN 1 WHEN 'ip' THEN 2 WHEN 'card' THEN 3 ELSE 4 END AS o FROM b UNION SELECT doc_id, 'term', s, e, 5 FROM near SEMI JOIN k USING (entity, term)),
+k AS (SELECT entity, term FROM pr JOIN ft USING (term) JOIN he USING (entity), (SELECT count(*)::DOUBLE AS total FROM d)
+  WHERE ln(total / he.n) > 0 AND ln(both_ * total / (he.n * ft.n)) >= 0.8::DOUBLE * ln(total / he.n)),
+sp AS (SELECT doc_id, kind, s, e, CASE kind WHEN 'email' THEN 1 WHEN 'ip' THEN 2 WHEN 'card' THEN 3 ELSE 4 END AS o FROM b UNION SELECT doc_id, 'term', s, e, 5 FROM near JOIN h USING (doc_id) SEMI JOIN k USING (entity, term)),
 z AS (SELECT doc_id, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s, e), '') AS spans, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s, e) FILTER (o < 5), '') AS base,
   count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone FROM sp GROUP BY doc_id)""")
 SQL = "WITH " + ",\n".join(parts) + "\nSELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN z USING (doc_id)"

@@ -59,7 +59,7 @@ def corpus():
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices("river stone house lantern copper window meadow signal".split(), k=60))) for i in range(200)]
     for i in range(6):
-        rows.append((300 + i, f"window number{'x' * i} the Zanzibarian meadow ann@corp.example lantern {'stone ' * (i + 1)}"))
+        rows.append((300 + i, f"window number{'x' * i} the Zanzibarian meadow ann@corp.example lantern {'stone ' * (i + 1)}" + "house " * 40 * (i == 3) + "Zanzibarian" * (i == 3)))
     rows += [(400 + i, "copies mention Quixotical bob@corp.example here") for i in range(5)]  # one text: no support
     rows += [(500, None), (501, ""), (None, "signal ann@corp.example Zanzibarian"), (300, rows[200][1]), (502, "word " * 40_000)]
     return rows
@@ -81,12 +81,10 @@ def brute_terms(rows):
         for kind, s, e in base:
             value = f"{kind}:{text[s:e].lower() if kind == 'email' else text[s:e]}"
             seen_entity[value].add((i, text))
-            for a, b in ((max(0, s - pii.AROUND), s), (e, min(len(text), e + pii.AROUND))):
-                for m in re.finditer(r"(?<![^\W\d_])[^\W\d_]{4,40}(?![^\W\d_])", text[a:b]):
-                    x, y = m.start() + a, m.end() + a
-                    if (m.start() > 0 or a == 0) and (m.end() < b - a or b == len(text)) and not any(x < q and y > p for _, p, q in base):
-                        keys[value, m[0].lower()].add((i, text))
-                        spans[i, text].add((value, m[0].lower(), x, y))
+            for m in re.finditer(r"(?<![^\W\d_])[^\W\d_]{4,40}(?![^\W\d_])", text):
+                if not any(m.start() < q and m.end() > p for _, p, q in base):
+                    keys[value, m[0].lower()].add((i, text))
+                    spans[i, text].add((value, m[0].lower(), m.start(), m.end()))
     out = {}
     for (i, text), found in spans.items():
         good = set()
