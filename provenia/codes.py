@@ -72,7 +72,46 @@ LIST_KEYS = ("citations", "sources", "references", "search_results", "urls", "li
 SIGNATURE_IGNORED = ("et", "al", "the", "and", "study", "paper", "trial", "report", "review", "analysis")
 #: Products whose vendor also makes the default judge.
 CONFLICTED_PRODUCTS = ("google", "google_aio", "gemini")
-#: Punctuation that a reader takes for the same: quotation marks, dashes, the ellipsis; and what isn't visible.
-FOLD_QUOTES = {"'": "‘’‚‛′ʼ", '"': "“”„‟″«»", "-": "‐‑‒–—―−⁃"}
-FOLD_ELLIPSIS = "…"
-FOLD_DROPPED = "­​‌‍⁠﻿"
+#: Punctuation that a reader takes for the same, by character; what isn't visible is dropped.
+FOLDED = {
+    "\u2018": "'",  # left single quotation mark
+    "\u2019": "'",  # right single quotation mark
+    "\u201a": "'",  # single low-9 quotation mark
+    "\u201b": "'",  # single high-reversed-9 quotation mark
+    "\u2032": "'",  # prime
+    "\u02bc": "'",  # modifier letter apostrophe
+    "\u201c": '"',  # left double quotation mark
+    "\u201d": '"',  # right double quotation mark
+    "\u201e": '"',  # double low-9 quotation mark
+    "\u201f": '"',  # double high-reversed-9 quotation mark
+    "\u2033": '"',  # double prime
+    "\u00ab": '"',  # left-pointing double angle quotation mark
+    "\u00bb": '"',  # right-pointing double angle quotation mark
+    "\u2010": '-',  # hyphen
+    "\u2011": '-',  # non-breaking hyphen
+    "\u2012": '-',  # figure dash
+    "\u2013": '-',  # en dash
+    "\u2014": '-',  # em dash
+    "\u2015": '-',  # horizontal bar
+    "\u2212": '-',  # minus sign
+    "\u2043": '-',  # hyphen bullet
+    "\u2026": '...',  # horizontal ellipsis
+    "\u00ad": '',  # soft hyphen
+    "\u200b": '',  # zero width space
+    "\u200c": '',  # zero width non-joiner
+    "\u200d": '',  # zero width joiner
+    "\u2060": '',  # word joiner
+    "\ufeff": '',  # zero width no-break space
+}
+#: Kinds of works named in prose, and the forms they take.
+NAMED = (
+    ("AUTHOR_ETAL_YEAR", r"\b[A-Z][A-Za-z'’\-]+(?:,\s+[A-Z][A-Za-z'’\-]+){0,5}\s+et\s+al\.?,?\s*[^.;)\n]{0,80}?\b(?:19|20)\d{2}\b"),
+    ("AUTHOR_ETAL_YEAR", r"\b(?:19|20)\d{2}\b[^.;)\n]{0,60}?\b[A-Z][A-Za-z'’\-]+(?:,\s+[A-Z][A-Za-z'’\-]+){0,5}\s+et\s+al\.?"),
+    ("TRIAL_ID", r"\bNCT\d{8}\b"),
+    ("DOI", r"\b10\.\d{4,9}/[^\s,;)\]]+"),
+    ("PUBLICATION_ID", r"\bPMID:?\s*\d{7,8}\b"),
+    ("PUBLICATION_ID", r"\bPMC\d{6,8}\b"),
+    ("PUBLICATION_ID", r"\barXiv:\s?(?:\d{4}\.\d{4,5}(?:v\d+)?|[a-z\-]+(?:\.[A-Z]{2})?/\d{7})\b"),
+    ("PUBLISHED_IN", r"\bpublished\s+in\s+[A-Z][A-Za-z&\-]+(?:\s+[A-Z][A-Za-z&\-]+){0,4}[^.\n]{0,30}?\b(?:19|20)\d{2}\b"),
+    ("YEAR_JOURNAL_STUDY", r"\b(?:19|20)\d{2}\s+[A-Z][A-Za-z&\-]+(?:\s+[A-Z][A-Za-z&\-]+){0,3}\s+(?:study|paper|trial|analysis|report|review)\b"),
+)

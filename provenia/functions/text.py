@@ -41,10 +41,13 @@ def fold(text: Column) -> Column:
     letters with marks); ``provenia.functions.parse.fold_full`` covers all of Unicode.
     """
     plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    alike = "".join(codes.FOLD_QUOTES.values())
-    onto = "".join(k * len(v) for k, v in codes.FOLD_QUOTES.items())
-    out = F.translate(F.lower(text), plain[0] + alike + codes.FOLD_DROPPED, plain[1] + onto)
-    out = F.regexp_replace(F.replace(out, F.lit(codes.FOLD_ELLIPSIS), F.lit("...")), r"[̀-ͯ]", "")
+    alike = {c: to for c, to in codes.FOLDED.items() if len(to) == 1}
+    dropped = "".join(c for c, to in codes.FOLDED.items() if not to)
+    out = F.translate(F.lower(text), plain[0] + "".join(alike) + dropped, plain[1] + "".join(alike.values()))
+    for c, to in codes.FOLDED.items():
+        if len(to) > 1:
+            out = F.replace(out, F.lit(c), F.lit(to))
+    out = F.regexp_replace(out, r"[̀-ͯ]", "")
     return blanks(F.replace(out, F.lit("ß"), F.lit("ss")))
 
 

@@ -10,7 +10,7 @@ from hypothesis import settings as hypothesis_settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from provenia.functions import parse, stats
+from provenia.functions import markup, parse, pdf, stats
 from provenia.functions import text as X
 
 
@@ -89,40 +89,64 @@ def test_span_present(spark):
 
 def test_html_reading():
     html = "<nav><p>menu<nav>x</nav></nav><script>if (a < b) '<p>'</script><p>One &amp; <b>two<p>three<aside title='t'>side</aside><img alt='a chart'><table><tr><td>k</td><td></td><td>v</td></tr></table><footer>f"
-    assert parse.html_text(html) == "One & two\nthree\na chart\n\nk | v"
-    assert "side" in parse.html_text_wide(html) and "menu" not in parse.html_text_wide(html)
+    assert markup.html_text(html) == "One & two\nthree\na chart\n\nk | v"
+    assert "side" in markup.html_text_wide(html) and "menu" not in markup.html_text_wide(html)
 
 
 def test_other_formats():
-    assert parse.xml_text(b"<rss><title>T</title><d>D</d></rss>") == "T\nD"
+    assert markup.xml_text(b"<rss><title>T</title><d>D</d></rss>") == "T\nD"
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("word/document.xml", "<w:p><w:t>Head</w:t></w:p><w:tr><w:tc><w:p><w:t>a</w:t></w:p></w:tc><w:tc><w:p><w:t>b</w:t></w:p></w:tc></w:tr>")
-    assert parse.docx_text(z.getvalue()) == ("Head\na | b", "")
-    assert parse.docx_text(b"PK")[0] == "" and parse.docx_text(b"PK")[1]
+    assert markup.docx_text(z.getvalue()) == ("Head\na | b", "")
+    assert markup.docx_text(b"PK")[0] == "" and markup.docx_text(b"PK")[1]
 
 
-def pdf(content: bytes, extra: bytes = b"", head: bytes = b"") -> bytes:
+def a_pdf(content: bytes, extra: bytes = b"", head: bytes = b"") -> bytes:
     body = zlib.compress(content)
     return b"%PDF-1.4\n1 0 obj<</Type /Page>>endobj\n2 0 obj<</Filter /FlateDecode" + head + b">>stream\n" + body + b"\nendstream endobj\n" + extra
 
 
 def test_pdf_reading():
-    read = parse.pdf_text(pdf(rb"BT (Adults \(all\) who lived) Tj 5 0 Td ( here) Tj 0 -12 Td [(for t) -20 (en ye)] TJ T* (a \225 b hyphen-) Tj 0 -1 Td (ated) Tj ET"))
-    assert read["code"] == parse.PDF_OK and read["text"] == "Adults (all) who lived here\nfor ten ye\na • b hyphenated"
-    assert parse.pdf_text(b"%PDF-1.4 /Encrypt 1 0 R")["code"] == parse.PDF_ENCRYPTED
-    assert parse.pdf_text(pdf(b"(short) Tj"))["code"] == parse.PDF_NO_TEXT
-    assert parse.pdf_text(pdf(b"(" + b"enough words here " * 3 + b") Tj", b"/Subtype /Image"))["code"] == parse.PDF_NO_TEXT
-    assert parse.pdf_text(pdf(b"(" + b"qzxkvwpj" * 30 + b") Tj"))["code"] == parse.PDF_GARBLED
+    read = pdf.pdf_text(a_pdf(rb"BT (Adults \(all\) who lived) Tj 5 0 Td ( here) Tj 0 -12 Td [(for t) -20 (en ye)] TJ T* (a \225 b hyphen-) Tj 0 -1 Td (ated) Tj ET"))
+    assert read["code"] == pdf.PDF_OK and read["text"] == "Adults (all) who lived here\nfor ten ye\na • b hyphenated"
+    assert pdf.pdf_text(b"%PDF-1.4 /Encrypt 1 0 R")["code"] == pdf.PDF_ENCRYPTED
+    assert pdf.pdf_text(a_pdf(b"(short) Tj"))["code"] == pdf.PDF_NO_TEXT
+    assert pdf.pdf_text(a_pdf(b"(" + b"enough words here " * 3 + b") Tj", b"/Subtype /Image"))["code"] == pdf.PDF_NO_TEXT
+    assert pdf.pdf_text(a_pdf(b"(" + b"qzxkvwpj" * 30 + b") Tj"))["code"] == pdf.PDF_GARBLED
 
 
 def test_pdf_two_byte_fonts():
     table = b"1 beginbfchar <0078> <2022> endbfchar 1 beginbfrange <0001> <0003> <0041> endbfrange"
     extra = b"3 0 obj<</X 1>>stream\n" + table + b"\nendstream endobj /Identity-H"
-    read = parse.pdf_text(pdf(b"<0078> Tj ( Adults who lived in the country for years) Tj <000100020003> Tj", extra))
+    read = pdf.pdf_text(a_pdf(b"<0078> Tj ( Adults who lived in the country for years) Tj <000100020003> Tj", extra))
     assert read["text"] == "• Adults who lived in the country for yearsABC"
     clash = extra + b"4 0 obj<</X 1>>stream\n1 beginbfchar <0078> <0058> endbfchar\nendstream endobj"
-    assert parse.pdf_text(pdf(b"<0078> Tj ( Adults who lived in the country for years) Tj", clash))["two_byte_conflicts"] == 1
+    assert pdf.pdf_text(a_pdf(b"<0078> Tj ( Adults who lived in the country for years) Tj", clash))["two_byte_conflicts"] == 1
+
+
+def test_unclosed_furniture_and_tables():
+    assert markup.html_text("<div><nav>menu</div><p>lost") == "" and markup.html_text("<div><nav>menu</nav></div></p><p>kept<br>on") == "kept\non"
+    assert markup.html_text("<table><tr><th></th><th>a</th></tr><tr><td>b</td><td>c</td></tr></table>x | y|z") == "a\n\nb | c\n\nx | y|z"
+    assert markup.xml_text(b"<rss><link>https://a.example</link><t>b<br/>c</t></rss>") == "https://a.example\nb\nc"
+
+
+def test_pdf_syntax():
+    content = rb"% (no)\nBT [(Nested \(paren\) and (balanced) ones) -250 (, \101\053, one two three)] TJ (next) ' <</A 1>> BDC 0 0 Td (same line) Tj ET"
+    read = pdf.pdf_text(a_pdf(content.replace(rb"\n", b"\n")))
+    assert read["text"] == "Nested (paren) and (balanced) ones, A+, one two three\nnextsame line" and read["pages"] == 1
+    table = b"3 0 obj<</X 1>>stream\n1 beginbfrange <0001> <0002> [<0058> <0059>] endbfrange\nendstream endobj /Identity-H"
+    assert pdf.pdf_text(a_pdf(b"(Letters of a list of texts: ) Tj <00010002> Tj", table))["text"].endswith(": XY")
+    assert pdf.pdf_text(b"%PDF 1 0 obj << /Filter /FlateDecode >> stream\nbroken endstream endobj 2 0 obj (unended")["code"] == pdf.PDF_NO_TEXT
+
+
+@hypothesis_settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=80))
+def test_parsers_never_raise(data):
+    pdf.pdf_text(b"1 0 obj<</A 1>>stream\n" + data + b"endstream endobj" + data)
+    markup.xml_text(data)
+    markup.html_text(data.decode("latin-1"))
+    markup.docx_text(data)
 
 
 def test_encodings():
@@ -133,10 +157,12 @@ def test_encodings():
 
 def test_selectors_and_containers():
     html = '<div class="a prose" id="m"><p data-x="abc">t<br>u</p><a href="https://s.example/1?utm_source=z">One +3</a><a href="https://s.example/1">One</a><a href="/in">in</a></div><main><p>long text without links at all</p></main>'
-    root = parse.dom(html)
-    assert [len(parse.select(root, s)) for s in ("div.prose", "#m p", "[data-x^='ab']", '[data-x*="c"]', "[data-x=abc]", "main a", "p")] == [1, 1, 1, 1, 1, 0, 2]
-    with pytest.raises(ValueError):
-        parse.select(root, "a > b")
+    root = markup.dom(html)
+    assert [len(markup.select(root, s)) for s in ("div.prose", "#m p", "[data-x^='ab']", '[data-x*="c"]', "[data-x=abc]", "main a", "p")] == [1, 1, 1, 1, 1, 0, 2]
+    for bad in ("a > b", "a:hover", "[x", "[x~=y]", "", "#", "p,a", "[a^=]"):
+        with pytest.raises(ValueError):
+            markup.select(root, bad)
+    assert [len(markup.select(root, s)) for s in ("div p a", "div #m", "div.a.prose[id]", "[ data-x ^= 'ab' ]", "div[class='a prose'] br")] == [0, 0, 1, 1, 1]
     best = max(parse.containers(html, ["main", "div.prose"]), key=lambda c: (c["n_links"], c["chars"], -c["seq"]))
     assert best["selector"] == "div.prose" and best["links"] == [{"marker": "One", "url": "https://s.example/1?utm_source=z"}]
 
