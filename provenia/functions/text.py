@@ -29,9 +29,19 @@ def blanks(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: Lower-case characters that case folding changes further, by rule: to one character, and to several.
+_CHANGED = {c: c.casefold() for c in map(chr, range(0x80, 0x1_0000)) if c == c.lower() != c.casefold()}
+_FOLD_ONE = "".join(c for c, to in _CHANGED.items() if len(to) == 1), "".join(to for to in _CHANGED.values() if len(to) == 1)
+_FOLD_MANY = {c: to for c, to in _CHANGED.items() if len(to) > 1}
+
+
 def canonical(text: Column) -> Column:
-    """What a claim's identity rests on: white space and case alone."""
-    return F.lower(blanks(text))
+    """What a claim's identity rests on: white space and case alone (full case folding, as in 'Straße' and 'STRASSE')."""
+    plain = F.translate(F.lower(blanks(text)), *_FOLD_ONE)
+    wide = plain
+    for c, to in _FOLD_MANY.items():
+        wide = F.replace(wide, F.lit(c), F.lit(to))
+    return F.when(plain.rlike(f"[{''.join(_FOLD_MANY)}]"), wide).otherwise(plain)
 
 
 def fold(text: Column) -> Column:

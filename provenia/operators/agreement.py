@@ -24,19 +24,20 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 
 def agreement(rows: DataFrame) -> DataFrame:
-    """One row: n, agree, kappa, its interval, and what was left out, each counted."""
-    table = confusion(rows)
-    by_label = table.groupBy(F.col("label").alias("k")).agg(F.sum("n").alias("x"))
-    by_verdict = table.groupBy(F.col("verdict").alias("k")).agg(F.sum("n").alias("y"))
-    chance = by_label.join(by_verdict, "k").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("chance"))
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("label") == F.col("verdict"), F.col("n"))), F.lit(0)).alias("agree"))
-    out = rows.agg(
-        F.count_if(F.col("label") == "UNAUDITABLE").alias("unauditable"),
-        F.count_if(F.col("label") == "UNDECIDABLE").alias("undecidable"),
-        F.count_if(F.col("label").isin(*codes.VERDICTS) & F.col("verdict").isNull()).alias("unmatched"),
+    """One row: n, agree, kappa, its interval, and what was left out, each counted; one pass of counts by class."""
+    label, verdict = F.col("label"), F.col("verdict")
+    both = label.isin(*codes.VERDICTS) & verdict.isNotNull()
+    sides = [F.count_if(both & (side == c)).alias(f"_{name}{k}") for k, c in enumerate(codes.VERDICTS) for name, side in (("label", label), ("verdict", verdict))]
+    one = rows.agg(
+        F.count_if(both).alias("n"),
+        F.count_if(both & (label == verdict)).alias("agree"),
+        *sides,
+        F.count_if(label == "UNAUDITABLE").alias("unauditable"),
+        F.count_if(label == "UNDECIDABLE").alias("undecidable"),
+        F.count_if(label.isin(*codes.VERDICTS) & verdict.isNull()).alias("unmatched"),
     )
-    one = total.crossJoin(chance).crossJoin(out)  # three tables of one row each
-    value, low, high = kappa(F.col("n"), F.col("agree"), F.col("chance"))
+    chance = sum((F.col(f"_label{k}") * F.col(f"_verdict{k}") for k in range(len(codes.VERDICTS))), F.lit(0))
+    value, low, high = kappa(F.col("n"), F.col("agree"), chance)
     return one.select("n", "agree", F.round(value, 10).alias("kappa"), F.round(low, 10).alias("lo"), F.round(high, 10).alias("hi"), "unauditable", "undecidable", "unmatched")
 
 
@@ -59,6 +60,18 @@ def attribution(rows: DataFrame) -> DataFrame:
     return wrong.agg(F.count(F.lit(1)).alias("disagreements"), F.count_if(F.col("extraction_missed").isNotNull()).alias("checked"), F.count_if(F.coalesce(F.col("extraction_missed"), F.lit(False))).alias("attributable"))
 
 
+def without_attributable(rows: DataFrame) -> DataFrame:
+    """The rows without the disagreements that are the extractor's: what the judge itself is measured on."""
+    return rows.where("NOT coalesce(label != verdict AND extraction_missed, FALSE)")
+
+
+def in_time(labels: DataFrame, started_at: str) -> DataFrame:
+    """The labels, or an error at the first blind one written after the judge's run began: it isn't blind."""
+    late = F.col("blind") & (F.coalesce("labelled_at", F.lit("")) > started_at)
+    why = F.concat(F.lit("blind label written after the judge's run: "), F.col("claim_id").cast("string"))
+    return labels.withColumn("blind", F.when(late, F.raise_error(why).cast("boolean")).otherwise(F.col("blind")))
+
+
 def coverage(spark: SparkSession, labels: DataFrame) -> DataFrame:
     """Labels per class, classes without any included."""
     every = spark.createDataFrame([(x,) for x in codes.LABELS], "label string")

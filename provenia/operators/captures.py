@@ -54,10 +54,11 @@ def eligible(runs: DataFrame) -> DataFrame:
     return runs.where((F.coalesce("error", F.lit("")) == "") & (F.col("binding") == "") & F.col("rated") & ~F.col("product").isin(*codes.CONFLICTED_PRODUCTS) & (F.col("origin") != "api"))
 
 
-def auditable_denominator(fetched: DataFrame, *keys: str) -> DataFrame:
-    """Sources that could be read, with the contract that no other kind is counted."""
-    n = fetched.groupBy(*keys).agg(F.count_if(F.col("source_code") == codes.SOURCE_OK).alias("auditable"), F.count(F.lit(1)).alias("sources"))
-    return n.where(F.assert_true(F.col("auditable") <= F.col("sources")).isNull())
+def auditable_denominator(fetched: DataFrame, *keys: str, claim: str = "auditable") -> DataFrame:
+    """(keys, auditable, sources): sources that say they could be read. A source of another code that says so is an error."""
+    wrong = F.col(claim) & (F.col("source_code") != codes.SOURCE_OK)
+    said = F.when(wrong, F.raise_error(F.concat(F.lit("counted as auditable: "), F.col("source_code")))).otherwise(F.col(claim))
+    return fetched.groupBy(*keys).agg(F.count_if(said.cast("boolean")).alias("auditable"), F.count(F.lit(1)).alias("sources"))
 
 
 def captures_from_replies(replies: DataFrame) -> DataFrame:

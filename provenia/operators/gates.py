@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +83,11 @@ def freeze_diff(manifest: DataFrame, disk: DataFrame, keys: list[str]) -> DataFr
     return rows.withColumn("change", change).where("change IS NOT NULL").select(*keys, "change")
 
 
+def frozen(manifest: DataFrame, disk: DataFrame) -> DataFrame:
+    """(file, query_id) of the queries both frozen and on disk, each in its own file."""
+    return manifest.select("file", "query_id").intersect(disk.select("file", "query_id"))
+
+
 def bind(captures: DataFrame, frozen: DataFrame, on_disk: DataFrame) -> DataFrame:
     """(capture, query_id, binding): '' when frozen, else which of the three ways it isn't."""
     f = frozen.select("query_id", F.lit(True).alias("_frozen")).distinct()
@@ -92,6 +97,50 @@ def bind(captures: DataFrame, frozen: DataFrame, on_disk: DataFrame) -> DataFram
     return rows.select("capture", "query_id", code.alias("binding"))
 
 
+#: Fixed values of the query sets: what a query has to have, may have and may never have.
+REQUIRED = ("id", "domain", "text", "cost_of_error", "provenance")
+OPTIONAL = ("scrub_notes", "asked_approx")
+FORBIDDEN = ("expected", "predicted", "verdict", "gold", "score", "confidence", "hypothesis")
+STATUSES = ("draft", "ready")
+PROVENANCES = ("synthetic", "real_scrubbed")
+LEAST_TEXT, LEAST_COST = 25, 60
+
+
+def query_violations(queries: DataFrame) -> DataFrame:
+    """(file, id, rule) for each rule of the query sets that a query breaks.
+
+    queries: file, status, provenance_policy, id_prefix, domains (array), keys (array of the names a query gives), and
+    id, domain, text, cost_of_error, provenance, scrub_notes, asked_approx. A query that lacks a required key is judged
+    by its keys alone. An id that several queries have breaks its rule in all but the first by (file, place).
+    """
+    keys, words = F.col("keys"), lambda c: F.length(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    listed = lambda values: F.array(*[F.lit(v) for v in values])
+    lacking = F.size(F.array_except(listed(REQUIRED), keys)) > 0
+    real = F.col("provenance") == "real_scrubbed"
+    first = F.row_number().over(Window.partitionBy("id").orderBy("file", "place")) == 1
+    whole = {
+        "unknown key": F.size(F.array_except(keys, listed(REQUIRED + OPTIONAL))) > 0,
+        "duplicate id": ~F.col("_first"),
+        "id without its prefix": ~F.startswith(F.col("id"), F.concat("id_prefix", F.lit("-"))),
+        "domain not declared": ~F.array_contains("domains", F.col("domain")),
+        "text too short": words(F.col("text")) < LEAST_TEXT,
+        "cost of error too short": words(F.col("cost_of_error")) < LEAST_COST,
+        "provenance unknown": ~F.col("provenance").isin(*PROVENANCES),
+        "provenance against policy": F.col("provenance").isin(*PROVENANCES) & (F.col("provenance") != F.col("provenance_policy")),
+        "no scrub notes": real & (words(F.col("scrub_notes")) == 0),
+        "no approximate wording": real & (words(F.col("asked_approx")) == 0),
+        "synthetic with scrub notes": ~real & (F.coalesce("scrub_notes", F.lit("")) != ""),
+    }
+    rules = {
+        "status unknown": ~F.col("status").isin(*STATUSES),
+        "policy unknown": ~F.col("provenance_policy").isin(*PROVENANCES),
+        "forbidden key": F.exists(keys, lambda k: F.lower(k).rlike("|".join(FORBIDDEN))),
+        "required key missing": lacking,
+    } | {name: ~lacking & broken for name, broken in whole.items()}
+    broken = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]), lambda x: x.isNotNull())
+    return queries.withColumn("_first", first).select("file", "id", F.explode(broken).alias("rule"))
+
+
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, rule) for each rule that a row breaks."""
     broken = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]), lambda x: x.isNotNull())

@@ -44,8 +44,12 @@ def stratified_sample(pool: DataFrame, buckets: list[str], key: str, target: int
 
 
 def resume_sample(pool: DataFrame, done: DataFrame, buckets: list[str], key: str, target: int, seed: int) -> DataFrame:
-    """The same sample without the rows that are done, filled up from the following rounds."""
-    return stratified_sample(pool, buckets, key, target, seed).join(done.select(key), key, "left_anti")
+    """What is still to be done for ``target`` rows in all: as many rows more are drawn as are done, those done are left
+    out, and the first of the rest fill the sample up."""
+    done = done.select(key).distinct()
+    n = done.count()
+    rest = stratified_sample(pool, buckets, key, target + n, seed).join(done, key, "left_anti")
+    return rest.orderBy("round", *buckets).limit(max(0, target - n))
 
 
 def latest(entries: DataFrame, key: str, *order: str) -> DataFrame:

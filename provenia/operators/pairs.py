@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from provenia import codes
 from provenia.functions.stats import rate_columns
+from provenia.functions.text import registrable_domain
 from provenia.operators.ordering import keep_first, keep_last
 
 
@@ -129,6 +130,36 @@ def by_domain(pairs: DataFrame, domain: str, reasons: Column | None = None, floo
     return rated.select("domain", "pairs", "standing", "unauditable", "hits", *shown, F.coalesce("refused", F.lit("")).alias("refused")).orderBy(F.desc("pairs"), "domain")
 
 
+def domain_maps(pairs: DataFrame, url: str = "url") -> DataFrame:
+    """(domain, verdicts, reasons) by the registrable domain of the address: how many standing pairs of each verdict, and
+    how many others of each reason (void reason, else source code, else 'not judged'). Both maps have closed key sets,
+    but for a refusal's own words."""
+    domain = F.coalesce(F.nullif(registrable_domain(F.col(url)), F.lit("")), F.lit("(no domain)"))
+    reason = F.coalesce(F.nullif("void_reason", F.lit("")), F.when(~auditable(), F.nullif("source_code", F.lit(""))), F.lit("not judged"))
+    n = pairs.groupBy(domain.alias("domain"), standing().alias("_stands"), F.when(standing(), F.col("verdict")).otherwise(reason).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    held = lambda stands: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_stands") == stands, F.struct("_key", "_n")))))
+    return n.groupBy("domain").agg(held(True).alias("verdicts"), held(False).alias("reasons"))
+
+
+def report_counts(pairs: DataFrame, claims: DataFrame, *keys: str) -> DataFrame:
+    """(keys, claims, unlocatable, pairs, standing, unauditable, multi_source_claims, partial_without_qualifiers) of a report.
+
+    claims: keys, claim_id, located. pairs: keys, claim_id, url and the pair's columns, with ``qualifiers`` (array).
+    """
+    bare = standing() & (F.col("verdict") == "PARTIALLY_SUPPORTED") & (F.coalesce(F.size("qualifiers"), F.lit(0)) <= 0)
+    each = pairs.groupBy(*keys, "claim_id").agg(F.count(F.lit(1)).alias("_pairs"), F.count_if(standing()).alias("_standing"), F.count_if(bare).alias("_bare"))
+    rows = claims.join(each, [*keys, "claim_id"], "left").fillna(0, ["_pairs", "_standing", "_bare"])
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("claims"),
+        F.count_if(~F.col("located")).alias("unlocatable"),
+        F.sum("_pairs").alias("pairs"),
+        F.sum("_standing").alias("standing"),
+        F.sum(F.col("_pairs") - F.col("_standing")).alias("unauditable"),
+        F.count_if(F.col("_pairs") > 1).alias("multi_source_claims"),
+        F.sum("_bare").alias("partial_without_qualifiers"),
+    )
+
+
 def claim_states(claims: DataFrame, judgements: DataFrame) -> DataFrame:
     """(claim_id, state) as a reader sees it; here a verdict stands whatever the page's code."""
     stands = (F.col("verdict") != "") & ~F.col("voided")
@@ -154,19 +185,30 @@ def published_rates(pairs: DataFrame, calibrated: bool, reason: str = "") -> Dat
     calibrated judge.
     """
     keys = ["answer", "product", "origin"]
-    parts = {"fabricated_span": fabricated_rate, "drift": drift_rate, "unauditable": unauditable_rate, "support": support_rate, "claim_level": claim_level_rate}
-    rows = None
-    for name, rate in parts.items():
-        one = rate(pairs, *keys).select(*keys, F.lit(name).alias("rate"), "hits", "n", "value", "lo", "hi")
-        rows = one if rows is None else rows.unionByName(one)
-    low = insufficient(pairs, "answer").select("answer", "insufficient")
+    need, drift = F.col("verdict").isin(*codes.SPAN_REQUIRED), F.col("drift")
+    sums = {  # hits and n of each rate over pairs; those of claims follow from the two flags
+        "fabricated_span": (need & F.col("voided") & (F.col("void_reason") == codes.FABRICATED), need),
+        "drift": (drift == "PAGE_CHANGED", drift.isin("NONE", "PAGE_CHANGED", "PAGE_REPLACED")),
+        "unauditable": (~standing(), F.lit(True)),
+        "support": (supported(), standing()),
+    }
+    by_claim = pairs.groupBy(*keys, "claim_id").agg(*[F.count_if(c).alias(f"_{k}{i}") for k, x in sums.items() for i, c in enumerate(x)])
+    claim = F.col("_support0") > 0, F.col("_support1") > 0
+    one = by_claim.groupBy(*keys).agg(
+        *[F.sum(f"_{k}{i}").alias(f"_{k}{i}") for k in sums for i in (0, 1)],
+        *[F.count_if(c).alias(f"_claim_level{i}") for i, c in enumerate(claim)],
+        F.count(F.lit(1)).alias("_claims"),
+    )
+    long = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), F.col(f"_{k}0").alias("h"), F.col(f"_{k}1").alias("n")) for k in RATES]))
+    rows = one.select(*keys, (F.col("_claim_level1") * 2 <= F.col("_claims")).alias("insufficient"), long.alias("r"))
+    rows = rows.select(*keys, "insufficient", "r.rate", *rate_columns(F.col("r.h"), F.col("r.n")))
     judged = F.col("rate").isin("support", "claim_level")
     why = (
         F.when(F.col("origin") == "api", codes.UNPUBLISHABLE)
         .when(judged & F.col("insufficient"), codes.INSUFFICIENT)
         .when(judged & F.lit(not calibrated), F.lit(f"{codes.NO_CALIBRATION}: {reason}".rstrip(": ")))
     )
-    rows = rows.join(low, "answer").withColumn("withheld", why)
+    rows = rows.withColumn("withheld", why)
     shown = [F.when(F.col("withheld").isNull(), F.col(c)).alias(c) for c in ("value", "lo", "hi")]
     return rows.select(*keys, "rate", "hits", "n", *shown, F.coalesce("withheld", F.lit("")).alias("withheld"))
 

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia import codes
+from provenia.functions import parse
 from provenia.operators.gates import publishable
 from provenia.operators.ordering import keep_last
+from provenia.session import importable
 
 CAPTURE = (
     "query_id string, product string, model_id string, generated_at string, captured_at string, source string, answer_text string, "
@@ -31,10 +33,48 @@ CACHE = "url string, status int, headers map<string, string>, fetched_at string,
 LEDGER = "at string, capture string, status string, outcome string, attempts int, answer_sha256 string, detail string"
 
 
-def _checked(df: DataFrame, stored: str, own: Column, what: str) -> DataFrame:
-    """The rows, or an error at the first whose stored digest isn't that of its content; no digest is no claim."""
-    bad = F.col(stored).isNotNull() & (F.col(stored) != "") & (F.col(stored) != own)
-    return df.withColumn(stored, F.when(bad, F.raise_error(F.concat(F.lit(f"{what}: digest differs from content: "), F.col(stored)))).otherwise(own))
+def _checked(df: DataFrame, stored: str, own: Column, what: str, written: Column | None = None) -> DataFrame:
+    """The rows, or an error at the first whose stored digest is neither of its content's; no digest is no claim.
+
+    A content has a digest of this library's own and, in some kinds, that of its JSON text as it is stored (``written``).
+    """
+    given = F.col(stored).isNotNull() & (F.col(stored) != "")
+    bad = given & (F.col(stored) != own) & (F.lit(True) if written is None else F.col(stored) != written)
+    return df.withColumn(stored, F.when(bad, F.raise_error(F.concat(F.lit(f"{what}: digest differs from content: "), F.col(stored)))).when(given, F.col(stored)).otherwise(own))
+
+
+def quoted(text: Column) -> Column:
+    """A string as JSON text: backslash, quotation mark and control characters escaped, all else as it is."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    plain = out
+    for n in range(32):
+        out = F.replace(out, F.lit(chr(n)), F.lit(json.dumps(chr(n))[1:-1]))
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), out).otherwise(plain), F.lit('"'))
+
+
+def _json(value: Column, kind: str) -> Column:
+    if kind == "boolean":
+        return F.coalesce(value.cast("string"), F.lit("null"))
+    return F.coalesce(quoted(value), F.lit("null"))
+
+
+def split_digest_written(claims: Column) -> Column:
+    """Digest of the claims' JSON text as stored splits have it: keys in order, a blank after colons and commas."""
+    one = lambda c: F.concat(F.lit('{"markers": ['), F.array_join(F.transform(c["markers"], quoted), ", "), F.lit('], "text": '), quoted(c["text"]), F.lit("}"))
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(claims, one), ", "), F.lit("]")), 256)
+
+
+LABEL_FIELDS = {"blind": "boolean", "claim_id": "string", "extraction_missed": "boolean", "human_span": "string", "label": "string", "labelled_at": "string", "labeller": "string", "notes": "string", "url": "string"}
+
+
+def labels_digest_written(labels: Column) -> Column:
+    """Digest of a set of labels as stored gold sets have it: each label's JSON text, sorted, as a list of strings.
+
+    A field that a file leaves out has its default: blind true, the other texts empty.
+    """
+    default = lambda x, name: F.coalesce(x[name], F.lit(True)) if name == "blind" else x[name] if name == "extraction_missed" else F.coalesce(x[name], F.lit(""))
+    one = lambda x: F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), _json(default(x, n), k)) for n, k in LABEL_FIELDS.items()]), F.lit("}"))
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.transform(labels, one)), quoted), ", "), F.lit("]")), 256)
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +96,7 @@ def split_digest(claims: Column) -> Column:
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema(SPLIT).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.split.json").json(path)
-    return _checked(df, "split_sha256", split_digest(F.col("claims")), "split")
+    return _checked(df, "split_sha256", split_digest(F.col("claims")), "split", split_digest_written(F.col("claims")))
 
 
 def bind_split(captures: DataFrame, splits: DataFrame, claim_prompt: str) -> DataFrame:
@@ -66,6 +106,16 @@ def bind_split(captures: DataFrame, splits: DataFrame, claim_prompt: str) -> Dat
     return rows.select("answer_sha256", (why == "").alias("bound"), why.alias("why"))
 
 
+def claims_of(captures: DataFrame, splits: DataFrame, claim_prompt: str) -> tuple[DataFrame, DataFrame]:
+    """(claims by stored split, captures that a splitter has to split): a capture whose stored split was made under
+    another claim prompt is an error, never split afresh."""
+    rows = captures.join(splits.select("answer_sha256", F.col("claim_prompt_version").alias("_prompt"), "claims").dropDuplicates(["answer_sha256"]), "answer_sha256", "left")
+    other = F.concat(F.lit("split by another claim prompt: "), F.col("answer_sha256"))
+    stored = rows.where("_prompt IS NOT NULL").withColumn("claims", F.when(F.col("_prompt") != claim_prompt, F.raise_error(other).cast(rows.schema["claims"].dataType)).otherwise(F.col("claims")))
+    claims = stored.select("answer_sha256", F.posexplode("claims").alias("pos", "c")).select("answer_sha256", "pos", "c.text", "c.markers")
+    return claims, rows.where("_prompt IS NULL").select(*captures.columns)
+
+
 def labels_digest(labels: Column) -> Column:
     """Digest of a set of labels, whatever their order."""
     return F.sha2(F.array_join(F.array_sort(F.transform(labels, lambda x: F.sha2(F.to_json(x), 256))), ","), 256)
@@ -77,7 +127,7 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     df = df.withColumn("split_sha256s", F.coalesce("split_sha256s", F.array("split_sha256"))).drop("split_sha256")
     odd = F.filter("labels", lambda x: ~x["label"].isin(*codes.LABELS))
     df = df.withColumn("labels", F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unknown label: "), odd[0]["label"]))).otherwise(F.col("labels")))
-    return _checked(df, "labels_sha256", labels_digest(F.col("labels")), "gold set")
+    return _checked(df, "labels_sha256", labels_digest(F.col("labels")), "gold set", labels_digest_written(F.col("labels")))
 
 
 def read_strata(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,14 +192,25 @@ VERDICT_KEYS = ("verdict", "verdicts", "judgement", "judgements", "span_verified
 
 
 def prior_artefacts(spark: SparkSession, answers: DataFrame, roots: list[str]) -> DataFrame:
-    """(path, answer_sha256, key): files under the roots that name an answer and carry a verdict.
+    """(path, answer_sha256, key, outcome): files under the roots that name an answer and carry a verdict, or can't be read.
 
-    Bytes are tested for the answers' hashes first (answers of one session: a short list); only hits are parsed.
+    The hashes that a file names are joined to those of the answers; only files that hit are parsed. outcome: 'prior'
+    with the verdict's key, or 'not checked' where the file isn't readable JSON, nor a page that holds some.
     """
+    importable(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,html}").load(roots).select("path", F.decode("content", "utf-8").alias("text"))
-    hits = files.join(answers.select("answer_sha256").distinct(), F.contains(F.col("text"), F.col("answer_sha256")))
-    keys = F.filter(F.array(*[F.lit(k) for k in VERDICT_KEYS]), lambda k: F.regexp_like(F.col("text"), F.concat(F.lit('"'), k, F.lit(r'"\s*:\s*("[^"]|\{|\[\s*[^\]\s]|true|[1-9])'))))
-    return hits.select("path", "answer_sha256", F.coalesce(F.get(keys, F.lit(0)), F.lit("")).alias("key")).where("key != ''")
+    named = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?<![0-9a-f])([0-9a-f]{64})(?![0-9a-f])"), F.lit(1)))).alias("answer_sha256"))
+    hits = named.join(answers.select("answer_sha256").distinct(), "answer_sha256")
+    read = files.join(hits.select("path").distinct(), "path").select("path", parse.first_key_in(VERDICT_KEYS)("text").alias("key"))
+    found = hits.join(read, "path").select("path", "answer_sha256", F.coalesce("key", F.lit("")).alias("key"), F.when(F.col("key").isNull(), "not checked").otherwise("prior").alias("outcome"))
+    return found.where("key != '' OR outcome = 'not checked'")
+
+
+def blind_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, key): files that a labeller may not be given, for a judge's key is present in them, whatever its value."""
+    importable(spark)
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    return files.select(F.input_file_name().alias("path"), parse.first_key_in(VERDICT_KEYS, truthy=False)("value").alias("key")).where("key != ''")
 
 
 def write_run(rates: DataFrame, folder: str, readout: str = "") -> None:

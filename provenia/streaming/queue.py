@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from provenia.operators.ordering import keep_first, keep_last
 FILES_PER_BATCH = 5
 ATTEMPTS = 3
 CAPTURE = "query_id string, answer_text string"
-LEDGER = "answer_sha256 string, capture string, batch long, status string, attempts int"
+LEDGER = "answer_sha256 string, capture string, status string, attempts int, batch long"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,28 +29,54 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def watch(spark: SparkSession, captures: str, ledger: str, checkpoint: str, audit: Callable[[DataFrame], DataFrame]):
-    """Starts the stream. ``audit`` maps captures to (answer_sha256, status); the ledger is append-only and its last
-    row for an answer counts. A batch that runs again appends the same batch number and is counted once."""
+    """Starts the stream. ``audit`` maps captures to (answer_sha256, status); the last entry of an answer in the ledger counts."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        hashed = rows.withColumn("answer_sha256", F.sha2("answer_text", 256))
-        done = last_entries(spark, ledger)
-        todo = keep_first(hashed, ["answer_sha256"], ["query_id"]).join(done, "answer_sha256", "left").where(f"status IS NULL OR (status != 'ok' AND attempts < {ATTEMPTS})")
-        named = todo.select("answer_sha256", F.col("query_id").alias("capture"), F.coalesce("attempts", F.lit(0)).alias("before"))
-        result = named.join(audit(todo), "answer_sha256", "left")
-        entry = result.select("answer_sha256", "capture", F.lit(number).cast("long").alias("batch"), F.coalesce("status", F.lit("failed")).alias("status"), (F.col("before") + 1).cast("int").alias("attempts"))
-        entry.write.mode("append").parquet(ledger)
+        record(rows, ledger, number, audit)
 
     stream = spark.readStream.schema(CAPTURE).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(captures)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_entries(spark: SparkSession, ledger: str) -> DataFrame:
-    """Last status and attempts of each answer in the ledger; an empty or missing ledger has none."""
+def record(rows: DataFrame, ledger: str, number: int, audit: Callable[[DataFrame], DataFrame]) -> None:
+    """Audits the captures that still need it and writes the batch's entries into a folder of their own.
+
+    A batch that runs again sees the entries of earlier batches only and replaces its own, so no attempt counts twice.
+    """
+    spark = rows.sparkSession
+    hashed = rows.withColumn("answer_sha256", F.sha2("answer_text", 256))
+    done = last_entries(spark, ledger, number)
+    todo = keep_first(hashed, ["answer_sha256"], ["query_id"]).join(done, "answer_sha256", "left").where(f"status IS NULL OR (status != 'ok' AND attempts < {ATTEMPTS})")
+    named = todo.select("answer_sha256", F.col("query_id").alias("capture"), F.coalesce("attempts", F.lit(0)).alias("before"))
+    result = named.join(audit(todo), "answer_sha256", "left")
+    entry = result.select("answer_sha256", "capture", F.coalesce("status", F.lit("failed")).alias("status"), (F.col("before") + 1).cast("int").alias("attempts"))
+    entry.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+
+
+def retry(spark: SparkSession, captures: str, ledger: str, audit: Callable[[DataFrame], DataFrame]) -> int:
+    """Audits the failed captures that have attempts left once more; how many there were.
+
+    The stream gives each file once, so these come from the captures joined to the ledger, as batches after its own.
+    """
+    failed = last_entries(spark, ledger).where(f"status != 'ok' AND attempts < {ATTEMPTS}")
+    n = failed.count()
+    if n:
+        number = spark.read.parquet(ledger).agg(F.max("batch")).first()[0] + 1
+        rows = spark.read.schema(CAPTURE).parquet(captures)
+        record(rows.join(failed.select("answer_sha256"), F.sha2("answer_text", 256) == F.col("answer_sha256"), "left_semi"), ledger, number, audit)
+    return n
+
+
+def last_entries(spark: SparkSession, ledger: str, before: int | None = None) -> DataFrame:
+    """Last status and attempts of each answer in the ledger (of batches ``before`` one); a missing ledger has none."""
     try:
         rows = spark.read.schema(LEDGER).parquet(ledger)
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         rows = spark.createDataFrame([], LEDGER)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
     return keep_last(rows, ["answer_sha256"], "batch").select("answer_sha256", "status", "attempts")
 
 
@@ -60,4 +87,6 @@ def drain(captures: DataFrame, audit: Callable[[DataFrame], DataFrame] | None =
     captures.select("query_id", "answer_text").repartition(8, "query_id").write.parquet(f"{folder}/captures")
     ok = audit or (lambda rows: rows.select("answer_sha256", F.lit("ok").alias("status")))
     watch(spark, f"{folder}/captures", f"{folder}/ledger", f"{folder}/checkpoint", ok).awaitTermination()
+    while retry(spark, f"{folder}/captures", f"{folder}/ledger", ok):
+        pass  # ATTEMPTS times at most
     return last_entries(spark, f"{folder}/ledger")

@@ -127,7 +127,7 @@ def test_pdf_two_byte_fonts():
 
 def test_unclosed_furniture_and_tables():
     assert markup.html_text("<div><nav>menu</div><p>lost") == "" and markup.html_text("<div><nav>menu</nav></div></p><p>kept<br>on") == "kept\non"
-    assert markup.html_text("<table><tr><th></th><th>a</th></tr><tr><td>b</td><td>c</td></tr></table>x | y|z") == "a\n\nb | c\n\nx | y|z"
+    assert markup.html_text("<table><tr><th></th><th>a</th></tr><tr><td>b</td><td>c</td></tr></table>x | y|z") == "a\n\nb | c\nx | y|z"
     assert markup.xml_text(b"<rss><link>https://a.example</link><t>b<br/>c</t></rss>") == "https://a.example\nb\nc"
 
 
@@ -180,6 +180,16 @@ def test_json_walks():
     assert parse.json_first_key(payload, ("judged",)) == "" and parse.json_first_key(payload, ("judged",), truthy=False) == "judged"
 
 
+def test_damaged_json_gives_nothing():
+    for bad in ('{"url": ', "", "[" * 100_000):
+        assert parse.json_citations(bad) == [] and parse.json_longest_text(bad) == ("", "") and parse.json_first_key(bad, ("a",)) == ""
+
+
+@pytest.mark.parametrize("text", ["Straße  ΟΔΟΣ", "ﬁve ŉ ǰ", "İstanbul ſ", "plain Text", "ΰ Ꭰ"])
+def test_canonical_is_case_folded(spark, text):
+    assert one(spark, X.canonical(F.col("t")), t=text) == " ".join(text.split()).lower().casefold()
+
+
 def test_units_and_facts(spark):
     text = "Cases rose. \"Why?\" he asked.\nName\t78%\t \n• an item\n3) third\n\n"
     got = [(u.text, u.kind, u.cells) for u in one(spark, X.units(F.col("t")), t=text)]

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenia import codes
-from provenia.operators import agreement, gates, judge, ordering
+from provenia.operators import agreement, captures, gates, judge, ordering
 from provenia.operators import pairs as P
 
 PAIR = "answer string, product string, origin string, claim_id string, url string, source_code string, verdict string, voided boolean, void_reason string, drift string"
@@ -122,6 +122,70 @@ def test_sample_is_seeded_and_round_robin(spark):
     assert [r.id for r in ordering.stratified_sample(pool, ["b"], "id", 8, 2).collect()] != first
 
 
+def test_resumed_sample_is_filled_up(spark):
+    pool = spark.createDataFrame([(i, "big" if i < 90 else "small") for i in range(93)], "id int, b string")
+    first = [r.id for r in ordering.stratified_sample(pool, ["b"], "id", 10, 1).collect()]
+    done = spark.createDataFrame([(i,) for i in first[:4]], "id int")
+    rest = [r.id for r in ordering.resume_sample(pool, done, ["b"], "id", 10, 1).collect()]
+    assert len(rest) == 6 and not set(rest) & set(first[:4]) and set(first[4:]) <= set(rest)
+    assert ordering.resume_sample(pool, pool.limit(12), ["b"], "id", 10, 1).count() == 0
+
+
+def test_auditable_contract(spark):
+    rows = spark.createDataFrame([("a", "SOURCE_OK", True), ("a", "SOURCE_EMPTY", False)], "k string, source_code string, auditable boolean")
+    assert [tuple(r) for r in captures.auditable_denominator(rows, "k").collect()] == [("a", 1, 2)]
+    with pytest.raises(Exception, match="counted as auditable: SOURCE_EMPTY"):
+        captures.auditable_denominator(rows.withColumn("auditable", F.lit(True)), "k").collect()
+
+
+def test_frozen_is_by_file(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "file string, query_id string")
+    assert gates.frozen(rows(("a", "1"), ("a", "2")), rows(("b", "1"), ("a", "2"))).collect() == [("a", "2")]
+
+
+def test_query_rules(spark):
+    full = list(gates.REQUIRED)
+    good = ("f", 1, "ready", "synthetic", "CO", ["d"], full, "CO-1", "d", "x" * 30, "y" * 70, "synthetic", None, None)
+    change = lambda **c: tuple(c.get(n, v) for n, v in zip(names, good))
+    names = "file place status provenance_policy id_prefix domains keys id domain text cost_of_error provenance scrub_notes asked_approx".split()
+    cases = {
+        "": {}, "duplicate id": {"place": 2}, "id without its prefix": {"id": "X-1"}, "domain not declared": {"id": "CO-2", "domain": "e"}, "text too short": {"id": "CO-3", "text": "x  " * 8},
+        "cost of error too short": {"id": "CO-4", "cost_of_error": "y"}, "provenance unknown": {"id": "CO-5", "provenance": "z"}, "unknown key": {"id": "CO-6", "keys": [*full, "other"]},
+        "forbidden key|unknown key": {"id": "CO-7", "keys": [*full, "Expected_answer"]}, "required key missing": {"id": "CO-8", "keys": full[1:], "text": ""},
+        "no approximate wording|no scrub notes|provenance against policy": {"id": "CO-9", "provenance": "real_scrubbed"}, "synthetic with scrub notes": {"id": "CO-10", "scrub_notes": "n"}, "status unknown": {"id": "CO-11", "status": "?"},
+        "policy unknown|provenance against policy": {"id": "CO-12", "provenance_policy": "?"},
+    }
+    rows = spark.createDataFrame([change(**c) for c in cases.values()], "file string, place int, status string, provenance_policy string, id_prefix string, domains array<string>, keys array<string>, id string, domain string, text string, cost_of_error string, provenance string, scrub_notes string, asked_approx string")
+    got = {}
+    for r in gates.query_violations(rows).collect():
+        got.setdefault(r.id, []).append(r.rule)
+    want = {}
+    for rules, c in cases.items():
+        want.setdefault(c.get("id", "CO-1"), []).extend(filter(None, rules.split("|")))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if v}
+
+
+def test_late_labels_and_kappa_without_the_extractors_faults(spark):
+    labels = spark.createDataFrame([("a", "u", "SUPPORTED", True, True, "2026-01-02"), ("b", "u", "SUPPORTED", True, None, "2026-01-01"), ("c", "u", "NOT_FOUND_IN_SOURCE", True, False, "2026-01-01")], "claim_id string, url string, label string, blind boolean, extraction_missed boolean, labelled_at string")
+    judged = spark.createDataFrame([("a", "u", "NOT_FOUND_IN_SOURCE", False), ("b", "u", "SUPPORTED", False), ("c", "u", "NOT_FOUND_IN_SOURCE", False)], "claim_id string, url string, verdict string, voided boolean")
+    rows = agreement.compare(labels, judged)
+    assert agreement.agreement(rows).first().n == 3
+    r = agreement.agreement(agreement.without_attributable(rows)).first()
+    assert (r.n, r.agree, r.kappa) == (2, 2, 1.0)
+    assert agreement.in_time(labels, "2026-01-03").count() == 3
+    with pytest.raises(Exception, match="written after the judge's run: a"):
+        agreement.in_time(labels, "2026-01-01").collect()
+
+
+def test_domain_maps_and_report(frame, spark):
+    rows = frame(pair(url="https://a.b.co.uk/1"), pair(url="https://b.co.uk/2", voided=True, reason=codes.FABRICATED), pair(url="https://b.co.uk/3", code="SOURCE_EMPTY", verdict=""), pair(url="mailto:x", verdict=""))
+    got = {r.domain: (r.verdicts, r.reasons) for r in P.domain_maps(rows).collect()}
+    assert got == {"b.co.uk": ({"SUPPORTED": 1}, {codes.FABRICATED: 1, "SOURCE_EMPTY": 1}), "(no domain)": ({}, {"not judged": 1})}
+    rows = frame(pair(claim="c"), pair(claim="c", url="v", verdict="PARTIALLY_SUPPORTED"), pair(claim="d", verdict="")).withColumn("qualifiers", F.array().cast("array<string>"))
+    claims = spark.createDataFrame([("a", "c", True), ("a", "d", False), ("a", "e", True)], "answer string, claim_id string, located boolean")
+    assert tuple(P.report_counts(rows, claims, "answer").first()) == ("a", 3, 1, 3, 2, 1, 1, 1)
+
+
 def test_pending_queue(spark):
     captures = spark.createDataFrame([("a", "h1", 1), ("b", "h1", 0), ("c", "h2", 2), ("d", "h3", 3), ("e", "h4", 4)], "capture string, answer_sha256 string, mtime int")
     ledger = spark.createDataFrame([("c", "h2", 1, "failed", 3), ("d", "h3", 1, "ok", 1), ("x", "h4", 1, "ok", 1)], "capture string, answer_sha256 string, seq int, status string, attempts int")

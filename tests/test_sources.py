@@ -1,11 +1,12 @@
 import gzip
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from provenia.sources import fetch, stores
-from provenia.streaming.queue import drain
+from provenia.streaming.queue import drain, last_entries, record
 
 PAGE = b"<html><article><p>" + b"Readable words stand here on the page. " * 20 + b"</p></article></html>"
 
@@ -64,12 +65,40 @@ def test_ledger_skips_damage(spark, tmp_path):
 
 
 def test_prior_artefacts(spark, tmp_path):
-    (tmp_path / "r.json").write_text('{"answer_sha256": "abc", "claims": [{"verdict": "SUPPORTED"}]}')
-    (tmp_path / "n.json").write_text('{"answer_sha256": "abc", "verdict": ""}')
-    (tmp_path / "p.html").write_text('<script>{"a":"abc","judged":true}</script>')
-    answers = spark.createDataFrame([("abc",)], "answer_sha256 string")
-    got = {r.path.rsplit("/", 1)[1]: r.key for r in stores.prior_artefacts(spark, answers, [str(tmp_path)]).collect()}
-    assert got == {"r.json": "verdict", "p.html": "judged"}
+    h = "ab" * 32
+    (tmp_path / "r.json").write_text(json.dumps({"answer_sha256": h, "claims": [{"verdict": "SUPPORTED"}]}))
+    (tmp_path / "n.json").write_text(json.dumps({"answer_sha256": h, "verdict": ""}))
+    (tmp_path / "o.json").write_text(json.dumps({"answer_sha256": "cd" * 32, "verdict": "SUPPORTED"}))
+    (tmp_path / "p.html").write_text('<p>"verdict": "x"</p><script>{"a":"%s","judged":true}</script>' % h)
+    (tmp_path / "d.json").write_text('{"answer_sha256": "%s", "verdict"' % h)
+    answers = spark.createDataFrame([(h,)], "answer_sha256 string")
+    got = {r.path.rsplit("/", 1)[1]: (r.key, r.outcome) for r in stores.prior_artefacts(spark, answers, [str(tmp_path)]).collect()}
+    assert got == {"r.json": ("verdict", "prior"), "p.html": ("judged", "prior"), "d.json": ("", "not checked")}
+    assert {r.path.rsplit("/", 1)[1]: r.key for r in stores.blind_inputs(spark, str(tmp_path)).collect()} == {"r.json": "verdict", "n.json": "verdict", "o.json": "verdict"}
+
+
+def test_digests_of_stored_files(spark, tmp_path):
+    claims = [{"text": 'Say "é" \\ \n\x01', "markers": ["[1]", "a, b"]}, {"text": "", "markers": []}]
+    written = hashlib.sha256(json.dumps(claims, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    split = {"answer_sha256": "h", "claim_prompt_version": "c1", "claims": claims, "split_sha256": written}
+    (tmp_path / "a.split.json").write_text(json.dumps(split))
+    splits = stores.read_splits(spark, str(tmp_path))
+    assert splits.first().split_sha256 == written
+    captures = spark.createDataFrame([("h", "x"), ("g", "y")], "answer_sha256 string, answer_text string")
+    claims_, left = stores.claims_of(captures, splits, "c1")
+    assert [(r.pos, r.text) for r in claims_.orderBy("pos").collect()] == [(0, claims[0]["text"]), (1, "")] and [r.answer_sha256 for r in left.collect()] == ["g"]
+    assert {r.answer_sha256: r.why for r in stores.bind_split(captures, splits, "c2").collect()} == {"h": "split by another claim prompt", "g": "no stored split"}
+    with pytest.raises(Exception, match="another claim prompt"):
+        stores.claims_of(captures, splits, "c2")[0].collect()
+    (tmp_path / "a.split.json").write_text(json.dumps(split | {"claims": claims[:1]}))
+    with pytest.raises(Exception, match="digest differs"):
+        stores.read_splits(spark, str(tmp_path)).collect()
+    full = {"claim_id": "c", "url": "u", "label": "SUPPORTED", "labelled_at": "t", "labeller": "", "blind": True, "notes": 'a "b"', "human_span": "é", "extraction_missed": None}
+    labels = [full, full | {"claim_id": "b", "blind": False, "extraction_missed": True}]
+    digest = hashlib.sha256(json.dumps(sorted(json.dumps(x, ensure_ascii=False, sort_keys=True) for x in labels), ensure_ascii=False).encode()).hexdigest()
+    (tmp_path / "gold").mkdir()
+    (tmp_path / "gold/g.json").write_text(json.dumps({"split_sha256s": ["s"], "labels": labels, "labels_sha256": digest}))
+    assert stores.read_gold(spark, str(tmp_path / "gold")).first().labels_sha256 == digest
 
 
 def test_report(spark):
@@ -129,6 +158,25 @@ def test_nearest_snapshot(spark):
     assert url == "https://x/web/20240101000000id_/https://y/web/1"
 
 
+def test_failed_captures_are_tried_three_times(spark):
+    captures = spark.createDataFrame([(f"q{i}", f"answer {i}") for i in range(6)], "query_id string, answer_text string")
+
+    def audit(rows):
+        late = F.endswith(F.col("answer_text"), F.lit("1")) & (F.coalesce("attempts", F.lit(0)) == 1)
+        return rows.select("answer_sha256", F.when(late | F.col("answer_text").rlike("[2345]"), "ok").otherwise("failed").alias("status"))
+
+    got = {r.attempts: r.status for r in drain(captures, audit).collect()}
+    assert sorted(got.items()) == [(1, "ok"), (2, "ok"), (3, "failed")]
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "a")], "query_id string, answer_text string")
+    fail = lambda x: x.select("answer_sha256", F.lit("failed").alias("status"))
+    for number in (0, 1, 1):
+        record(rows, str(tmp_path / "ledger"), number, fail)
+    assert last_entries(spark, str(tmp_path / "ledger")).first().attempts == 2
+
+
 def test_queue_drains_each_answer_once(spark):
     captures = spark.createDataFrame([(f"q{i}", f"answer {i % 7}") for i in range(20)], "query_id string, answer_text string")
     got = drain(captures).collect()
