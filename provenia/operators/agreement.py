@@ -62,7 +62,8 @@ def attribution(rows: DataFrame) -> DataFrame:
 
 def without_attributable(rows: DataFrame) -> DataFrame:
     """The rows without the disagreements that are the extractor's: what the judge itself is measured on."""
-    return rows.where("NOT coalesce(label != verdict AND extraction_missed, FALSE)")
+    fault = F.col("label").isin(*codes.VERDICTS) & (F.col("label") != F.col("verdict")) & F.col("extraction_missed")
+    return rows.where(~F.coalesce(fault, F.lit(False)))
 
 
 def in_time(labels: DataFrame, started_at: str) -> DataFrame:

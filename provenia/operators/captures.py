@@ -117,6 +117,51 @@ def fidelity(dom: DataFrame, api: DataFrame) -> DataFrame:
     return rows.withColumn("caveat", F.when(F.col("jaccard") < 0.3, "two different answers").otherwise(""))
 
 
+def parity(live: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """(key, only_in): what one of two readings of the same answer has and the other hasn't; nothing where they agree."""
+    one, two = (df.select(key).distinct().withColumn(f"_{name}", F.lit(True)) for name, df in (("live", live), ("stored", stored)))
+    return one.join(two, key, "full").where("_live IS NULL OR _stored IS NULL").select(key, F.when(F.col("_live"), "live").otherwise("stored").alias("only_in"))
+
+
+def match_works(mentions: DataFrame, works: DataFrame) -> DataFrame:
+    """(mention, candidates, outcome) of named works against a catalogue of works.
+
+    mentions: mention, doi, author, year. works: work, doi, author, year. A mention with a DOI is found by it or not at
+    all; any other by its author, an equal key, and a year at most one off, a range on top of it.
+    """
+    w = works.select(F.col("work").alias("_work"), F.col("doi").alias("_doi"), F.col("author").alias("_author"), F.col("year").alias("_year"))
+    direct = mentions.where("doi IS NOT NULL").join(w, F.col("doi") == F.col("_doi"), "left")
+    named = mentions.where("doi IS NULL").join(w, (F.col("author") == F.col("_author")) & (F.abs(F.col("year") - F.col("_year")) <= 1), "left")
+    n = direct.select("mention", "_work").unionByName(named.select("mention", "_work")).groupBy("mention").agg(F.count("_work").alias("candidates"))
+    return n.select("mention", "candidates", F.when(F.col("candidates") == 0, "NOT_FOUND").when(F.col("candidates") == 1, "FOUND").otherwise("AMBIGUOUS").alias("outcome"))
+
+
+def skip_report(blocks: DataFrame, *keys: str, examples: int = 5) -> DataFrame:
+    """What a split skipped, in blocks and in units, one row per key: counts, both rates, whole tables and their cells,
+    furniture, factual units (a floor on what was never checked) and the first of them.
+
+    blocks: keys, pos, text, skipped. A claim without any unit counts as one.
+    """
+    u = F.col("_units")
+    rows = blocks.withColumn("_units", X.units(F.col("text")))
+    table = F.exists(u, lambda x: x["kind"] == "row")
+    cells = F.aggregate(F.filter(u, lambda x: x["kind"] == "row"), F.lit(0).cast("long"), lambda a, x: a + x["cells"])
+    told = F.transform(F.filter(u, lambda x: X.looks_factual(x["text"])), lambda x: F.substring(X.blanks(x["text"]), 1, 200))
+    rows = rows.select(*keys, "pos", "skipped", F.size(u).alias("_n"), table.alias("_table"), cells.alias("_cells"), F.size(F.filter(u, lambda x: X.is_furniture(x["text"]))).alias("_furniture"), told.alias("_told"))
+    gone = F.col("skipped")
+    only = lambda c: F.sum(F.when(gone, c).otherwise(0)).cast("long")
+    n = rows.groupBy(*keys).agg(
+        F.count_if(gone).alias("skipped_blocks"), F.count_if(~gone).alias("claim_blocks"),
+        only(F.col("_n")).alias("skipped_units"), F.sum(F.when(~gone, F.greatest("_n", F.lit(1))).otherwise(0)).cast("long").alias("claim_units"),
+        F.count_if(gone & F.col("_table")).alias("tables"), only(F.col("_cells")).alias("skipped_cells"),
+        only(F.col("_furniture")).alias("furniture"), only(F.size("_told")).alias("factual"),
+        F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(gone & (F.size("_told") > 0), F.struct("pos", F.slice("_told", 1, examples).alias("t"))))), lambda x: x["t"])), 1, examples).alias("examples"),
+    )
+    rate = lambda a, b: F.when(a + b > 0, F.round(a / (a + b), 10))
+    c = F.col
+    return n.withColumns({"block_rate": rate(c("skipped_blocks"), c("claim_blocks")), "unit_rate": rate(c("skipped_units"), c("claim_units"))})
+
+
 def assess(attempts: DataFrame) -> DataFrame:
     """Adversarial documents: whether what was declared before the run came true. attempts: id, holds_if (a code or verdict), source_code, verdict, voided."""
     seen = F.when(F.col("source_code") != codes.SOURCE_OK, F.col("source_code")).when(F.col("voided"), "VOID").otherwise(F.col("verdict"))

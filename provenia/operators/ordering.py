@@ -52,6 +52,11 @@ def resume_sample(pool: DataFrame, done: DataFrame, buckets: list[str], key: str
     return rest.orderBy("round", *buckets).limit(max(0, target - n))
 
 
+def entries(cache: DataFrame, key: str) -> DataFrame:
+    """(key, entries): how many stored versions there are of each."""
+    return cache.groupBy(key).agg(F.count(F.lit(1)).alias("entries"))
+
+
 def latest(entries: DataFrame, key: str, *order: str) -> DataFrame:
     """Newest entry of a key. A second entry within the same second is ordered by its sequence number."""
     return keep_last(entries, [key], *order)

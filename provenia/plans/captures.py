@@ -52,12 +52,12 @@ def eligible_runs(spark, d):
 
 @query(f"WITH {PAIRS_SQL} SELECT product, count(*) FILTER (source_code = 'SOURCE_OK') AS auditable, count(*) AS sources FROM p GROUP BY product")
 def auditable_denominator(spark, d):
-    return C.auditable_denominator(pairs(spark, d), "product")
+    return C.auditable_denominator(pairs(spark, d).withColumn("auditable", P.auditable()), "product")
 
 
-@query("SELECT o_orderkey AS capture, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 4 = 1 AND o_custkey = o_custkey % 50 THEN o_custkey % 50 WHEN o_orderkey % 4 = 1 THEN o_custkey ELSE o_custkey % 50 END AS query_id, o_orderkey % 4 = 1 AND o_custkey <> o_custkey % 50 AS refused FROM orders WHERE o_orderkey % 4 < 2")
+@query("SELECT o_orderkey AS capture, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 4 = 1 AND o_custkey = o_custkey % 50 THEN o_custkey % 50 WHEN o_orderkey % 4 = 1 THEN o_custkey ELSE o_custkey % 50 END AS query_id, o_orderkey % 4 = 1 AND o_custkey <> o_custkey % 50 AS refused FROM orders")
 def rebind_captures(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 4 < 2")
+    o = table(spark, d, "orders")
     held = F.when(F.col("o_orderkey") % 4 == 1, F.col("o_custkey").cast("string")).otherwise("")
     captures = o.select(F.col("o_orderkey").alias("capture"), held.alias("query_id"), F.array().cast("array<string>").alias("history"))
     wanted = o.select(F.col("o_orderkey").alias("capture"), (F.col("o_custkey") % 50).cast("string").alias("query_id"))
@@ -70,37 +70,60 @@ def named_report(spark, d):
     return C.named_report(c.where("turn % 2 = 0"), c.where("turn > 2"))
 
 
-@query("SELECT conv_id AS answer, 1::BIGINT AS shared, 1::BIGINT AS api_only, 1::BIGINT AS dom_only, CASE WHEN conv_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS contained, CASE WHEN conv_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS jaccard, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'two different answers' END AS caveat FROM conversations WHERE turn = 1 AND length(text) > 20")
+@query("SELECT conv_id * 1000 + turn AS answer, 1::BIGINT AS shared, 1::BIGINT AS api_only, 1::BIGINT AS dom_only, CASE WHEN (conv_id * 1000 + turn) % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS contained, CASE WHEN (conv_id * 1000 + turn) % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS jaccard, CASE WHEN (conv_id * 1000 + turn) % 2 = 0 THEN '' ELSE 'two different answers' END AS caveat FROM conversations")
 def answer_fidelity(spark, d):
-    t = table(spark, d, "conversations").where("turn = 1 AND length(text) > 20").select(F.col("conv_id").alias("answer"), "text")
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer"), "text")
     dom = t.select("answer", F.array(F.lit("a"), F.lit("b")).alias("urls"), "text")
     api = t.select("answer", F.array(F.lit("b"), F.lit("c")).alias("urls"), F.when(F.col("answer") % 2 == 0, F.col("text")).otherwise("nothing of the kind was said here at all").alias("text"))
     return C.fidelity(dom, api)
 
 
-@query("SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'SOURCE_EMPTY' WHEN 1 THEN 'VOID' WHEN 2 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS observed, event_id % 4 = 2 AS holds FROM events WHERE event_id < 400")
+@query("SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'SOURCE_EMPTY' WHEN 1 THEN 'VOID' WHEN 2 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS observed, event_id % 4 = 2 AS holds FROM events")
 def adversarial_assessment(spark, d):
     i = F.col("event_id")
-    rows = table(spark, d, "events").where("event_id < 400").select(i.alias("id"), F.lit("SUPPORTED").alias("holds_if"), F.when(i % 4 == 0, "SOURCE_EMPTY").otherwise(codes.SOURCE_OK).alias("source_code"), F.when(i % 4 == 3, "CONTRADICTED").otherwise("SUPPORTED").alias("verdict"), (i % 4 == 1).alias("voided"))
+    rows = table(spark, d, "events").select(i.alias("id"), F.lit("SUPPORTED").alias("holds_if"), F.when(i % 4 == 0, "SOURCE_EMPTY").otherwise(codes.SOURCE_OK).alias("source_code"), F.when(i % 4 == 3, "CONTRADICTED").otherwise("SUPPORTED").alias("verdict"), (i % 4 == 1).alias("voided"))
     return C.assess(rows)
 
 
-NAMED_WORKS = [(1, "LeClair et al., 2022"), (2, "Journal of Things, 1998"), (3, "no name here"), (4, "doi 10.1000/ab.c; Smith")]
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'okafor' WHEN 1 THEN 'annals' WHEN 2 THEN '' ELSE lower(c_mktsegment[1]) || 'arlow' END AS surname,
+ CAST(CASE c_custkey % 4 WHEN 0 THEN 1950 + c_custkey % 70 WHEN 1 THEN 2000 + c_custkey % 25 END AS INT) AS year, CASE WHEN c_custkey % 4 = 3 THEN '10.5555/c' || c_custkey END AS doi FROM customer""")
+def work_predicates(spark, d):
+    """Customers as works named in prose: by first author, by journal, by nothing, by DOI."""
+    k, t = F.col("c_custkey"), F.col("t")
+    forms = [
+        F.concat(F.lit("as Okafor et al. wrote, in "), (k % 70 + 1950).cast("string")),
+        F.concat(F.lit("the Annals of it, "), (k % 25 + 2000).cast("string"), F.lit(" and 2031")),
+        F.concat(F.lit("no one in "), (k % 1000 + 3000).cast("string")),
+        F.concat(F.lit("doi 10.5555/c"), k.cast("string"), F.lit("; "), F.substring("c_mktsegment", 1, 1), F.lit("arlow")),
+    ]
+    rows = table(spark, d, "customer").select(k.alias("id"), F.element_at(F.array(*forms), (k % 4 + 1).cast("int")).alias("t"))
+    return rows.select("id", X.surname_of(t).alias("surname"), X.year_of(t).alias("year"), X.doi_of(t).alias("doi"))
+
+
+@query("SELECT page_id AS reply, 'api' AS source, 'Said of page ' || page_id AS answer_text, '$.output[0].text' AS answer_path, CAST(CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS INT) AS n FROM pages")
+def captures_from_replies(spark, d):
+    """Stored interface replies as captures; each cites a page, and every third another one."""
+    from provenia.plans.documents import replies
 
+    rows = C.captures_from_replies(replies(spark, d))
+    return rows.select("reply", "source", "answer_text", "answer_path", F.size("citations").alias("n"))
 
-@query("SELECT * FROM (VALUES (1, 'leclair', 2022, NULL), (2, 'journal', 1998, NULL), (3, '', NULL, NULL), (4, 'smith', NULL, '10.1000/ab.c')) v(id, surname, year, doi)")
-def work_predicates(spark, d):
-    t = F.col("t")
-    return spark.createDataFrame(NAMED_WORKS, "id int, t string").select("id", X.surname_of(t).alias("surname"), X.year_of(t).alias("year"), X.doi_of(t).alias("doi"))
 
+SKIP_SQL = """
+WITH a AS (SELECT conv_id, turn, text, turn % 3 = 1 AS skipped FROM conversations),
+u AS (SELECT conv_id, turn, skipped, unnest(list_filter(string_split(regexp_replace(text, '([.!?])\\s+([A-Z("''“])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s) <> '')) AS s FROM (SELECT conv_id, turn, skipped, trim(unnest(string_split(text, chr(10)))) AS text FROM a)),
+n AS (SELECT conv_id, turn, any_value(skipped) AS skipped, count(*) AS n FROM u GROUP BY ALL)
+SELECT a.conv_id, count(*) FILTER (a.skipped) AS skipped_blocks, count(*) FILTER (NOT a.skipped) AS claim_blocks, CAST(coalesce(sum(coalesce(n, 0)) FILTER (a.skipped), 0) AS BIGINT) AS skipped_units,
+ CAST(coalesce(sum(greatest(coalesce(n, 0), 1)) FILTER (NOT a.skipped), 0) AS BIGINT) AS claim_units, round(count(*) FILTER (a.skipped) / count(*), 10) AS block_rate,
+ round(coalesce(sum(coalesce(n, 0)) FILTER (a.skipped), 0) / (coalesce(sum(coalesce(n, 0)) FILTER (a.skipped), 0) + coalesce(sum(greatest(coalesce(n, 0), 1)) FILTER (NOT a.skipped), 0)), 10) AS unit_rate
+FROM a LEFT JOIN n USING (conv_id, turn) GROUP BY a.conv_id"""
 
-@query()
-def captures_from_replies(spark, d):
-    """Stored interface replies as captures."""
-    from provenia.plans.documents import REPLIES
 
-    rows = C.captures_from_replies(spark.createDataFrame(REPLIES, "reply string, payload string"))
-    return rows.select("reply", "source", "answer_text", "answer_path", F.size("citations").alias("n"))
+@query(SKIP_SQL)
+def skip_rates(spark, d):
+    """Turns as blocks of a split, every third of them skipped: the skip rate in blocks and in units."""
+    blocks = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), "text", (F.col("turn") % 3 == 1).alias("skipped"))
+    return C.skip_report(blocks, "conv_id").select("conv_id", "skipped_blocks", "claim_blocks", "skipped_units", "claim_units", "block_rate", "unit_rate")
 
 
 @query()

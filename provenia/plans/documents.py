@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import json
-
 from pyspark.sql import functions as F
 
 from provenia.functions import parse
 from provenia.functions import text as X
 from provenia.operators.ordering import keep_first
 from provenia.plans.catalogue import query
-from provenia.plans.standins import answers, table
+from provenia.plans.standins import ANSWERS_SQL, answers, table
 from provenia.session import importable
 
 
@@ -27,14 +24,14 @@ def _containers(spark, d):
     importable(spark)
     find = parse.containers_in(["article", "main", "div p", "body"])
     # the test pages link to nothing outside: a passage with citations stands after each
-    html = F.concat("html", F.lit(CITED), F.col("page_id").cast("string"), F.lit('">Agency report +2</a><span data-pplx-citation-url="https://news.example.com/a"><span>news</span></span></main>'))
+    html = F.concat("html", F.lit(LINKED), F.col("page_id").cast("string"), F.lit('">Ministry figures +2</a><span data-pplx-citation-url="https://paper.example.com/a"><span>morning paper</span></span></main>'))
     return table(spark, d, "pages").select("page_id", F.explode(find(html)).alias("c")).select("page_id", "c.*")
 
 
-CITED = '<main><p>Said by</p><a href="/inside">x</a><a href="https://www.agency.gov.uk/r?utm_source=chat&id='
+LINKED = '<main><p>Said by</p><a href="/inside">x</a><a href="https://stats.ministry.gov.uk/t?utm_source=chat&id='
 
 
-@query()
+@query("WITH p AS (SELECT page_id FROM pages) SELECT page_id, 0::INT AS pos, 'Ministry figures' AS marker, 'https://stats.ministry.gov.uk/t?utm_source=chat&id=' || page_id AS url, 'ministry.gov.uk' AS domain FROM p UNION ALL SELECT page_id, 1, 'morning paper', 'https://paper.example.com/a', 'example.com' FROM p")
 def html_links(spark, d):
     """Links of each page's body, first of each (marker, address)."""
     rows = _containers(spark, d).where("selector = 'main'").select("page_id", F.posexplode("links").alias("pos", "l"))
@@ -48,15 +45,17 @@ def container_choice(spark, d):
     return keep_first(rows, ["page_id"], ["fewer", "shorter", "seq"]).select("page_id", "selector", "n_links", "chars")
 
 
-PROSE = "As LeClair et al., Supportive Care in Cancer, 2022 found (doi 10.1000/xyz123), NCT03514433 and PMID 34567890; a 2014 Cancer Epidemiology study, published in Nature Health (Nov 2025). "
+PROSE = "As Okafor et al. (River Ecology, 2019) say (doi 10.5555/fish.7), NCT01020304 and PMID 12345678; a 2008 Harbour Survey report, published in Marine Letters (May 2011). "
+_NAMED = [("AUTHOR_ETAL_YEAR", "Okafor et al. (River Ecology, 2019"), ("DOI", "10.5555/fish.7"), ("TRIAL_ID", "NCT01020304"), ("PUBLICATION_ID", "PMID 12345678"), ("YEAR_JOURNAL_STUDY", "2008 Harbour Survey report"), ("PUBLISHED_IN", "published in Marine Letters (May 2011")]
+_NAMED_ROWS = ", ".join(f"('{k}', {PROSE.index(t)}::BIGINT, {PROSE.index(t) + len(t)}::BIGINT, '{t}')" for k, t in _NAMED)
 
 
-@query()
+@query(f"WITH {ANSWERS_SQL} SELECT query_id, kind, from_char, to_char, said FROM a, (VALUES {_NAMED_ROWS}) v(kind, from_char, to_char, said)")
 def named_citations(spark, d):
     """Works named in prose, with offsets; the test answers name none, so a sentence that does stands before each."""
     importable(spark)
     rows = answers(spark, d).select("query_id", F.concat(F.lit(PROSE), F.col("answer_text")).alias("t"))
-    return rows.select("query_id", F.explode(parse.named_in("t")).alias("c")).select("query_id", "c.*")
+    return rows.select("query_id", F.explode(parse.named_in("t")).alias("c")).select("query_id", "c.kind", F.col("c.start").alias("from_char"), F.col("c.end").alias("to_char"), F.col("c.text").alias("said"))
 
 
 @query("SELECT kind, n * k AS named FROM (SELECT count(*) AS n FROM conversations WHERE role = 'assistant'), (VALUES ('AUTHOR_ETAL_YEAR', 1), ('DOI', 1), ('TRIAL_ID', 1), ('PUBLICATION_ID', 1), ('YEAR_JOURNAL_STUDY', 1), ('PUBLISHED_IN', 1)) v(kind, k)")
@@ -64,18 +63,20 @@ def named_by_kind(spark, d):
     return named_citations(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("named"))
 
 
-REPLIES = [
-    ("blocks", json.dumps({"output": [{"content": [{"type": "text", "text": "A long answer in prose.", "annotations": [{"url": "https://a.example/1", "title": "A"}, {"url": "https://a.example/1"}]}]}]})),
-    ("bare", json.dumps({"citations": ["https://b.example/1", "https://b.example/2"], "choices": [{"message": {"content": "Short words here"}}]})),
-    ("nested", json.dumps({"grounding": {"chunks": [{"web": {"uri": "https://c.example", "title": " "}}]}, "answer": "three more words"})),
-    ("none", json.dumps({"url": 5, "link": "https://never.example", "x": None})),
-]
+def replies(spark, d):
+    """Pages as interface replies: the page cited by an annotation, twice; every third reply lists another address bare."""
+    k = F.col("page_id")
+    address = F.concat(F.lit("https://p.example/"), k.cast("string"))
+    note = F.struct(address.alias("url"), F.concat(F.lit("Page "), k.cast("string")).alias("title"))
+    output = F.array(F.struct(F.concat(F.lit("Said of page "), k.cast("string")).alias("text"), F.array(note, note).alias("annotations")))
+    bare = F.when(k % 3 == 0, F.array(F.concat(F.lit("https://q.example/"), k.cast("string")), F.lit("no address")))
+    return table(spark, d, "pages").select(k.alias("reply"), F.to_json(F.struct(output.alias("output"), bare.alias("citations"))).alias("payload"))
 
 
-@query()
+@query("SELECT page_id AS reply, 'https://p.example/' || page_id AS url, 'Page ' || page_id AS title, '$.output[0].annotations[0]' AS path FROM pages UNION ALL SELECT page_id, 'https://q.example/' || page_id, '', '$.citations[0]' FROM pages WHERE page_id % 3 = 0")
 def json_walk_citations(spark, d):
     importable(spark)
-    rows = spark.createDataFrame(REPLIES, "reply string, payload string")
+    rows = replies(spark, d)
     return rows.select("reply", F.explode(parse.citations_in_json("payload")).alias("c")).select("reply", "c.*")
 
 
@@ -85,41 +86,51 @@ def json_fixed_path(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "string").alias("k"), F.lit("$.k").alias("path"))
 
 
-@query()
+@query("SELECT page_id AS reply, 'Said of page ' || page_id AS text, '$.output[0].text' AS path FROM pages")
 def json_longest_text(spark, d):
     importable(spark)
-    rows = spark.createDataFrame(REPLIES, "reply string, payload string")
+    rows = replies(spark, d)
     return rows.select("reply", parse.longest_in_json("payload").alias("t")).select("reply", "t.*")
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS folded FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("SELECT doc_id, replace(strip_accents(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 'ß', 'ss') AS folded FROM documents")
 def fold_full_text(spark, d):
-    """The full fold agrees with plain SQL on ASCII text."""
     importable(spark)
-    rows = table(spark, d, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", parse.fold_text("text").alias("folded"))
 
 
-@query("SELECT conv_id, turn, CAST(strpos(text, substr(text, 6, 30)) - 1 AS BIGINT) AS start FROM conversations WHERE role = 'assistant' AND length(text) > 60 AND substr(text, 6, 1) NOT IN (' ', chr(10)) AND substr(text, 35, 1) NOT IN (' ', chr(10))")
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 60 AND substr(text, 6, 1) NOT IN (' ', chr(10)) AND substr(text, 35, 1) NOT IN (' ', chr(10)) THEN CAST(strpos(text, substr(text, 6, 30)) - 1 AS BIGINT) END AS start FROM conversations WHERE role = 'assistant'")
 def claim_offsets(spark, d):
-    """Where a claim stands in its answer: 30 characters of it, upper-cased, found again by folding."""
+    """Where a claim stands in its answer: 30 characters of it, between blanks none, found again by folding; none, no place."""
     importable(spark)
-    rows = answers(spark, d).where("length(answer_text) > 60 AND substr(answer_text, 6, 1) NOT IN (' ', chr(10)) AND substr(answer_text, 35, 1) NOT IN (' ', chr(10))")
-    found = parse.locate_claim("answer_text", F.substring("answer_text", 6, 30))
+    rows = answers(spark, d)
+    claim = F.expr("CASE WHEN length(answer_text) > 60 AND substr(answer_text, 6, 1) NOT IN (' ', chr(10)) AND substr(answer_text, 35, 1) NOT IN (' ', chr(10)) THEN substr(answer_text, 6, 30) ELSE '' END")
+    found = parse.locate_claim("answer_text", claim)
     return rows.select("conv_id", "turn", found["start"].alias("start"))
 
 
-@query()
-def body_readings(spark, d):
-    """Stored bodies read again by the routing of the fetcher: kinds and encodings, refusals included."""
-    importable(spark)
-    page = b"<html><body><article><p>" + b"Readable words stand here. " * 20 + b"</p></article></body></html>"
-    bodies = [("plain", "html", None, page), ("gzip", "html", "gzip", gzip.compress(page)), ("br", "html", "br", page), ("xml", "xml", None, b"<rss><title>T</title><d>x</d></rss>"), ("zip", "docx", None, b"PK not a zip"), ("pdf", "pdf", None, b"%PDF-1.4 nothing")]
-    rows = spark.createDataFrame(bodies, "name string, kind string, encoding string, body binary")
-    return rows.select("name", "kind", parse.body_texts("body", "encoding", "kind").alias("t")).select("name", "kind", F.length("t.strict").alias("chars"), F.col("t.refusal").alias("refusal"))
+_PLAIN = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[<>&|]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query()
+@query(f"""WITH x AS (SELECT doc_id, length({_PLAIN}) AS n, doc_id % 6 AS way FROM documents)
+SELECT doc_id, CAST(CASE way WHEN 0 THEN n WHEN 3 THEN n + 2 WHEN 5 THEN n END AS INT) AS chars, CASE way WHEN 1 THEN 'SOURCE_EMPTY' WHEN 2 THEN 'SOURCE_NOT_HTML' WHEN 4 THEN 'SOURCE_NO_TEXT_LAYER' END AS refusal FROM x""")
+def body_readings(spark, d):
+    """Documents as stored bodies, read by the routing of the fetcher: a page, one in an unknown encoding, a broken
+    archive, XML with a title, a PDF without text, a page with furniture around it."""
+    importable(spark)
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&|]", " "), r"\s+", " "))
+    page = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts]).cast("binary")
+    ways = [
+        ("html", None, page("<html><body><article><p>", text, "</p></article></body></html>")), ("html", "br", page("<p>", text)), ("docx", None, page("PK", text)),
+        ("xml", None, page("<rss><title>T</title><d>", text, "</d></rss>")), ("pdf", None, page("%PDF-1.4 nothing")), ("html", None, page("<nav>menu</nav><script>x</script><p>", text, "</p><footer>end")),
+    ]
+    dealt = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(e).cast("string").alias("encoding"), b.alias("body")) for k, e, b in ways])
+    rows = table(spark, d, "documents").select("doc_id", F.element_at(dealt, (F.col("doc_id") % 6 + 1).cast("int")).alias("w")).select("doc_id", "w.*")
+    return rows.select("doc_id", parse.body_texts("body", "encoding", "kind").alias("t")).select("doc_id", F.length("t.strict").alias("chars"), F.col("t.refusal").alias("refusal"))
+
+
+@query(f"WITH {ANSWERS_SQL} SELECT DISTINCT sha256(answer_text) AS answer_sha256, 'ok' AS status, 1::INT AS attempts FROM a")
 def capture_stream_queue(spark, d):
     """Assistant turns as a stream of capture files: each answer once, drained by a trigger that ends."""
     from provenia.streaming.queue import drain

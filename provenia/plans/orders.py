@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from provenia import codes
 from provenia.functions import text as X
-from provenia.operators import gates, ordering
+from provenia.operators import captures, gates, ordering
 from provenia.operators import pairs as P
 from provenia.operators.agreement import extraction_missed
 from provenia.plans.catalogue import query, wilson_sql
@@ -25,7 +25,7 @@ def cache_latest(spark, d):
 
 @query("SELECT 'u' || user_id AS url, count(*) AS entries FROM events GROUP BY ALL")
 def cache_counts(spark, d):
-    return _cache(spark, d).groupBy("url").agg(F.count(F.lit(1)).alias("entries"))
+    return ordering.entries(_cache(spark, d), "url")
 
 
 LEDGER_SQL = """
@@ -41,9 +41,9 @@ SELECT capture, mtime FROM (SELECT *, row_number() OVER (PARTITION BY answer ORD
 def ledger_pending(spark, d):
     e = table(spark, d, "events")
     key = (F.col("user_id") % 40).cast("string").alias("answer_sha256")
-    captures = e.groupBy(F.col("user_id").alias("capture"), key).agg(F.min("event_id").alias("mtime"))
+    files = e.groupBy(F.col("user_id").alias("capture"), key).agg(F.min("event_id").alias("mtime"))
     ledger = e.where("user_id % 3 != 0").select(F.col("user_id").alias("capture"), key, F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "ok").otherwise("failed").alias("status"), (F.col("event_id") % 5).alias("attempts"))
-    return ordering.pending(captures, ledger).select("capture", "mtime")
+    return ordering.pending(files, ledger).select("capture", "mtime")
 
 
 @query("SELECT CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN event_id % 7 = 0 THEN 'exception' WHEN event_id % 5 = 0 THEN 'not scored' WHEN event_id % 3 = 0 THEN 'no report' ELSE 'report' END AS outcome, count(*) AS firings FROM events GROUP BY ALL")
@@ -69,18 +69,48 @@ def freeze_diff(spark, d):
     return gates.freeze_diff(_manifest(spark, d), _disk(spark, d), ["file", "query_id"])
 
 
-@query("SELECT c_custkey AS query_id FROM customer WHERE c_custkey % 40 <> 3")
+@query("SELECT c_mktsegment AS file, c_custkey AS query_id FROM customer WHERE c_custkey % 40 <> 3 AND c_custkey % 60 <> 11")
 def frozen_ids(spark, d):
-    """Ids both frozen and on disk."""
-    return _manifest(spark, d).select("query_id").intersect(_disk(spark, d).select("query_id"))
+    """Queries frozen and on disk, each in its own file; some stand in another file now."""
+    disk = _disk(spark, d).withColumn("file", F.when(F.col("query_id") % 60 == 11, "MOVED").otherwise(F.col("file")))
+    return gates.frozen(_manifest(spark, d), disk)
 
 
 @query("SELECT o_orderkey AS capture, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 9 = 1 THEN -o_orderkey WHEN o_orderkey % 9 = 2 THEN 10000000 + o_orderkey % 25 ELSE o_custkey END AS query_id, CASE WHEN o_orderkey % 9 = 0 THEN 'CAPTURE_UNBOUND' WHEN o_orderkey % 9 = 1 THEN 'QUERY_UNKNOWN' WHEN o_orderkey % 9 = 2 THEN 'QUERY_NOT_FROZEN' WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN '' ELSE 'QUERY_UNKNOWN' END AS binding FROM orders")
 def query_binding(spark, d):
     k = F.col("o_orderkey")
     q = F.when(k % 9 == 0, F.lit(None)).when(k % 9 == 1, -k).when(k % 9 == 2, F.lit(10_000_000) + k % 25).otherwise(F.col("o_custkey")).cast("long")
-    captures = table(spark, d, "orders").select(k.alias("capture"), q.alias("query_id"))
-    return gates.bind(captures, _manifest(spark, d), _disk(spark, d))
+    rows = table(spark, d, "orders").select(k.alias("capture"), q.alias("query_id"))
+    return gates.bind(rows, _manifest(spark, d), _disk(spark, d))
+
+
+RULES_SQL = """
+WITH p AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'a.toml' ELSE 'b.toml' END AS file, p_partkey AS place, CASE WHEN p_partkey % 23 = 5 THEN 'P-1' ELSE 'P-' || p_partkey END AS id,
+  CASE WHEN p_partkey % 7 = 0 THEN 'other' ELSE p_brand END AS domain, p_brand, p_partkey AS k, trim(regexp_replace(p_name || ' ' || p_type, '\\s+', ' ', 'g')) AS text, trim(regexp_replace(p_name || ' ' || p_type || ' ' || p_name, '\\s+', ' ', 'g')) AS cost FROM part),
+q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file, place) AS nth FROM p)
+SELECT file, id, unnest(list_filter([
+  CASE WHEN k % 29 = 0 THEN 'forbidden key' END, CASE WHEN k % 31 = 0 THEN 'required key missing' END,
+  CASE WHEN k % 31 <> 0 AND k % 29 = 0 THEN 'unknown key' END, CASE WHEN k % 31 <> 0 AND nth > 1 THEN 'duplicate id' END,
+  CASE WHEN k % 31 <> 0 AND k % 7 = 0 THEN 'domain not declared' END, CASE WHEN k % 31 <> 0 AND length(text) < 25 THEN 'text too short' END,
+  CASE WHEN k % 31 <> 0 AND length(cost) < 60 THEN 'cost of error too short' END, CASE WHEN k % 31 <> 0 AND k % 11 = 0 THEN 'provenance against policy' END,
+  CASE WHEN k % 31 <> 0 AND k % 11 = 0 AND k % 2 = 0 THEN 'no scrub notes' END, CASE WHEN k % 31 <> 0 AND k % 11 = 0 THEN 'no approximate wording' END,
+  CASE WHEN k % 31 <> 0 AND k % 11 <> 0 AND k % 13 = 0 THEN 'synthetic with scrub notes' END], lambda x: x IS NOT NULL)) AS rule FROM q"""
+
+
+@query(RULES_SQL)
+def query_set_rules(spark, d):
+    """Parts as a query set: keys, ids, domains, lengths and provenance against the rules of query sets."""
+    k = F.col("p_partkey")
+    full = F.array(*[F.lit(x) for x in gates.REQUIRED])
+    keys = F.when(k % 31 == 0, F.slice(full, 2, 4)).otherwise(full)
+    real = k % 11 == 0
+    rows = table(spark, d, "part").select(
+        F.when(k % 3 == 0, "a.toml").otherwise("b.toml").alias("file"), k.alias("place"), F.lit("ready").alias("status"), F.lit("synthetic").alias("provenance_policy"), F.lit("P").alias("id_prefix"),
+        F.array("p_brand").alias("domains"), F.when(k % 29 == 0, F.array_append(keys, F.lit("Gold_label"))).otherwise(keys).alias("keys"), F.when(k % 23 == 5, "P-1").otherwise(F.concat(F.lit("P-"), k.cast("string"))).alias("id"),
+        F.when(k % 7 == 0, "other").otherwise(F.col("p_brand")).alias("domain"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.concat_ws("  ", "p_name", "p_type", "p_name").alias("cost_of_error"),
+        F.when(real, "real_scrubbed").otherwise("synthetic").alias("provenance"), F.when(real & (k % 2 != 0) | ~real & (k % 13 == 0), "names left out").alias("scrub_notes"), F.lit(None).cast("string").alias("asked_approx"),
+    )
+    return gates.query_violations(rows)
 
 
 @query("WITH r AS (SELECT p_partkey, unnest(list_filter([CASE WHEN length(p_name) < 12 THEN 'name too short' END, CASE WHEN p_size > 45 THEN 'size out of range' END, CASE WHEN contains(lower(p_type), 'brass') THEN 'forbidden word' END, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN 'duplicate name' END], lambda x: x IS NOT NULL)) AS rule FROM part) SELECT * FROM r")
@@ -108,15 +138,14 @@ def capture_fidelity(spark, d):
 @query(FIDELITY_SQL + " SELECT url, 'live' AS only_in FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL SELECT url, 'stored' FROM (SELECT * FROM y EXCEPT SELECT * FROM x)")
 def parity_diff(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")
-    live, stored = pages.where("page_id % 3 != 0").select("url").distinct(), pages.where("page_id % 4 != 1").select("url").distinct()
-    return live.join(stored, "url", "left_anti").withColumn("only_in", F.lit("live")).unionByName(stored.join(live, "url", "left_anti").withColumn("only_in", F.lit("stored")))
+    return captures.parity(pages.where("page_id % 3 != 0"), pages.where("page_id % 4 != 1"), "url")
 
 
-@query("WITH l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) AS rank, conv_id % 10 AS stratum FROM conversations WHERE role = 'assistant'), r AS (SELECT c_custkey AS query_id, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS rank, c_custkey % 10 AS stratum FROM customer WHERE c_custkey % 17 = 0) SELECT coalesce(l.stratum, r.stratum) AS stratum, coalesce(l.rank, r.rank)::INT AS rank, conv_id, turn, query_id FROM l FULL JOIN r ON l.stratum = r.stratum AND l.rank = r.rank")
+@query("WITH l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) AS rank, conv_id % 10 AS stratum FROM conversations WHERE role = 'assistant'), r AS (SELECT c_custkey AS query_id, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS rank, c_custkey % 10 AS stratum FROM customer) SELECT coalesce(l.stratum, r.stratum) AS stratum, coalesce(l.rank, r.rank)::INT AS rank, conv_id, turn, query_id FROM l FULL JOIN r ON l.stratum = r.stratum AND l.rank = r.rank")
 def in_order_binding(spark, d):
     """Captures in order of time zipped with a stratum's ids; whichever is longer shows its rest unbound."""
     left = answers(spark, d).select("conv_id", "turn", (F.col("conv_id") % 10).alias("stratum"))
-    right = table(spark, d, "customer").where("c_custkey % 17 = 0").select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 10).alias("stratum"))
+    right = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 10).alias("stratum"))
     return ordering.zip_in_order(left, right, "stratum", ["conv_id", "turn"], ["query_id"])
 
 
@@ -132,10 +161,20 @@ def stratified_sample(spark, d):
     return _sample(spark, d).select("o_orderkey", "o_orderstatus", "o_orderpriority", "round")
 
 
-@query(SAMPLE_SQL.replace(", CASE WHEN o_orderstatus <> 'O' THEN 0 ELSE 1 END", "") + " SELECT o_orderkey, CAST(round AS INT) AS round FROM s WHERE o_orderkey % 3 <> 0")
+RESUME_SQL = """WITH r AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY sha256('11:' || o_orderkey), o_orderkey) AS round FROM orders),
+o AS (SELECT *, row_number() OVER (ORDER BY round, o_orderstatus, o_orderpriority) AS place FROM r),
+done AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 = 3 OR o_orderkey IN (SELECT o_orderkey FROM o WHERE place <= 40)),
+drawn AS (SELECT * FROM o WHERE place <= 100 + (SELECT count(*) FROM done)),
+rest AS (SELECT *, row_number() OVER (ORDER BY place) AS k FROM drawn WHERE o_orderkey NOT IN (SELECT o_orderkey FROM done))
+SELECT o_orderkey, CAST(round AS INT) AS round FROM rest WHERE k <= 100 - (SELECT count(*) FROM done)"""
+
+
+@query(RESUME_SQL)
 def resume_sample(spark, d):
-    done = table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    return ordering.resume_sample(table(spark, d, "orders"), done, ["o_orderstatus", "o_orderpriority"], "o_orderkey", 100, 11).select("o_orderkey", "round")
+    """A sample of 100 of which the first 40 are done, and some rows from elsewhere: what is left to do."""
+    o, buckets = table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"]
+    done = ordering.stratified_sample(o, buckets, "o_orderkey", 40, 11).select("o_orderkey").unionByName(o.where("o_orderkey % 1000 = 3").select("o_orderkey"))
+    return ordering.resume_sample(o, done, buckets, "o_orderkey", 100, 11).select("o_orderkey", "round")
 
 
 @query(f"WITH {PAIRS_SQL}, x AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), l AS (SELECT source, text FROM x WHERE k = 1) SELECT p.doc_id, CASE WHEN l.text IS NULL THEN 'no page' WHEN contains(lower(trim(regexp_replace(l.text, '\\s+', ' ', 'g'))), lower(p.void_reason)) THEN 'present' ELSE 'absent' END AS status FROM p LEFT JOIN l ON p.source = l.source AND p.doc_id % 4 <> 0 WHERE voided")
@@ -165,20 +204,18 @@ def prep_summary(spark, d):
 
 
 COPIES_SQL = """
-e AS (SELECT doc_id, lang, source, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents WHERE lang = 'en'),
-w AS (SELECT doc_id, source, string_split(t, ' ') AS ws FROM e),
-g AS (SELECT doc_id, source, CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
-x AS (SELECT source, doc_id, sh, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS was, lag(sh) OVER (PARTITION BY source ORDER BY doc_id) AS old FROM g),
+e AS (SELECT doc_id, replace(strip_accents(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 'ß', 'ss') AS t FROM documents),
+w AS (SELECT doc_id, string_split(t, ' ') AS ws FROM e),
+g AS (SELECT doc_id, CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+x AS (SELECT a.doc_id, a.sh, b.doc_id AS was, b.sh AS old FROM g a JOIN g b ON b.doc_id = a.doc_id - 1),
 q AS (SELECT doc_id, was, len(list_intersect(old, sh))::DOUBLE / len(old) AS contained, len(list_intersect(old, sh))::DOUBLE / (len(old) + len(sh) - len(list_intersect(old, sh))) AS jaccard FROM x WHERE was IS NOT NULL)"""
 
 
 def _drifts(spark, d):
-    """Each English document of a source against the one before it, as a page against its snapshot."""
-    from pyspark.sql import Window
-
-    e = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", X.shingles(F.col("text")).alias("now"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = e.withColumn("was", F.lag("doc_id").over(w)).withColumn("old", F.lag("now").over(w)).where("was IS NOT NULL")
+    """Each document against the one before it by id, as a page against its snapshot; an equi join, shingled after it."""
+    now = table(spark, d, "documents").select("doc_id", "text")
+    then = now.select((F.col("doc_id") + 1).alias("doc_id"), F.col("doc_id").alias("was"), F.col("text").alias("before"))
+    rows = now.join(then, "doc_id").select("doc_id", "was", X.shingles(F.col("before")).alias("old"), X.shingles(F.col("text")).alias("now"))
     contained, jaccard = X.containment(F.col("old"), F.col("now"))
     return rows.select("doc_id", "was", contained.alias("contained"), jaccard.alias("jaccard"))
 
@@ -235,19 +272,20 @@ def pairs_build(spark, d):
     return P.build_pairs(claims, fetches, judged).select("claim_id", "url", "source_code", "verdict")
 
 
-@query("WITH m AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS y FROM orders WHERE o_orderkey % 20 = 0), w AS (SELECT c_custkey, 1990 + c_custkey % 12 AS y FROM customer), j AS (SELECT o_orderkey, count(w.c_custkey) AS n FROM m LEFT JOIN w ON o_custkey % 400 = c_custkey % 400 AND abs(m.y - w.y) <= 1 GROUP BY 1) SELECT o_orderkey, n AS candidates, CASE WHEN n = 0 THEN 'NOT_FOUND' WHEN n = 1 THEN 'FOUND' ELSE 'AMBIGUOUS' END AS outcome FROM j")
+@query("WITH m AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS y FROM orders WHERE o_orderkey % 20 = 0), w AS (SELECT c_custkey, 1990 + c_custkey % 12 AS y FROM customer), j AS (SELECT o_orderkey, count(w.c_custkey) AS n FROM m LEFT JOIN w ON m.o_orderkey % 60 <> 0 AND o_custkey % 400 = c_custkey % 400 AND abs(m.y - w.y) <= 1 OR m.o_orderkey % 60 = 0 AND c_custkey = o_custkey * 2 GROUP BY 1) SELECT o_orderkey, n AS candidates, CASE WHEN n = 0 THEN 'NOT_FOUND' WHEN n = 1 THEN 'FOUND' ELSE 'AMBIGUOUS' END AS outcome FROM j")
 def existence_match(spark, d):
-    """Named works by author and year within one: the author is an equi key, the year a range on top of it."""
-    m = table(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", (F.col("o_custkey") % 400).alias("author"), F.year("o_orderdate").alias("y"))
-    w = table(spark, d, "customer").select((F.col("c_custkey") % 400).alias("by"), (F.col("c_custkey") % 12 + 1990).alias("wy"))
-    n = m.join(w, (F.col("author") == F.col("by")) & (F.abs(F.col("y") - F.col("wy")) <= 1), "left").groupBy("o_orderkey").agg(F.count("by").alias("candidates"))
-    return n.select("o_orderkey", "candidates", F.when(F.col("candidates") == 0, "NOT_FOUND").when(F.col("candidates") == 1, "FOUND").otherwise("AMBIGUOUS").alias("outcome"))
+    """Named works (a stated query set: keys divisible by 20) against all of a catalogue: by DOI, or by author and year."""
+    k, c = F.col("o_custkey"), F.col("c_custkey")
+    doi = F.when(F.col("o_orderkey") % 60 == 0, F.concat(F.lit("10.1000/"), (k * 2).cast("string")))
+    m = table(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("mention"), doi.alias("doi"), (k % 400).alias("author"), F.year("o_orderdate").alias("year"))
+    w = table(spark, d, "customer").select(c.alias("work"), F.concat(F.lit("10.1000/"), c.cast("string")).alias("doi"), (c % 400).alias("author"), (c % 12 + 1990).alias("year"))
+    return captures.match_works(m, w).withColumnRenamed("mention", "o_orderkey")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN TRUE ELSE FALSE END AS missed FROM documents WHERE length(text) > 60")
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 OR coalesce(substr(text, 5, 40), '') = '' THEN NULL WHEN doc_id % 5 = 0 AND NOT contains('nothing of it', substr(text, 5, 40)) THEN TRUE ELSE FALSE END AS missed FROM documents")
 def extraction_missed_check(spark, d):
     """A person's passage against strict and permissive text: false, true or, without a passage, unknown."""
-    rows = table(spark, d, "documents").where("length(text) > 60")
+    rows = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     i = F.col("doc_id")
     passage = F.when(i % 6 == 0, "").otherwise(F.substring("text", 5, 40))
     strict = F.when(i % 5 == 0, "nothing of it").otherwise(F.col("text"))

@@ -159,6 +159,32 @@ def class_metrics(spark, d):
     return agreement.class_metrics(_compared(spark, d))
 
 
+@query(_sql(KAPPA_SQL, LABELS_SQL.replace("c AS (SELECT * FROM r WHERE", "c AS (SELECT * FROM r WHERE NOT coalesce(label <> verdict AND extraction_missed, FALSE) AND")))
+def kappa_of_the_judge(spark, d):
+    """Agreement without the disagreements that are the extractor's."""
+    return agreement.agreement(agreement.without_attributable(_compared(spark, d)))
+
+
+@query(_sql("""
+, t AS (SELECT source || '.example.org' AS host, st, CASE WHEN st THEN verdict WHEN void_reason <> '' THEN void_reason WHEN source_code <> 'SOURCE_OK' THEN source_code ELSE 'not judged' END AS key FROM s),
+g AS (SELECT st, key, count(*) AS n FROM t GROUP BY ALL)
+SELECT 'example.org' AS domain, string_agg(key || '=' || n, ' ' ORDER BY key) FILTER (st) AS verdicts, string_agg(key || '=' || n, ' ' ORDER BY key) FILTER (NOT st) AS reasons FROM g"""))
+def domain_verdicts(spark, d):
+    """By the addresses' registrable domain, which all stand-in addresses share: verdicts and reasons."""
+    told = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    return P.domain_maps(pairs(spark, d)).select("domain", told("verdicts").alias("verdicts"), told("reasons").alias("reasons"))
+
+
+@query(_sql("""
+, e AS (SELECT answer, claim_id, count(*) AS k, count(*) FILTER (st) AS stands, count(*) FILTER (st AND verdict = 'PARTIALLY_SUPPORTED' AND doc_id % 2 = 0) AS bare FROM s GROUP BY ALL)
+SELECT answer, count(*) AS claims, count(*) FILTER (claim_id % 9 = 4) AS unlocatable, sum(k)::BIGINT AS pairs, sum(stands)::BIGINT AS standing, sum(k - stands)::BIGINT AS unauditable, count(*) FILTER (k > 1) AS multi_source_claims, sum(bare)::BIGINT AS partial_without_qualifiers FROM e GROUP BY answer"""))
+def report_rollup(spark, d):
+    """What a report counts beside its states, by answer."""
+    rows = pairs(spark, d).withColumn("qualifiers", F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("adults only"))))
+    claims = rows.select("answer", "claim_id", (F.col("claim_id") % 9 != 4).alias("located")).distinct()
+    return P.report_counts(rows, claims, "answer")
+
+
 @query(_sql(" SELECT count(*) AS disagreements, count(extraction_missed) AS checked, count(*) FILTER (extraction_missed) AS attributable FROM c WHERE label <> verdict", LABELS_SQL))
 def attribution_tristate(spark, d):
     return agreement.attribution(_compared(spark, d))

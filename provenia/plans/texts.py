@@ -176,12 +176,12 @@ def factual_units(spark, d):
     return _values(spark, FACTS, "id int, text string").select("id", X.looks_factual(t).alias("factual"), X.is_furniture(t).alias("furniture"))
 
 
-@query(f"""WITH {UNITS_SQL}, m AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS canon FROM un JOIN (SELECT DISTINCT conv_id, query_id FROM a) USING (query_id) WHERE kind <> 'sentence' OR pos < 3),
+@query(f"""WITH {UNITS_SQL}, m AS (SELECT *, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS canon FROM un JOIN (SELECT DISTINCT conv_id, query_id FROM a) USING (query_id)),
 b AS (SELECT *, conv_id || '#' || substr(sha256(canon), 1, 8) AS base FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY query_id, pos) AS n FROM b)
 SELECT query_id, pos, CASE WHEN n = 1 THEN base ELSE base || '.' || n END AS claim_id FROM r""")
 def claim_ids(spark, d):
     """Content-addressed claim ids of each conversation, with suffixes for repeats."""
-    rows = _units(spark, d).where("kind != 'sentence' OR pos < 3").withColumn("canonical", X.canonical(F.col("text")))
+    rows = _units(spark, d).withColumn("canonical", X.canonical(F.col("text")))
     rows = rows.withColumn("capture", F.col("conv_id").cast("string")).withColumn("at", F.struct("query_id", "pos"))
     return with_claim_ids(rows, "capture", "canonical", "at").select("query_id", "pos", "claim_id")
 
@@ -204,11 +204,11 @@ def query_hash(spark, d):
 SPANS = [("plain", 0), ("curly", 1), ("footnote", 2), ("changed", 3), ("blank", 4)]
 
 
-@query("""WITH e AS (SELECT doc_id, doc_id % 5 AS how, text FROM documents WHERE lang = 'en' AND length(text) > 120)
-SELECT doc_id, how, CASE WHEN how = 4 THEN FALSE WHEN how = 3 THEN contains(lower(text), 'zzqx') ELSE TRUE END AS present FROM e""")
+@query("""WITH e AS (SELECT doc_id, doc_id % 5 AS how, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, how, CASE WHEN how = 4 THEN FALSE WHEN how = 3 THEN contains(lower(text), 'zzqx') WHEN how = 1 THEN TRUE ELSE trim(regexp_replace(substr(text, 11, 80), '\\s+', ' ', 'g')) <> '' END AS present FROM e""")
 def span_present(spark, d):
-    """Spans cut out of English documents: as they are, with curly quotes, with a footnote mark, changed, blank."""
-    e = table(spark, d, "documents").where("lang = 'en' AND length(text) > 120").withColumn("how", F.col("doc_id") % 5)
+    """Spans cut out of documents: as they are, with curly quotes, with a footnote mark, changed, blank."""
+    e = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("how", F.col("doc_id") % 5)
     cut = F.substring("text", 11, 80)
     doc = F.when(F.col("how") == 1, F.concat("text", F.lit(' said "yes" — it’s so'))).when(F.col("how") == 2, F.concat(F.substring("text", 1, 50), F.lit("[12]"), F.expr("substring(text, 51)"))).otherwise(F.col("text"))
     span = F.when(F.col("how") == 1, F.lit("SAID “yes” - it's  so")).when(F.col("how") == 3, F.concat(cut, F.lit(" zzqx"))).when(F.col("how") == 4, F.lit("  ")).otherwise(F.upper(cut))
