@@ -1,6 +1,8 @@
 """Substring dedup: paragraphs and passages that repeat, exactly or nearly, within and across documents.
 
-A paragraph is a line of at least SHINGLE words (lower case, punctuation left out). MinHash over its 5-word
+A paragraph is a line of at least ``least`` words (lower case, punctuation left out): SHINGLE at the lowest, PARAGRAPH
+unless said otherwise, for short lines such as headings and sentences of boilerplate recur in documents that nobody
+would call copies. MinHash over its 5-word
 shingles is cut into BANDS bands of ROWS minima: at similarity 0.8 a pair shares a band with probability 0.997, and
 unrelated prose shares practically no shingle at all. Colliding paragraphs are verified by exact Jaccard similarity
 of their shingle sets, linked ones are clustered by components, and every occurrence but a cluster's first is marked.
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from provenia.llm.common import colliding, components, cut, large_bucket_links, links_by_bucket, ready, words
 
-#: Words of a shingle, and the fewest of a paragraph.
+#: Words of a shingle, and the fewest that a paragraph can have.
 SHINGLE = 5
+#: Words of a line from which on it is a paragraph.
+PARAGRAPH = 25
 #: Words of a window.
 MIN_WORDS = 25
 SPREAD = 26
@@ -41,11 +45,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def paragraphs(text: str) -> list[tuple[int, int, int, list[bytes]]]:
-    """(number of the line, start, length, words) of each line with at least SHINGLE words; code points."""
+def paragraphs(text: str, least: int) -> list[tuple[int, int, int, list[bytes]]]:
+    """(number of the line, start, length, words) of each line with at least ``least`` words; code points."""
     out, start = [], 0
     for number, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * SHINGLE - 1 and len(parts := words(line)) >= SHINGLE:
+        if len(line) >= 2 * least - 1 and len(parts := words(line)) >= least:
             out.append((number, start, len(line), parts))
         start += len(line) + 1
     return out
@@ -92,26 +96,26 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, line, start, length, pid, check) of every paragraph; pid and check are the halves of its identity."""
     kinds = [("doc_id", pa.int64()), ("line", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("pid", pa.int64()), ("check", pa.int64())]
 
     def run(batches):
         for batch in batches:
-            rows = [(i, n, s, k, *identity(p)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for n, s, k, p in paragraphs(t.as_py() or "")]
+            rows = [(i, n, s, k, *identity(p)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for n, s, k, p in paragraphs(t.as_py() or "", least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     return _texts(docs).mapInArrow(run, "doc_id long, line int, start long, length long, pid long, check long")
 
 
-def _distinct(batch: pa.RecordBatch):
+def _distinct(batch: pa.RecordBatch, least: int):
     """Blocks of the different paragraphs of a batch: (pids, words of each)."""
     seen: set[int] = set()
     pids: list[int] = []
     many: list[list[bytes]] = []
     held = 0
     for t in batch.column(1):
-        for _, _, size, parts in paragraphs(t.as_py() or ""):
+        for _, _, size, parts in paragraphs(t.as_py() or "", least):
             pid = identity(parts)[0]
             if pid not in seen:
                 seen.add(pid)
@@ -125,26 +129,26 @@ def _distinct(batch: pa.RecordBatch):
         yield pids, many
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, least: int) -> DataFrame:
     """(key, pid): the bands of the paragraphs; a paragraph may come once from each batch."""
 
     def run(batches):
         for batch in batches:
-            for pids, many in _distinct(batch):
+            for pids, many in _distinct(batch, least):
                 keys = band_keys(*shingle_hashes(many))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(pids, np.int64), BANDS))], names=["key", "pid"])
 
     return _texts(docs).mapInArrow(run, "key long, pid long")
 
 
-def shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def shingles_of(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     """(pid, shingles) of the paragraphs in ``ids``: sorted 32-bit hashes."""
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.sparkSession.sparkContext.broadcast({r["pid"] for r in ids.toLocalIterator()}) if few else None
 
     def run(batches):
         for batch in batches:
-            for pids, many in _distinct(batch):
+            for pids, many in _distinct(batch, least):
                 if wanted:
                     both = [(p, m) for p, m in zip(pids, many) if p in wanted.value]
                     pids, many = [p for p, _ in both], [m for _, m in both]
@@ -174,16 +178,16 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_paragraphs(docs: DataFrame) -> DataFrame:
+def near_paragraphs(docs: DataFrame, least: int) -> DataFrame:
     """Verified links (a, b) between different paragraphs."""
-    rows = keyed(docs)
+    rows = keyed(docs, least)
     hit = rows.groupBy("key").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi").select("key")
     met = cut(colliding(cut(rows.join(hit, "key").distinct()), "key", "pid"))
     pairs = cut(links_by_bucket(met, "key", "pid"))
     ids = pairs.select(F.col("a").alias("pid")).unionByName(pairs.select(F.col("b").alias("pid"))).distinct()
-    shingles = cut(shingles_of(docs, cut(ids)))
+    shingles = cut(shingles_of(docs, cut(ids), least))
     links = cut(verified(pairs, shingles))
-    return links.unionByName(large_bucket_links(met, links, "key", "pid", lambda ids: shingles_of(docs, ids), SIMILARITY))
+    return links.unionByName(large_bucket_links(met, links, "key", "pid", lambda ids: shingles_of(docs, ids, least), SIMILARITY))
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -272,31 +276,31 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return hits.join(first, "hash").select("doc_id", "word", "start", "length", F.col("hash").alias("cluster_id"), "members", "keep")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, least: int = PARAGRAPH) -> DataFrame:
     """Repeated paragraphs and passages, one row per occurrence.
 
     Columns: doc_id, unit ('paragraph' or 'passage'), at (line of the paragraph, first word of the passage), start,
     length, cluster_id, members, keep_doc_id, keep_at, removed. See repeated_paragraphs for nulls and ties.
     """
     ready(docs.sparkSession)
-    one = repeated_paragraphs(docs).select("doc_id", F.lit("paragraph").alias("unit"), F.col("line").alias("at"), "start", "length", "cluster_id", "members", "keep_doc_id", F.col("keep_line").alias("keep_at"), "removed")
+    one = repeated_paragraphs(docs, least).select("doc_id", F.lit("paragraph").alias("unit"), F.col("line").alias("at"), "start", "length", "cluster_id", "members", "keep_doc_id", F.col("keep_line").alias("keep_at"), "removed")
     here = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("word") == F.col("keep.at"))
     two = repeated_windows(docs).select("doc_id", F.lit("passage").alias("unit"), F.col("word").alias("at"), "start", "length", "cluster_id", "members", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.at").alias("keep_at"), (~here).alias("removed"))
     return one.unionByName(two)
 
 
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, least: int = PARAGRAPH) -> DataFrame:
     """One row per occurrence of a paragraph whose cluster has several.
 
     Columns: doc_id, line, start, length (code points of the text), cluster_id, members, keep_doc_id, keep_line,
     removed. The first occurrence by (doc_id, line) stays; a null doc_id comes first. Rows that repeat a doc_id and
     its text are all the same occurrence, so none of them is removed on behalf of the other. Null and empty
-    lines, and those of fewer than SHINGLE words, never take part. Empty input: no rows. Other columns aren't read.
+    lines, and those of fewer than ``least`` words, never take part. Empty input: no rows. Other columns aren't read.
     """
     ready(docs.sparkSession)
-    occ = cut(occurrences(docs))
+    occ = cut(occurrences(docs, least))
     each = occ.groupBy("pid", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
-    top = components(near_paragraphs(docs)).withColumnRenamed("node", "pid")
+    top = components(near_paragraphs(docs, least)).withColumnRenamed("node", "pid")
     each = cut(each.join(top, "pid", "left").withColumn("cluster_id", F.coalesce("component", "pid")).withColumn("alone", F.when(F.col("component").isNull(), F.col("check")).otherwise(0)))
     clusters = each.groupBy("cluster_id", "alone").agg(F.sum("n").alias("members"), F.min("first").alias("keep")).where("members > 1")
     named = cut(each.join(clusters, ["cluster_id", "alone"]).select("pid", "check", "cluster_id", "members", "keep"))
@@ -305,12 +309,12 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "line", "start", "length", "cluster_id", "members", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), (~here).alias("removed"))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, least: int = PARAGRAPH) -> DataFrame:
     """The documents, columns as they were, their texts without the removed paragraphs and passages.
 
     Overlapping spans are removed once; line feeds between removed lines stay.
     """
-    gone = repeats(docs).where("removed AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_gone"))
+    gone = repeats(docs, least).where("removed AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_gone"))
 
     def step(acc, s):
         gap = F.substr("text", (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))

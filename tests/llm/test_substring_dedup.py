@@ -20,7 +20,7 @@ def jaccard(a, b):
 
 def brute(rows):
     """{(doc_id, line): (members, keep)} by comparing every pair of paragraphs."""
-    occ = [(i is not None, i or 0, n, " ".join(p.decode() for p in parts)) for i, t in rows for n, _, _, parts in paragraphs(t or "")]
+    occ = [(i is not None, i or 0, n, " ".join(p.decode() for p in parts)) for i, t in rows for n, _, _, parts in paragraphs(t or "", 5)]
     texts = sorted({o[3] for o in occ})
     top = {t: t for t in texts}
 
@@ -52,7 +52,7 @@ def rows_of(rng):
 def test_matches_brute_force(spark):
     rows = rows_of(random.Random(3))
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, line int, pid int").repartition(4)
-    got = repeated_paragraphs(docs).collect()
+    got = repeated_paragraphs(docs, 5).collect()
     seen = sorted((r.doc_id is not None, r.doc_id or 0, r.line, r.members, (r.keep_doc_id is not None, r.keep_doc_id or 0, r.keep_line)) for r in got)
     assert seen == brute(rows)
     texts = dict((i, t) for i, t in rows)
@@ -135,7 +135,7 @@ def test_star_of_near_copies_is_one_cluster(spark):
     rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :]) if i != 150 else " ".join(base)) for i in range(301) for k in [rng.randrange(60)]]
     keys = band_keys(*shingle_hashes([words(t) for _, t in rows]))
     assert (keys == keys[150]).any(axis=1).all()
-    got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
     assert len(got) == 301 and {(r.members, r.keep_doc_id) for r in got} == {(301, 0)}
 
 
@@ -143,7 +143,7 @@ def test_short_lines_that_repeat_are_found(spark):
     rng = random.Random(14)
     notice, five = "All rights reserved by the owners of this work.", "Read the whole story here"
     rows = [(i, "\n".join([line(rng, 30), notice, line(rng, 12), five, line(rng, 8)])) for i in range(500)] + [(900, notice.upper()), (901, "four words are few"), (902, "four words are few")]
-    got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).collect()
     assert sorted((r.doc_id, r.line, r.members) for r in got) == sorted([(i, 1, 501) for i in range(500)] + [(900, 0, 501)] + [(i, 3, 500) for i in range(500)])
     assert sum(not r.removed for r in got) == 2
 
