@@ -69,37 +69,40 @@ def links_by_bucket(met: DataFrame, key: str, member: str) -> DataFrame:
 def large_bucket_links(met: DataFrame, links: DataFrame, key: str, member: str, shingles_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Links (a, b) that, with ``links``, connect all pairs of at least ``similarity`` that share a large bucket.
 
-    Members of a bucket that ``links`` connect already need no comparison, nor does a bucket whose members stand in
-    another key too. All others are compared: the members are dealt into blocks (a component of more than BLOCK
-    members into blocks of its own, whose pairs are left out), and each pair of blocks is a group of its own that
-    compares the shingle sets exactly and returns a spanning forest. ``shingles_of`` gives (member, shingles), sorted
-    32-bit hashes, of a table of members.
+    Large buckets that have members in common are taken together as one crowd, so that a pair that meets in many keys
+    is compared once. Members of a crowd that ``links`` connect already need no comparison. All others are compared: the
+    members are dealt into blocks (a component of more than BLOCK members into blocks of its own, whose pairs are left
+    out), and each pair of blocks is a group of its own that compares the shingle sets exactly and returns a spanning
+    forest. ``shingles_of`` gives (member, shingles), sorted 32-bit hashes, of a table of members.
     """
+    joint = cut(met.where(F.col("n") > SMALL_BUCKET).select("l0", member).distinct())
+    if joint.isEmpty():
+        return links.limit(0)
+    crowds = components(joint, "l0", member).select(F.col("node").alias(member), F.col("component").alias("crowd"))
     tops = components(links).select(F.col("node").alias(member), F.col("component").alias("top"))
-    rows = met.where(F.col("n") > SMALL_BUCKET).select(key, member).join(tops, member, "left").withColumn("top", F.coalesce("top", member))
-    h = F.xxhash64(member)
-    sets = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("top").alias("lo"), F.max("top").alias("hi"), F.bit_xor(h).alias("h"), F.sum(F.shiftright(h, 20)).alias("s"))
-    apart = sets.where("lo < hi").groupBy("n", "h", "s").agg(F.min(key).alias(key)).select(key, "n")
-    rows = cut(rows.join(apart, key))
+    rows = cut(crowds.join(tops, member, "left").withColumn("top", F.coalesce("top", member)))
+    apart = cut(rows.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("crowd", "n"))
+    rows = cut(rows.join(apart, "crowd"))
     if rows.isEmpty():
         return links.limit(0)
-    held = rows.groupBy(key, "top").agg(F.count(F.lit(1)).alias("c"))
+    held = cut(rows.groupBy("crowd", "top").agg(F.count(F.lit(1)).alias("c")))
+    h = F.xxhash64(member)
     own = F.col("c") > BLOCK
     part = F.when(own, F.pmod(h, F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("top"), F.ceil(F.col("n") / BLOCK)))
-    dealt = cut(rows.join(held, [key, "top"]).select(key, member, F.struct(own.alias("own"), F.when(own, F.col("top")).otherwise(0).alias("top"), part.alias("part")).alias("block")))
-    one = dealt.select(key, F.col("block").alias("i")).distinct()
+    dealt = cut(rows.join(held, ["crowd", "top"]).select("crowd", member, F.struct(own.alias("own"), F.when(own, F.col("top")).otherwise(0).alias("top"), part.alias("part")).alias("block")))
+    one = dealt.select("crowd", F.col("block").alias("i")).distinct()
     two = one.withColumnRenamed("i", "j")
-    facing = one.join(two, key).where("i <= j AND NOT (i.own AND j.own AND i.top = j.top)")
-    sides = facing.select(key, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    facing = one.join(two, "crowd").where("i <= j AND NOT (i.own AND j.own AND i.top = j.top)")
+    sides = facing.select("crowd", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     found = shingles_of(cut(dealt.select(member).distinct()))
-    groups = sides.join(dealt, [key, "block"]).join(found, member).select(key, "i", "j", F.col(member).alias("member"), "shingles")
+    groups = sides.join(dealt, ["crowd", "block"]).join(found, member).select("crowd", "i", "j", F.col(member).alias("member"), "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table["member"].to_numpy()
         a, b = spanning_links([np.frombuffer(x.as_py(), np.uint32) for x in table["shingles"]], similarity)
         return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
-    return groups.groupBy(key, "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return groups.groupBy("crowd", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def spanning_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
