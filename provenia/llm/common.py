@@ -81,11 +81,11 @@ def large_bucket_links(met: DataFrame, links: DataFrame, key: str, member: str,
     crowds = components(joint, "l0", member).select(F.col("node").alias(member), F.col("component").alias("crowd"))
     tops = components(links).select(F.col("node").alias(member), F.col("component").alias("top"))
     rows = cut(crowds.join(tops, member, "left").withColumn("top", F.coalesce("top", member)))
-    apart = cut(rows.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("crowd", "n"))
+    apart = rows.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("crowd", "n")
     rows = cut(rows.join(apart, "crowd"))
     if rows.isEmpty():
         return links.limit(0)
-    held = cut(rows.groupBy("crowd", "top").agg(F.count(F.lit(1)).alias("c")))
+    held = rows.groupBy("crowd", "top").agg(F.count(F.lit(1)).alias("c"))
     h = F.xxhash64(member)
     own = F.col("c") > BLOCK
     part = F.when(own, F.pmod(h, F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("top"), F.ceil(F.col("n") / BLOCK)))
@@ -189,11 +189,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = _digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # the minima are written, so that Spark can split a node with very many links in the plain join with them
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         edges = cut(edges)
-        low = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
         near = edges.join(low, "u")
         edges = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(edges)
