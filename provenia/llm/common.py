@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 #: Buckets of at most this many rows are compared pair by pair; larger ones through their smallest member and then by blocks.
 SMALL_BUCKET = 8
 #: Members of a large bucket that one task compares with as many others at once, and shingles of them.
-BLOCK = 256
+BLOCK = 512
 COLUMNS = 4096
 
 #: Keys of a table that are joined by broadcast: the most frequent ones, up to this many (some 50 MB).
 BROADCAST_KEYS = 1_000_000
 
+#: Keys with several members that are named to the tasks (some 30 MB); with more, all rows are shuffled to them.
+BROADCAST_COUNTS = 500_000
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -143,7 +146,8 @@ def colliding(keyed: DataFrame, key: str, member: str) -> DataFrame:
     """The rows whose key has several members, with n (their number) and l0 (the smallest)."""
     # written first, so that this is a plain join of two tables, in which Spark splits a key with very many rows
     counts = cut(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("l0")).where("n > 1"))
-    return keyed.join(counts, key)
+    few = counts.count() <= BROADCAST_COUNTS
+    return keyed.join(F.broadcast(counts) if few else counts, key)
 
 
 def weighed(rows: DataFrame, owner: str, key: str, table: DataFrame, value: str, most: int = BROADCAST_KEYS) -> DataFrame:

@@ -181,9 +181,11 @@ MISSED = 0.05
 DIFFERING = 0.09
 #: Chance that two 23-bit segments of such a pair share a Golay key (measured).
 FUZZY = 0.72
-#: Bins of the sketch of 5-word shingles that candidates must pass; its standard error at JACCARD is 0.031, so this is four below.
-BINS = 256
-SKETCHED = 0.31
+#: Bins of the sketch of 5-word shingles that candidates must pass; its standard error at JACCARD is 0.044, so this is four below.
+BINS = 128
+SKETCHED = 0.26
+#: A bin without a shingle.
+EMPTY = 0xFF
 #: Documents whose shingles are compared exactly are named to the tasks up to this many (8 MB); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -230,10 +232,10 @@ def features(text: str | None, bits: int) -> tuple[bytes, bytes, bytes] | None:
         ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(0, dtype=np.int64)
     sig = np.packbits(ones * 2 > len(own)).tobytes()
     grams = np.sort(_shingles(hashed))
-    sketch = np.full(BINS, 0xFFFF, np.uint16)
-    bins = (grams >> np.uint64(56)).astype(np.int64)
+    sketch = np.full(BINS, EMPTY, np.uint8)
+    bins = (grams // np.uint64(2**64 // BINS)).astype(np.int64)
     first = np.concatenate([[True], bins[1:] != bins[:-1]])
-    sketch[bins[first]] = np.minimum((grams[first] >> np.uint64(16)) & np.uint64(0xFFFF), 0xFFFE).astype(np.uint16)
+    sketch[bins[first]] = np.minimum((grams[first] >> np.uint64(16)) & np.uint64(0xFF), EMPTY - 1).astype(np.uint8)
     return sig, sketch.tobytes(), minhash_keys(grams).tobytes()
 
 
@@ -297,7 +299,7 @@ def band_keys(sig: np.ndarray, bands: int, exact_bits: int) -> tuple[np.ndarray,
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of the 5-word shingles, row by row, of (n, BINS) sketches."""
-    used = (a != 0xFFFF) | (b != 0xFFFF)
+    used = (a != EMPTY) | (b != EMPTY)
     return ((a == b) & used).sum(1) / np.maximum(1, used.sum(1))
 
 
@@ -324,7 +326,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     def promising(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in (2, 3))
                 yield batch.filter(pa.array(sketch_similarity(x, y) >= SKETCHED)).select([0, 1])
 
     def verified(batches):
