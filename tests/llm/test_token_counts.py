@@ -3,9 +3,7 @@ from collections import Counter
 
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import functions as F
 
-from provenia.llm.common import weighed
 from provenia.llm.token_counts import piece_table, pre_tokens, token_counts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,17 +25,20 @@ def test_blanks_and_odd_characters_at_any_place():
     assert own == [len(x) for x in model.encode(texts)]
 
 
-def test_each_pre_token_is_counted_once_and_rare_ones_are_joined_too(spark, docs, monkeypatch):
+def test_frequent_and_rare_pre_tokens(docs, monkeypatch):
     from provenia.llm import token_counts as module
 
     rows = docs.select("text")
     want = Counter(p for r in rows.collect() for p in pre_tokens(r.text or ""))
+    counts = sorted((r.n_tokens for r in token_counts(docs, PATH).collect()))
     monkeypatch.setattr(module, "KEPT", 50)
-    table, seed = piece_table(rows, PATH)
-    assert sorted(table.toPandas()["n"]) == sorted(want.values())
-    freq = module.frequencies(docs.select(F.monotonically_increasing_id().alias("doc"), "text"), seed)
-    for most in (0, 3, 10**6):
-        assert sorted(r.total for r in weighed(freq, "doc", "key", table, "tokens", most).collect()) == sorted(r.n_tokens for r in token_counts(docs, PATH).collect())
+    for frequent, most in ((1, 10**6), (8, 10**6), (1, 40), (10**9, 10**6)):
+        monkeypatch.setattr(module, "FREQUENT", frequent)
+        monkeypatch.setattr(module, "MOST", most)
+        table, _ = piece_table(rows, PATH)
+        n = table.count()
+        assert n <= most and (n == sum(k >= frequent for k in want.values()) or most == 40)
+        assert sorted(r.n_tokens for r in token_counts(docs, PATH).collect()) == counts
 
 
 def test_empty(empty):
