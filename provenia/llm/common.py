@@ -150,13 +150,14 @@ def colliding(keyed: DataFrame, key: str, member: str) -> DataFrame:
     return keyed.join(F.broadcast(counts) if few else counts, key)
 
 
-def weighed(rows: DataFrame, owner: str, key: str, table: DataFrame, value: str, most: int = BROADCAST_KEYS) -> DataFrame:
-    """Per owner, total (the sum of n x value) and times (the sum of n) over its rows (owner, key, n).
+def weighed(rows: DataFrame, owner: str, key: str, table: DataFrame, value: str, most: int = BROADCAST_KEYS, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per owner, total (the sum of n x value) and times (the sum of n) over its rows (owner, key, n); the sum of n x each column of ``also`` under its name.
 
     ``table`` has (key, n, value) for each key that ``rows`` can hold; a null key in ``rows`` weighs nothing. The most
     frequent keys, at most ``most`` by count, are joined by broadcast, so an owner's rows become one before anything is
     shuffled; rows with any other key are shuffled to it. Frequent keys are the ones that would make that join skewed.
     """
+    sums = {"total": value} | {name: name for name in also}
     steps = table.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("step")).collect()  # 64 at most
     floor, held = 63, 0
     for row in steps:
@@ -165,16 +166,17 @@ def weighed(rows: DataFrame, owner: str, key: str, table: DataFrame, value: str,
             break
         floor = row["step"]
     frequent = F.floor(F.log2("n")) >= floor
-    head = table.where(frequent).select(key, F.col(value).alias("_value"))
+    values = [F.col(column).alias(f"_{name}") for name, column in sums.items()]
+    head = table.where(frequent).select(key, *values)
     joined = rows.join(F.broadcast(head), key, "left")
-    rare = F.when(F.col("_value").isNull(), F.col(key))
-    sums = joined.groupBy(owner, rare.alias(key)).agg(F.sum(F.col("_value") * F.col("n")).alias("total"), F.sum(F.when(F.col(key).isNotNull(), F.col("n"))).alias("times"))
+    rare = F.when(F.col("_total").isNull(), F.col(key))
+    found = joined.groupBy(owner, rare.alias(key)).agg(*[F.sum(F.col(f"_{name}") * F.col("n")).alias(name) for name in sums], F.sum(F.when(F.col(key).isNotNull(), F.col("n"))).alias("times"))
     if held > most:
-        sums = cut(sums)
-        tail = table.where(~frequent).select(key, F.col(value).alias("_value"))
-        far = sums.where(F.col(key).isNotNull()).join(tail, key).select(owner, (F.col("_value") * F.col("times")).alias("total"), "times")
-        sums = sums.where(F.col(key).isNull()).select(owner, "total", "times").unionByName(far)
-    return sums.groupBy(owner).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("times"), F.lit(0)).alias("times"))
+        found = cut(found)
+        tail = table.where(~frequent).select(key, *values)
+        far = found.where(F.col(key).isNotNull()).drop(*sums).join(tail, key).select(owner, *[(F.col(f"_{name}") * F.col("times")).alias(name) for name in sums], "times")
+        found = found.where(F.col(key).isNull()).select(owner, *sums, "times").unionByName(far)
+    return found.groupBy(owner).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*sums, "times")])
 
 
 def small_pairs(met: DataFrame, key: str, member: str) -> DataFrame:

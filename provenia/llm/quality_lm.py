@@ -3,8 +3,9 @@
 The model is trained on trusted text (labelled good and not toxic). Counts are sharded by n-gram, the quantities of
 each context by context, and joined there: first among themselves, then with the distinct n-grams of the whole
 corpus, whose log probabilities make a table. That table is joined to the n-grams of each document and summed up. A
-document's perplexity is 2 to the mean of its bits a symbol; a document is rejected above a quantile of the trusted
-documents of its language. One trusted document in HELD_OUT, by its id's hash, stays out of the training and gives the
+document's perplexity is 2 to the mean of its bits a symbol. A few words that trusted text doesn't have hardly move that
+mean, so the same join also sums up the bits of each symbol beyond DEAR, which ordinary text hardly has: the tail. A
+document is rejected when either is above a quantile of the trusted documents of its language. One trusted document in HELD_OUT, by its id's hash, stays out of the training and gives the
 quantiles, so that they hold for text the model hasn't seen, however little it was trained on.
 """
 
@@ -22,10 +23,12 @@ SYMBOLS = 256
 #: Before a text's first symbol; no UTF-8 text has this byte.
 START = b"\xff" * (ORDER - 1)
 
-#: The threshold: this quantile of the trusted documents of the language.
-QUANTILE = 0.98
+#: The thresholds: this quantile of the trusted documents of the language.
+QUANTILE = 0.99
+#: Bits from which on a symbol counts into the tail: the model gave it less than one chance in 1,024.
+DEAR = 10
 HELD_OUT = 5
-#: A document's mean counts as if it had so many symbols more at its language's mean, so a short one isn't rejected by chance.
+#: A document's mean counts as if it had so many symbols more at its language's mean, and its tail as many of none, so a short one isn't rejected by chance.
 PRIOR = 200
 #: Ids are broadcast up to this many (16 MB of longs); beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -133,10 +136,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """(doc, bits, n, rate, threshold, kept) of the documents, given as rows (doc, text); doc is a struct with doc_id and lang.
+    """(doc, bits, n, rate, threshold, tail, tail_threshold, kept) of the documents, given as rows (doc, text); doc is a struct with doc_id and lang.
 
-    bits: the sum of -log2 p of the n symbols; rate: bits a symbol, drawn to the language's mean. None without any
-    trusted text to train on, or none to hold out.
+    bits: the sum of -log2 p of the n symbols; rate: bits a symbol, drawn to the language's mean; tail: bits beyond
+    DEAR a symbol, drawn to none. None without any trusted text to train on, or none to hold out.
     """
     ready(docs.sparkSession)
     ids = cut(trusted_ids(labels))
@@ -149,36 +152,38 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
     trained = counts.where("trained > 0").select("code", F.col("trained").alias("n"))
     if trained.isEmpty():
         return None
-    table = cut(bits_of(counts.select("code", "n"), kneser_ney(trained)))
-    scored = cut(weighed(document_grams(docs), "doc", "code", table, "bits").select("doc", F.col("total").alias("bits"), F.col("times").alias("n")))
+    table = cut(bits_of(counts.select("code", "n"), kneser_ney(trained)).withColumn("tail", F.greatest(F.col("bits") - DEAR, F.lit(0.0))))
+    sums = weighed(document_grams(docs), "doc", "code", table, "bits", also=("tail",))
+    scored = cut(sums.select("doc", F.col("total").alias("bits"), F.col("times").alias("n"), (F.col("tail") / (F.col("times") + PRIOR)).alias("tail")))
     lang = F.coalesce("doc.lang", F.lit(""))
-    unseen = cut(scored.where("n > 0").select(F.col("doc.doc_id").alias("doc_id"), lang.alias("_lang"), "bits", "n").join(ids.where(held), "doc_id", "left_semi"))
+    unseen = cut(scored.where("n > 0").select(F.col("doc.doc_id").alias("doc_id"), lang.alias("_lang"), "bits", "n", "tail").join(ids.where(held), "doc_id", "left_semi"))
     if unseen.isEmpty():
         return None
-    found = ((F.sum("bits") / F.sum("n")).alias("mean"), F.percentile_approx(F.col("bits") / F.col("n"), QUANTILE, 10_000).alias("threshold"))
+    names = ("mean", "threshold", "tail_threshold")
+    found = ((F.sum("bits") / F.sum("n")).alias("mean"), F.percentile_approx(F.col("bits") / F.col("n"), QUANTILE, 10_000).alias("threshold"), F.percentile_approx("tail", QUANTILE, 10_000).alias("tail_threshold"))
     by_lang = cut(unseen.groupBy("_lang").agg(*found))
     if by_lang.count() <= BROADCAST_LANGS:
         by_lang = F.broadcast(by_lang)
     overall = unseen.agg(*found).first()
     joined = scored.withColumn("_lang", lang).join(by_lang, "_lang", "left")
-    mean, threshold = (F.coalesce(F.col(c), F.lit(overall[c])) for c in ("mean", "threshold"))
+    mean, threshold, most = (F.coalesce(F.col(c), F.lit(overall[c])) for c in names)
     rate = (F.col("bits") + PRIOR * mean) / (F.col("n") + PRIOR)
-    return joined.select("doc", "bits", "n", rate.alias("rate"), threshold.alias("threshold"), (rate <= threshold).alias("kept"))
+    return joined.select("doc", "bits", "n", rate.alias("rate"), threshold.alias("threshold"), "tail", most.alias("tail_threshold"), ((rate <= threshold) & (F.col("tail") <= most)).alias("kept"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, lang, n_symbols, perplexity, threshold (of the perplexity), kept.
+    """One row per document: doc_id, lang, n_symbols, perplexity, threshold (of the perplexity), tail, tail_threshold, kept.
 
-    Null or empty text has no symbols and gets its language's mean, so it is kept. A null language is a language of
+    Null or empty text has no symbols and gets its language's mean and no tail, so it is kept. A null language is a language of
     its own; one without trusted documents has the threshold of all. Without any trusted text to train on, or none to
-    hold out, every document is kept with null perplexity and threshold. Repeated rows are judged each. Empty input: no rows.
+    hold out, every document is kept with null scores and thresholds. Repeated rows are judged each. Empty input: no rows.
     """
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang").alias("doc"), F.col("text").cast("string").alias("text"))
     found = judged(rows, labels)
     if found is None:
         none = F.lit(None).cast("double")
-        return docs.select(F.col("doc_id").cast("long"), "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    return found.select("doc.doc_id", "doc.lang", F.col("n").alias("n_symbols"), F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), "threshold").alias("threshold"), "kept")
+        return docs.select(F.col("doc_id").cast("long"), "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"), none.alias("perplexity"), none.alias("threshold"), none.alias("tail"), none.alias("tail_threshold"), F.lit(True).alias("kept"))
+    return found.select("doc.doc_id", "doc.lang", F.col("n").alias("n_symbols"), F.pow(F.lit(2.0), "rate").alias("perplexity"), F.pow(F.lit(2.0), "threshold").alias("threshold"), "tail", "tail_threshold", "kept")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -64,11 +64,14 @@ def test_document_sums_match_the_definition(spark, monkeypatch):
         assert r.bits == pytest.approx(-want(tuple(r.code.to_bytes(4, "big"))), rel=1e-9)
     docs = rows.select(F.struct(F.col("text").alias("name")).alias("doc"), "text")
     for most in (1_000_000, 200, 1):  # all by broadcast, some, hardly any
-        got = {r.doc.name: (r.total, r.times) for r in weighed(lm.document_grams(docs), "doc", "code", table, "bits", most).collect()}
+        both = weighed(lm.document_grams(docs), "doc", "code", table.withColumn("tail", F.greatest(F.col("bits") - lm.DEAR, F.lit(0.0))), "bits", most, ("tail",)).collect()
+        got = {r.doc.name: (r.total, r.times) for r in both}
+        tails = {r.doc.name: r.tail for r in both}
         assert len(got) == len(texts) + len(others)
         for t in texts + others:
             s = lm.START + (t or "").encode()
             assert got[t] == (pytest.approx(-sum(want(tuple(s[i - 3 : i + 1])) for i in range(3, len(s)))), len(s) - 3)
+            assert tails[t] == pytest.approx(sum(max(0, -want(tuple(s[i - 3 : i + 1])) - lm.DEAR) for i in range(3, len(s))))
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +97,21 @@ def test_rejects_junk_and_keeps_clean_documents(corpus):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
+def test_rejects_a_few_words_that_trusted_text_does_not_have(spark, corpus):
+    docs, labels = corpus
+    rng = random.Random(8)
+    rows = []
+    for i in range(20):
+        parts = prose(rng, 150).split()
+        for at in (10, 60, 110):
+            parts[at] = ("xqzzk", "vjyqq", "kwzxj")[at % 3]
+        rows.append((3000 + i, " ".join(parts), "en", 0, 0, 0.5))
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    found = {r.doc_id: r for r in lm.classify(both, labels).collect()}
+    assert not any(found[3000 + i].kept for i in range(20))
+    assert sum(found[i].kept for i in range(1, 300, 2)) >= 0.96 * 150
+
+
 def test_held_out_accuracy(corpus):
     docs, labels = corpus
     held = [r for r in lm.classify(docs, labels).collect() if r.doc_id is not None and (r.doc_id % 2 and r.doc_id < 300 or 1002 <= r.doc_id < 1020)]
