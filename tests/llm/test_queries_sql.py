@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark", "labels"):
+    for t in ("documents", "conversations", "benchmark", "labels", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     columns = ", ".join(sorted(df.columns))
