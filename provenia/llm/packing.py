@@ -24,7 +24,7 @@ END = 0
 
 
 def byte_bpe(ranks_path: str, special: dict[str, int]):
-    """text -> ids of a byte-level BPE vocabulary (and .decode back); strings of ``special`` inside texts become their ids.
+    """text -> ids of a byte-level BPE vocabulary (.decode back, .lengths of the ids in bytes); strings of ``special`` inside texts become their ids.
 
     The ranks file gives the same ids as the JSON file of the vocabulary beside it (tests compare them), several times
     faster. Its pattern can't be matched over runs of about a million blanks; such a text goes to ``tokenizers`` and the JSON file.
@@ -47,6 +47,9 @@ def byte_bpe(ranks_path: str, special: dict[str, int]):
                 patient[0].encode_special_tokens = not special
             return patient[0].encode(text, add_special_tokens=False).ids
 
+    encode.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    for piece, i in ranks.items():
+        encode.lengths[i] = len(piece)
     encode.decode = lambda ids: own.decode_bytes(ids).decode("utf-8", "replace")
     return encode
 
