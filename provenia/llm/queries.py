@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenia.llm import alignment, chat_format, decontamination, exact_dedup, hard_negatives, packing, pii, pii_sql, quality_lm, sharding, simhash, substring_dedup, token_counts
+from provenia.llm import alignment, chat_format, decontamination, exact_dedup, hard_negatives, ngram_join, packing, pii, pii_sql, quality_lm, sharding, simhash, substring_dedup, token_counts
 from provenia.llm.common import read
 
 SHARDS = 16
@@ -63,6 +63,10 @@ def op11_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+def op12_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(read(spark, sf_dir, "documents"))
+
+
 def op13_bincount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
 
