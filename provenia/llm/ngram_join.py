@@ -25,6 +25,8 @@ SHINGLE = 5
 BELOW = int(0.3 * (1 << 63))
 #: Sets that share a token up to this many meet at it in the first pass.
 FEW = 8
+#: Bits of the map of shared tokens that is sent to the tasks (32 MB). With more tokens than it can tell apart, more rows are joined.
+MAP_BITS = 28
 #: Sets of a group in the second pass.
 MEMBERS = 256
 #: Sets that a task compares in one go, and columns of a matrix of them.
@@ -91,11 +93,29 @@ def distinct_sets(rows: DataFrame, lows: DataFrame) -> DataFrame:
     return kept.select("sid", "size", "below", "tokens")
 
 
-def meeting(keyed: DataFrame) -> DataFrame:
-    """The rows (token, sid) whose token several sets have, with n, their number."""
-    counts = cut(keyed.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+def meeting(sets: DataFrame) -> DataFrame:
+    """The rows (token, sid) whose token several sets have, with n, their number.
+
+    Tokens that one set alone has, the most by far, are mostly told apart by a bitmap of MAP_BITS bits before the join.
+    """
+    counts = cut(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    low = F.col("token").bitwiseAND((1 << MAP_BITS) - 1)
+    parts = counts.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(32767)).alias("bits")).toArrow()  # 4 KB each
+    bits = np.zeros((1 << MAP_BITS - 15, 4096), np.uint8)
+    bits[parts["part"].to_numpy()] = np.frombuffer(b"".join(parts["bits"].to_pylist()), np.uint8).reshape(-1, 4096)
+    shared = sets.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(1)
+            tokens = own.flatten().to_numpy()
+            place = tokens & (1 << MAP_BITS) - 1
+            keep = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            sids = np.repeat(batch.column(0).to_numpy(), own.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(sids[keep])], names=["token", "sid"])
+
     few = counts.count() <= BROADCAST_KEYS
-    return cut(keyed.join(F.broadcast(counts) if few else counts, "token"))
+    return cut(sets.select("sid", "tokens").mapInArrow(run, "token long, sid long").join(F.broadcast(counts) if few else counts, "token"))
 
 
 def _size_class(size: Column) -> Column:
@@ -231,18 +251,23 @@ def units_of(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return members.unionByName(pairs.where("g != h").join(others, "h").select("g", "h", "sid", F.lit(True).alias("asking")))
 
 
+def _ranked(size: Column):
+    """Of a token among a set's first ones: whether it is one of those that must meet a larger set's."""
+    return lambda x, i: F.struct(x["n"].alias("n"), x["token"].alias("token"), (i <= F.floor(size / 9)).alias("early"))
+
+
 def common_links(sets: DataFrame, links: DataFrame) -> DataFrame:
     """Second pass: links that, with ``links``, connect the given sets (sid, tokens) as all their links do."""
     keyed = sets.select("sid", F.explode("tokens").alias("token"))
     counts = cut(keyed.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     each = keyed.join(counts, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"), F.min(F.when(F.col("n") > 1, F.col("token"))).alias("least"))
     size = F.size("order")
-    each = cut(each.where("least IS NOT NULL").select("sid", "least", _size_class(size).alias("class"), F.filter(F.slice("order", 1, _first(size).cast("int")), lambda x: x["n"] > 1).alias("first")).where("size(first) > 0"))
+    each = cut(each.where("least IS NOT NULL").select("sid", "least", _size_class(size).alias("class"), F.filter(F.transform(F.slice("order", 1, _first(size).cast("int")), _ranked(size)), lambda x: x["n"] > 1).alias("first")).where("size(first) > 0"))
     many = each.groupBy("least", "class").agg(F.count(F.lit(1)).alias("sets"))
     slot = F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / MEMBERS))
     placed = cut(each.join(many, ["least", "class"]).select("sid", "first", F.xxhash64("least", "class", slot).alias("g"), "class"))
     groups = placed.select("sid", "g")
-    held = placed.select("sid", "g", F.explode("first.token").alias("token"))
+    held = placed.select("sid", "g", "class", F.explode("first").alias("x")).select("sid", "g", "class", "x.token", "x.early")
     matrix = cut(held.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held")))
     tops = matrix.groupBy("token").agg(F.min("g").alias("h"))
     own = matrix.where("held > 1").select("g", F.col("g").alias("h"))
@@ -250,11 +275,15 @@ def common_links(sets: DataFrame, links: DataFrame) -> DataFrame:
     found = verified(units_of(met, groups), sets)
     # what the smallest groups leave apart: groups that share a token and have members that nothing connects yet
     linked = components(links.unionByName(found)).select(F.col("node").alias("sid"), "component")
-    entries = cut(held.join(linked, "sid", "left").select("token", "g", F.coalesce("component", "sid").alias("component")).distinct())
-    torn = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    entries = cut(held.join(linked, "sid", "left").groupBy("token", "g", "class", F.coalesce("component", "sid").alias("component")).agg(F.max("early").alias("early")))
+    own = F.xxhash64("g", "component", "early")
+    torn = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(own).alias("one"), F.sum(F.shiftright(own, 20)).alias("two")).where("lo < hi")
+    torn = torn.groupBy("n", "one", "two").agg(F.min("token").alias("token")).select("token")  # tokens of a crowd often stand in just the same groups
     left = cut(entries.join(torn, "token"))
-    other = left.select("token", F.col("g").alias("h"), F.col("component").alias("component_h"))
-    facing = left.join(other, "token").where("component != component_h AND g > h").select("g", "h").distinct()
+    other = left.select("token", *[F.col(c).alias(f"{c}_h") for c in ("g", "class", "component", "early")])
+    # of two sets that link, the sizes differ by a class at most, and the smaller has the token early (2 x 0.8 / 1.8 of it are common)
+    sizes = "(class = class_h AND (early OR early_h)) OR (class = class_h + 1 AND early_h) OR (class + 1 = class_h AND early)"
+    facing = left.join(other, "token").where(f"component != component_h AND g > g_h AND ({sizes})").select("g", F.col("g_h").alias("h")).distinct()
     done = met.where("g != h").select(F.greatest("g", "h").alias("g"), F.least("g", "h").alias("h"))
     facing = cut(facing.join(done, ["g", "h"], "left_anti"))
     return found if facing.isEmpty() else found.unionByName(verified(units_of(facing, groups), sets))
@@ -262,7 +291,7 @@ def common_links(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_sets(docs: DataFrame, sets: DataFrame, lows: DataFrame) -> DataFrame:
     """Links (a, b) that connect the distinct sets exactly as all pairs of Jaccard similarity 0.8 or more do."""
-    met = meeting(sets.select("sid", F.explode("tokens").alias("token")))
+    met = meeting(sets)
     many = F.col("n") > FEW
     stats = met.groupBy("sid").agg(F.count(F.when(many & (F.col("token") < BELOW), 1)).alias("common"), F.count(F.when(many, 1)).alias("many"), F.min(F.when(~many, F.col("token"))).alias("first"))
     # under the order of rare small, common small and large hashes, a set's first tokens are all rare if it has so many of them
