@@ -46,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a written table that one task reads back, so that a small table doesn't become many small shuffle files.
+ROWS_A_TASK = 200_000
+
+
+def tight(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
+    """``cut``, read back by as many tasks as its number of rows asks for."""
+    table = cut(df)
+    return table.coalesce(max(1, -(-table.count() // rows)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -191,17 +201,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating large-star and small-star steps; each step is two aggregations with map-side combine and is
     checkpointed. Stops when a round leaves the set of links as it was.
     """
-    edges = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    edges = tight(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = _digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        edges = cut(edges)
+        edges = tight(edges)
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         near = edges.join(low, "u")
         edges = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(edges)
+        edges = tight(edges)
         after = _digest(edges)
         if after == before:
             break

@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.common import BROADCAST_KEYS, components, cut, ready
+from provenia.llm.common import BROADCAST_KEYS, components, cut, ready, tight
 
 SHINGLE = 5
 #: Hashes are 63 bits; those below BELOW are in the first pass.
 BELOW = int(0.3 * (1 << 63))
 #: Sets that share a token up to this many meet at it in the first pass.
 FEW = 8
-#: Bits of the map of shared tokens that is sent to the tasks (32 MB). With more tokens than it can tell apart, more rows are joined.
-MAP_BITS = 28
+#: Bits of the map of shared tokens that is sent to the tasks: 8 to 16 a token, at most so many (32 MB; with more tokens, more rows are joined).
+MAP_BITS = 1 << 28
 #: Sets of a group in the second pass.
 MEMBERS = 256
 #: Sets that a task compares in one go, and columns of a matrix of them.
@@ -87,7 +87,7 @@ def described(docs: DataFrame) -> DataFrame:
 
 def distinct_sets(rows: DataFrame, lows: DataFrame) -> DataFrame:
     """One of the rows of each sid. Copies are named to the tasks if they are few, so that their tokens needn't move."""
-    copies = cut(rows.where("sid IS NOT NULL").select("sid", "row").join(lows.select("sid", F.col("row").alias("own")), "sid").where("row != own").select("row"))
+    copies = tight(rows.where("sid IS NOT NULL").select("sid", "row").join(lows.select("sid", F.col("row").alias("own")), "sid").where("row != own").select("row"))
     few = copies.count() <= BROADCAST_IDS
     kept = rows.where("sid IS NOT NULL").join(F.broadcast(copies) if few else copies, "row", "left_anti")
     return kept.select("sid", "size", "below", "tokens")
@@ -96,12 +96,14 @@ def distinct_sets(rows: DataFrame, lows: DataFrame) -> DataFrame:
 def meeting(sets: DataFrame) -> DataFrame:
     """The rows (token, sid) whose token several sets have, with n, their number.
 
-    Tokens that one set alone has, the most by far, are mostly told apart by a bitmap of MAP_BITS bits before the join.
+    Tokens that one set alone has, the most by far, are mostly told apart by a bitmap before the join.
     """
     counts = cut(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    low = F.col("token").bitwiseAND((1 << MAP_BITS) - 1)
+    known = counts.count()
+    size = min(MAP_BITS, 1 << max(15, (8 * known).bit_length()))
+    low = F.col("token").bitwiseAND(size - 1)
     parts = counts.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(32767)).alias("bits")).toArrow()  # 4 KB each
-    bits = np.zeros((1 << MAP_BITS - 15, 4096), np.uint8)
+    bits = np.zeros((size >> 15, 4096), np.uint8)
     bits[parts["part"].to_numpy()] = np.frombuffer(b"".join(parts["bits"].to_pylist()), np.uint8).reshape(-1, 4096)
     shared = sets.sparkSession.sparkContext.broadcast(bits.ravel())
 
@@ -109,13 +111,13 @@ def meeting(sets: DataFrame) -> DataFrame:
         for batch in batches:
             own = batch.column(1)
             tokens = own.flatten().to_numpy()
-            place = tokens & (1 << MAP_BITS) - 1
+            place = tokens & size - 1
             keep = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             sids = np.repeat(batch.column(0).to_numpy(), own.value_lengths().to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(sids[keep])], names=["token", "sid"])
 
-    few = counts.count() <= BROADCAST_KEYS
-    return cut(sets.select("sid", "tokens").mapInArrow(run, "token long, sid long").join(F.broadcast(counts) if few else counts, "token"))
+    few = known <= BROADCAST_KEYS
+    return tight(sets.select("sid", "tokens").mapInArrow(run, "token long, sid long").join(F.broadcast(counts) if few else counts, "token"))
 
 
 def _size_class(size: Column) -> Column:
@@ -125,7 +127,7 @@ def _size_class(size: Column) -> Column:
 def opened_groups(met: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First pass: ((g, h, sid) of the queries of group h that open group g, (sid, g) of all members)."""
     groups = info.where("first IS NOT NULL").select("sid", F.xxhash64("first", _size_class(F.col("size"))).alias("g"))
-    few = cut(met.where(F.col("n") <= FEW).select("token", "sid").join(groups, "sid"))
+    few = tight(met.where(F.col("n") <= FEW).select("token", "sid").join(groups, "sid"))
     matrix = few.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held"))
     about = info.join(groups, "sid").groupBy("g").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("below").alias("group_below"))
     asked = few.withColumnRenamed("g", "h").join(matrix, "token").where("g > h OR (g = h AND held > 1)")
@@ -223,7 +225,7 @@ def compared(sets: list[np.ndarray], asking: np.ndarray) -> tuple[np.ndarray, np
 
 def verified(units: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) of the units (g, h, sid, asking): sets that are compared with each other, several units in one go."""
-    units = cut(units)
+    units = tight(units)
     dealt = units.withColumn("part", F.pmod(F.xxhash64("g", "h"), F.lit(max(1, units.count() // TOGETHER))))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -241,7 +243,7 @@ def verified(units: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return cut(dealt.join(sets, "sid").groupBy("part").applyInArrow(compare, "a long, b long").distinct())
+    return tight(dealt.join(sets, "sid").groupBy("part").applyInArrow(compare, "a long, b long").distinct())
 
 
 def units_of(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -262,30 +264,30 @@ def common_links(sets: DataFrame, links: DataFrame) -> DataFrame:
     counts = cut(keyed.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     each = keyed.join(counts, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"), F.min(F.when(F.col("n") > 1, F.col("token"))).alias("least"))
     size = F.size("order")
-    each = cut(each.where("least IS NOT NULL").select("sid", "least", _size_class(size).alias("class"), F.filter(F.transform(F.slice("order", 1, _first(size).cast("int")), _ranked(size)), lambda x: x["n"] > 1).alias("first")).where("size(first) > 0"))
+    each = tight(each.where("least IS NOT NULL").select("sid", "least", _size_class(size).alias("class"), F.filter(F.transform(F.slice("order", 1, _first(size).cast("int")), _ranked(size)), lambda x: x["n"] > 1).alias("first")).where("size(first) > 0"))
     many = each.groupBy("least", "class").agg(F.count(F.lit(1)).alias("sets"))
     slot = F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / MEMBERS))
-    placed = cut(each.join(many, ["least", "class"]).select("sid", "first", F.xxhash64("least", "class", slot).alias("g"), "class"))
+    placed = tight(each.join(many, ["least", "class"]).select("sid", "first", F.xxhash64("least", "class", slot).alias("g"), "class"))
     groups = placed.select("sid", "g")
     held = placed.select("sid", "g", "class", F.explode("first").alias("x")).select("sid", "g", "class", "x.token", "x.early")
-    matrix = cut(held.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held")))
+    matrix = tight(held.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held")))
     tops = matrix.groupBy("token").agg(F.min("g").alias("h"))
     own = matrix.where("held > 1").select("g", F.col("g").alias("h"))
-    met = cut(own.unionByName(matrix.join(tops, "token").where("g != h").select("g", "h")).distinct())
+    met = tight(own.unionByName(matrix.join(tops, "token").where("g != h").select("g", "h")).distinct())
     found = verified(units_of(met, groups), sets)
     # what the smallest groups leave apart: groups that share a token and have members that nothing connects yet
     linked = components(links.unionByName(found)).select(F.col("node").alias("sid"), "component")
-    entries = cut(held.join(linked, "sid", "left").groupBy("token", "g", "class", F.coalesce("component", "sid").alias("component")).agg(F.max("early").alias("early")))
+    entries = tight(held.join(linked, "sid", "left").groupBy("token", "g", "class", F.coalesce("component", "sid").alias("component")).agg(F.max("early").alias("early")))
     own = F.xxhash64("g", "component", "early")
     torn = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(own).alias("one"), F.sum(F.shiftright(own, 20)).alias("two")).where("lo < hi")
     torn = torn.groupBy("n", "one", "two").agg(F.min("token").alias("token")).select("token")  # tokens of a crowd often stand in just the same groups
-    left = cut(entries.join(torn, "token"))
+    left = tight(entries.join(torn, "token"))
     other = left.select("token", *[F.col(c).alias(f"{c}_h") for c in ("g", "class", "component", "early")])
     # of two sets that link, the sizes differ by a class at most, and the smaller has the token early (2 x 0.8 / 1.8 of it are common)
     sizes = "(class = class_h AND (early OR early_h)) OR (class = class_h + 1 AND early_h) OR (class + 1 = class_h AND early)"
     facing = left.join(other, "token").where(f"component != component_h AND g > g_h AND ({sizes})").select("g", F.col("g_h").alias("h")).distinct()
     done = met.where("g != h").select(F.greatest("g", "h").alias("g"), F.least("g", "h").alias("h"))
-    facing = cut(facing.join(done, ["g", "h"], "left_anti"))
+    facing = tight(facing.join(done, ["g", "h"], "left_anti"))
     return found if facing.isEmpty() else found.unionByName(verified(units_of(facing, groups), sets))
 
 
@@ -296,15 +298,15 @@ def near_sets(docs: DataFrame, sets: DataFrame, lows: DataFrame) -> DataFrame:
     stats = met.groupBy("sid").agg(F.count(F.when(many & (F.col("token") < BELOW), 1)).alias("common"), F.count(F.when(many, 1)).alias("many"), F.min(F.when(~many, F.col("token"))).alias("first"))
     # under the order of rare small, common small and large hashes, a set's first tokens are all rare if it has so many of them
     crowded = (F.col("many") > 0) & (F.col("below") - F.col("common") < _first(F.col("size")))
-    info = cut(sets.select("sid", "size", "below").join(stats, "sid").withColumn("crowded", crowded))
+    info = tight(sets.select("sid", "size", "below").join(stats, "sid").withColumn("crowded", crowded))
     opened, groups = opened_groups(met, info)
-    opened = cut(opened)
+    opened = tight(opened)
     pairs = opened.select("g", "h").distinct()
-    units = units_of(pairs, groups).where("NOT asking").unionByName(opened.where("g != h").withColumn("asking", F.lit(True)).select("g", "h", "sid", "asking"))
-    units = cut(units)
+    members = pairs.join(groups, "g").select("g", "h", "sid", F.lit(False).alias("asking"))
+    units = tight(members.unionByName(opened.where("g != h").select("g", "h", "sid", F.lit(True).alias("asking"))))
     crowd = info.where("crowded").select("sid")
-    wanted = cut(units.select("sid").unionByName(crowd).distinct().join(lows.select("sid", "low"), "sid"))
-    full = cut(sets_of(docs, wanted))
+    wanted = tight(units.select("sid").unionByName(crowd).distinct().join(lows.select("sid", "low"), "sid"))
+    full = tight(sets_of(docs, wanted), 20_000)
     links = verified(units, full)
     return links.unionByName(common_links(full.join(crowd, "sid", "left_semi"), links))
 
