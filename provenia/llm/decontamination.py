@@ -9,11 +9,12 @@ passages count in full. Only documents over the threshold come out.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenia.llm.common import cut, ready, words
@@ -22,8 +23,10 @@ LEAST = 5
 COVERAGE = 0.5
 #: Different seeds of the benchmark that are sent to the tasks (8 MB), so that they emit only those; with more, all seeds are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
-#: Documents that are named to the tasks (some 64 MB); with more, they are joined by shuffle.
+#: Pairs of names, or names, that are sent to the tasks (some 150 MB at most); with more, they are joined by shuffle.
 BROADCAST_NAMES = 1_000_000
+#: Bytes of the benchmark's texts that are sent to the tasks; with more, items are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Rows of a batch of seeds.
 ROWS = 200_000
 
@@ -54,29 +57,37 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(start in item, start in text, length) of the greedy tiling; negative ids match nothing."""
+    """(start in item, start in text, length) of the greedy tiling; negative ids match nothing.
+
+    Always the longest match of free words is marked next, ties by place; window sizes only find the long ones quickly.
+    """
     free_i, free_t = item >= 0, text >= 0
     size = max(least, min(len(item), len(text)))
     found: list[tuple[int, int, int]] = []
     while size >= least:
         places: dict[int, list[int]] = {}
-        run_t = _free_runs(free_t, size)
         hash_t = window_hashes(text, size)
-        for j in np.flatnonzero(run_t).tolist():
+        for j in np.flatnonzero(_free_runs(free_t, size)).tolist():
             places.setdefault(int(hash_t[j]), []).append(j)
         hash_i = window_hashes(item, size)
-        matches = []
-        for i in np.flatnonzero(_free_runs(free_i, size)).tolist():
-            for j in places.get(int(hash_i[i]), ()):
-                n = 0
-                while i + n < len(item) and j + n < len(text) and free_i[i + n] and free_t[j + n] and item[i + n] == text[j + n]:
-                    n += 1
-                if n >= size:
-                    matches.append((-n, i, j))
-        for n, i, j in sorted(matches):
-            if free_i[i : i - n].all() and free_t[j : j - n].all():
-                free_i[i : i - n] = free_t[j : j - n] = False
-                found.append((i, j, -n))
+
+        def free_match(i: int, j: int) -> int:
+            n = 0
+            while i + n < len(item) and j + n < len(text) and free_i[i + n] and free_t[j + n] and item[i + n] == text[j + n]:
+                n += 1
+            return n
+
+        heap = [(-n, i, j) for i in np.flatnonzero(_free_runs(free_i, size)).tolist() for j in places.get(int(hash_i[i]), ()) if (n := free_match(i, j)) >= size]
+        heapify(heap)
+        while heap:
+            n, i, j = heappop(heap)
+            left = free_match(i, j)  # an earlier tile may have taken its tail
+            if left < -n:
+                if left >= size:
+                    heappush(heap, (-left, i, j))
+            else:
+                free_i[i : i + left] = free_t[j : j + left] = False
+                found.append((i, j, left))
         size = size // 2 if size > 2 * least else least if size > least else 0
     return found
 
@@ -141,17 +152,28 @@ def seeds(rows: DataFrame, least: int, wanted=None) -> DataFrame:
 def candidates(docs: DataFrame, items: DataFrame, coverage: float, least: int) -> DataFrame:
     """(doc, item): names of the pairs that share enough seeds. ``docs`` and ``items`` are rows (name, text).
 
-    Tiles of ``coverage`` of an item's words hold at least a ``least``-th as many of its seeds' places, whatever their lengths.
+    Tiles of ``coverage`` of an item's words hold at least a ``least``-th as many of its seeds' places, whatever their
+    lengths. All places but one less than that many must so hold one that is shared: the seeds that most items have
+    are left out of the join as far as that goes, and counted as if each document had them.
     """
-    of_items = cut(seeds(items.dropDuplicates(["name"]), least))
+    each = cut(seeds(items.dropDuplicates(["name"]), least))
+    often = each.join(each.groupBy("seed").agg(F.count(F.lit(1)).alias("items")), "seed")
+    before = F.sum("n").over(Window.partitionBy("name").orderBy("items", "seed")) - F.col("n")
+    places = F.col("words") - least + 1
+    of_items = cut(often.withColumn("open", places - F.ceil(F.lit(coverage) * F.col("words") / least) + 1 - before).where("open > 0").select("name", "seed", "n", "words"))
+    left_out = F.max("words") - least + 1 - F.sum("n")
+    of_items = of_items.join(of_items.groupBy("name").agg(left_out.alias("others")), "name")
     distinct = cut(of_items.select("seed").distinct())
     wanted = None
-    if 0 < distinct.count() <= BROADCAST_SEEDS:
+    found = distinct.count()
+    if not found:
+        return docs.sparkSession.createDataFrame([], f"doc {_NAME}, item {_NAME}")
+    if found <= BROADCAST_SEEDS:
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(distinct.toPandas()["seed"].to_numpy().view(np.uint64)))
     of_docs = seeds(docs, least, wanted).select(F.col("name").alias("doc"), "seed").distinct() if wanted is None else seeds(docs, least, wanted).select(F.col("name").alias("doc"), "seed")
-    met = of_docs.join(of_items.select(F.col("name").alias("item"), "seed", "n", "words"), "seed")
+    met = of_docs.join(of_items.select(F.col("name").alias("item"), "seed", "n", "words", "others"), "seed")
     # repeated rows of a document bring its seeds again; they only raise the sum
-    return met.groupBy("doc", "item").agg(F.sum("n").alias("shared"), F.max("words").alias("words")).where(F.col("shared") * least >= coverage * F.col("words")).select("doc", "item")
+    return met.groupBy("doc", "item").agg((F.sum("n") + F.max("others")).alias("shared"), F.max("words").alias("words")).where(F.col("shared") * least >= coverage * F.col("words")).select("doc", "item")
 
 
 def tiled(item: list[bytes], text: list[bytes], least: int = LEAST) -> tuple[int, int]:
@@ -191,9 +213,10 @@ def contaminated_names(docs: DataFrame, benchmark: DataFrame, coverage: float, l
             at = pa.array([r[0] for r in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2, 3)), pa.array([r[4] for r in out], pa.float64())], names=["doc", "item", "item_words", "matched_words", "tiles", "coverage"])
 
-    with_items = pairs.join(items.dropDuplicates(["name"]).select(F.col("name").alias("item"), F.col("text").alias("item_text")), "item")
-    texts = rows.select(F.col("name").alias("doc"), "text")
-    both = texts.join(F.broadcast(with_items) if few else with_items, "doc").select("doc", "item", "item_text", "text")
+    own = items.dropDuplicates(["name"]).select(F.col("name").alias("item"), F.col("text").alias("item_text"))
+    small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
+    texts = rows.select(F.col("name").alias("doc"), "text").join(F.broadcast(pairs) if few else pairs, "doc")
+    both = texts.join(F.broadcast(own) if small else own, "item").select("doc", "item", "item_text", "text")
     return both.mapInArrow(run, f"doc {_NAME}, item {_NAME}, item_words long, matched_words long, tiles long, coverage double")
 
 

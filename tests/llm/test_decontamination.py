@@ -91,3 +91,53 @@ def test_query_matches_tiling_of_all_pairs(spark, monkeypatch):
 def test_empty(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(empty, bench).collect() == []
+
+
+def exhaustive(item, text, least):
+    """The longest free match again and again, by trying every pair of places."""
+    free_i, free_t, found = [True] * len(item), [True] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and free_i[i + n] and free_t[j + n] and item[i + n] == text[j + n]:
+                    n += 1
+                best = min(best, (-n, i, j))
+        n = -best[0]
+        if n < least:
+            return found
+        _, i, j = best
+        free_i[i : i + n] = free_t[j : j + n] = [False] * n
+        found.append((i, j, n))
+
+
+def test_tiling_is_exhaustive():
+    assert sum(n for *_, n in tiles(np.arange(20), np.array([*range(12, 20), -1, *range(7, 14), -1, *range(15, 20)]), 5)) == 13
+    rng = np.random.default_rng(8)
+    for k in range(1500):
+        item = rng.permutation(24) if k % 2 else rng.integers(0, 6, 24)
+        parts = [item[s : s + rng.integers(2, 12)] for s in rng.integers(0, 22, 4)]
+        text = np.concatenate([x for p in parts for x in (p, [-1] * int(rng.integers(0, 2)))]).astype(np.int64)
+        assert tiles(item, text, 4) == exhaustive(item.tolist(), text.tolist(), 4)
+
+
+def test_hot_seeds_and_large_items(spark, monkeypatch):
+    """A passage that all items share, left out of the join, and items joined by shuffle, give the same rows."""
+    from provenia.llm import decontamination as module
+
+    rng = random.Random(4)
+    hot = [f"hot{k}" for k in range(12)]
+    items = [(k, " ".join([f"i{k}w{j}" for j in range(30)] + hot)) for k in range(12)]
+    docs = []
+    for k in range(60):
+        own = items[k % 12][1].split()
+        part = own[: rng.randrange(5, 42)]
+        docs.append((k, " ".join(hot + [f"d{k}"] + part[len(part) // 2 :] + ["x"] + part[: len(part) // 2])))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((d, i, *tiled([w.encode() for w in u.split()], [w.encode() for w in t.split()])) for d, t in docs for i, u in items)
+    want = [x for x in want if x[2] >= 0.5 * 42]
+    for limit in (64 << 20, 0):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", limit)
+        got = sorted((r.doc_id, r.item_id, r.matched_words, r.tiles) for r in contaminated(a, b).collect())
+        assert got == want and 10 < len(want) < 60
