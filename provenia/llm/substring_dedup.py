@@ -1,9 +1,7 @@
 """Substring dedup: paragraphs and passages that repeat, exactly or nearly, within and across documents.
 
-A paragraph is a line of at least ``least`` words (lower case, punctuation left out): SHINGLE at the lowest, PARAGRAPH
-unless said otherwise, for short lines such as headings and sentences of boilerplate recur in documents that nobody
-would call copies. MinHash over its 5-word
-shingles is cut into BANDS bands of ROWS minima: at similarity 0.8 a pair shares a band with probability 0.997, and
+A paragraph is a line of at least ``least`` words (lower case, punctuation left out), SHINGLE unless more are asked for.
+MinHash over its 5-word shingles is cut into BANDS bands of ROWS minima: at similarity 0.8 a pair shares a band with probability 0.997, and
 unrelated prose shares practically no shingle at all. Colliding paragraphs are verified by exact Jaccard similarity
 of their shingle sets, linked ones are clustered by components, and every occurrence but a cluster's first is marked.
 
@@ -23,8 +21,6 @@ from provenia.llm.common import colliding, components, cut, large_bucket_links,
 
 #: Words of a shingle, and the fewest that a paragraph can have.
 SHINGLE = 5
-#: Words of a line from which on it is a paragraph.
-PARAGRAPH = 25
 #: Words of a window.
 MIN_WORDS = 25
 SPREAD = 26
@@ -276,7 +272,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return hits.join(first, "hash").select("doc_id", "word", "start", "length", F.col("hash").alias("cluster_id"), "members", "keep")
 
 
-def repeats(docs: DataFrame, least: int = PARAGRAPH) -> DataFrame:
+def repeats(docs: DataFrame, least: int = SHINGLE) -> DataFrame:
     """Repeated paragraphs and passages, one row per occurrence.
 
     Columns: doc_id, unit ('paragraph' or 'passage'), at (line of the paragraph, first word of the passage), start,
@@ -289,7 +285,7 @@ def repeats(docs: DataFrame, least: int = PARAGRAPH) -> DataFrame:
     return one.unionByName(two)
 
 
-def repeated_paragraphs(docs: DataFrame, least: int = PARAGRAPH) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, least: int = SHINGLE) -> DataFrame:
     """One row per occurrence of a paragraph whose cluster has several.
 
     Columns: doc_id, line, start, length (code points of the text), cluster_id, members, keep_doc_id, keep_line,
@@ -309,7 +305,7 @@ def repeated_paragraphs(docs: DataFrame, least: int = PARAGRAPH) -> DataFrame:
     return out.select("doc_id", "line", "start", "length", "cluster_id", "members", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), (~here).alias("removed"))
 
 
-def drop_repeats(docs: DataFrame, least: int = PARAGRAPH) -> DataFrame:
+def drop_repeats(docs: DataFrame, least: int = SHINGLE) -> DataFrame:
     """The documents, columns as they were, their texts without the removed paragraphs and passages.
 
     Overlapping spans are removed once; line feeds between removed lines stay.
