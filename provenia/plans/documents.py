@@ -135,4 +135,13 @@ def capture_stream_queue(spark, d):
     """Assistant turns as a stream of capture files: each answer once, drained by a trigger that ends."""
     from provenia.streaming.queue import drain
 
-    return drain(answers(spark, d))
+    return drain(answers(spark, d)).drop("capture")
+
+
+@query(f"WITH {ANSWERS_SQL}, k AS (SELECT DISTINCT answer_text, length(answer_text) % 5 + 1 AS k FROM a) SELECT sha256(answer_text) AS answer_sha256, CASE WHEN k <= 3 THEN 'ok' ELSE 'failed' END AS status, CAST(least(k, 3) AS INT) AS attempts FROM k")
+def capture_retry_queue(spark, d):
+    """The queue over several runs of one checkpoint: captures drop in two parts, and an answer passes at its first to fifth attempt, by its length."""
+    from provenia.streaming.queue import drain
+
+    passes = F.col("attempts") > F.length("answer_text") % 5
+    return drain(answers(spark, d), lambda rows: rows.select("answer_sha256", F.when(passes, "ok").otherwise("failed").alias("status")), drops=2).drop("capture")

@@ -1,23 +1,39 @@
-"""The capture queue as a file stream: new captures are picked up in bounded batches, each answer is audited once, and
-a ledger carries attempts. State is bounded: answers already done are an anti join with the ledger, not stream state."""
+"""The capture queue as one stateful stream: each answer is audited once, failures are tried again, and nothing is lost.
+
+The stream reads two folders, captures and the ledger that its own batches write, and keeps a state for each answer's
+hash: attempts, the capture's name, and the text until the answer is settled. A capture of a new answer is due at once.
+A failed entry of the ledger makes its answer due again after the back-off, up to ATTEMPTS. An attempt without an
+entry after LOCK is taken for dead and its answer is due again. Batches write their entries into folders of their own
+number, so that a batch that runs again gives the same attempts and replaces what it wrote.
+"""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from provenia.operators.ordering import keep_first, keep_last
+from provenia.operators.ordering import keep_last
+from provenia.session import importable
 
 FILES_PER_BATCH = 5
 ATTEMPTS = 3
+#: Milliseconds after which an attempt that left no entry counts as dead.
+LOCK = 2 * 60 * 60 * 1000
 CAPTURE = "query_id string, answer_text string"
 LEDGER = "answer_sha256 string, capture string, status string, attempts int, batch long"
+DUE = "answer_sha256 string, query_id string, answer_text string, attempts int"
+STATE = "status string, attempts int, capture string, text string, at long"
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,65 +44,126 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(shared or tempfile.mkdtemp(prefix="provenia-"), f"queue-{uuid.uuid4().hex}")
 
 
-def watch(spark: SparkSession, captures: str, ledger: str, checkpoint: str, audit: Callable[[DataFrame], DataFrame]):
-    """Starts the stream. ``audit`` maps captures to (answer_sha256, status); the last entry of an answer in the ledger counts."""
+class Attempts(StatefulProcessor):
+    """Rows due for an audit, from captures and from the entries of earlier audits.
 
-    def batch(rows: DataFrame, number: int) -> None:
-        record(rows, ledger, number, audit)
+    Statuses: waiting (an attempt is out; ``at`` is when), failed (the next one is due after the back-off), ok, given up.
+    """
 
-    stream = spark.readStream.schema(CAPTURE).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(captures)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, attempts: int, backoff: int, lock: int) -> None:
+        self.most, self.backoff, self.lock = attempts, backoff, lock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("answer", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        now = timers.getCurrentProcessingTimeInMs()
+        frame = pd.concat(list(rows))
+        entries = frame[frame["status"].notna()].sort_values("attempts")
+        captures = frame[frame["status"].isna()].sort_values("query_id", na_position="last")
+        held = self.state.get() if self.state.exists() else None
+        for entry in entries.itertuples(index=False):
+            if held is not None and held[0] == "waiting" and entry.attempts == held[1]:
+                held = self._after(held, entry.status, now)
+        if held is None and len(captures):
+            first = captures.iloc[0]
+            held = ("failed", 0, first["query_id"], first["answer_text"], now)
+        if held is not None:
+            yield from self._due(key, held, now)
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        now = timers.getCurrentProcessingTimeInMs()
+        held = self.state.get() if self.state.exists() else None
+        if held is not None:
+            if held[0] == "waiting" and now >= held[4] + self.lock:
+                held = self._after(held, "dead", now)
+            yield from self._due(key, held, now)
+
+    def close(self) -> None:
+        pass
+
+    def _after(self, held, status: str, now: int):
+        """The state after an attempt has ended; the text goes once the answer is settled."""
+        if status == "ok":
+            return ("ok", held[1], held[2], "", now)
+        if held[1] >= self.most:
+            return ("given up", held[1], held[2], "", now)
+        return ("failed", held[1], held[2], held[3], now + self.backoff)
+
+    def _due(self, key, held, now: int) -> Iterator[pd.DataFrame]:
+        if held[0] != "failed":
+            self.state.update(tuple(held))
+        elif now < held[4]:
+            self.state.update(tuple(held))
+            self.handle.registerTimer(held[4])
+        else:
+            self.state.update(("waiting", held[1] + 1, held[2], held[3], now))
+            self.handle.registerTimer(now + self.lock)
+            yield pd.DataFrame({"answer_sha256": [key[0]], "query_id": [held[2]], "answer_text": [held[3]], "attempts": [held[1] + 1]})
+
+
+def watch(spark: SparkSession, captures: str, ledger: str, checkpoint: str, audit: Callable[[DataFrame], DataFrame], attempts: int = ATTEMPTS, backoff: int = 0, lock: int = LOCK):
+    """Starts one run of the stream, which ends when what lies in both folders is read.
+
+    ``audit`` maps due rows (answer_sha256, query_id, answer_text, attempts) to (answer_sha256, status). An answer that
+    it gives no status failed. Captures with a null text are left out; equal texts are one answer, named by the
+    smallest query_id of the batch that brings it. ``captures`` and ``ledger`` must exist; the ledger is empty at first.
+    """
+    importable(spark)
+    # an empty table of its own gives each run a batch, in which timers that have run out are seen; without it, a
+    # run that ends when all is read would never end, for a state with timers asks for one batch after another
+    spark.createDataFrame([], LEDGER).write.parquet(f"{ledger}/run={uuid.uuid4().hex}")
+    new = spark.readStream.schema(CAPTURE).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(captures).where("answer_text IS NOT NULL")
+    new = new.select(F.sha2("answer_text", 256).alias("answer_sha256"), "query_id", "answer_text", F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("attempts"))
+    old = spark.readStream.schema(LEDGER).parquet(ledger)
+    old = old.select("answer_sha256", F.col("capture").alias("query_id"), F.lit(None).cast("string").alias("answer_text"), "status", "attempts")
+    due = new.unionByName(old).groupBy("answer_sha256").transformWithStateInPandas(Attempts(attempts, backoff, lock), DUE, "append", "ProcessingTime")
+    writer = due.writeStream.foreachBatch(lambda rows, n: record(rows, ledger, n, audit)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        return writer.start()  # the stream keeps the settings of its start
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def record(rows: DataFrame, ledger: str, number: int, audit: Callable[[DataFrame], DataFrame]) -> None:
-    """Audits the captures that still need it and writes the batch's entries into a folder of their own.
+    """Audits the due rows and writes the batch's entries; a batch that runs again replaces its own."""
+    rows = rows.persist()
+    if not rows.isEmpty():
+        said = rows.select("answer_sha256", F.col("query_id").alias("capture"), "attempts").join(audit(rows), "answer_sha256", "left")
+        entry = said.select("answer_sha256", "capture", F.coalesce("status", F.lit("failed")).alias("status"), "attempts", F.lit(number).cast("long").alias("batch"))
+        entry.write.mode("overwrite").parquet(f"{ledger}/run=batch-{number}")
+    rows.unpersist()
 
-    A batch that runs again sees the entries of earlier batches only and replaces its own, so no attempt counts twice.
-    """
-    spark = rows.sparkSession
-    hashed = rows.withColumn("answer_sha256", F.sha2("answer_text", 256))
-    done = last_entries(spark, ledger, number)
-    todo = keep_first(hashed, ["answer_sha256"], ["query_id"]).join(done, "answer_sha256", "left").where(f"status IS NULL OR (status != 'ok' AND attempts < {ATTEMPTS})")
-    named = todo.select("answer_sha256", F.col("query_id").alias("capture"), F.coalesce("attempts", F.lit(0)).alias("before"))
-    result = named.join(audit(todo), "answer_sha256", "left")
-    entry = result.select("answer_sha256", "capture", F.coalesce("status", F.lit("failed")).alias("status"), (F.col("before") + 1).cast("int").alias("attempts"))
-    entry.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
+def last_entries(spark: SparkSession, ledger: str) -> DataFrame:
+    """Last status and attempts of each answer in the ledger."""
+    return keep_last(spark.read.schema(LEDGER).parquet(ledger), ["answer_sha256"], "attempts").select("answer_sha256", "capture", "status", "attempts")
 
-def retry(spark: SparkSession, captures: str, ledger: str, audit: Callable[[DataFrame], DataFrame]) -> int:
-    """Audits the failed captures that have attempts left once more; how many there were.
 
-    The stream gives each file once, so these come from the captures joined to the ledger, as batches after its own.
-    """
-    failed = last_entries(spark, ledger).where(f"status != 'ok' AND attempts < {ATTEMPTS}")
-    n = failed.count()
-    if n:
-        number = spark.read.parquet(ledger).agg(F.max("batch")).first()[0] + 1
-        rows = spark.read.schema(CAPTURE).parquet(captures)
-        record(rows.join(failed.select("answer_sha256"), F.sha2("answer_text", 256) == F.col("answer_sha256"), "left_semi"), ledger, number, audit)
-    return n
+def prepare(spark: SparkSession, folder: str) -> tuple[str, str, str]:
+    """Folders of captures, ledger and checkpoint, the first two with an empty table, so that a stream can start."""
+    captures, ledger, checkpoint = (f"{folder}/{x}" for x in ("captures", "ledger", "checkpoint"))
+    spark.createDataFrame([], CAPTURE).write.mode("append").parquet(f"{captures}/drop=0")
+    spark.createDataFrame([], LEDGER).write.mode("overwrite").parquet(f"{ledger}/run=start")
+    return captures, ledger, checkpoint
 
 
-def last_entries(spark: SparkSession, ledger: str, before: int | None = None) -> DataFrame:
-    """Last status and attempts of each answer in the ledger (of batches ``before`` one); a missing ledger has none."""
-    try:
-        rows = spark.read.schema(LEDGER).parquet(ledger)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], LEDGER)
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
-    return keep_last(rows, ["answer_sha256"], "batch").select("answer_sha256", "status", "attempts")
-
-
-def drain(captures: DataFrame, audit: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Writes captures as files, runs the queue over them until it is empty, and returns the ledger's last entries."""
+def drain(captures: DataFrame, audit: Callable[[DataFrame], DataFrame] | None = None, drops: int = 1) -> DataFrame:
+    """Drops the captures as files, in ``drops`` parts with a run after each, runs until nothing is left to try, and
+    returns the ledger's last entries."""
     spark = captures.sparkSession
-    folder = shared_folder(spark)
-    captures.select("query_id", "answer_text").repartition(8, "query_id").write.parquet(f"{folder}/captures")
+    paths = prepare(spark, shared_folder(spark))
     ok = audit or (lambda rows: rows.select("answer_sha256", F.lit("ok").alias("status")))
-    watch(spark, f"{folder}/captures", f"{folder}/ledger", f"{folder}/checkpoint", ok).awaitTermination()
-    while retry(spark, f"{folder}/captures", f"{folder}/ledger", ok):
-        pass  # ATTEMPTS times at most
-    return last_entries(spark, f"{folder}/ledger")
+    rows = captures.select("query_id", "answer_text")
+    for part in range(drops):
+        own = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(drops)) == part)
+        own.repartition(8, "query_id").write.parquet(f"{paths[0]}/drop={part + 1}")
+        watch(spark, *paths, ok).awaitTermination()
+    while not last_entries(spark, paths[1]).where(f"status != 'ok' AND attempts < {ATTEMPTS}").isEmpty():
+        watch(spark, *paths, ok).awaitTermination()  # ATTEMPTS times at most
+    return last_entries(spark, paths[1])

@@ -3,10 +3,11 @@ import hashlib
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from provenia.sources import fetch, stores
-from provenia.streaming.queue import drain, last_entries, record
+from provenia.streaming.queue import drain, last_entries, prepare, watch
 
 PAGE = b"<html><article><p>" + b"Readable words stand here on the page. " * 20 + b"</p></article></html>"
 
@@ -158,23 +159,118 @@ def test_nearest_snapshot(spark):
     assert url == "https://x/web/20240101000000id_/https://y/web/1"
 
 
-def test_failed_captures_are_tried_three_times(spark):
-    captures = spark.createDataFrame([(f"q{i}", f"answer {i}") for i in range(6)], "query_id string, answer_text string")
+def _audit(passes):
+    """An audit that passes an answer at the attempt its text names, and keeps what it was given."""
+    seen = []
 
     def audit(rows):
-        late = F.endswith(F.col("answer_text"), F.lit("1")) & (F.coalesce("attempts", F.lit(0)) == 1)
-        return rows.select("answer_sha256", F.when(late | F.col("answer_text").rlike("[2345]"), "ok").otherwise("failed").alias("status"))
+        seen.extend((r.answer_text, r.attempts) for r in rows.collect())
+        return rows.select("answer_sha256", F.when(F.col("attempts") >= F.regexp_extract("answer_text", "[0-9]$", 0).cast("int"), "ok").otherwise("failed").alias("status"))
 
-    got = {r.attempts: r.status for r in drain(captures, audit).collect()}
-    assert sorted(got.items()) == [(1, "ok"), (2, "ok"), (3, "failed")]
+    audit.seen = seen
+    return audit
 
 
-def test_a_repeated_batch_counts_once(spark, tmp_path):
-    rows = spark.createDataFrame([("q", "a")], "query_id string, answer_text string")
-    fail = lambda x: x.select("answer_sha256", F.lit("failed").alias("status"))
-    for number in (0, 1, 1):
-        record(rows, str(tmp_path / "ledger"), number, fail)
-    assert last_entries(spark, str(tmp_path / "ledger")).first().attempts == 2
+def _drop(spark, folder, name, answers):
+    spark.createDataFrame([(f"{name}{k}", a) for k, a in enumerate(answers)], "query_id string, answer_text string").coalesce(1).write.parquet(f"{folder}/drop={name}")
+
+
+def test_attempts_last_over_runs_and_new_files(spark, tmp_path):
+    audit = _audit(3)
+    paths = prepare(spark, str(tmp_path))
+    run = lambda **more: watch(spark, *paths, audit, **more).awaitTermination()
+    entries = lambda: {r.capture: (r.status, r.attempts) for r in last_entries(spark, paths[1]).collect()}
+    _drop(spark, paths[0], "a", ["x 1", "x 2", "x 9", "x 1"])
+    run()
+    assert entries() == {"a0": ("ok", 1), "a1": ("failed", 1), "a2": ("failed", 1)}
+    run()
+    assert entries() == {"a0": ("ok", 1), "a1": ("ok", 2), "a2": ("failed", 2)}
+    _drop(spark, paths[0], "b", ["y 2", "x 2", "x 9"])  # a new answer and two that are known
+    run()
+    assert entries() == {"a0": ("ok", 1), "a1": ("ok", 2), "a2": ("failed", 3), "b0": ("failed", 1)}
+    run()
+    run()
+    assert entries() == {"a0": ("ok", 1), "a1": ("ok", 2), "a2": ("failed", 3), "b0": ("ok", 2)}
+    assert sorted(audit.seen) == [("x 1", 1), ("x 2", 1), ("x 2", 2), ("x 9", 1), ("x 9", 2), ("x 9", 3), ("y 2", 1), ("y 2", 2)]
+    assert spark.read.schema("attempts int").parquet(paths[1]).count() == 8  # no entry lost
+
+
+def test_a_killed_run_counts_nothing_twice(spark, tmp_path):
+    """One run dies in the audit, one after its entries are written: the batch gives the same attempts again."""
+    paths = prepare(spark, str(tmp_path))
+    _drop(spark, paths[0], "a", ["x 2", "x 1"])
+    audit = _audit(3)
+
+    def broken(rows):
+        raise RuntimeError("killed in the audit")
+
+    with pytest.raises(StreamingQueryException):
+        watch(spark, *paths, broken).awaitTermination()
+    from provenia.streaming import queue
+
+    def then_die(rows, ledger, number, audit, real=queue.record):
+        real(rows, ledger, number, audit)
+        raise RuntimeError("killed after the entries")
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(queue, "record", then_die)
+        with pytest.raises(StreamingQueryException):
+            watch(spark, *paths, audit).awaitTermination()
+    for _ in range(3):
+        watch(spark, *paths, audit).awaitTermination()
+    assert sorted((r.capture, r.status, r.attempts) for r in last_entries(spark, paths[1]).collect()) == [("a0", "ok", 2), ("a1", "ok", 1)]
+    assert spark.read.schema("attempts int").parquet(paths[1]).count() == 3
+
+
+class _Timers:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+class _Handle:
+    """A state and its timers, held in memory."""
+
+    def __init__(self):
+        self.held, self.timers = None, []
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_back_off_and_lock():
+    import pandas as pd
+
+    from provenia.streaming.queue import Attempts
+
+    process, handle = Attempts(3, 100, 1000), _Handle()
+    process.init(handle)
+    rows = lambda **r: iter([pd.DataFrame({"query_id": ["q"], "answer_text": ["t"], "status": [None], "attempts": [None]} | {k: [v] for k, v in r.items()})])
+    due = lambda out: [int(f["attempts"][0]) for f in out]
+    assert due(process.handleInputRows(("h",), rows(), _Timers(0))) == [1] and handle.timers == [1000]
+    assert due(process.handleInputRows(("h",), rows(), _Timers(5))) == []  # a copy while the attempt is out
+    assert due(process.handleInputRows(("h",), rows(status="failed", attempts=1), _Timers(10))) == [] and handle.timers[-1] == 110
+    assert due(process.handleExpiredTimer(("h",), _Timers(110), None)) == [2]
+    assert due(process.handleExpiredTimer(("h",), _Timers(1000), None)) == []  # the lock of attempt 1, not of 2
+    assert due(process.handleExpiredTimer(("h",), _Timers(1110), None)) == [] and handle.held[0] == "failed"  # attempt 2 left nothing
+    assert due(process.handleExpiredTimer(("h",), _Timers(1210), None)) == [3]
+    assert due(process.handleInputRows(("h",), rows(status="failed", attempts=2), _Timers(1220))) == []  # an entry of a dead attempt
+    assert due(process.handleInputRows(("h",), rows(status="failed", attempts=3), _Timers(1230))) == []
+    assert handle.held[:2] == ("given up", 3) and handle.held[3] == ""
 
 
 def test_queue_drains_each_answer_once(spark):
