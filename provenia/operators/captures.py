@@ -50,8 +50,8 @@ def label_pool(claims: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def eligible(runs: DataFrame) -> DataFrame:
-    """Runs that may enter an aggregate: no error, bound to a frozen query, rated, no conflict of vendor, not from an interface."""
-    return runs.where((F.coalesce("error", F.lit("")) == "") & (F.col("binding") == "") & F.col("rated") & ~F.col("product").isin(*codes.CONFLICTED_PRODUCTS) & (F.col("origin") != "api"))
+    """Runs that may enter an aggregate: no error, bound to a frozen query, rated, no conflict of vendor. Where a run came from is the publication gate's business."""
+    return runs.where((F.coalesce("error", F.lit("")) == "") & (F.col("binding") == "") & F.col("rated") & ~F.col("product").isin(*codes.CONFLICTED_PRODUCTS))
 
 
 def auditable_denominator(fetched: DataFrame, *keys: str, claim: str = "auditable") -> DataFrame:

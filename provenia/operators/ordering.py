@@ -43,13 +43,14 @@ def stratified_sample(pool: DataFrame, buckets: list[str], key: str, target: int
     return rows.orderBy("round", "_late", *buckets).limit(target).drop("_late")
 
 
-def resume_sample(pool: DataFrame, done: DataFrame, buckets: list[str], key: str, target: int, seed: int) -> DataFrame:
+def resume_sample(pool: DataFrame, done: DataFrame, buckets: list[str], key: str, target: int, seed: int, first_when=None) -> DataFrame:
     """What is still to be done for ``target`` rows in all: as many rows more are drawn as are done, those done are left
-    out, and the first of the rest fill the sample up."""
+    out, and the first of the rest, in the order of ``stratified_sample``, fill the sample up."""
     done = done.select(key).distinct()
     n = done.count()
-    rest = stratified_sample(pool, buckets, key, target + n, seed).join(done, key, "left_anti")
-    return rest.orderBy("round", *buckets).limit(max(0, target - n))
+    rest = stratified_sample(pool, buckets, key, target + n, seed, first_when).join(done, key, "left_anti")
+    late = F.lit(0) if first_when is None else F.when(first_when, 0).otherwise(1)
+    return rest.orderBy("round", late, *buckets).limit(max(0, target - n))
 
 
 def entries(cache: DataFrame, key: str) -> DataFrame:

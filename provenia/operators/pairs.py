@@ -235,7 +235,24 @@ def rate_grains(pairs: DataFrame) -> DataFrame:
     return out.select("product", "source_code", "grain", "hits", "n")
 
 
+def running_total(rows: DataFrame, value: str, key: str, order: str, pieces: int = 64) -> DataFrame:
+    """Adds before: the sum of ``value`` over the rows of the key that stand before a row by ``order`` (a number, unique in a key).
+
+    Two passes: totals of the pieces that quantiles of the order cut a key into, then sums within each piece on top of
+    the totals before it. A single long key is so many tasks.
+    """
+    parts = [k / pieces for k in range(1, pieces)] or [0.5]
+    bounds = sorted(set(rows.agg(F.percentile_approx(order, parts, 1000)).first()[0] or []))
+    piece = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    dealt = rows.withColumn("_piece", piece)
+    so_far = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(key, "_piece").agg(F.sum(value).alias("_total"))
+    start = totals.select(key, "_piece", F.coalesce(F.sum("_total").over(so_far.partitionBy(key).orderBy("_piece")), F.lit(0)).alias("_start"))
+    within = F.coalesce(F.sum(value).over(so_far.partitionBy(key, "_piece").orderBy(order)), F.lit(0))
+    return dealt.withColumn("_within", within).join(start, [key, "_piece"]).withColumn("before", F.col("_start") + F.col("_within")).drop("_piece", "_start", "_within")
+
+
 def running_budget(calls: DataFrame, budget: int, key: str = "run", order: str = "seq") -> DataFrame:
     """Adds spent_before and halted: the total before a call decides whether it may run."""
-    before = F.coalesce(F.sum("tokens").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return calls.withColumn("spent_before", before).withColumn("halted", F.col("spent_before") >= budget)
+    spent = running_total(calls, "tokens", key, order).withColumn("spent_before", F.col("before").cast("long")).drop("before")
+    return spent.withColumn("halted", F.col("spent_before") >= budget)

@@ -42,7 +42,7 @@ def label_pool(spark, d):
     return C.label_pool(claims, fetched).select("claim_id", "url", "source_code")
 
 
-@query(f"WITH {PAIRS_SQL} SELECT DISTINCT answer FROM p WHERE answer % 6 <> 5 AND answer % 7 <> 3 AND answer % 8 <> 2 AND product <> 'gemini' AND origin <> 'api'")
+@query(f"WITH {PAIRS_SQL} SELECT DISTINCT answer FROM p WHERE answer % 6 <> 5 AND answer % 7 <> 3 AND answer % 8 <> 2 AND product <> 'gemini'")
 def eligible_runs(spark, d):
     a = F.col("answer")
     runs = pairs(spark, d).select("answer", "product", "origin").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from provenia import codes
 from provenia.functions import text as X
-from provenia.operators import captures, gates, ordering
+from provenia.operators import captures, gates, joins, ordering
 from provenia.operators import pairs as P
 from provenia.operators.agreement import extraction_missed
 from provenia.plans.catalogue import query, wilson_sql
@@ -162,7 +162,7 @@ def stratified_sample(spark, d):
 
 
 RESUME_SQL = """WITH r AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY sha256('11:' || o_orderkey), o_orderkey) AS round FROM orders),
-o AS (SELECT *, row_number() OVER (ORDER BY round, o_orderstatus, o_orderpriority) AS place FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY round, CASE WHEN o_orderstatus <> 'O' THEN 0 ELSE 1 END, o_orderstatus, o_orderpriority) AS place FROM r),
 done AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 = 3 OR o_orderkey IN (SELECT o_orderkey FROM o WHERE place <= 40)),
 drawn AS (SELECT * FROM o WHERE place <= 100 + (SELECT count(*) FROM done)),
 rest AS (SELECT *, row_number() OVER (ORDER BY place) AS k FROM drawn WHERE o_orderkey NOT IN (SELECT o_orderkey FROM done))
@@ -172,9 +172,9 @@ SELECT o_orderkey, CAST(round AS INT) AS round FROM rest WHERE k <= 100 - (SELEC
 @query(RESUME_SQL)
 def resume_sample(spark, d):
     """A sample of 100 of which the first 40 are done, and some rows from elsewhere: what is left to do."""
-    o, buckets = table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"]
-    done = ordering.stratified_sample(o, buckets, "o_orderkey", 40, 11).select("o_orderkey").unionByName(o.where("o_orderkey % 1000 = 3").select("o_orderkey"))
-    return ordering.resume_sample(o, done, buckets, "o_orderkey", 100, 11).select("o_orderkey", "round")
+    o, buckets, first = table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], F.col("o_orderstatus") != "O"
+    done = ordering.stratified_sample(o, buckets, "o_orderkey", 40, 11, first).select("o_orderkey").unionByName(o.where("o_orderkey % 1000 = 3").select("o_orderkey"))
+    return ordering.resume_sample(o, done, buckets, "o_orderkey", 100, 11, first).select("o_orderkey", "round")
 
 
 @query(f"WITH {PAIRS_SQL}, x AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), l AS (SELECT source, text FROM x WHERE k = 1) SELECT p.doc_id, CASE WHEN l.text IS NULL THEN 'no page' WHEN contains(lower(trim(regexp_replace(l.text, '\\s+', ' ', 'g'))), lower(p.void_reason)) THEN 'present' ELSE 'absent' END AS status FROM p LEFT JOIN l ON p.source = l.source AND p.doc_id % 4 <> 0 WHERE voided")
@@ -306,3 +306,36 @@ def wilson_golden(spark, d):
     l = table(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("x"))  # noqa: E741
     n = l.groupBy("x").agg(F.count_if(F.col("c_custkey") % 7 == 0).alias("h"), F.count(F.lit(1)).alias("k"))
     return n.select("x", *rate_columns(F.col("h"), F.col("k")))
+
+
+VIEWS_SQL = """WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+v AS (SELECT user_id, ts AS seen, max(event_id) AS last_id, min(event_id) AS first_id FROM events WHERE event_type = 'view' GROUP BY ALL),
+b AS (SELECT event_id, p.user_id, p.ts, v.seen AS back, v.last_id AS back_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.seen),
+f AS (SELECT event_id, v.seen AS ahead, v.first_id AS ahead_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts <= v.seen)"""
+
+
+def _views(spark, d):
+    """Purchases and views of the same user, as pages and the snapshots of their address."""
+    e = table(spark, d, "events")
+    return e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("seen"))
+
+
+@query(VIEWS_SQL + " SELECT event_id, back_id AS view_id FROM b")
+def last_view_before(spark, d):
+    """Each purchase with the user's last view up to it: an as-of join, a day of a user at a time."""
+    left, right = _views(spark, d)
+    return joins.asof_join(left, right, "user_id", "ts", "seen", ["view_id"], joins.by_seconds(86400)).select("event_id", "match.view_id")
+
+
+@query(VIEWS_SQL + " SELECT event_id, CASE WHEN ahead IS NOT NULL AND (back IS NULL OR epoch_us(ahead) - epoch_us(ts) < epoch_us(ts) - epoch_us(back)) THEN ahead_id ELSE back_id END AS view_id FROM b JOIN f USING (event_id)")
+def nearest_view(spark, d):
+    """Each purchase with the user's view nearest in time, the earlier of two as near."""
+    left, right = _views(spark, d)
+    return joins.nearest_join(left, right, "user_id", "ts", "seen", ["view_id"], joins.by_seconds(86400)).select("event_id", "match.view_id")
+
+
+@query("WITH c AS (SELECT event_id, coalesce(sum(event_id % 97 + user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM events) SELECT event_id, spent_before, spent_before >= 100000 AS halted FROM c")
+def budget_of_one_run(spark, d):
+    """All events as the calls of a single run: sums of pieces first, then within them."""
+    calls = table(spark, d, "events").select(F.lit("r").alias("run"), "event_id", (F.col("event_id") % 97 + F.col("user_id")).alias("tokens"))
+    return P.running_budget(calls, 100_000, "run", "event_id").select("event_id", "spent_before", "halted")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from provenia import codes
 from provenia.functions import text as X
-from provenia.operators import gates
+from provenia.operators import gates, joins
 from provenia.operators.ordering import claim_ids as with_claim_ids
 from provenia.operators.ordering import keep_first
 from provenia.plans.catalogue import query, wilson_sql
@@ -267,32 +267,43 @@ def first_sentence(spark, d):
     return answers(spark, d).select("query_id", X.first_sentence(F.col("answer_text")).alias("first"))
 
 
-CITED = [(1, "LeClair et al. 2022", "leclair et al., Supportive Care in Cancer, 2022", True), (2, "Smith 2020", "Smith 2021", False), (3, "PMID 34567890", "pmid: 34567890 (trial)", True), (4, "a b", "A  b", True), (5, "", "", False)]
-LIT = "id, a, b, same"
+def _citations(spark, d):
+    """Parts as works: a short form that a person wrote down, and the long one that a pattern found."""
+    p = table(spark, d, "part")
+    year = (F.col("p_size") + 1970).cast("string")
+    marked = p.where("p_partkey % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("No "), F.col("p_brand"))).otherwise(F.concat_ws(" ", F.initcap("p_name"), F.lit("et al."), year)).alias("text"))
+    found = p.where("p_partkey % 4 != 1").select("p_partkey", F.when(F.col("p_partkey") % 14 == 0, F.concat(F.lit("no  "), F.upper("p_brand"))).otherwise(F.concat_ws(", ", "p_name", "p_type", year)).alias("text"))
+    return marked, found
 
 
-@query(f"SELECT id, same FROM {_values_sql(CITED, LIT)}")
-def citation_overlap(spark, d):
-    rows = _values(spark, [r[:3] for r in CITED], "id int, a string, b string")
-    return rows.select("id", X.same_citation(F.col("a"), F.col("b")).alias("same"))
+CITATIONS_SQL = """
+m AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'No ' || p_brand ELSE concat_ws(' ', array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(p_name, ' ')], ' '), 'et al.', p_size + 1970) END AS text FROM part WHERE p_partkey % 3 = 0),
+f AS (SELECT p_partkey, CASE WHEN p_partkey % 14 = 0 THEN 'no  ' || upper(p_brand) ELSE concat_ws(', ', p_name, p_type, p_size + 1970) END AS text FROM part WHERE p_partkey % 4 <> 1),
+sm AS (SELECT DISTINCT text, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, list_distinct([lower(x) FOR x IN regexp_extract_all(text, '\\b([A-Za-z][A-Za-z]{3,}|(?:19|20)\\d{2})\\b')]) AS sig FROM m),
+sf AS (SELECT DISTINCT text, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, list_distinct([lower(x) FOR x IN regexp_extract_all(text, '\\b([A-Za-z][A-Za-z]{3,}|(?:19|20)\\d{2})\\b')]) AS sig FROM f),
+same AS (SELECT sm.text AS a, sf.text AS b FROM sm, sf WHERE CASE WHEN len(sm.sig) = 0 OR len(sf.sig) = 0 THEN sm.plain = sf.plain ELSE list_has_all(sf.sig, sm.sig) OR list_has_all(sm.sig, sf.sig) END)"""
 
 
-MARKED = [("m1", "LeClair et al. 2022"), ("m2", "Nobody 1999"), ("m3", "Yala et al. 2021")]
-FOUND = [("f1", "LeClair et al., Supportive Care, 2022"), ("f2", "Other et al. 2010"), ("f3", "Yala et al., Science, 2021")]
+@query(f"WITH {CITATIONS_SQL} SELECT a AS text, count(*) AS forms FROM same GROUP BY a")
+def citation_overlap(spark, d):
+    """How many found forms name the same work as each marked one: a containment join on the rarest token."""
+    marked, found = _citations(spark, d)
+    return joins.same_citations(marked, found).groupBy("text").agg(F.count(F.lit(1)).alias("forms"))
 
 
-@query(f"WITH r AS (SELECT 'recall' AS measure, 2::BIGINT AS hits, 3::BIGINT AS n UNION ALL SELECT 'precision', 2, 3) SELECT measure, hits, n, {wilson_sql('hits', 'n')} FROM r")
+@query(f"WITH {CITATIONS_SQL}, r AS (SELECT 'recall' AS measure, count(*) FILTER (text IN (SELECT a FROM same)) AS hits, count(*) AS n FROM m UNION ALL SELECT 'precision', count(*) FILTER (text IN (SELECT b FROM same)), count(*) FROM f) SELECT measure, hits, n, {wilson_sql('hits', 'n')} FROM r")
 def named_recall(spark, d):
-    """Recall and precision of named citations against a hand-marked list; a theta semi join over two short lists."""
+    """Recall and precision of found citations against the marked ones."""
     from provenia.functions.stats import rate_columns
 
-    marked, found = _values(spark, MARKED, "m string, a string"), _values(spark, FOUND, "f string, b string")
-    same = X.same_citation(F.col("a"), F.col("b"))
-    recall = marked.join(found, same, "left_semi").select(F.lit("recall").alias("measure"))
-    precise = found.join(marked, same, "left_semi").select(F.lit("precision").alias("measure"))
-    totals = marked.select(F.lit("recall").alias("measure")).unionByName(found.select(F.lit("precision").alias("measure"))).groupBy("measure").agg(F.count(F.lit(1)).alias("t"))
-    hits = recall.unionByName(precise).groupBy("measure").agg(F.count(F.lit(1)).alias("h"))
-    return totals.join(hits, "measure", "left").select("measure", *rate_columns(F.coalesce("h", F.lit(0)), F.col("t")))
+    marked, found = _citations(spark, d)
+    same = joins.same_citations(marked, found)
+
+    def share(rows, measure, column):
+        known = same.select(F.col(column).alias("text"), F.lit(1).alias("hit")).distinct()
+        return rows.join(known, "text", "left").groupBy(F.lit(measure).alias("measure")).agg(F.count("hit").alias("h"), F.count(F.lit(1)).alias("t"))
+
+    return share(marked, "recall", "text").unionByName(share(found, "precision", "other")).select("measure", *rate_columns(F.col("h"), F.col("t")))
 
 
 @query("SELECT event_id, round((event_id * 3.0::DOUBLE + user_id * 15.0::DOUBLE) / 1e6, 6) AS usd FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 0.0::DOUBLE FROM events WHERE event_id % 2 = 1")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from provenia import codes
 from provenia.functions import parse
 from provenia.functions import text as X
+from provenia.operators.joins import by_seconds, nearest_join
 from provenia.session import importable
 
 PAUSE, RETRIES, BACKOFF, TIMEOUT = 1.0, 2, (2.0, 8.0), 20.0
@@ -97,15 +98,14 @@ def classify(fetched: DataFrame) -> DataFrame:
 
 
 def nearest_snapshot(snapshots: DataFrame, pages: DataFrame) -> DataFrame:
-    """(url, stamp, archived): of an address's snapshots the one nearest in time to when the answer was generated.
+    """(url, generated_at, stamp, archived): of an address's snapshots the one nearest in time to when the answer was generated.
 
-    snapshots: url, stamp (yyyyMMddHHmmss), archived. pages: url, generated_at (ISO).
+    snapshots: url, stamp (yyyyMMddHHmmss), archived. pages: url, generated_at (ISO). Pages without a snapshot are left out.
     """
-    at = lambda c, f: F.unix_timestamp(F.to_timestamp(c, f))
-    rows = pages.select("url", "generated_at").join(snapshots, "url")
-    far = F.abs(at(F.col("stamp"), "yyyyMMddHHmmss") - F.unix_timestamp(F.to_timestamp("generated_at")))
-    best = rows.groupBy("url").agg(F.min_by(F.struct("stamp", "archived"), F.struct(far, F.col("stamp"))).alias("s"))
-    return best.select("url", "s.stamp", "s.archived")
+    left = pages.select("url", "generated_at", F.to_timestamp("generated_at").alias("at"))
+    right = snapshots.select("url", "stamp", "archived", F.to_timestamp("stamp", "yyyyMMddHHmmss").alias("taken"))
+    rows = nearest_join(left, right, "url", "at", "taken", ["stamp", "archived"], by_seconds(30 * 86400))
+    return rows.where("match IS NOT NULL").select("url", "generated_at", "match.stamp", "match.archived")
 
 
 def original_bytes_url(url):
