@@ -339,3 +339,18 @@ def budget_of_one_run(spark, d):
     """All events as the calls of a single run: sums of pieces first, then within them."""
     calls = table(spark, d, "events").select(F.lit("r").alias("run"), "event_id", (F.col("event_id") % 97 + F.col("user_id")).alias("tokens"))
     return P.running_budget(calls, 100_000, "run", "event_id").select("event_id", "spent_before", "halted")
+
+
+@query("WITH c AS (SELECT 'u' || user_id AS key, strftime(date_trunc('hour', ts), '%Y%m%dT%H') AS stamp FROM events) SELECT key, stamp, count(*) AS entries, count(*) - 1 AS last_version, CASE WHEN count(*) = 1 THEN stamp ELSE stamp || '-' || (count(*) - 1) END AS last_name FROM c GROUP BY key, stamp")
+def cache_versions(spark, d):
+    """Fetches appended to a versioned store in two goes: no entry of an address and hour takes another's place."""
+    from provenia.sources import versioned
+    from provenia.streaming.queue import shared_folder
+
+    e = table(spark, d, "events")
+    rows = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.date_format("ts", "yyyyMMdd'T'HH").alias("stamp"), F.to_json(F.struct("event_type")).alias("meta"), F.col("props").alias("body"), "event_id")
+    path = shared_folder(spark)
+    for part in (0, 1):
+        versioned.append(rows.where(F.col("event_id") % 2 == part), path)
+    g = versioned.read(spark, path).groupBy("key", "stamp").agg(F.count(F.lit(1)).alias("entries"), F.max("version").alias("last_version"), F.max_by("name", "version").alias("last_name"))
+    return g
