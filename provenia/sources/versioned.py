@@ -111,6 +111,7 @@ def register(spark: SparkSession) -> None:
 def append(entries: DataFrame, path: str) -> None:
     """Appends rows (key, stamp, meta, body); null keys and stamps are entries like any other."""
     register(entries.sparkSession)
+    entries.sparkSession.createDataFrame([], ENTRY)  # makes the session the active one of this thread, in which the format's name is looked up
     entries.select("key", "stamp", "meta", F.col("body").cast("binary").alias("body")).write.format("versioned").mode("append").save(path)
 
 
