@@ -49,8 +49,8 @@ def resume_sample(pool: DataFrame, done: DataFrame, buckets: list[str], key: str
     done = done.select(key).distinct()
     n = done.count()
     rest = stratified_sample(pool, buckets, key, target + n, seed, first_when).join(done, key, "left_anti")
-    late = F.lit(0) if first_when is None else F.when(first_when, 0).otherwise(1)
-    return rest.orderBy("round", late, *buckets).limit(max(0, target - n))
+    late = [] if first_when is None else [F.when(first_when, 0).otherwise(1)]
+    return rest.orderBy("round", *late, *buckets).limit(max(0, target - n))
 
 
 def entries(cache: DataFrame, key: str) -> DataFrame:
