@@ -33,3 +33,11 @@ def test_disclosed_terms_match_sql(spark, tmp_path):
     got = sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
     assert got == sorted(c.sql(f"SELECT {columns} FROM ({queries.oracle_sql()['op10_pmi']})").fetchall())
     assert sum("term" in r[-1] for r in got) == 6
+
+
+def test_all_operators_are_registered():
+    """The entry leaves them out when they can't be imported; here that is a failure."""
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
