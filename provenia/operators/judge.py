@@ -1,4 +1,4 @@
-"""Pluggable judges: verdicts over judgeable pairs only, refusals and budgets as rows.
+"""Pluggable judges: verdicts over judgeable pairs only, refusals as rows.
 
 A judge is an object with ``complete(document, claim) -> dict`` (verdict, span, missing_qualifiers, ...); it may raise
 ``Refused``. A rule judge as a column expression needs no Python at all.
