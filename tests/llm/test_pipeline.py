@@ -27,7 +27,7 @@ def test_exact_stage_leaves_one_of_each(spark):
 
 def test_every_query_runs_and_keeps_its_columns(spark):
     got = queries.queries()
-    assert [int(n[2:].split("_")[0]) for n in sorted(got, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(got, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
     for name, f in got.items():
         assert f(spark, SF).count() >= 0, name
 
