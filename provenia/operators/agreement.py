@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenia import codes
 from provenia.functions.stats import kappa, wilson
+from provenia.operators.provenance import classified
 
 
 def compare(labels: DataFrame, judgements: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def in_time(labels: DataFrame, started_at: str) -> DataFrame:
 
 def coverage(spark: SparkSession, labels: DataFrame) -> DataFrame:
     """Labels per class, classes without any included."""
-    every = spark.createDataFrame([(x,) for x in codes.LABELS], "label string")
+    every = classified(spark.createDataFrame([(x,) for x in codes.LABELS], "label string"), "script-output")
     return every.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")), "label", "left").select("label", F.coalesce("_n", F.lit(0)).cast("long").alias("labels"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provenia.operators import agreement, gates
 from provenia.operators import pairs as P
+from provenia.operators.provenance import field_table
 from provenia.plans.catalogue import query, wilson_sql
 from provenia.plans.standins import LABELS_SQL, PAIRS_SQL, human_labels, pairs
 
@@ -219,3 +220,21 @@ def g4_reasons(spark, d):
 def budget_halt(spark, d):
     calls = pairs(spark, d).select(F.col("answer").alias("run"), F.col("doc_id").alias("seq"), F.col("n_chars").alias("tokens"))
     return P.running_budget(calls, 9000)
+
+
+FIELDS = {
+    "claim_id": "model-inference", "url": "record", "source": "record", "answer": "record", "product": "record", "origin": "record",
+    "source_code": "script-output", "verdict": "model-inference", "voided": "script-output", "drift": "script-output", "lang": "external-source",
+    "label": "your-input", "extraction_missed": "script-output", "agrees": "model-inference", "truth": "missing",
+}
+UNDER = {"agrees": "your-input model-inference", "truth": ""}
+FIELDS_SQL = " UNION ALL ".join(f"SELECT '{c}' AS field, '{k}' AS class, '{UNDER.get(c, k)}' AS rests_on, {k in ('model-inference', 'your-input', 'missing')} AS marked, count({c}) AS present, count(*) - count({c}) AS absent FROM x" for c, k in FIELDS.items())
+
+
+@query(_sql(f", j AS (SELECT p.*, h.label, h.extraction_missed, CASE WHEN p.verdict <> '' THEN h.label = p.verdict END AS agrees, CAST(NULL AS BOOLEAN) AS truth FROM p LEFT JOIN (SELECT * FROM h WHERE blind) h ON p.claim_id = h.claim_id AND p.url = h.url), x AS (SELECT * FROM j) {FIELDS_SQL}", LABELS_SQL))
+def field_classes(spark, d):
+    """Every field of the joined pairs and labels with its class, what it rests on, and in how many rows it is there."""
+    rows = pairs(spark, d)
+    labels = human_labels(rows).where("blind").drop("blind")
+    joined = rows.join(labels, ["claim_id", "url"], "left").withColumn("agrees", F.when(F.col("verdict") != "", F.col("label") == F.col("verdict")))
+    return field_table(joined.withColumn("truth", F.lit(None).cast("boolean")).select(*FIELDS))

@@ -10,10 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia import codes
+from provenia.operators.provenance import classified
+
+#: What the columns of the given tables stand in for. Tables not named are records.
+ORIGINS = {
+    "documents": {"text": "external-source", "lang": "external-source"},
+    "pages": {"html": "local-evidence"},
+    "labels": {"quality": "your-input", "toxic": "your-input"},
+    "benchmark": {"text": "your-input"},
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    special = ORIGINS.get(name, {})
+    return classified(rows, {c: special.get(c, "record") for c in rows.columns})
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +39,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.when(~voided, "").when(F.col("verdict").isin(*codes.SPAN_REQUIRED), codes.FABRICATED).otherwise(codes.SUSPECT)
     answer = F.floor(i / 20).cast("long")
     product = F.element_at(F.array(*[F.lit(x) for x in ("lynx", "otter", "heron", "gemini")]), (answer % 4 + 1).cast("int"))
-    return rows.select(
+    rows = rows.select(
         F.floor(i / 2).cast("long").alias("claim_id"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), i.cast("string")).alias("url"),
         "source",
@@ -44,6 +55,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         "n_chars",
     )
+    declared = {"claim_id": "model-inference", "verdict": "model-inference"} | dict.fromkeys(("source_code", "voided", "void_reason", "drift"), "script-output")
+    return classified(rows, declared | dict.fromkeys(("url", "source", "answer", "product", "origin"), "record"))
 
 
 PAIRS_SQL = """
@@ -75,7 +88,8 @@ def human_labels(pairs: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     label = F.when(i % 17 == 0, "UNAUDITABLE").when(i % 19 == 0, "UNDECIDABLE").when(i % 4 == 1, "NOT_FOUND_IN_SOURCE").when(i % 9 == 2, "PARTIALLY_SUPPORTED").when(F.col("verdict") == "", "SUPPORTED").otherwise(F.col("verdict"))
     missed = F.when(i % 3 == 0, True).when(i % 3 == 1, False)
-    return pairs.select("claim_id", "url", label.alias("label"), (i % 6 != 0).alias("blind"), missed.alias("extraction_missed"))
+    rows = pairs.select("claim_id", "url", label.alias("label"), (i % 6 != 0).alias("blind"), missed.alias("extraction_missed"))
+    return classified(rows, {"label": "your-input", "blind": "your-input", "extraction_missed": "script-output"})
 
 
 LABELS_SQL = """

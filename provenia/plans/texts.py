@@ -9,12 +9,13 @@ from provenia.functions import text as X
 from provenia.operators import gates, joins
 from provenia.operators.ordering import claim_ids as with_claim_ids
 from provenia.operators.ordering import keep_first
+from provenia.operators.provenance import classified
 from provenia.plans.catalogue import query, wilson_sql
 from provenia.plans.standins import ANSWERS_SQL, answers, table
 
 
 def _values(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
+    return classified(spark.createDataFrame(rows, schema), "your-input")
 
 
 def _values_sql(rows, names) -> str:

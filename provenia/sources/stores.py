@@ -17,6 +17,7 @@ from provenia import codes
 from provenia.functions import parse
 from provenia.operators.gates import publishable
 from provenia.operators.ordering import keep_last
+from provenia.operators.provenance import classified
 from provenia.session import importable
 
 CAPTURE = (
@@ -82,7 +83,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema(CAPTURE).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path)
     df = df.where(~F.input_file_name().endswith(".split.json"))
     df = df.withColumns({"source": F.coalesce("source", F.lit("dom")), "query_id": F.coalesce("query_id", F.lit("")), "citations_possibly_hidden": F.coalesce("citations_possibly_hidden", F.lit(0)), "rendered_chars": F.coalesce("rendered_chars", F.lit(0)), "dom_chars": F.coalesce("dom_chars", F.lit(0))})
-    return _checked(df, "answer_sha256", F.sha2("answer_text", 256), "capture")
+    return classified(_checked(df, "answer_sha256", F.sha2("answer_text", 256), "capture"), "record")
 
 
 def citations(captures: DataFrame, key: str = "answer_sha256") -> DataFrame:
@@ -96,7 +97,8 @@ def split_digest(claims: Column) -> Column:
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema(SPLIT).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.split.json").json(path)
-    return _checked(df, "split_sha256", split_digest(F.col("claims")), "split", split_digest_written(F.col("claims")))
+    df = _checked(df, "split_sha256", split_digest(F.col("claims")), "split", split_digest_written(F.col("claims")))
+    return classified(classified(df, "local-evidence"), {"claims": "model-inference"})
 
 
 def bind_split(captures: DataFrame, splits: DataFrame, claim_prompt: str) -> DataFrame:
@@ -127,7 +129,8 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     df = df.withColumn("split_sha256s", F.coalesce("split_sha256s", F.array("split_sha256"))).drop("split_sha256")
     odd = F.filter("labels", lambda x: ~x["label"].isin(*codes.LABELS))
     df = df.withColumn("labels", F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("unknown label: "), odd[0]["label"]))).otherwise(F.col("labels")))
-    return _checked(df, "labels_sha256", labels_digest(F.col("labels")), "gold set", labels_digest_written(F.col("labels")))
+    df = _checked(df, "labels_sha256", labels_digest(F.col("labels")), "gold set", labels_digest_written(F.col("labels")))
+    return classified(classified(df, "local-evidence"), {"labels": "your-input"})
 
 
 def read_strata(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +140,7 @@ def read_strata(spark: SparkSession, folder: str) -> DataFrame:
         doc = tomllib.loads(path.read_text("utf-8"))
         head = doc.get("stratum", doc)
         rows += [(path.name, head.get("id", ""), head.get("status", ""), q.get("id", ""), q.get("domain", ""), q.get("text", ""), q.get("cost_of_error", ""), q.get("provenance", "")) for q in doc.get("query", doc.get("queries", []))]
-    return spark.createDataFrame(rows, "file string, stratum string, status string, query_id string, domain string, text string, cost_of_error string, provenance string")
+    return classified(spark.createDataFrame(rows, "file string, stratum string, status string, query_id string, domain string, text string, cost_of_error string, provenance string"), "your-input")
 
 
 def query_hash() -> Column:
@@ -148,7 +151,7 @@ def query_hash() -> Column:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, query_id, hash) of a freeze manifest."""
     df = spark.read.schema("frozen map<string, struct<frozen_at: string, query_hashes: map<string, string>>>").option("multiLine", True).json(path)
-    return df.select(F.explode("frozen").alias("file", "f")).select("file", F.explode("f.query_hashes").alias("query_id", "hash"))
+    return classified(df.select(F.explode("frozen").alias("file", "f")).select("file", F.explode("f.query_hashes").alias("query_id", "hash")), "local-evidence")
 
 
 def freeze(strata: DataFrame, manifest: DataFrame, at: str, force: bool = False, reason: str = "") -> DataFrame:
@@ -169,6 +172,7 @@ def append_cache(entries: DataFrame, path: str) -> None:
 def read_cache(spark: SparkSession, path: str, url: str | None = None) -> DataFrame:
     """The cache; with ``url`` only the folder that can hold it is read."""
     df = spark.read.parquet(path)
+    df = classified(df, "local-evidence")
     return df if url is None else df.where((F.col("shard") == F.substring(F.sha2(F.lit(url), 256), 1, 2)) & (F.col("url") == url))
 
 
@@ -180,12 +184,12 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Last entry of each capture; lines that aren't JSON are skipped."""
     df = spark.read.schema(LEDGER).option("mode", "DROPMALFORMED").json(path).where("capture IS NOT NULL")
     place = df.withColumn("seq", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
-    return keep_last(place, ["capture"], "seq").drop("seq")
+    return classified(keep_last(place, ["capture"], "seq").drop("seq"), "record")
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     """Stored interface replies as they came: (path, payload)."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("payload"))
+    return classified(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("payload")), "record")
 
 
 VERDICT_KEYS = ("verdict", "verdicts", "judgement", "judgements", "span_verified", "void_reason", "judged")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from provenia.operators.ordering import keep_last
+from provenia.operators.provenance import classified
 from provenia.session import importable
 
 ENTRY = "key string, stamp string, meta string, body binary"
@@ -122,7 +123,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     order = Window.partitionBy("key", "stamp").orderBy("commit", "file", "row")
     numbered = rows.join(commits, "file").withColumn("version", (F.row_number().over(order) - 1).cast("long"))
     name = F.when(F.col("version") == 0, F.col("stamp")).otherwise(F.concat_ws("-", "stamp", "version"))
-    return numbered.select("key", "stamp", "version", name.alias("name"), "meta", "body")
+    return classified(numbered.select("key", "stamp", "version", name.alias("name"), "meta", "body"), "local-evidence")
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:

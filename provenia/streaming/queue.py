@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from provenia.operators.ordering import keep_last
+from provenia.operators.provenance import classified
 from provenia.session import importable
 
 FILES_PER_BATCH = 5
@@ -142,7 +143,7 @@ def record(rows: DataFrame, ledger: str, number: int, audit: Callable[[DataFrame
 
 def last_entries(spark: SparkSession, ledger: str) -> DataFrame:
     """Last status and attempts of each answer in the ledger."""
-    return keep_last(spark.read.schema(LEDGER).parquet(ledger), ["answer_sha256"], "attempts").select("answer_sha256", "capture", "status", "attempts")
+    return classified(keep_last(spark.read.schema(LEDGER).parquet(ledger), ["answer_sha256"], "attempts").select("answer_sha256", "capture", "status", "attempts"), "record")
 
 
 def prepare(spark: SparkSession, folder: str) -> tuple[str, str, str]:
