@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provenia.functions import parse
 from provenia.functions import text as X
+from provenia.operators import lookup
 from provenia.operators.ordering import keep_first
 from provenia.plans.catalogue import query
 from provenia.plans.standins import ANSWERS_SQL, answers, table
@@ -145,3 +146,47 @@ def capture_retry_queue(spark, d):
 
     passes = F.col("attempts") > F.length("answer_text") % 5
     return drain(answers(spark, d), lambda rows: rows.select("answer_sha256", F.when(passes, "ok").otherwise("failed").alias("status")), drops=2).drop("capture")
+
+
+#: One part in so many names is said in a turn; the catalogue is the whole table of parts.
+_SAID = "CASE WHEN turn % 5 = 0 THEN 'See 10.1234/p' || (conv_id * 7 % 5000) WHEN turn % 5 = 4 THEN 'See NCT' || lpad(CAST(conv_id % 1000 AS VARCHAR), 8, '0') || '.' ELSE 'See ' || w.author || ' et al., ' || w.title || ', ' || (w.year + CASE WHEN turn % 3 = 0 THEN 7 ELSE 1 END) || '.' END"
+_WORKS = "works AS (SELECT p_partkey AS work, p_name || ' no' || p_partkey // 3 AS title, 'Sur' || chr(CAST(97 + p_partkey % 26 AS INT)) || chr(CAST(97 + p_size % 26 AS INT)) AS author, 1950 + p_partkey % 60 AS year, '10.1234/p' || p_partkey AS doi FROM part)"
+_TERMS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+
+
+@query(f"""WITH {_WORKS}, {ANSWERS_SQL}, n AS (SELECT max(work) + 1 AS n FROM works),
+q AS (SELECT query_id, turn, (conv_id * 31 + turn * 7) % (SELECT n FROM n) AS k, conv_id FROM a),
+s AS (SELECT query_id, rtrim({_SAID}, '.') AS sentence, turn, conv_id FROM q JOIN works w ON w.work = q.k),
+f AS (SELECT query_id, turn, conv_id, substr(sentence, 5) AS said FROM s),
+m AS (SELECT DISTINCT said, turn % 5 = 0 AS by_doi, turn % 5 = 4 AS trial FROM f),
+i AS (SELECT work, unnest({_TERMS.format("title || ' ' || author || ' ' || year")}) AS term FROM works),
+g AS (SELECT term, count(*) AS n, length(bin((SELECT count(*) FROM works) // count(*))) AS weight FROM i GROUP BY 1),
+t AS (SELECT said, term, n, weight FROM (SELECT said, unnest({_TERMS.format('said')}) AS term FROM m WHERE NOT by_doi) JOIN g USING (term)),
+asked AS (SELECT said, term FROM t QUALIFY row_number() OVER (PARTITION BY said ORDER BY n, term) <= 4),
+c AS (SELECT DISTINCT said, work FROM asked JOIN i USING (term)),
+r AS (SELECT said, work, sum(weight) AS score FROM c JOIN t USING (said) JOIN i USING (work, term) GROUP BY said, work QUALIFY row_number() OVER (PARTITION BY said ORDER BY score DESC, work) <= 5),
+h AS (SELECT said, work FROM r JOIN works w USING (work) WHERE NOT starts_with(said, 'NCT') AND lower(w.author) = lower(split_part(said, ' ', 1)) AND abs(w.year - CAST(right(said, 4) AS INT)) <= 1
+  UNION ALL SELECT said, work FROM m JOIN works w ON m.by_doi AND w.doi = said),
+o AS (SELECT said, count(work) AS k, min(work) AS work FROM (SELECT DISTINCT said FROM m) LEFT JOIN h USING (said) GROUP BY 1)
+SELECT query_id AS capture, said, CASE WHEN starts_with(said, 'NCT') THEN 'CITATION_LOOKUP_FAILED' WHEN k = 0 THEN 'CITATION_NOT_FOUND' WHEN k = 1 THEN 'CITATION_RESOLVED' ELSE 'CITATION_AMBIGUOUS' END AS outcome, k AS candidates, CASE WHEN k = 1 THEN work END AS work FROM f JOIN o USING (said)""")
+def named_lookup(spark, d):
+    """From text to outcome: works named in every assistant turn against the whole table of parts as a catalogue."""
+    works = _works(spark, d)
+    last = works.agg(F.max("work")).scalar()
+    rows = answers(spark, d).withColumn("k", (F.col("conv_id") * 31 + F.col("turn") * 7) % (last + 1))
+    w = works.select(F.col("work").alias("k"), F.concat(F.lit("See "), F.element_at("authors", 1), F.lit(" et al., "), "title", F.lit(", ")).alias("head"), "year")
+    turn = F.col("turn")
+    named = F.concat("head", (F.col("year") + F.when(turn % 3 == 0, 7).otherwise(1)).cast("string"), F.lit(". "))
+    doi = F.concat(F.lit("See 10.1234/p"), (F.col("conv_id") * 7 % 5000).cast("string"), F.lit(" as said. "))
+    trial = F.concat(F.lit("See NCT"), F.lpad((F.col("conv_id") % 1000).cast("string"), 8, "0"), F.lit(". "))
+    said = F.when(turn % 5 == 0, doi).when(turn % 5 == 4, trial).otherwise(named)
+    told = rows.join(w, "k").select(F.col("query_id").alias("capture"), F.concat(said, F.lit("\n"), F.coalesce("answer_text", F.lit(""))).alias("answer_text"))
+    return lookup.named_existence(told, works).select("capture", "said", "outcome", "candidates", "work")
+
+
+def _works(spark, d):
+    k = F.col("p_partkey")
+    letter = lambda c: F.char(F.lit(97) + c % 26)
+    author = F.concat(F.lit("Sur"), letter(k), letter(F.col("p_size")))
+    title = F.concat("p_name", F.lit(" no"), F.floor(k / 3).cast("string"))
+    return table(spark, d, "part").select(k.alias("work"), title.alias("title"), F.array(author).alias("authors"), (k % 60 + 1950).cast("int").alias("year"), F.concat(F.lit("10.1234/p"), k.cast("string")).alias("doi"))
