@@ -83,6 +83,37 @@ def freeze_diff(manifest: DataFrame, disk: DataFrame, keys: list[str]) -> DataFr
     return rows.withColumn("change", change).where("change IS NOT NULL").select(*keys, "change")
 
 
+#: What may be wrong with a freeze.
+FREEZE_PROBLEMS = ("nothing is frozen", "file missing", "added", "removed", "modified", "ready but never frozen")
+
+
+def freeze_problems(manifest: DataFrame, strata: DataFrame) -> DataFrame:
+    """(file, query_id, problem): where the query sets on disk aren't what was frozen; nothing where they are.
+
+    manifest: file, query_id, hash. strata: file, status, query_id, hash. Queries are compared within frozen files only; a
+    frozen file that isn't there is one problem, as is a ready file that was never frozen. A draft file may change.
+    Without any frozen query there is one row, without a file.
+    """
+    was = manifest.select("file", "query_id", F.col("hash").alias("was"))
+    now = strata.select("file", "query_id", F.col("hash").alias("now"))
+    was_files, now_files = was.select("file").distinct(), now.select("file").distinct()
+    compared = was.join(now_files, "file", "left_semi").join(now.join(was_files, "file", "left_semi"), ["file", "query_id"], "full")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "modified")
+    changed = compared.select("file", "query_id", change.alias("problem")).where("problem IS NOT NULL")
+    none = F.lit(None).cast(manifest.schema["query_id"].dataType).alias("query_id")
+    gone = was_files.join(now_files, "file", "left_anti").select("file", none, F.lit("file missing").alias("problem"))
+    bare = strata.where("status = 'ready'").select("file").distinct().join(was_files, "file", "left_anti").select("file", none, F.lit("ready but never frozen").alias("problem"))
+    empty = manifest.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").select(F.lit(None).cast("string").alias("file"), none, F.lit("nothing is frozen").alias("problem"))
+    return changed.unionByName(gone).unionByName(bare).unionByName(empty)
+
+
+def require_freeze(manifest: DataFrame, strata: DataFrame, shown: int = 20) -> None:
+    """Refuses to go on where a query set isn't what was frozen, naming the first ``shown`` problems."""
+    found = freeze_problems(manifest, strata).limit(shown).collect()
+    if found:
+        raise ValueError("the query sets aren't the frozen ones: " + "; ".join(" ".join(str(x) for x in (r["file"], r["query_id"], r["problem"]) if x is not None) for r in found))
+
+
 def frozen(manifest: DataFrame, disk: DataFrame) -> DataFrame:
     """(file, query_id) of the queries both frozen and on disk, each in its own file."""
     return manifest.select("file", "query_id").intersect(disk.select("file", "query_id"))

@@ -134,11 +134,30 @@ def domain_maps(pairs: DataFrame, url: str = "url") -> DataFrame:
     """(domain, verdicts, reasons) by the registrable domain of the address: how many standing pairs of each verdict, and
     how many others of each reason (void reason, else source code, else 'not judged'). Both maps have closed key sets,
     but for a refusal's own words."""
+    return domain_report(pairs, url).select("domain", "verdicts", "reasons")
+
+
+def domain_report(pairs: DataFrame, url: str = "url", calibration: str | None = None, floor: int = codes.MIN_STANDING) -> DataFrame:
+    """One relation per publisher, the busiest first: pairs, standing, unauditable, both maps of ``domain_maps``, the
+    rate with its interval, and why there is none.
+
+    calibration: '' when the judge's gate passed, else the gate's own words, null where none was supplied. The gate is a
+    fact about the run, so it is named before the floor of standing pairs. Counts and maps are shown whatever is refused.
+    One shuffle by (domain, key) carries everything; what follows has a row per domain and key.
+    """
     domain = F.coalesce(F.nullif(registrable_domain(F.col(url)), F.lit("")), F.lit("(no domain)"))
     reason = F.coalesce(F.nullif("void_reason", F.lit("")), F.when(~auditable(), F.nullif("source_code", F.lit(""))), F.lit("not judged"))
-    n = pairs.groupBy(domain.alias("domain"), standing().alias("_stands"), F.when(standing(), F.col("verdict")).otherwise(reason).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    key = F.when(standing(), F.col("verdict")).otherwise(reason)
+    n = pairs.groupBy(domain.alias("domain"), standing().alias("_stands"), key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(supported()).alias("_hits"))
     held = lambda stands: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_stands") == stands, F.struct("_key", "_n")))))
-    return n.groupBy("domain").agg(held(True).alias("verdicts"), held(False).alias("reasons"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    stands = F.when(F.col("_stands"), F.col("_n"))
+    rows = n.groupBy("domain").agg(total("_n").alias("pairs"), total(stands).alias("standing"), total(F.when(~F.col("_stands"), F.col("_n"))).alias("unauditable"), held(True).alias("verdicts"), held(False).alias("reasons"), total("_hits").alias("_h"))
+    gate = "no calibration supplied" if calibration is None else calibration
+    why = F.lit(gate) if gate else F.when(F.col("standing") < floor, F.lit(f"fewer than {floor} standing pairs"))
+    rated = rows.withColumn("refused", why).select("domain", "pairs", "standing", "unauditable", "verdicts", "reasons", "refused", *rate_columns(F.col("_h"), F.col("standing")))
+    shown = [F.when(F.col("refused").isNull(), F.col(c)).alias(c) for c in ("value", "lo", "hi")]
+    return rated.select("domain", "pairs", "standing", "unauditable", "verdicts", "reasons", "hits", *shown, F.coalesce("refused", F.lit("")).alias("refused")).orderBy(F.desc("pairs"), "domain")
 
 
 def report_counts(pairs: DataFrame, claims: DataFrame, *keys: str) -> DataFrame:

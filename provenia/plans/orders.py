@@ -69,6 +69,17 @@ def freeze_diff(spark, d):
     return gates.freeze_diff(_manifest(spark, d), _disk(spark, d), ["file", "query_id"])
 
 
+@query("""SELECT c_mktsegment AS file, c_custkey AS query_id, CASE WHEN c_custkey % 40 = 3 THEN 'removed' ELSE 'modified' END AS problem FROM customer
+WHERE c_mktsegment NOT IN ('MACHINERY', 'HOUSEHOLD') AND (c_custkey % 40 = 3 OR c_custkey % 50 = 7)
+UNION ALL SELECT 'BUILDING', n_nationkey + 10000000, 'added' FROM nation UNION ALL SELECT DISTINCT c_mktsegment, NULL::BIGINT, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'file missing' ELSE 'ready but never frozen' END FROM customer WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD')""")
+def freeze_problems(spark, d):
+    """Customers as query sets by segment: one file was never frozen, one is gone, new queries stand in a frozen one and in a draft."""
+    disk = _disk(spark, d).where("file != 'HOUSEHOLD'")
+    new = disk.where("file = 'NEW'").drop("file").withColumn("file", F.explode(F.array(F.lit("BUILDING"), F.lit("DRAFT"))))
+    disk = disk.where("file != 'NEW'").unionByName(new).withColumn("status", F.when(F.col("file") == "DRAFT", "draft").otherwise("ready"))
+    return gates.freeze_problems(_manifest(spark, d).where("file != 'MACHINERY'"), disk)
+
+
 @query("SELECT c_mktsegment AS file, c_custkey AS query_id FROM customer WHERE c_custkey % 40 <> 3 AND c_custkey % 60 <> 11")
 def frozen_ids(spark, d):
     """Queries frozen and on disk, each in its own file; some stand in another file now."""

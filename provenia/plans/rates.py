@@ -176,6 +176,21 @@ def domain_verdicts(spark, d):
     return P.domain_maps(pairs(spark, d)).select("domain", told("verdicts").alias("verdicts"), told("reasons").alias("reasons"))
 
 
+@query(_sql(f"""
+, t AS (SELECT CASE WHEN doc_id % 29 = 0 THEN '(no domain)' ELSE 'site' || doc_id % 23 || '.org' END AS domain, st, su, CASE WHEN st THEN verdict WHEN void_reason <> '' THEN void_reason WHEN source_code <> 'SOURCE_OK' THEN source_code ELSE 'not judged' END AS key FROM s WHERE doc_id % 23 <> 5 OR doc_id < 30),
+g AS (SELECT domain, st, key, count(*) AS k, count(*) FILTER (su) AS y FROM t GROUP BY ALL),
+e AS (SELECT domain, sum(k)::BIGINT AS pairs, coalesce(sum(k) FILTER (st), 0)::BIGINT AS n, coalesce(sum(k) FILTER (NOT st), 0)::BIGINT AS unauditable, coalesce(string_agg(key || '=' || k, ' ' ORDER BY key) FILTER (st), '') AS verdicts, coalesce(string_agg(key || '=' || k, ' ' ORDER BY key) FILTER (NOT st), '') AS reasons, sum(y)::BIGINT AS hits FROM g GROUP BY domain),
+w AS (SELECT *, {W}, CASE WHEN n < 2 THEN 'fewer than 2 standing pairs' ELSE '' END AS refused FROM e)
+SELECT domain, pairs, n AS standing, unauditable, verdicts, reasons, hits, CASE WHEN refused = '' THEN value END AS value, CASE WHEN refused = '' THEN lo END AS lo, CASE WHEN refused = '' THEN hi END AS hi, refused FROM w"""))
+def domain_report(spark, d):
+    """The whole report by registrable domain, rates beside both maps; one domain keeps few pairs, some pairs name none."""
+    i = F.col("doc_id")
+    url = F.when(i % 29 == 0, "").otherwise(F.concat(F.lit("https://www.site"), (i % 23).cast("string"), F.lit(".org/"), i.cast("string")))
+    rows = pairs(spark, d).where((i % 23 != 5) | (i < 30)).withColumn("url", url)
+    told = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ").alias(m)
+    return P.domain_report(rows, calibration="").select("domain", "pairs", "standing", "unauditable", told("verdicts"), told("reasons"), "hits", "value", "lo", "hi", "refused")
+
+
 @query(_sql("""
 , e AS (SELECT answer, claim_id, count(*) AS k, count(*) FILTER (st) AS stands, count(*) FILTER (st AND verdict = 'PARTIALLY_SUPPORTED' AND doc_id % 2 = 0) AS bare FROM s GROUP BY ALL)
 SELECT answer, count(*) AS claims, count(*) FILTER (claim_id % 9 = 4) AS unlocatable, sum(k)::BIGINT AS pairs, sum(stands)::BIGINT AS standing, sum(k - stands)::BIGINT AS unauditable, count(*) FILTER (k > 1) AS multi_source_claims, sum(bare)::BIGINT AS partial_without_qualifiers FROM e GROUP BY answer"""))

@@ -205,3 +205,31 @@ def test_judge_sees_only_pages_that_were_read(spark):
     got = {r.claim_id: (r.verdict, r.refusal) for r in judge.judge_pairs(rows, Scripted()).collect()}
     assert got == {"c1": ("SUPPORTED", ""), "c2": (codes.REFUSED, "no")}
     assert [r.v for r in rows.select(judge.rule_verdict(F.col("text"), F.col("claim")).alias("v")).collect()][2] == "NOT_FOUND_IN_SOURCE"
+
+
+def test_freeze_refuses_until_the_sets_are_the_frozen_ones(spark):
+    frozen = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("b", "3", "z")], "file string, query_id string, hash string")
+    disk = lambda *rows: spark.createDataFrame(list(rows), "file string, status string, query_id string, hash string")
+    same = [("a", "ready", "1", "x"), ("a", "ready", "2", "y"), ("b", "ready", "3", "z"), ("c", "draft", "4", "w")]
+    gates.require_freeze(frozen, disk(*same))
+    with pytest.raises(ValueError, match="b file missing"):
+        gates.require_freeze(frozen, disk(*same[:2]))
+    with pytest.raises(ValueError, match="c ready but never frozen"):
+        gates.require_freeze(frozen, disk(*same[:3], ("c", "ready", "4", "w")))
+    with pytest.raises(ValueError, match="a 2 modified"):
+        gates.require_freeze(frozen, disk(same[0], ("a", "ready", "2", "q"), *same[2:]))
+    with pytest.raises(ValueError, match="nothing is frozen"):
+        gates.require_freeze(frozen.limit(0), disk(*same[3:]))
+    found = gates.freeze_problems(frozen, disk(same[0], ("a", "ready", "5", "n"), same[2]))
+    assert {tuple(r) for r in found.collect()} == {("a", "2", "removed"), ("a", "5", "added")}
+
+
+def test_domain_report_names_the_gate_before_the_floor(spark):
+    rows = [("https://a.org/1", "SOURCE_OK", "SUPPORTED", False, ""), ("https://www.a.org/2", "SOURCE_OK", "CONTRADICTED", False, ""), ("https://b.org/", "SOURCE_OK", "SUPPORTED", False, ""), ("", "SOURCE_EMPTY", "", False, "")]
+    df = spark.createDataFrame(rows, "url string, source_code string, verdict string, voided boolean, void_reason string")
+    passed = P.domain_report(df, calibration="").collect()
+    assert [(r["domain"], r["pairs"], r["standing"], r["value"], r["refused"]) for r in passed] == [("a.org", 2, 2, 0.5, ""), ("(no domain)", 1, 0, None, "fewer than 2 standing pairs"), ("b.org", 1, 1, None, "fewer than 2 standing pairs")]
+    assert (passed[0]["verdicts"], passed[1]["reasons"]) == ({"SUPPORTED": 1, "CONTRADICTED": 1}, {"SOURCE_EMPTY": 1})
+    assert {(r["value"], r["refused"]) for r in P.domain_report(df, calibration="too little agreement").collect()} == {(None, "too little agreement")}
+    assert {r["refused"] for r in P.domain_report(df).collect()} == {"no calibration supplied"}
+    assert P.domain_report(df.limit(0)).count() == 0
