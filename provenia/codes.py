@@ -115,3 +115,18 @@ NAMED = (
     ("PUBLISHED_IN", r"\bpublished\s+in\s+[A-Z][A-Za-z&\-]+(?:\s+[A-Z][A-Za-z&\-]+){0,4}[^.\n]{0,30}?\b(?:19|20)\d{2}\b"),
     ("YEAR_JOURNAL_STUDY", r"\b(?:19|20)\d{2}\s+[A-Z][A-Za-z&\-]+(?:\s+[A-Z][A-Za-z&\-]+){0,3}\s+(?:study|paper|trial|analysis|report|review)\b"),
 )
+
+#: Where each product's pages hold an answer: selectors in the order they are tried. Fixed values.
+ADAPTERS = {
+    "claude": (".bg-surface-3 .standard-markdown", ".font-claude-response", "[data-testid='chat-stale-nav-inert'] .standard-markdown"),
+    "chatgpt": ('[data-message-author-role="assistant"]', "div.markdown.prose"),
+    "perplexity": (".prose", '[class*="answer"]'),
+    "google-ai-overviews": ('[data-attrid*="AIOverview"]', "#rcnt div[data-async-type]"),
+    "generic": ("article", "main", "body"),
+}
+
+#: Hosts of the products' own pages, which no answer cites. Fixed values.
+OWN_HOSTS = (
+    "support.anthropic.com", "claude.ai", "chatgpt.com", "chat.openai.com", "help.openai.com", "www.perplexity.ai", "perplexity.ai",
+    "policies.google.com", "support.google.com", "accounts.google.com",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provenia.functions import parse
+from provenia.functions import parse, reading
 from provenia.functions import text as X
 from provenia.operators import lookup
 from provenia.operators.ordering import keep_first
@@ -190,3 +190,35 @@ def _works(spark, d):
     author = F.concat(F.lit("Sur"), letter(k), letter(F.col("p_size")))
     title = F.concat("p_name", F.lit(" no"), F.floor(k / 3).cast("string"))
     return table(spark, d, "part").select(k.alias("work"), title.alias("title"), F.array(author).alias("authors"), (k % 60 + 1950).cast("int").alias("year"), F.concat(F.lit("10.1234/p"), k.cast("string")).alias("doi"))
+
+
+_PARTS = {
+    "chatgpt": ('<div data-message-author-role="assistant"><p>Reply ', '</p><a href="https://one.example.net/', '">First note</a><a href="https://claude.ai/x">own</a></div>'),
+    "perplexity": ('<section class="prose wide"><p>Found ', '</p><a href="https://two.example.net/', '">Second note</a></section>'),
+    "google-ai-overviews": ('<div data-attrid="SrpAIOverviewBox"><p>Shown ', '</p><a href="https://three.example.net/', '">Third note</a></div>'),
+}
+
+
+def _product_pages(spark, d):
+    """The stored pages, each followed by an answer in the markup of three products, and read as one of them."""
+    k = F.col("page_id").cast("string")
+    parts = [x for a, b, c in _PARTS.values() for x in (F.lit(a), k, F.lit(b), k, F.lit(c))]
+    product = F.element_at(F.array(*[F.lit(p) for p in _PARTS]), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", product.alias("product"), F.concat(F.coalesce("html", F.lit("")), *parts).alias("html"))
+
+
+_PRODUCT = "list_extract(['chatgpt', 'perplexity', 'google-ai-overviews'], CAST(page_id % 3 + 1 AS INT))"
+
+
+@query(f"SELECT page_id, {_PRODUCT} AS product, 0::INT AS pos, list_extract(['First note', 'Second note', 'Third note'], CAST(page_id % 3 + 1 AS INT)) AS marker, 'https://' || list_extract(['one', 'two', 'three'], CAST(page_id % 3 + 1 AS INT)) || '.example.net/' || page_id AS url FROM pages")
+def adapter_links(spark, d):
+    """Links of each product's answers, by the table function from SQL with the product's own selectors."""
+    reading.register(spark)
+    return spark.sql("SELECT page_id, product, r.* FROM {pages}, LATERAL read_page(html, 'links', product) r", pages=_product_pages(spark, d))
+
+
+@query(f"SELECT page_id, {_PRODUCT} AS product, 0::INT AS seq, list_extract(['[data-message-author-role=\"assistant\"]', '.prose', '[data-attrid*=\"AIOverview\"]'], CAST(page_id % 3 + 1 AS INT)) AS selector, 1::INT AS n_links FROM pages")
+def adapter_containers(spark, d):
+    """Containers of each product's answers, by the table function from SQL."""
+    reading.register(spark)
+    return spark.sql("SELECT page_id, product, r.seq, r.selector, r.n_links FROM {pages}, LATERAL read_page(html, 'containers', product) r", pages=_product_pages(spark, d))
