@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from provenia import codes
 from provenia.functions import text as X
-from provenia.operators import gates, joins
+from provenia.operators import gates, joins, judge
 from provenia.operators.ordering import claim_ids as with_claim_ids
 from provenia.operators.ordering import keep_first
 from provenia.operators.provenance import classified
@@ -319,3 +319,24 @@ def call_cost(spark, d):
 def capture_incomplete(spark, d):
     rendered = F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") * F.lit(0.9)).otherwise(F.col("n_chars") * F.lit(0.99))
     return table(spark, d, "documents").select("doc_id", X.incomplete_capture(F.when(F.col("doc_id") % 50 == 0, 1).otherwise(0), F.col("n_chars"), rendered).alias("incomplete"))
+
+
+class _Finder:
+    """A judge that looks for the claim itself; a token is four characters of the text or one of the claim."""
+
+    def complete(self, document: str, claim: str) -> dict:
+        there = claim in document
+        return {"verdict": "SUPPORTED" if there else "NOT_FOUND_IN_SOURCE", "span": claim if there else "", "tokens": len(document) // 4 + len(claim)}
+
+
+@query("""WITH p AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 3 = 0 THEN 'nothing of it' ELSE substr(coalesce(text, ''), 5, 20) END AS claim FROM documents WHERE doc_id % 11 <> 0),
+c AS (SELECT *, CAST(length(text) // 4 + length(claim) AS BIGINT) AS cost, CAST(doc_id AS VARCHAR) AS claim_id, 'u' || doc_id AS url FROM p),
+s AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY doc_id % 16 ORDER BY url, claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 160000 / 16 AS halted FROM c)
+SELECT claim_id, CASE WHEN halted THEN '' WHEN contains(text, claim) THEN 'SUPPORTED' ELSE 'NOT_FOUND_IN_SOURCE' END AS verdict, CASE WHEN halted THEN 'budget of 160,000 tokens reached' ELSE '' END AS refusal, CASE WHEN halted THEN 0 ELSE cost END AS tokens, halted FROM s""")
+def judged_within_budget(spark, d):
+    """All readable documents given to a judge with a budget: what was judged, what was left out."""
+    i = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    claim = F.when(i % 3 == 0, "nothing of it").otherwise(F.substring(text, 5, 20))
+    rows = table(spark, d, "documents").select("doc_id", i.cast("string").alias("claim_id"), F.concat(F.lit("u"), i.cast("string")).alias("url"), claim.alias("claim"), text.alias("text"), F.when(i % 11 == 0, "SOURCE_EMPTY").otherwise("SOURCE_OK").alias("source_code"))
+    return judge.judge_metered(rows, _Finder(), 160_000, 16, i % 16).select("claim_id", "verdict", "refusal", "tokens", "halted")

@@ -233,3 +233,48 @@ def test_domain_report_names_the_gate_before_the_floor(spark):
     assert {(r["value"], r["refused"]) for r in P.domain_report(df, calibration="too little agreement").collect()} == {(None, "too little agreement")}
     assert {r["refused"] for r in P.domain_report(df).collect()} == {"no calibration supplied"}
     assert P.domain_report(df.limit(0)).count() == 0
+
+
+class Counting:
+    def __init__(self, failure=None):
+        self.failure = failure
+
+    def probe(self):
+        if self.failure:
+            raise judge.Unavailable("no answer", self.failure)
+
+    def complete(self, document, claim):
+        if claim == "refuse":
+            raise judge.Refused("won't")
+        return {"verdict": "SUPPORTED", "span": document, "tokens": 10}
+
+
+def test_a_judge_stops_at_its_budget_and_names_what_it_left_out(spark):
+    rows = [(f"c{i:02}", "u", "refuse" if i == 1 else "x", None if i == 2 else "t", "SOURCE_OK" if i else "SOURCE_EMPTY") for i in range(9)]
+    df = spark.createDataFrame(rows, "claim_id string, url string, claim string, text string, source_code string")
+    out = {r["claim_id"]: r for r in judge.judge_metered(df, Counting(), 25, 1).collect()}
+    assert sorted(out) == [f"c{i:02}" for i in range(1, 9)]  # the unread page never reaches the judge
+    assert [out[f"c{i:02}"]["halted"] for i in range(1, 9)] == [False] * 4 + [True] * 4
+    assert (out["c01"]["verdict"], out["c01"]["refusal"], out["c02"]["span"]) == (codes.REFUSED, "won't", "")
+    assert (out["c08"]["verdict"], out["c08"]["tokens"], out["c08"]["refusal"]) == ("", 0, "budget of 25 tokens reached")
+    spent = judge.spending(judge.judge_metered(df, Counting(), 25, 1), 25).first()
+    assert tuple(spent) == (4, 30, 4, 25, True)
+    again = df.join(judge.judge_metered(df, Counting(), 25, 1).where("halted").select("claim_id"), "claim_id", "left_semi")
+    assert judge.judge_metered(again, Counting()).where("halted").isEmpty()
+    assert tuple(judge.spending(judge.judge_metered(df.limit(0), Counting(), 5), 5).first()) == (0, 0, 0, 5, False)
+    assert judge.judge_metered(df, Counting(), 0).where("NOT halted").isEmpty()
+
+
+def test_shares_hold_over_many_parts(spark):
+    df = spark.range(2000).selectExpr("cast(id AS string) AS claim_id", "'u' AS url", "'x' AS claim", "'t' AS text", "'SOURCE_OK' AS source_code")
+    tokens = judge.spending(judge.judge_metered(df, Counting(), 4000, 8), 4000).first()["tokens"]
+    assert 4000 <= tokens <= 4000 + 8 * 10
+
+
+def test_a_probe_refuses_before_any_claim_is_sent(spark, frame):
+    df = spark.createDataFrame([("c", "u", "x", "t", "SOURCE_OK")], "claim_id string, url string, claim string, text string, source_code string")
+    with pytest.raises(judge.Unavailable) as e:
+        judge.judge_metered(df, Counting("rejected"), 10)
+    assert e.value.kind == "rejected"
+    with pytest.raises(ValueError):
+        judge.Unavailable("x", "mood")
