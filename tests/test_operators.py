@@ -278,3 +278,29 @@ def test_a_probe_refuses_before_any_claim_is_sent(spark, frame):
     assert e.value.kind == "rejected"
     with pytest.raises(ValueError):
         judge.Unavailable("x", "mood")
+
+
+def test_only_readable_pairs_can_be_judged(spark):
+    claims = spark.createDataFrame([("c1", ["u1", "u2"]), ("c2", ["u1", "u3"]), ("c3", [])], "claim_id string, urls array<string>")
+    fetches = spark.createDataFrame([("u1", "SOURCE_OK"), ("u2", "SOURCE_PAYWALLED")], "url string, source_code string")
+    assert sorted((r.claim_id, r.url) for r in P.judgeable(claims, fetches).collect()) == [("c1", "u1"), ("c2", "u1")]
+
+
+def test_lookup_of_a_short_table_has_a_default(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "stratum string")
+    told = captures.with_lookup(df, "stratum", {"a": "drawn by hand"}, "caveat", "no caveat is known: not comparable")
+    assert {r["stratum"]: r["caveat"] for r in told.collect()} == {"a": "drawn by hand", "b": "no caveat is known: not comparable", None: "no caveat is known: not comparable"}
+
+
+def test_marked_files_skip_blanks_and_comments(spark, tmp_path):
+    (tmp_path / "marked.txt").write_text("# by hand\n\n  One et al., 2001 \n#two\nthree\n")
+    assert sorted(r["a"] for r in captures.marked_lines(spark, str(tmp_path / "marked.txt")).collect()) == ["One et al., 2001", "three"]
+
+
+def test_unfreezing_needs_a_reason_and_leaves_a_trace(spark):
+    manifest = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("b", "3", "z")], "file string, query_id string, hash string")
+    with pytest.raises(ValueError, match="reason"):
+        captures.unfreeze(manifest, "a", "2026-01-01", "")
+    kept, gone = captures.unfreeze(manifest, "a", "2026-01-01", "wrong cost")
+    assert [r["query_id"] for r in kept.collect()] == ["3"]
+    assert {(r["query_id"], r["reason"]) for r in gone.collect()} == {("1", "wrong cost"), ("2", "wrong cost")}
