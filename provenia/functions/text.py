@@ -237,6 +237,20 @@ def shingles(text: Column, n: int = codes.SHINGLE_WORDS) -> Column:
     return let(F.filter(F.split(fold(text), " "), lambda w: w != ""), grams)
 
 
+def shingle_hashes(text: Column, n: int = codes.SHINGLE_WORDS) -> Column:
+    """Distinct 64-bit hashes of the same n-grams: what is compared when no one reads the grams.
+
+    Each word is hashed once and a gram is a hash of its words' hashes, so no gram is ever built as text. Two texts of
+    a million grams each meet by chance in one of them with a probability below 10^-7.
+    """
+
+    def grams(words: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, n)))
+        return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(many))
+
+    return let(F.transform(F.filter(F.split(fold(text), " "), lambda w: w != ""), lambda w: F.xxhash64(w)), grams)
+
+
 def containment(snapshot: Column, current: Column) -> tuple[Column, Column]:
     """(containment of the snapshot, Jaccard) of two shingle sets: both empty 1 and 1, one empty 0 and 0."""
     both = F.size(F.array_intersect(snapshot, current)).cast("double")

@@ -223,10 +223,11 @@ q AS (SELECT doc_id, was, len(list_intersect(old, sh))::DOUBLE / len(old) AS con
 
 
 def _drifts(spark, d):
-    """Each document against the one before it by id, as a page against its snapshot; an equi join, shingled after it."""
-    now = table(spark, d, "documents").select("doc_id", "text")
-    then = now.select((F.col("doc_id") + 1).alias("doc_id"), F.col("doc_id").alias("was"), F.col("text").alias("before"))
-    rows = now.join(then, "doc_id").select("doc_id", "was", X.shingles(F.col("before")).alias("old"), X.shingles(F.col("text")).alias("now"))
+    """Each document against the one before it by id, as a page against its snapshot; texts are shingled where they are
+    read, and hashes are joined."""
+    now = table(spark, d, "documents").select("doc_id", X.shingle_hashes(F.col("text")).alias("now"))
+    then = now.select((F.col("doc_id") + 1).alias("doc_id"), F.col("doc_id").alias("was"), F.col("now").alias("old"))
+    rows = now.join(then, "doc_id")
     contained, jaccard = X.containment(F.col("old"), F.col("now"))
     return rows.select("doc_id", "was", contained.alias("contained"), jaccard.alias("jaccard"))
 

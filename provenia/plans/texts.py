@@ -12,6 +12,7 @@ from provenia.operators.ordering import keep_first
 from provenia.operators.provenance import classified
 from provenia.plans.catalogue import query, wilson_sql
 from provenia.plans.standins import ANSWERS_SQL, answers, table
+from provenia.sources import stores
 
 
 def _values(spark, rows, schema):
@@ -66,14 +67,20 @@ def http_code_map(spark, d):
     return table(spark, d, "events").select("event_id", X.status_code(status).alias("code"))
 
 
-KINDS = [(1, "text/html; charset=utf-8", "<p>"), (2, None, "<p>"), (3, "text/html", " \n%PDF-1.7"), (4, " Application/PDF ", "x"), (5, codes.DOCX_TYPE, "PK.."), (6, codes.DOCX_TYPE, "no"), (7, "application/rss+xml", "<a/>"), (8, "image/png", "x"), (9, "text/plain", "x"), (10, "application/xml", "<a/>")]
-KINDS_WANTED = [(1, "html"), (2, "html"), (3, "pdf"), (4, "pdf"), (5, "docx"), (6, "none"), (7, "xml"), (8, "none"), (9, "html"), (10, "xml")]
+_HEADERS = ("text/html; charset=utf-8", None, "text/html", " Application/PDF ", codes.DOCX_TYPE, codes.DOCX_TYPE + "; v=1", "application/rss+xml", "image/png", "Text/Plain;", "application/xml")
 
 
-@query(f"SELECT id, kind FROM {_values_sql(KINDS_WANTED, 'id, kind')}")
+@query(f"""WITH h AS (SELECT page_id, list_extract({_list_sql([h or '' for h in _HEADERS])}, CAST(page_id % 10 + 1 AS INT)) AS header,
+ CASE page_id % 10 WHEN 2 THEN ' ' || chr(10) || '%PDF-1.7' WHEN 5 THEN 'PK' ELSE '' END || substr(html, 1, 1024) AS body FROM pages),
+t AS (SELECT page_id, lower(trim(split_part(header, ';', 1))) AS named, regexp_matches(body, '^\\s*%PDF-') AS pdf, body[1:2] = 'PK' AS zipped FROM h)
+SELECT page_id, CASE WHEN pdf OR named IN ('application/pdf', 'application/x-pdf') THEN 'pdf' WHEN named LIKE '%wordprocessingml.document' AND zipped THEN 'docx'
+ WHEN named LIKE '%/%xml' AND named <> 'application/xhtml+xml' THEN 'xml' WHEN named = '' OR named LIKE 'text/%' OR named = 'application/xhtml+xml' THEN 'html' ELSE 'none' END AS kind FROM t""")
 def content_kind(spark, d):
-    rows = _values(spark, KINDS, "id int, header string, body string")
-    return rows.select("id", X.document_kind(X.content_type(F.col("header")), F.col("body")).alias("kind"))
+    """The pages under ten headers, some with the first bytes of a PDF file or of an archive before them."""
+    i = F.col("page_id") % 10
+    header = F.element_at(F.array(*[F.lit(h).cast("string") for h in _HEADERS]), (i + 1).cast("int"))
+    head = F.concat(F.when(i == 2, " \n%PDF-1.7").when(i == 5, "PK").otherwise(""), F.substring("html", 1, 1024))
+    return table(spark, d, "pages").select("page_id", X.document_kind(X.content_type(header), head).alias("kind"))
 
 
 TEXT_SQL = r"""
@@ -167,14 +174,16 @@ def uncited_floor(spark, d):
     return g.select("query_id", "uncited", "skipped_factual", (F.col("uncited") + F.col("skipped_factual")).alias("floor"))
 
 
-FACTS = [(1, "Copy"), (2, "In 2024 the Ministry Reported growth"), (3, "Alpha Beta met Gamma"), (4, "only three words"), (5, "the rule changed last year"), (6, "Read more:"), (7, "rates of 7 percent were seen"), (8, "Massachusetts and Vermont agreed terms"), (9, "x.")]
-FACTS_WANTED = [(1, False, True), (2, True, False), (3, True, False), (4, False, False), (5, False, False), (6, False, True), (7, False, False), (8, True, False), (9, False, True)]
+NAMED_UNIT = "CASE WHEN query_id LIKE '%1' THEN 'It is said that ' || {} ELSE text END"
 
 
-@query(f"SELECT id, factual, furniture FROM {_values_sql(FACTS_WANTED, 'id, factual, furniture')}")
+@query(f"""WITH {UNITS_SQL}, v AS (SELECT * REPLACE ({NAMED_UNIT.format("array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(text, ' ')], ' ')")} AS text) FROM un), {FACT_SQL.replace("FROM un)", "FROM v)")}
+SELECT query_id, pos, NOT furniture AND n_words >= 4 AND (n_numbers > 0 OR len({PROPERS_SQL}) >= 2) AS factual, furniture FROM fy""")
 def factual_units(spark, d):
+    """The units of every answer: which state a fact, by a number or by two names, and which are furniture; some answers in capitals."""
+    rows = _units(spark, d).withColumn("text", F.expr(NAMED_UNIT.format("initcap(text)")))
     t = F.col("text")
-    return _values(spark, FACTS, "id int, text string").select("id", X.looks_factual(t).alias("factual"), X.is_furniture(t).alias("furniture"))
+    return rows.select("query_id", "pos", X.looks_factual(t).alias("factual"), X.is_furniture(t).alias("furniture"))
 
 
 @query(f"""WITH {UNITS_SQL}, m AS (SELECT *, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS canon FROM un JOIN (SELECT DISTINCT conv_id, query_id FROM a) USING (query_id)),
@@ -187,22 +196,20 @@ def claim_ids(spark, d):
     return with_claim_ids(rows, "capture", "canonical", "at").select("query_id", "pos", "claim_id")
 
 
-@query(f"WITH {UNITS_SQL} SELECT query_id, sha256(string_agg(text || chr(31) || kind, chr(30) ORDER BY pos)) AS split_sha256, sha256(string_agg(sha256(text), ',' ORDER BY sha256(text))) AS labels_sha256 FROM un GROUP BY query_id")
+@query(f"WITH {UNITS_SQL} SELECT query_id, sha256(string_agg(text || chr(31) || kind, chr(30) ORDER BY pos)) AS split_sha256, sha256(string_agg(sha256(to_json({{'label': kind, 'text': text}})::VARCHAR), ',' ORDER BY sha256(to_json({{'label': kind, 'text': text}})::VARCHAR))) AS labels_sha256 FROM un GROUP BY query_id")
 def split_digest(spark, d):
-    """Digest of an answer's split (order counts) and of its set of labels (it doesn't). Own canonical form, version 1."""
-    rows = _units(spark, d)
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("text", F.lit("\x1f"), "kind").alias("t")))), lambda s: s["t"]), "\x1e")
-    loose = F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ",")
-    return rows.groupBy("query_id").agg(F.sha2(ordered, 256).alias("split_sha256"), F.sha2(loose, 256).alias("labels_sha256"))
+    """Digest of an answer's split (order counts) and of its set of labels (it doesn't)."""
+    claims = F.array_sort(F.collect_list(F.struct("pos", "text", F.array("kind").alias("markers"))))
+    labels = F.collect_list(F.struct(F.col("kind").alias("label"), "text"))
+    rows = _units(spark, d).groupBy("query_id").agg(claims.alias("claims"), labels.alias("labels"))
+    return rows.select("query_id", stores.split_digest(F.col("claims")).alias("split_sha256"), stores.labels_digest(F.col("labels")).alias("labels_sha256"))
 
 
 @query("SELECT p_partkey, sha256(p_partkey || chr(10) || p_brand || chr(10) || trim(regexp_replace(p_name, '\\s+', ' ', 'g')) || chr(10) || trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS query_hash FROM part")
 def query_hash(spark, d):
-    p = table(spark, d, "part")
-    return p.select("p_partkey", F.sha2(F.concat_ws("\n", F.col("p_partkey").cast("string"), "p_brand", X.blanks(F.col("p_name")), X.blanks(F.col("p_type"))), 256).alias("query_hash"))
-
-
-SPANS = [("plain", 0), ("curly", 1), ("footnote", 2), ("changed", 3), ("blank", 4)]
+    """Parts as the queries of a stratum, hashed as a freeze does."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("query_id"), F.col("p_brand").alias("domain"), F.col("p_name").alias("text"), F.col("p_type").alias("cost_of_error"))
+    return p.select("p_partkey", stores.query_hash().alias("query_hash"))
 
 
 @query("""WITH e AS (SELECT doc_id, doc_id % 5 AS how, coalesce(text, '') AS text FROM documents)
@@ -216,23 +223,26 @@ def span_present(spark, d):
     return e.select("doc_id", "how", X.span_present(span, doc).alias("present"))
 
 
-JUDGED = [
-    (1, "SUPPORTED", "the rate was 78%", "Rates", "In 2022 the rate was 78% overall", "same", None),
-    (2, "SUPPORTED", "the rate was 79%", "Rates", "In 2022 the rate was 78% overall", "same", None),
-    (3, "NOT_FOUND_IN_SOURCE", "", "It reached 4512 cases", "nothing here", "nav 4512 cases nothing here", None),
-    (4, "NOT_FOUND_IN_SOURCE", "", "It reached 4512 cases", "nothing here", "nothing here", None),
-    (5, "PARTIALLY_SUPPORTED", "new text", "c", "old and new text", "x", "only the old"),
-    (6, "CONTRADICTED", "old", "c", "old and new text", "x", "only the old"),
-    (7, "MAYBE", "old", "c", "old", "x", None),
-    (8, "SUPPORTED", " ", "c", "old", "x", None),
-]
-JUDGED_WANTED = [(1, True, None, ""), (2, False, None, codes.FABRICATED), (3, False, None, codes.SUSPECT), (4, False, None, ""), (5, True, False, codes.ADDED_LATER), (6, True, True, ""), (7, False, None, codes.REFUSED), (8, False, None, codes.FABRICATED)]
-
-
-@query(f"SELECT id, span_verified, predates, void_reason FROM {_values_sql(JUDGED_WANTED, 'id, span_verified, predates, void_reason')}")
+@query(f"""WITH e AS (SELECT doc_id, doc_id % 8 AS how, coalesce(text, '') AS text FROM documents), v AS (SELECT *, trim(regexp_replace(substr(text, 11, 80), '\\s+', ' ', 'g')) <> '' AS quoted FROM e)
+SELECT doc_id, how IN (0, 4, 5) AND quoted AS span_verified, CASE WHEN how IN (4, 5) AND quoted THEN how = 5 END AS predates,
+ CASE WHEN how = 6 THEN '{codes.REFUSED}' WHEN how = 2 AND NOT contains(text, '4512') THEN '{codes.SUSPECT}' WHEN how IN (1, 7) OR how IN (0, 4, 5) AND NOT quoted THEN '{codes.FABRICATED}' WHEN how = 4 THEN '{codes.ADDED_LATER}' ELSE '' END AS void_reason FROM v""")
 def g3_outcome(spark, d):
-    rows = _values(spark, JUDGED, "id int, verdict string, span string, claim string, text string, raw string, archived string")
-    return gates.span_outcome(rows).select("id", "span_verified", "predates", "void_reason")
+    """Verdicts on every document: quoted, misquoted, evidence lost in extraction, nothing found, quoted but not archived,
+    quoted and archived, an unknown verdict, a blank quotation."""
+    how = F.col("doc_id") % 8
+    one_of = lambda *values: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (how + 1).cast("int"))
+    rows = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    cut, text = F.substring("text", 11, 80), F.col("text")
+    rows = rows.select(
+        "doc_id",
+        one_of("SUPPORTED", "SUPPORTED", "NOT_FOUND_IN_SOURCE", "NOT_FOUND_IN_SOURCE", "PARTIALLY_SUPPORTED", "CONTRADICTED", "MAYBE", "SUPPORTED").alias("verdict"),
+        one_of(cut, F.concat(cut, F.lit(" zzqx")), "", "", cut, cut, cut, " ").alias("span"),
+        F.lit("It reached 4512 cases").alias("claim"),
+        "text",
+        F.when(how == 2, F.concat(text, F.lit(" 4512 cases"))).otherwise(text).alias("raw"),
+        F.when(how == 4, "only what was there before, zzqx").when(how == 5, text).alias("archived"),
+    )
+    return gates.span_outcome(rows).select("doc_id", "span_verified", "predates", "void_reason")
 
 
 @query(f"WITH {TEXT_SQL}, r AS (SELECT page_id, body, lower(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g'))) || ' 4512 78%' AS raw FROM t) SELECT page_id, CASE WHEN contains(lower(body), '4512') AND contains(lower(body), '78%') THEN '' WHEN contains(lower(body), '4512') THEN '78%' WHEN contains(lower(body), '78%') THEN '4512' ELSE '4512|78%' END AS dropped FROM r")
@@ -250,14 +260,14 @@ def span_focus(spark, d):
     return answers(spark, d).select("query_id", X.span_focus(F.col("answer_text"), F.lit("nicht the onth reer que onon of zzz")).alias("focus"))
 
 
-ENTRIES = [(1, ["adults only", " confidence 0.9 ", "", "the  score  of a match"]), (2, None), (3, ["95% sure of it", "in 2020"]), (4, ["p =0.05", "scores"])]
-ENTRIES_WANTED = [(1, "adults only", "confidence 0.9|the score of a match"), (2, "", ""), (3, "in 2020", "95% sure of it"), (4, "scores", "p =0.05")]
-
-
-@query(f"SELECT id, kept, dropped FROM {_values_sql(ENTRIES_WANTED, 'id, kept, dropped')}")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name || '|in ' || (p_size + 1970) || '|scores of ' || p_type END AS kept, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'confidence 0.' || p_size || '|the score of a ' || p_brand || '|' || p_size || '% sure of it' || CASE WHEN p_partkey % 3 = 0 THEN '|P =0.05' ELSE '' END END AS dropped FROM part")
 def qualifier_split(spark, d):
-    kept, dropped = X.clean_qualifiers(F.col("entries"))
-    return _values(spark, ENTRIES, "id int, entries array<string>").select("id", F.array_join(kept, "|").alias("kept"), F.array_join(dropped, "|").alias("dropped"))
+    """What a judge might add about each part: qualifiers stay, scores in disguise go; every eleventh part has no entries."""
+    text = lambda *parts: F.concat(*[F.lit(x[1:]) if x[0] == "=" else F.col(x).cast("string") for x in parts])
+    year = F.concat(F.lit("in "), (F.col("p_size") + 1970).cast("string"))
+    entries = F.array(text("= ", "p_name"), text("= confidence 0.", "p_size", "= "), F.lit(""), text("=the  score  of a ", "p_brand"), year, text("p_size", "=% sure\n of it"), text("=scores of ", "p_type"), F.when(F.col("p_partkey") % 3 == 0, "P =0.05").otherwise("  "))
+    kept, dropped = X.clean_qualifiers(F.when(F.col("p_partkey") % 11 != 0, entries))
+    return table(spark, d, "part").select("p_partkey", F.array_join(kept, "|").alias("kept"), F.array_join(dropped, "|").alias("dropped"))
 
 
 FLAT = "trim(regexp_replace(answer_text, '\\s+', ' ', 'g'))"
