@@ -253,11 +253,12 @@ def shingle_hashes(text: Column, n: int = codes.SHINGLE_WORDS) -> Column:
 
 def containment(snapshot: Column, current: Column) -> tuple[Column, Column]:
     """(containment of the snapshot, Jaccard) of two shingle sets: both empty 1 and 1, one empty 0 and 0."""
-    both = F.size(F.array_intersect(snapshot, current)).cast("double")
     a, b = F.size(snapshot), F.size(current)
     empty = (a == 0) | (b == 0)
     edge = F.when((a == 0) & (b == 0), 1.0).otherwise(0.0)
-    return F.when(empty, edge).otherwise(both / a), F.when(empty, edge).otherwise(both / (a + b - both))
+    both = lambda n: F.struct((n / a).alias("of_snapshot"), (n / (a + b - n)).alias("jaccard"))
+    shared = let(F.size(F.array_intersect(snapshot, current)).cast("double"), both)
+    return F.when(empty, edge).otherwise(shared["of_snapshot"]), F.when(empty, edge).otherwise(shared["jaccard"])
 
 
 def drift_status(code: Column, archived: Column, contained: Column) -> Column:
