@@ -1,8 +1,8 @@
-"""Operators around whole captures: limits, drift, labelling pools, replies as captures, rebinding, readouts."""
+"""Operators around whole captures: limits, drift, labelling pools, replies as captures, rebinding, pages of a labelling session."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia import codes
@@ -168,10 +168,35 @@ def assess(attempts: DataFrame) -> DataFrame:
     return attempts.select("id", seen.alias("observed"), (seen == F.col("holds_if")).alias("holds"))
 
 
-def readout(*sections: tuple[str, DataFrame, str, Column]) -> DataFrame:
-    """One long relation of what is published: (section, key, line), in order. Text formatting is the caller's."""
-    out = None
-    for number, (name, df, key, line) in enumerate(sections):
-        part = df.select(F.lit(number).alias("_n"), F.lit(name).alias("section"), F.col(key).cast("string").alias("key"), line.alias("line"))
-        out = part if out is None else out.unionByName(part)
-    return out.orderBy("_n", "key").drop("_n")
+def prepare_pages(sample: DataFrame, cached: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
+    """(url, code, origin, cached_at, chars, check_available, detail) of each address that a labelling session will meet.
+
+    sample: url, source_code ('' or null: unknown). cached, fetched: url, fetched_at, text (null: the body couldn't be
+    decoded); fetched also has source_code. A stored copy wins over a fresh one, for a fresh one isn't what the judge
+    read; of several the newest. An address of several codes is taken by the least that is known. A passage can be
+    checked against a page that has text and isn't known to be something else than the document. No sample, no rows;
+    null addresses count as one address that nothing is stored for.
+    """
+    code = F.coalesce(F.min(F.nullif("source_code", F.lit(""))), F.lit(""))
+    pages = sample.groupBy("url").agg(code.alias("_known"))
+    newest = lambda rows, name: rows.groupBy("url").agg(F.max_by(F.struct(*[c for c in ("fetched_at", "text", "source_code") if c in rows.columns]), "fetched_at").alias(name))
+    rows = pages.join(newest(cached.select("url", "fetched_at", "text"), "_c"), "url", "left")
+    if fetched is None:
+        rows = rows.withColumn("_f", F.lit(None).cast("struct<fetched_at: string, text: string, source_code: string>"))
+    else:
+        rows = rows.join(newest(fetched, "_f"), "url", "left")
+    stored = F.col("_c").isNotNull()
+    origin = F.when(stored, "cache").when(F.col("_f").isNotNull(), "fetched").otherwise("missing")
+    known = F.when((F.col("_known") == "") & ~stored, F.coalesce("_f.source_code", F.lit(""))).otherwise(F.col("_known"))
+    text = F.when(stored, F.col("_c.text")).otherwise(F.col("_f.text"))
+    rows = rows.select("url", known.alias("code"), origin.alias("origin"), F.when(stored, F.col("_c.fetched_at")).otherwise(F.col("_f.fetched_at")).alias("cached_at"), text.alias("_text"))
+    text, here, readable = F.col("_text"), F.col("origin") != "missing", F.col("code").isin("", codes.SOURCE_OK)
+    blank = F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) == ""
+    detail = (
+        F.when(~here, "nothing stored, so nothing can be checked")
+        .when(text.isNull(), "stored, and the body could not be decoded")
+        .when(blank, "stored, and nothing was extracted from it")
+        .when(~readable, F.concat(F.lit("stored, and the source was "), F.col("code")))
+        .otherwise("")
+    )
+    return rows.select("url", "code", "origin", "cached_at", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"), (here & text.isNotNull() & ~blank & readable).alias("check_available"), detail.alias("detail"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from provenia import codes
 from provenia.functions import text as X
-from provenia.functions.stats import render_rate
 from provenia.operators import captures as C
 from provenia.operators import pairs as P
 from provenia.plans.catalogue import query
@@ -126,11 +125,19 @@ def skip_rates(spark, d):
     return C.skip_report(blocks, "conv_id").select("conv_id", "skipped_blocks", "claim_blocks", "skipped_units", "claim_units", "block_rate", "unit_rate")
 
 
-@query()
-def run_readout(spark, d):
-    """What a run publishes, section by section: products, then sources; a withheld value says so."""
-    rows = pairs(spark, d)
-    products = P.aggregate_rates(rows.where("origin = 'dom'"), "product", allow_conflicted=True)
-    sources = P.by_domain(rows, "source")
-    said = lambda n, why: F.when(F.col(why) != "", F.concat(F.lit("withheld: "), F.col(why))).otherwise(render_rate(F.col("hits"), F.col(n), "pair", F.lit(1)))
-    return C.readout(("product", products, "product", said("n", "withheld")), ("source", sources, "domain", said("standing", "refused")))
+@query(f"""WITH {PAIRS_SQL}, c AS (SELECT 'https://' || source || '.example.org/' || doc_id AS url, doc_id, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 300 AS INT)), '%Y-%m-%d') AS fetched_at, CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 9 = 5 THEN ' ' ELSE text END AS text FROM documents),
+a AS (SELECT DISTINCT url, doc_id, CASE WHEN doc_id % 10 = 7 THEN '' ELSE source_code END AS code FROM p),
+j AS (SELECT a.url, CASE WHEN code = '' AND c.doc_id % 3 = 1 THEN 'SOURCE_PAYWALLED' ELSE code END AS code, CASE WHEN a.doc_id % 3 = 0 OR a.doc_id % 3 = 2 AND a.doc_id % 2 = 0 THEN 'cache' WHEN a.doc_id % 3 = 1 THEN 'fetched' ELSE 'missing' END AS origin, fetched_at, text FROM a JOIN c USING (url)),
+k AS (SELECT url, code, origin, CASE WHEN origin <> 'missing' THEN fetched_at END AS cached_at, CASE WHEN origin <> 'missing' THEN text END AS text FROM j)
+SELECT url, code, origin, cached_at, CAST(coalesce(length(text), 0) AS BIGINT) AS chars, coalesce(trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND code IN ('', 'SOURCE_OK'), FALSE) AS check_available,
+ CASE WHEN origin = 'missing' THEN 'nothing stored, so nothing can be checked' WHEN text IS NULL THEN 'stored, and the body could not be decoded' WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'stored, and nothing was extracted from it' WHEN code NOT IN ('', 'SOURCE_OK') THEN 'stored, and the source was ' || code ELSE '' END AS detail FROM k""")
+def labelling_pages(spark, d):
+    """The pages of all pairs as a labelling session meets them: most in the cache, some fetched now, some missing."""
+    i = F.col("doc_id")
+    sample = pairs(spark, d).select("url", F.when(i % 10 == 7, "").otherwise(F.col("source_code")).alias("source_code"))
+    text = F.when(i % 9 == 5, " ").when(i % 9 != 4, F.col("text"))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 300).cast("int")), "yyyy-MM-dd")
+    stored = table(spark, d, "documents").select("doc_id", F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), i.cast("string")).alias("url"), day.alias("fetched_at"), text.alias("text"))
+    cache = stored.where((i % 3 == 0) | (i % 3 == 2) & (i % 2 == 0))
+    fetched = stored.where(i % 3 == 1).withColumn("source_code", F.lit("SOURCE_PAYWALLED"))
+    return C.prepare_pages(sample, cache, fetched)

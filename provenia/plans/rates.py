@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provenia.operators import agreement, gates
+from provenia.operators import agreement, figures, gates
 from provenia.operators import pairs as P
 from provenia.operators.provenance import field_table
 from provenia.plans.catalogue import query, wilson_sql
@@ -66,7 +66,7 @@ def insufficient_evidence_by_answer(spark, d):
     return P.insufficient(pairs(spark, d), "answer")
 
 
-@query(_sql(f"""
+LONG_SQL = f"""
 , {LOW_SQL}, cl AS (SELECT answer, claim_id, bool_or(st) AS m, bool_or(su) AS y FROM s GROUP BY ALL),
 g AS (
   SELECT answer, 'fabricated_span' AS rate, count(*) FILTER (void_reason = 'JUDGE_FABRICATED_SPAN') AS hits, count(*) FILTER (verdict IN ('SUPPORTED', 'PARTIALLY_SUPPORTED', 'CONTRADICTED')) AS n FROM s GROUP BY answer
@@ -74,7 +74,10 @@ g AS (
   UNION ALL SELECT answer, 'unauditable', count(*) FILTER (NOT st), count(*) FROM s GROUP BY answer
   UNION ALL SELECT answer, 'support', count(*) FILTER (su), count(*) FILTER (st) FROM s GROUP BY answer
   UNION ALL SELECT answer, 'claim_level', count(*) FILTER (y), count(*) FILTER (m) FROM cl GROUP BY answer),
-w AS (SELECT g.*, product, origin, {W}, CASE WHEN origin = 'api' THEN 'UNPUBLISHABLE_SOURCE' WHEN rate IN ('support', 'claim_level') AND insufficient THEN 'INSUFFICIENT_EVIDENCE' ELSE '' END AS withheld FROM g JOIN low USING (answer))
+w AS (SELECT g.*, product, origin, {W}, CASE WHEN origin = 'api' THEN 'UNPUBLISHABLE_SOURCE' WHEN rate IN ('support', 'claim_level') AND insufficient THEN 'INSUFFICIENT_EVIDENCE' ELSE '' END AS withheld FROM g JOIN low USING (answer))"""
+
+
+@query(_sql(f"""{LONG_SQL}
 SELECT answer, product, origin, rate, hits, n, CASE WHEN withheld = '' THEN value END AS value, CASE WHEN withheld = '' THEN lo END AS lo, CASE WHEN withheld = '' THEN hi END AS hi, withheld FROM w"""))
 def published_rates_long(spark, d):
     return P.published_rates(pairs(spark, d), calibrated=True)
@@ -253,3 +256,53 @@ def field_classes(spark, d):
     labels = human_labels(rows).where("blind").drop("blind")
     joined = rows.join(labels, ["claim_id", "url"], "left").withColumn("agrees", F.when(F.col("verdict") != "", F.col("label") == F.col("verdict")))
     return field_table(joined.withColumn("truth", F.lit(None).cast("boolean")).select(*FIELDS))
+
+
+FIGURES_SQL = f"""{LONG_SQL}{KAPPA_SQL[:KAPPA_SQL.index("SELECT n, agree, round")].rstrip()},
+kp AS (SELECT agree, n, round(kappa, 10) AS kappa, round(greatest(-1.0::DOUBLE, kappa - 1.959963984540054::DOUBLE * se), 10) AS lo, round(least(1.0::DOUBLE, kappa + 1.959963984540054::DOUBLE * se), 10) AS hi FROM k),
+own AS (SELECT *, origin = 'dom' AS counted, origin = 'dom' AND product NOT IN ('google', 'google_aio', 'gemini') AS apart FROM w WHERE rate = 'support'),
+sums AS (
+  SELECT 'product' AS section, product AS key, sum(hits) FILTER (counted) AS hits, sum(n) FILTER (counted) AS n, max(withheld) FILTER (counted) AS withheld FROM own GROUP BY product
+  UNION ALL SELECT 'stratum', 'documents', sum(hits) FILTER (apart), sum(n) FILTER (apart), max(withheld) FILTER (apart) FROM own
+  UNION ALL SELECT 'domain', source || '.org', count(*) FILTER (su), count(*) FILTER (st), CASE WHEN count(*) FILTER (st) < 2 THEN 'fewer than 2 standing pairs' ELSE '' END FROM s WHERE origin = 'dom' GROUP BY source),
+whole AS (SELECT section, key, CAST(coalesce(hits, 0) AS BIGINT) AS hits, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(withheld, 'no publishable answer') AS withheld FROM sums),
+fig AS (
+  SELECT section, key, 'support' AS figure, hits, n, {W}, withheld FROM whole
+  UNION ALL SELECT 'answer', CAST(answer AS VARCHAR), rate, hits, n, value, lo, hi, withheld FROM w
+  UNION ALL SELECT 'agreement', '', 'kappa', agree, n, kappa, lo, hi, '' FROM kp),
+named AS (SELECT section, key, figure, hits, n, CASE WHEN withheld = '' THEN value END AS value, CASE WHEN withheld = '' THEN lo END AS lo, CASE WHEN withheld = '' THEN hi END AS hi, withheld,
+  CASE figure WHEN 'claim_level' THEN 'claim' WHEN 'drift' THEN 'page' WHEN 'kappa' THEN 'blind label' ELSE 'pair' END AS unit,
+  CASE figure WHEN 'kappa' THEN 'agreement.agreement' WHEN 'fabricated_span' THEN 'pairs.fabricated_rate' ELSE 'pairs.' || figure || '_rate' END AS producer FROM fig)"""
+
+
+def _figures(spark, d):
+    rows = pairs(spark, d)
+    rows = rows.withColumn("url", F.concat(F.lit("https://www."), F.col("source"), F.lit(".org/"), F.col("doc_id").cast("string")))
+    return rows, figures.figures(rows, "documents", agreement=agreement.agreement(_compared(spark, d)))
+
+
+@query(_sql(f"{FIGURES_SQL} SELECT * FROM named", LABELS_SQL))
+def run_figures(spark, d):
+    """Every figure of a run: of the stratum, each product, publisher and answer, and of the judge against people."""
+    return _figures(spark, d)[1]
+
+
+@query(_sql(f"""{FIGURES_SQL},
+rec AS (
+  SELECT 'answer' AS section, CAST(answer AS VARCHAR) AS key, answer FROM s UNION ALL SELECT 'product', product, answer FROM s WHERE origin = 'dom'
+  UNION ALL SELECT 'stratum', 'documents', answer FROM s WHERE origin = 'dom' AND product NOT IN ('google', 'google_aio', 'gemini') UNION ALL SELECT 'domain', source || '.org', answer FROM s WHERE origin = 'dom'),
+ov AS (SELECT section, key, count(DISTINCT answer) AS answers, count(*) AS sources FROM rec GROUP BY ALL)
+SELECT section, key, figure, value, lo, hi, n, unit, producer, answers, sources FROM named LEFT JOIN ov USING (section, key) WHERE withheld = ''""", LABELS_SQL))
+def run_trace(spark, d):
+    """Every published figure traced to the function it comes from, and to its answers and pairs."""
+    rows, found = _figures(spark, d)
+    return figures.trace(found, figures.records(rows, "documents"))
+
+
+CAVEATS = {"documents": "synthetic bindings of test tables, which say nothing about any product"}
+
+
+@query()
+def run_readout(spark, d):
+    """The readout of a run, line by line; a withheld figure says why."""
+    return figures.lines(_figures(spark, d)[1], CAVEATS)

@@ -217,10 +217,15 @@ def blind_inputs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.input_file_name().alias("path"), parse.first_key_in(VERDICT_KEYS, truthy=False)("value").alias("key")).where("key != ''")
 
 
-def write_run(rates: DataFrame, folder: str, readout: str = "") -> None:
-    """Appends a run's rates and its readout, after the gate on field names."""
-    publishable(rates).write.mode("append").parquet(f"{folder}/rates")
-    if readout:
+def write_run(rates: DataFrame, folder: str, readout: str | DataFrame = "", trace: DataFrame | None = None) -> None:
+    """Appends a run's figures, its readout (one text, or a relation with ``line``) and its trace, after the gate on field names."""
+    publishable(rates)
+    if trace is not None:
+        publishable(trace).write.mode("append").parquet(f"{folder}/trace")
+    rates.write.mode("append").parquet(f"{folder}/rates")
+    if isinstance(readout, DataFrame):
+        publishable(readout).write.mode("append").json(f"{folder}/readout_lines")
+    elif readout:
         rates.sparkSession.createDataFrame([(readout,)], "value string").coalesce(1).write.mode("append").text(f"{folder}/readout")
 
 
