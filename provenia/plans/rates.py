@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provenia.operators import agreement, figures, gates
 from provenia.operators import pairs as P
+from provenia.operators.progress import Stages
 from provenia.operators.provenance import field_table
 from provenia.plans.catalogue import query, wilson_sql
 from provenia.plans.standins import LABELS_SQL, PAIRS_SQL, human_labels, pairs
@@ -306,3 +307,14 @@ CAVEATS = {"documents": "synthetic bindings of test tables, which say nothing ab
 def run_readout(spark, d):
     """The readout of a run, line by line; a withheld figure says why."""
     return figures.lines(_figures(spark, d)[1], CAVEATS)
+
+
+@query(_sql(""" SELECT 'pairs' AS stage, 'rows' AS metric, count(*) AS value FROM p UNION ALL SELECT 'pairs', 'unread', count(*) FILTER (source_code <> 'SOURCE_OK') FROM p
+UNION ALL SELECT 'judged', 'rows', count(*) FROM p WHERE verdict <> '' UNION ALL SELECT 'judged', 'voided', count(*) FILTER (voided) FROM p WHERE verdict <> '' UNION ALL SELECT 'standing', 'rows', count(*) FROM s WHERE st"""))
+def stage_counts(spark, d):
+    """What passed each stage of a run, counted on the way: pairs, those judged, those that stand."""
+    run = Stages()
+    rows = run.watch(pairs(spark, d), "pairs", unread=F.col("source_code") != "SOURCE_OK")
+    judged = run.watch(rows.where("verdict != ''"), "judged", voided=F.col("voided"))
+    run.watch(judged.where(P.standing()), "standing").write.format("noop").mode("overwrite").save()
+    return run.counts(spark).select("stage", "metric", "value")
