@@ -21,23 +21,44 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
 
 
+def _weigh(known: Column) -> Column:
+    return F.aggregate(known, F.lit(0).cast("long"), lambda total, x: total + x["weight"])
+
+
+def _rarer() -> Column:
+    """The mention's known terms before place i."""
+    return F.slice("known", 1, F.col("i"))
+
+
+def sought(said: DataFrame, top: int = TOP, asked: int = ASKED) -> DataFrame:
+    """(mention, known, i, term): the terms that meet the index, of said (mention, known: n, term, weight, the rarest first)."""
+    rest = _weigh(F.slice("known", F.col("i") + 1, F.size("known")))
+    rows = said.select("mention", "known", F.posexplode(F.slice("known", 1, asked)).alias("i", "x")).select("mention", "known", "i", F.col("x.term").alias("term"), rest.alias("rest"))
+    return rows.where(~F.exists(_rarer(), lambda x: (x["n"] >= top) & (x["weight"] > F.col("rest")))).drop("rest")
+
+
 def ranked_candidates(mentions: DataFrame, works: DataFrame, top: int = TOP, asked: int = ASKED) -> DataFrame:
     """(mention, work, score, rank): the best ``top`` works of each mention by the terms they share.
 
     mentions: mention, text. works: work, described (all that the catalogue says of it, as text). A term that n of N
     works hold weighs the binary digits of N div n, so a common word counts little; the score is the sum over shared
     terms, ties go to the smaller work. Candidates share one of the mention's ``asked`` rarest terms (ties by term):
-    only those meet the index, so a common word that stands beside rarer ones brings no rows. Keys have to be distinct;
-    null texts have no terms; a mention without a known term has no candidate.
+    only those meet the index, so a common word that stands beside rarer ones brings no rows. Nor does a term meet it if
+    ``top`` works hold a rarer one that alone weighs more than this and all later ones: what only these bring ranks
+    behind. A work is scored where it meets the mention's rarest term that it holds. Keys have to be distinct; null
+    texts have no terms; a mention without a known term has no candidate.
     """
-    index = works.select("work", F.explode(terms(F.coalesce("described", F.lit("")))).alias("term"))
-    held = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    parts = works.sparkSession.sparkContext.defaultParallelism  # few rows meet in many: left to their size, one task would do it all
+    held = works.select("work", terms(F.coalesce("described", F.lit(""))).alias("held")).repartition(parts, "work")
+    index = held.select("work", "held", F.explode("held").alias("term"))
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     size = works.agg(F.count(F.lit(1))).scalar()
-    weights = held.select("term", "n", F.length(F.bin(((size - size % F.col("n")) / F.col("n")).cast("long"))).cast("long").alias("weight"))
+    weights = counts.select("term", "n", F.length(F.bin(((size - size % F.col("n")) / F.col("n")).cast("long"))).cast("long").alias("weight"))
     said = mentions.select("mention", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).join(weights, "term")
-    rarest = F.row_number().over(Window.partitionBy("mention").orderBy("n", "term"))
-    pairs = said.withColumn("_place", rarest).where(F.col("_place") <= asked).join(index, "term").select("mention", "work").distinct()
-    scores = pairs.join(said, "mention").join(index, ["work", "term"]).groupBy("mention", "work").agg(F.sum("weight").alias("score"))
+    said = said.groupBy("mention").agg(F.sort_array(F.collect_list(F.struct("n", "term", "weight"))).alias("known"))
+    met = sought(said, top, asked).repartition(parts, "mention", "term").join(index, "term")
+    met = met.where(~F.exists(_rarer(), lambda x: F.array_contains("held", x["term"])))
+    scores = met.select("mention", "work", _weigh(F.filter("known", lambda x: F.array_contains("held", x["term"]))).alias("score"))
     place = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "work"))
     return scores.withColumn("rank", place).where(F.col("rank") <= top)
 

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from provenia.operators import lookup
 from provenia.plans import catalogue
 
 
@@ -21,3 +22,15 @@ def test_capitals_of_letters_without_one(spark, tmp_path):
     rows = [(i, 1, "assistant", t) for i, t in enumerate(texts)]
     got, want = both(spark, tmp_path, "factual_units", conversations=(rows, "conv_id long, turn long, role string, text string"))
     assert got == want and got
+
+
+def test_common_terms_behind_heavier_ones_bring_no_rows(spark):
+    known = [(3, "no7", 13), (30, "surab", 10), (333, "1999", 6), (2500, "hot", 4), (2500, "ring", 4)]
+    said = spark.createDataFrame([("m", known)], "mention string, known array<struct<n: long, term: string, weight: long>>")
+    terms = lambda top: [r["term"] for r in lookup.sought(said, top, 4).orderBy("i").collect()]
+    assert terms(5) == ["no7", "surab", "1999"] and terms(50) == ["no7", "surab", "1999", "hot"]
+    works = [(i, f"common {'rare' if i % 10 == 3 else 'other'} w{i % 7}") for i in range(100)]
+    found = lookup.ranked_candidates(spark.createDataFrame([("m", "rare common w3")], "mention string, text string"), spark.createDataFrame(works, "work int, described string"), top=3)
+    held, weight = {i: set(t.split()) for i, t in works}, {"rare": 4, "common": 1, "w3": 3}
+    scores = sorted((-sum(w for t, w in weight.items() if t in held[i]), i) for i in held)[:3]
+    assert sorted((-r["score"], r["work"]) for r in found.collect()) == scores
