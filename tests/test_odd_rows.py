@@ -1,9 +1,12 @@
 """Queries against their SQL on small tables of rows that the given ones don't have."""
 
 import duckdb
+import pandas as pd
+from pyspark.sql import functions as F
 
 from provenia.operators import lookup
 from provenia.plans import catalogue
+from provenia.session import importable
 
 
 def both(spark, tmp_path, name, **tables):
@@ -34,3 +37,11 @@ def test_common_terms_behind_heavier_ones_bring_no_rows(spark):
     held, weight = {i: set(t.split()) for i, t in works}, {"rare": 4, "common": 1, "w3": 3}
     scores = sorted((-sum(w for t, w in weight.items() if t in held[i]), i) for i in held)[:3]
     assert sorted((-r["score"], r["work"]) for r in found.collect()) == scores
+
+
+def test_batches_of_pages_are_bounded_by_bytes(spark):
+    importable(spark)
+    size = F.pandas_udf(lambda x: pd.Series([int(x.str.len().sum())] * len(x)), "long")
+    pages = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 50_000).alias("html"))
+    most = pages.select("id", size("html").alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("rows")).first()
+    assert most["rows"] == 400 and most["most"] < 6_000_000
