@@ -79,25 +79,26 @@ def links_by_bucket(met: DataFrame, key: str, member: str) -> DataFrame:
     return small_pairs(met, key, member).unionByName(large.select(F.col("l0").alias("a"), F.col(member).alias("b"))).distinct()
 
 
-def large_bucket_links(met: DataFrame, links: DataFrame, key: str, member: str, shingles_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Links (a, b) that, with ``links``, connect all pairs of at least ``similarity`` that share a large bucket.
+def large_bucket_links(met: DataFrame, tops: DataFrame, key: str, member: str, shingles_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links (a, b) that, with those behind ``tops``, connect all pairs of at least ``similarity`` that share a large bucket.
 
     Large buckets that have members in common are taken together as one crowd, so that a pair that meets in many keys
-    is compared once. Members of a crowd that ``links`` connect already need no comparison. All others are compared: the
+    is compared once. Members of a crowd that ``tops`` (node, component) connects already need no comparison. All others are compared: the
     members are dealt into blocks (a component of more than BLOCK members into blocks of its own, whose pairs are left
     out), and each pair of blocks is a group of its own that compares the shingle sets exactly and returns a spanning
     forest. ``shingles_of`` gives (member, shingles), sorted 32-bit hashes, of a table of members.
     """
+    none = tops.select(F.col("node").alias("a"), F.col("component").alias("b")).limit(0)
     joint = cut(met.where(F.col("n") > SMALL_BUCKET).select("l0", member).distinct())
     if joint.isEmpty():
-        return links.limit(0)
+        return none
     crowds = components(joint, "l0", member).select(F.col("node").alias(member), F.col("component").alias("crowd"))
-    tops = components(links).select(F.col("node").alias(member), F.col("component").alias("top"))
+    tops = tops.select(F.col("node").alias(member), F.col("component").alias("top"))
     rows = cut(crowds.join(tops, member, "left").withColumn("top", F.coalesce("top", member)))
     apart = rows.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("crowd", "n")
     rows = cut(rows.join(apart, "crowd"))
     if rows.isEmpty():
-        return links.limit(0)
+        return none
     held = rows.groupBy("crowd", "top").agg(F.count(F.lit(1)).alias("c"))
     h = F.xxhash64(member)
     own = F.col("c") > BLOCK

@@ -305,6 +305,12 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def near_links(docs: DataFrame) -> DataFrame:
     """(a, b): pairs of doc_ids of near copies that connect their groups."""
+    links, _, more = _near_links(docs)
+    return links.unionByName(more).distinct()
+
+
+def _near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) of the candidates, the components (node, component) they make, and links of large buckets beyond them."""
     ready(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bands, exact = bands_for(rows.count())
@@ -349,8 +355,9 @@ def near_links(docs: DataFrame) -> DataFrame:
     pairs = cut(beside(pairs, described, "sketch").mapInArrow(promising, "a long, b long").distinct())
     ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     links = cut(beside(pairs, shingle_sets(rows, ids), "shingles").mapInArrow(verified, "a long, b long").distinct())
-    more = large_bucket_links(met, links, "key", "doc_id", lambda ids: shingle_sets(rows, ids).dropDuplicates(["doc_id"]), JACCARD)
-    return links.unionByName(more).distinct()
+    tops = cut(components(links))
+    more = large_bucket_links(met, tops, "key", "doc_id", lambda ids: shingle_sets(rows, ids).dropDuplicates(["doc_id"]), JACCARD)
+    return links, tops, more
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -358,5 +365,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Documents without words and those with a null doc_id stay. Rows that share a doc_id are one document.
     """
-    gone = components(near_links(docs)).where("node != component").select(F.col("node").alias("doc_id"))
+    # a component's links aren't walked again: a star of each holds its documents together
+    _, tops, more = _near_links(docs)
+    gone = components(tops.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)).where("node != component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -183,7 +183,7 @@ def near_paragraphs(docs: DataFrame, least: int) -> DataFrame:
     ids = pairs.select(F.col("a").alias("pid")).unionByName(pairs.select(F.col("b").alias("pid"))).distinct()
     shingles = cut(shingles_of(docs, cut(ids), least))
     links = cut(verified(pairs, shingles))
-    return links.unionByName(large_bucket_links(met, links, "key", "pid", lambda ids: shingles_of(docs, ids, least), SIMILARITY))
+    return links.unionByName(large_bucket_links(met, components(links), "key", "pid", lambda ids: shingles_of(docs, ids, least), SIMILARITY))
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
