@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -45,10 +45,11 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(shared or tempfile.mkdtemp(prefix="provenia-"), f"queue-{uuid.uuid4().hex}")
 
 
-class Attempts(StatefulProcessor):
+class RowAttempts(StatefulProcessor):
     """Rows due for an audit, from captures and from the entries of earlier audits.
 
     Statuses: waiting (an attempt is out; ``at`` is when), failed (the next one is due after the back-off), ok, given up.
+    An answer is met as often as it has attempts, so each meeting reads its state once and makes no frame.
     """
 
     def __init__(self, attempts: int, backoff: int, lock: int) -> None:
@@ -58,24 +59,26 @@ class Attempts(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("answer", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
         now = timers.getCurrentProcessingTimeInMs()
-        frame = pd.concat(list(rows))
-        entries = frame[frame["status"].notna()].sort_values("attempts")
-        captures = frame[frame["status"].isna()].sort_values("query_id", na_position="last")
-        held = self.state.get() if self.state.exists() else None
-        for entry in entries.itertuples(index=False):
-            if held is not None and held[0] == "waiting" and entry.attempts == held[1]:
-                held = self._after(held, entry.status, now)
-        if held is None and len(captures):
-            first = captures.iloc[0]
-            held = ("failed", 0, first["query_id"], first["answer_text"], now)
+        entries, first = [], None
+        for row in rows:
+            if row.status is not None:
+                entries.append((row.attempts, row.status))
+            elif first is None or row.query_id is not None and (first.query_id is None or row.query_id < first.query_id):
+                first = row
+        held = self.state.get()
+        for attempts, status in sorted(entries):
+            if held is not None and held[0] == "waiting" and attempts == held[1]:
+                held = self._after(held, status, now)
+        if held is None and first is not None:
+            held = ("failed", 0, first.query_id, first.answer_text, now)
         if held is not None:
             yield from self._due(key, held, now)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
         now = timers.getCurrentProcessingTimeInMs()
-        held = self.state.get() if self.state.exists() else None
+        held = self.state.get()
         if held is not None:
             if held[0] == "waiting" and now >= held[4] + self.lock:
                 held = self._after(held, "dead", now)
@@ -92,7 +95,7 @@ class Attempts(StatefulProcessor):
             return ("given up", held[1], held[2], "", now)
         return ("failed", held[1], held[2], held[3], now + self.backoff)
 
-    def _due(self, key, held, now: int) -> Iterator[pd.DataFrame]:
+    def _due(self, key, held, now: int) -> Iterator[Row]:
         if held[0] != "failed":
             self.state.update(tuple(held))
         elif now < held[4]:
@@ -101,7 +104,22 @@ class Attempts(StatefulProcessor):
         else:
             self.state.update(("waiting", held[1] + 1, held[2], held[3], now))
             self.handle.registerTimer(now + self.lock)
-            yield pd.DataFrame({"answer_sha256": [key[0]], "query_id": [held[2]], "answer_text": [held[3]], "attempts": [held[1] + 1]})
+            yield Row(answer_sha256=key[0], query_id=held[2], answer_text=held[3], attempts=held[1] + 1)
+
+
+class Attempts(RowAttempts):
+    """The same over pandas frames, for ``transformWithStateInPandas``; makes frames for each meeting."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        met = (row for frame in rows for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False))
+        yield from map(_frame, super().handleInputRows(key, met, timers))
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        yield from map(_frame, super().handleExpiredTimer(key, timers, expired))
+
+
+def _frame(row: Row) -> pd.DataFrame:
+    return pd.DataFrame([row.asDict()])
 
 
 def watch(spark: SparkSession, captures: str, ledger: str, checkpoint: str, audit: Callable[[DataFrame], DataFrame], attempts: int = ATTEMPTS, backoff: int = 0, lock: int = LOCK):
@@ -119,7 +137,7 @@ def watch(spark: SparkSession, captures: str, ledger: str, checkpoint: str, audi
     new = new.select(F.sha2("answer_text", 256).alias("answer_sha256"), "query_id", "answer_text", F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("attempts"))
     old = spark.readStream.schema(LEDGER).parquet(ledger)
     old = old.select("answer_sha256", F.col("capture").alias("query_id"), F.lit(None).cast("string").alias("answer_text"), "status", "attempts")
-    due = new.unionByName(old).groupBy("answer_sha256").transformWithStateInPandas(Attempts(attempts, backoff, lock), DUE, "append", "ProcessingTime")
+    due = new.unionByName(old).groupBy("answer_sha256").transformWithState(RowAttempts(attempts, backoff, lock), DUE, "append", "ProcessingTime")
     writer = due.writeStream.foreachBatch(lambda rows, n: record(rows, ledger, n, audit)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
     for k, v in SETTINGS.items():

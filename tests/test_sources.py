@@ -273,6 +273,31 @@ def test_back_off_and_lock():
     assert handle.held[:2] == ("given up", 3) and handle.held[3] == ""
 
 
+def test_a_meeting_reads_its_state_once_and_makes_no_frame(monkeypatch):
+    import pandas as pd
+    from pyspark.sql import Row
+
+    from provenia.streaming.queue import RowAttempts
+
+    class Counted(_Handle):
+        reads = 0
+
+        def get(self):
+            self.reads += 1
+            return self.held
+
+    process, handle = RowAttempts(3, 0, 1000), Counted()
+    process.init(handle)
+    handle.exists = None  # not called, nor is a frame made
+    monkeypatch.setattr(pd, "DataFrame", None)
+    row = lambda **r: Row(**({"query_id": None, "answer_text": None, "status": None, "attempts": None} | r))
+    copies = (row(query_id=q, answer_text="t") for q in (None, "q2", "q1", "q3"))  # read one by one
+    assert list(process.handleInputRows(("h",), copies, _Timers(0))) == [Row(answer_sha256="h", query_id="q1", answer_text="t", attempts=1)]
+    entries = [row(status="ok", attempts=2), row(status="failed", attempts=1)]
+    assert [r.attempts for r in process.handleInputRows(("h",), iter(entries), _Timers(5))] == [2]  # the entry of an attempt that wasn't out says nothing
+    assert handle.held[:2] == ("waiting", 2) and handle.reads == 2
+
+
 def test_queue_drains_each_answer_once(spark):
     captures = spark.createDataFrame([(f"q{i}", f"answer {i % 7}") for i in range(20)], "query_id string, answer_text string")
     got = drain(captures).collect()
