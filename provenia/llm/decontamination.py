@@ -23,6 +23,8 @@ LEAST = 5
 COVERAGE = 0.5
 #: Different seeds of the benchmark that are sent to the tasks (8 MB), so that they emit only those; with more, all seeds are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: Different words of the benchmark that are sent to the tasks with them (some 20 MB in each), so that only runs of such words are hashed; with more, all runs are.
+BROADCAST_WORDS = 200_000
 #: Pairs of names, or names, that are sent to the tasks (some 150 MB at most); with more, they are joined by shuffle.
 BROADCAST_NAMES = 1_000_000
 #: Bytes of the benchmark's texts that are sent to the tasks; with more, items are joined by shuffle.
@@ -33,10 +35,23 @@ ROWS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of the base, modulo 2^64; up to a million of them are kept for the next text."""
+    held = _KEPT.get(int(base))
+    if held is None or len(held) < n:
+        held = np.ones(max(n, 4096), np.uint64)
+        np.cumprod(np.full(len(held) - 1, base), out=held[1:])
+        if len(held) <= 1_000_000:
+            _KEPT[int(base)] = held
+    return held[:n]
+
+
 def prefix_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Karp-Rabin: h[i], the hash of the first i ids, and the powers of the base, both modulo 2^64."""
-    powers = np.ones(len(ids) + 1, np.uint64)
-    np.cumprod(np.full(len(ids), _BASE), out=powers[1:])
+    powers = _powers(_BASE, len(ids) + 1)
     # h[i] = sum of id[j] * base^j for j < i; a window's hash is divided by its first power by bringing both to one
     h = np.zeros(len(ids) + 1, np.uint64)
     np.cumsum((ids + 1).astype(np.uint64) * powers[:-1], out=h[1:])
@@ -51,9 +66,7 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     if len(ids) < size:
         return np.zeros(0, np.uint64)
     h, _ = prefix_hashes(ids)
-    back = np.ones(len(ids), np.uint64)
-    np.cumprod(np.full(len(ids) - 1, _INVERSE), out=back[1:])
-    return (h[size:] - h[:-size]) * back[: len(ids) - size + 1]
+    return (h[size:] - h[:-size]) * _powers(_INVERSE, len(ids) - size + 1)
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -118,20 +131,46 @@ def _name(df: DataFrame, key: str) -> Column:
 _NAME = "struct<void: boolean, id: bigint, md5: string>"
 
 
+class Wanted:
+    """Seeds that a task emits, a sorted array. Where their words are named too, runs with any other word aren't hashed."""
+
+    def __init__(self, seeds: np.ndarray, parts: list[bytes] | None = None) -> None:
+        self.seeds = seeds
+        self.bits = np.uint64((1 << (16 * len(seeds)).bit_length()) - 1)
+        self.some = np.zeros(int(self.bits) + 1, bool)  # most other seeds are told by their low bits, without a search
+        self.some[seeds & self.bits] = True
+        self.place = None if parts is None else {w: k for k, w in enumerate(parts)}
+        self.hashes = None if parts is None else word_hashes(parts)
+
+    def __call__(self, parts: list[bytes], least: int) -> np.ndarray:
+        """The wanted seeds of a text's words, as often as they stand there."""
+        if self.place is None:
+            own = window_hashes(word_hashes(parts), least)
+        else:
+            at = np.fromiter(map(self.place.get, parts, repeat(-1)), np.int64, len(parts))
+            starts = np.flatnonzero(_free_runs(at >= 0, least))
+            if not len(starts):
+                return np.zeros(0, np.uint64)
+            own = sum((self.hashes[at[starts + k]] + 1) * power for k, power in enumerate(_powers(_BASE, least)))  # as window_hashes, of these places
+        own = own[self.some[own & self.bits]]
+        found = np.minimum(np.searchsorted(self.seeds, own), len(self.seeds) - 1)
+        return own[self.seeds[found] == own]
+
+
 def seeds(rows: DataFrame, least: int, wanted=None) -> DataFrame:
-    """(name, seed, n, words): each seed of a text, how often it stands there, and the text's words; of ``wanted`` seeds (a broadcast sorted array) only."""
+    """(name, seed, n, words): each seed of a text, how often it stands there, and the text's words; of ``wanted`` seeds (a broadcast (sorted array, words or None)) only."""
 
     def run(batches):
+        take = None if wanted is None else Wanted(*wanted.value)
         for batch in batches:
             names, found, times, sizes = [], [], [], []
             for name, text in zip(batch.column(0), batch.column(1)):
                 parts = words(text.as_py())
                 if len(parts) < least:
                     continue
-                own = window_hashes(word_hashes(parts), least)
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted.value, own), len(wanted.value) - 1)
-                    own = own[wanted.value[at] == own]
+                own = window_hashes(word_hashes(parts), least) if take is None else take(parts, least)
+                if not len(own):
+                    continue
                 own, n = np.unique(own, return_counts=True)
                 names.append(pa.repeat(name, len(own)))
                 found.append(own)
@@ -149,6 +188,16 @@ def seeds(rows: DataFrame, least: int, wanted=None) -> DataFrame:
     return rows.mapInArrow(run, f"name {_NAME}, seed long, n long, words long")
 
 
+def item_words(items: DataFrame) -> DataFrame:
+    """(word): the different words of the texts, as UTF-8."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array({w for text in batch.column(0) for w in words(text.as_py())}, pa.binary())], names=["word"])
+
+    return items.select("text").mapInArrow(run, "word binary").distinct()
+
+
 def candidates(docs: DataFrame, items: DataFrame, coverage: float, least: int) -> DataFrame:
     """(doc, item): names of the pairs that share enough seeds. ``docs`` and ``items`` are rows (name, text).
 
@@ -169,7 +218,9 @@ def candidates(docs: DataFrame, items: DataFrame, coverage: float, least: int) -
     if not found:
         return docs.sparkSession.createDataFrame([], f"doc {_NAME}, item {_NAME}")
     if found <= BROADCAST_SEEDS:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(distinct.toPandas()["seed"].to_numpy().view(np.uint64)))
+        named = cut(item_words(items))
+        parts = named.toArrow()["word"].to_pylist() if named.count() <= BROADCAST_WORDS else None
+        wanted = docs.sparkSession.sparkContext.broadcast((np.sort(distinct.toPandas()["seed"].to_numpy().view(np.uint64)), parts))
     of_docs = seeds(docs, least, wanted).select(F.col("name").alias("doc"), "seed").distinct() if wanted is None else seeds(docs, least, wanted).select(F.col("name").alias("doc"), "seed")
     met = of_docs.join(of_items.select(F.col("name").alias("item"), "seed", "n", "words", "others"), "seed")
     # repeated rows of a document bring its seeds again; they only raise the sum

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from provenia.llm import decontamination
 from provenia.llm.common import words
 from provenia.llm.decontamination import contaminated, drop_contaminated, tiled, tiles
 
@@ -141,3 +142,26 @@ def test_hot_seeds_and_large_items(spark, monkeypatch):
         monkeypatch.setattr(module, "BROADCAST_BYTES", limit)
         got = sorted((r.doc_id, r.item_id, r.matched_words, r.tiles) for r in contaminated(a, b).collect())
         assert got == want and 10 < len(want) < 60
+
+
+def test_wanted_seeds_hash_only_runs_of_known_words(monkeypatch):
+    """Seeds picked by the benchmark's words are those that hashing every run gives, and other words aren't hashed."""
+    import random
+
+    rng = random.Random(4)
+    item = [b"w%d" % rng.randrange(40) for _ in range(60)]
+    text = [b"w%d" % rng.randrange(60) for _ in range(3000)] + item[10:30] + [b"other"] + item[10:16]
+    runs = np.unique(decontamination.window_hashes(decontamination.word_hashes(item), 5))[::2]
+    by_all = decontamination.Wanted(runs)(text, 5)
+    picked = decontamination.Wanted(runs, sorted(set(item)))
+    monkeypatch.setattr(decontamination, "word_hashes", None)
+    assert len(by_all) > 5 and np.array_equal(picked(text, 5), by_all)
+    assert not len(picked([b"other"] * 9 + item[:4], 5)) and not len(picked(item[:3], 5))
+
+
+def test_query_is_the_same_without_named_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"some words {k} the old mill by the river turns all night long {k}") for k in range(6)] + [(9, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "The old mill by the river turns all night long"), (2, " ")], "item_id long, text string")
+    want = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", 0)
+    assert len(want) == 6 and sorted(map(tuple, decontamination.contaminated(docs, items).collect())) == want
