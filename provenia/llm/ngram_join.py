@@ -25,7 +25,7 @@ SHINGLE = 5
 BELOW = int(0.3 * (1 << 63))
 #: Sets that share a token up to this many meet at it in the first pass.
 FEW = 8
-#: Bits of the map of shared tokens that is sent to the tasks: 8 to 16 a token, at most so many (32 MB; with more tokens, more rows are joined).
+#: Bits of the map of shared tokens that is sent to the tasks: 16 to 32 a token, at most so many (32 MB; with more tokens, more rows are joined).
 MAP_BITS = 1 << 28
 #: Sets of a group in the second pass.
 MEMBERS = 256
@@ -34,6 +34,8 @@ TOGETHER = 2048
 COLUMNS = 4096
 #: Documents whose sets are compared are named to the tasks up to this many (8 MB); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of groups that are compared are sent to the sets up to this many (some 70 MB); beyond, sets are shuffled to them.
+BROADCAST_UNITS = 1_000_000
 
 _UPPER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -100,7 +102,7 @@ def meeting(sets: DataFrame) -> DataFrame:
     """
     counts = cut(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     known = counts.count()
-    size = min(MAP_BITS, 1 << max(15, (8 * known).bit_length()))
+    size = min(MAP_BITS, 1 << max(15, (16 * known).bit_length()))
     low = F.col("token").bitwiseAND(size - 1)
     parts = counts.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(32767)).alias("bits")).toArrow()  # 4 KB each
     bits = np.zeros((size >> 15, 4096), np.uint8)
@@ -226,7 +228,10 @@ def compared(sets: list[np.ndarray], asking: np.ndarray) -> tuple[np.ndarray, np
 def verified(units: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) of the units (g, h, sid, asking): sets that are compared with each other, several units in one go."""
     units = tight(units)
-    dealt = units.withColumn("part", F.pmod(F.xxhash64("g", "h"), F.lit(max(1, units.count() // TOGETHER))))
+    held = units.count()
+    dealt = units.withColumn("part", F.pmod(F.xxhash64("g", "h"), F.lit(max(1, held // TOGETHER))))
+    if held <= BROADCAST_UNITS:
+        dealt = F.broadcast(dealt)  # so that the tokens move once, to their parts
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("g", "ascending"), ("h", "ascending"), ("sid", "ascending")])
@@ -306,9 +311,10 @@ def near_sets(docs: DataFrame, sets: DataFrame, lows: DataFrame) -> DataFrame:
     units = tight(members.unionByName(opened.where("g != h").select("g", "h", "sid", F.lit(True).alias("asking"))))
     crowd = info.where("crowded").select("sid")
     wanted = tight(units.select("sid").unionByName(crowd).distinct().join(lows.select("sid", "low"), "sid"))
-    full = tight(sets_of(docs, wanted), 20_000)
-    links = verified(units, full)
-    return links.unionByName(common_links(full.join(crowd, "sid", "left_semi"), links))
+    # the sets lie by sid when their rows have become distinct, so a mark moves none of them, where a later join would
+    full = tight(sets_of(docs, wanted).join(crowd.withColumn("crowded", F.lit(True)), "sid", "left"), 20_000)
+    links = verified(units, full.drop("crowded"))
+    return links.unionByName(common_links(full.where("crowded").drop("crowded"), links))
 
 
 def near_components(docs: DataFrame) -> DataFrame:

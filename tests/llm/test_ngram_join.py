@@ -115,3 +115,23 @@ def test_shingles_of_few_words_are_of_their_own():
     assert len(shingle_set("a b")) == 1 and len(shingle_set("a b c d e f")) == 2 and len(shingle_set(" \n")) == 0
     assert shingle_set("a b")[0] != shingle_set("a b c")[0]
     assert common.BROADCAST_KEYS
+
+
+def test_tokens_move_once_to_be_compared(spark, monkeypatch):
+    """Few members are sent to the sets: the tokens aren't shuffled by the sets' ids first. Many give the same links."""
+    from provenia.llm import ngram_join
+
+    sets = spark.createDataFrame([(k, sorted({*range(20), 100 + k})) for k in range(6)], "sid long, tokens array<long>")
+    units = spark.createDataFrame([(k // 3, k // 3, k, False) for k in range(6)], "g long, h long, sid long, asking boolean")
+    plans, real = [], ngram_join.tight
+    monkeypatch.setattr(ngram_join, "tight", lambda df, *rows: (plans.append(df._jdf.queryExecution().toString()), real(df, *rows))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = sorted(map(tuple, ngram_join.verified(units, sets).collect()))
+        assert not any("hashpartitioning(sid" in p for p in plans)
+        monkeypatch.setattr(ngram_join, "BROADCAST_UNITS", 0)
+        many = sorted(map(tuple, ngram_join.verified(units, sets).collect()))
+        assert any("hashpartitioning(sid" in p for p in plans)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert few == many == [(0, 1), (0, 2), (3, 4), (3, 5)]
