@@ -25,14 +25,18 @@ SHINGLE = 5
 BELOW = int(0.3 * (1 << 63))
 #: Sets that share a token up to this many meet at it in the first pass.
 FEW = 8
-#: Bits of the map of shared tokens that is sent to the tasks: 16 to 32 a token, at most so many (32 MB; with more tokens, more rows are joined).
-MAP_BITS = 1 << 28
+#: Bits of a map of keys that is sent to the tasks: 16 to 32 a key, at most so many (128 MB). Two bits stand for a key.
+MAP_BITS = 1 << 30
+#: Maps of fewer bits a key let too many other keys through: 5 in 100 at so many.
+LEAST_BITS = 8
 #: Sets of a group in the second pass.
 MEMBERS = 256
 #: Sets that a task compares in one go, and columns of a matrix of them.
 TOGETHER = 2048
 COLUMNS = 4096
-#: Documents whose sets are compared are named to the tasks up to this many (8 MB); beyond, they are joined by shuffle.
+#: Whole sets of a written table that one task reads back.
+SETS_A_TASK = 2000
+#: Sets that are compared, and copies that are left out, are named to the tasks up to this many (some 50 MB); beyond, by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of groups that are compared are sent to the sets up to this many (some 70 MB); beyond, sets are shuffled to them.
 BROADCAST_UNITS = 1_000_000
@@ -88,94 +92,125 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def distinct_sets(rows: DataFrame, lows: DataFrame) -> DataFrame:
-    """One of the rows of each sid. Copies are named to the tasks if they are few, so that their tokens needn't move."""
+    """One of the rows of each sid: that of ``lows``. Copies are named to the tasks if they are few, so that their tokens needn't move."""
     copies = tight(rows.where("sid IS NOT NULL").select("sid", "row").join(lows.select("sid", F.col("row").alias("own")), "sid").where("row != own").select("row"))
     few = copies.count() <= BROADCAST_IDS
-    kept = rows.where("sid IS NOT NULL").join(F.broadcast(copies) if few else copies, "row", "left_anti")
-    return kept.select("sid", "size", "below", "tokens")
+    return rows.where("sid IS NOT NULL").join(F.broadcast(copies) if few else copies, "row", "left_anti").drop("row")
+
+
+def bit_map(keys: DataFrame, held: int) -> np.ndarray:
+    """Bits of the hashes in ``keys`` (key), for ``among``."""
+    size = min(MAP_BITS, 1 << max(15, (16 * held).bit_length()))
+    place = F.col("place").bitwiseAND(size - 1)
+    places = keys.select(F.explode(F.array("key", F.shiftright("key", 31))).alias("place"))
+    parts = places.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits")).toArrow()  # 4 KB each
+    bits = np.zeros((size >> 15, 4096), np.uint8)
+    bits[parts["part"].to_numpy()] = np.frombuffer(b"".join(parts["bits"].to_pylist()), np.uint8).reshape(-1, 4096)
+    return bits.ravel()
+
+
+def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be one of the map's: true for all of them and few others."""
+    found = np.ones(len(keys), bool)
+    for place in (keys & 8 * len(bits) - 1, keys >> 31 & 8 * len(bits) - 1):
+        found &= (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+    return found
 
 
 def meeting(sets: DataFrame) -> DataFrame:
-    """The rows (token, sid) whose token several sets have, with n, their number.
+    """(sid, size, below, common, many, first, few) of the sets with shared tokens.
 
-    Tokens that one set alone has, the most by far, are mostly told apart by a bitmap before the join.
+    few: those that up to FEW sets share, first: the smallest of them, many: the number of the others, common: of those
+    below BELOW. Maps of bits tell the tokens apart where the sets lie. A token that they take for another kind is so
+    in all sets alike: one set's own token then meets none, a rarer token that counts as common leaves the bounds true.
     """
     counts = cut(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     known = counts.count()
-    size = min(MAP_BITS, 1 << max(15, (16 * known).bit_length()))
-    low = F.col("token").bitwiseAND(size - 1)
-    parts = counts.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(32767)).alias("bits")).toArrow()  # 4 KB each
-    bits = np.zeros((size >> 15, 4096), np.uint8)
-    bits[parts["part"].to_numpy()] = np.frombuffer(b"".join(parts["bits"].to_pylist()), np.uint8).reshape(-1, 4096)
-    shared = sets.sparkSession.sparkContext.broadcast(bits.ravel())
+    often = counts.where(F.col("n") > FEW)
+    maps = bit_map(counts.select(F.col("token").alias("key")), known), bit_map(often.select(F.col("token").alias("key")), often.count())
+    shared = sets.sparkSession.sparkContext.broadcast(maps)
+
+    def met(own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        tokens = own.flatten().to_numpy()
+        keep = np.flatnonzero(among(shared.value[0], tokens))
+        return tokens[keep], np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())[keep]
+
+    if LEAST_BITS * known > MAP_BITS:
+
+        def rows(batches):
+            for batch in batches:
+                tokens, owner = met(batch.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column(0).take(pa.array(owner))], names=["token", "sid"])
+
+        joined = sets.select("sid", "tokens").mapInArrow(rows, "token long, sid long").join(F.broadcast(counts) if known <= BROADCAST_KEYS else counts, "token")
+        many, token = F.col("n") > FEW, F.col("token")
+        stats = joined.groupBy("sid").agg(F.count(F.when(many & (token < BELOW), 1)).alias("common"), F.count(F.when(many, 1)).alias("many"), F.min(F.when(~many, token)).alias("first"), F.collect_list(F.when(~many, token)).alias("few"))
+        return sets.select("sid", "size", "below").join(stats, "sid")
 
     def run(batches):
         for batch in batches:
-            own = batch.column(1)
-            tokens = own.flatten().to_numpy()
-            place = tokens & size - 1
-            keep = np.flatnonzero(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-            sids = np.repeat(batch.column(0).to_numpy(), own.value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(sids[keep])], names=["token", "sid"])
+            n = batch.num_rows
+            tokens, owner = met(batch.column(3))
+            often = among(shared.value[1], tokens)
+            common, many = (np.bincount(owner[x], minlength=n) for x in (often & (tokens < BELOW), often))
+            tokens, held = tokens[~often], np.bincount(owner[~often], minlength=n)
+            ends = np.concatenate([[0], np.cumsum(held)])
+            first = pa.array(np.append(tokens, 0)[ends[:-1]], mask=held == 0)  # a set's tokens are sorted
+            few = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens))
+            found = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(common), pa.array(many), first, few], names=["sid", "size", "below", "common", "many", "first", "few"])
+            yield found.filter(pa.array(held + many > 0))
 
-    few = known <= BROADCAST_KEYS
-    return tight(sets.select("sid", "tokens").mapInArrow(run, "token long, sid long").join(F.broadcast(counts) if few else counts, "token"))
+    return sets.select("sid", "size", "below", "tokens").mapInArrow(run, "sid long, size long, below long, common long, many long, first long, few array<long>")
 
 
 def _size_class(size: Column) -> Column:
     return F.floor(F.log(size) / F.log(F.lit(1.25)))
 
 
-def opened_groups(met: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
+def opened_groups(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First pass: ((g, h, sid) of the queries of group h that open group g, (sid, g) of all members)."""
-    groups = info.where("first IS NOT NULL").select("sid", F.xxhash64("first", _size_class(F.col("size"))).alias("g"))
-    few = tight(met.where(F.col("n") <= FEW).select("token", "sid").join(groups, "sid"))
-    matrix = few.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held"))
-    about = info.join(groups, "sid").groupBy("g").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("below").alias("group_below"))
-    asked = few.withColumnRenamed("g", "h").join(matrix, "token").where("g > h OR (g = h AND held > 1)")
+    held = met.where("g IS NOT NULL")
+    about = held.groupBy("g").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("below").alias("group_below"))
+    # a row of the matrix is a token's members, FEW at most, so queries and groups meet there
+    rows = held.select("sid", F.col("g").alias("h"), F.explode("few").alias("token")).repartition("token")
+    matrix = rows.groupBy("token").agg(F.collect_list(F.struct("sid", "h")).alias("own")).where("size(own) > 1")
+    asked = matrix.select("token", "own", F.explode("own").alias("m")).selectExpr("token", "m.sid", "m.h", "explode(filter(array_distinct(own.h), g -> g > m.h OR (g = m.h AND size(filter(own, x -> x.h = g)) > 1))) AS g")
     asked = asked.groupBy("sid", "h", "g").agg(F.sum((F.col("token") < BELOW).cast("long")).alias("hits"))
     # of the tokens below BELOW that a query has in common with a member, hits stand in the matrix, and the others are common ones
     both = F.col("hits") + F.col("common")
     missing = F.col("below") - both <= F.col("size") - F.ceil((F.col("size") + F.col("least")) * 4 / 9)
     apart = 9 * (F.col("below") + F.col("group_below") - 2 * both) <= F.col("size") + F.col("most")
     alike = (5 * F.col("most") >= 4 * F.col("size")) & (5 * F.col("size") >= 4 * F.col("least"))
-    opened = asked.join(info.select("sid", "size", "below", "common"), "sid").join(about, "g").where(missing & apart & alike)
-    return opened.select("g", "h", "sid"), groups
+    opened = asked.join(met.select("sid", "size", "below", "common"), "sid").join(about, "g").where(missing & apart & alike)
+    return opened.select("g", "h", "sid"), held.select("sid", "g")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, tokens) of the sets in ``wanted`` (sid, low), read from the texts of their smallest doc_ids again."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    few = wanted.count() <= BROADCAST_IDS
-    if few:
-        table = wanted.select("low", "sid").toArrow()
-        ids, sids = (np.sort(table[c].drop_null().to_numpy()) for c in ("low", "sid"))
-        shared = docs.sparkSession.sparkContext.broadcast((ids, sids))
-    else:
-        rows = rows.join(wanted.select(F.col("low").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL"))
-        shared = None
+    """(sid, tokens, crowded) of the sets in ``wanted`` (sid, low, crowded), read from the texts of their smallest doc_ids again.
 
-    def inside(sorted_ids: np.ndarray, x: int) -> bool:
-        at = int(np.searchsorted(sorted_ids, x))
-        return at < len(sorted_ids) and int(sorted_ids[at]) == x
+    A map of bits tells the documents apart where they lie, so no text is shuffled.
+    """
+    held = wanted.count()
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.where("low IS NOT NULL").select(F.xxhash64("low").alias("key")), held))
 
     def run(batches):
         for batch in batches:
+            keep = among(shared.value, batch.column(1).to_numpy()) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
             sids, flat = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if shared and doc_id is not None and not inside(shared.value[0], doc_id):
-                    continue
+            for text in batch.column(2).take(pa.array(np.flatnonzero(keep))):
                 own = shingle_set(text.as_py())
-                sid = set_id(own)
-                if sid is not None and (not shared or inside(shared.value[1], sid)):
-                    sids.append(sid)
+                if len(own):
+                    sids.append(set_id(own))
                     flat.append(own)
             ends = np.cumsum([0, *map(len, flat)])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), tokens], names=["sid", "tokens"])
 
-    found = rows.mapInArrow(run, "sid long, tokens array<long>")
-    return (found if few else found.join(wanted.select("sid"), "sid", "left_semi")).dropDuplicates(["sid"])
+    doc_id = F.col("doc_id").cast("long")
+    found = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id).alias("key"), F.col("text").cast("string")).mapInArrow(run, "sid long, tokens array<long>")
+    names = wanted.select("sid", "crowded")
+    found = tight(found.join(F.broadcast(names) if held <= BROADCAST_IDS else names, "sid").withColumn("row", F.monotonically_increasing_id()), SETS_A_TASK)
+    return distinct_sets(found, found.groupBy("sid").agg(F.min("row").alias("row")))
 
 
 def compared(sets: list[np.ndarray], asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,25 +333,23 @@ def common_links(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_sets(docs: DataFrame, sets: DataFrame, lows: DataFrame) -> DataFrame:
     """Links (a, b) that connect the distinct sets exactly as all pairs of Jaccard similarity 0.8 or more do."""
-    met = meeting(sets)
-    many = F.col("n") > FEW
-    stats = met.groupBy("sid").agg(F.count(F.when(many & (F.col("token") < BELOW), 1)).alias("common"), F.count(F.when(many, 1)).alias("many"), F.min(F.when(~many, F.col("token"))).alias("first"))
     # under the order of rare small, common small and large hashes, a set's first tokens are all rare if it has so many of them
     crowded = (F.col("many") > 0) & (F.col("below") - F.col("common") < _first(F.col("size")))
-    info = tight(sets.select("sid", "size", "below").join(stats, "sid").withColumn("crowded", crowded))
-    opened, groups = opened_groups(met, info)
+    group = F.when(F.col("first").isNotNull(), F.xxhash64("first", _size_class(F.col("size"))))
+    met = tight(meeting(sets).withColumns({"crowded": crowded, "g": group}))
+    opened, groups = opened_groups(met)
     opened = tight(opened)
     pairs = opened.select("g", "h").distinct()
     members = pairs.join(groups, "g").select("g", "h", "sid", F.lit(False).alias("asking"))
     units = tight(members.unionByName(opened.where("g != h").select("g", "h", "sid", F.lit(True).alias("asking"))))
-    crowd = info.where("crowded").select("sid")
-    wanted = tight(units.select("sid").unionByName(crowd).distinct().join(lows.select("sid", "low"), "sid"))
-    # the sets lie by sid when their rows have become distinct, so a mark moves none of them, where a later join would
-    full = tight(sets_of(docs, wanted).join(crowd.withColumn("crowded", F.lit(True)), "sid", "left"), 20_000)
+    crowd = met.where("crowded").select("sid", F.lit(True).alias("crowded"))
+    named = units.select("sid", F.lit(False).alias("crowded")).unionByName(crowd).groupBy("sid").agg(F.max("crowded").alias("crowded"))
+    full = sets_of(docs, tight(named.join(lows.select("sid", "low"), "sid")))
     links = verified(units, full.drop("crowded"))
     return links.unionByName(common_links(full.where("crowded").drop("crowded"), links))
 
 
+
 def near_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links).
 
@@ -326,7 +359,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     """
     rows = cut(described(docs)).withColumn("row", F.monotonically_increasing_id())
     lows = cut(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("row").alias("row"), F.min("doc_id").alias("low")))
-    links = near_sets(docs, distinct_sets(rows, lows), lows)
+    links = near_sets(docs, distinct_sets(rows.drop("doc_id"), lows), lows)
     found = components(links).select(F.col("node").alias("sid"), "component")
     nodes = lows.join(found, "sid", "left").select("sid", "low", F.coalesce("component", "sid").alias("component"))
     named = nodes.join(nodes.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("sid", "component_id")

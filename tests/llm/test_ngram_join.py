@@ -135,3 +135,35 @@ def test_tokens_move_once_to_be_compared(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert few == many == [(0, 1), (0, 2), (3, 4), (3, 5)]
+
+
+def test_sets_are_told_apart_where_they_lie(spark, monkeypatch):
+    """Shared tokens are found by maps of bits, however many there are: neither the sets nor their tokens are shuffled to be counted."""
+    tokens = [[1, 2, 3 + k, ngram_join.BELOW + 100 + k // 2] for k in range(10)]  # 1 and 2 in all, 3 + k in one, the last in two
+    sets = spark.createDataFrame([(k, 4, 3, t) for k, t in enumerate(tokens)], "sid long, size long, below long, tokens array<long>")
+    plans, real = [], ngram_join.tight
+    monkeypatch.setattr(ngram_join, "tight", lambda df, *rows: (plans.append(df._jdf.queryExecution().toString()), real(df, *rows))[1])
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = ngram_join.meeting(sets)
+        plans.append(met._jdf.queryExecution().toString())
+        assert not any("Exchange" in p for p in plans)
+        found = {r["sid"]: r for r in met.collect()}
+        assert [(found[k]["common"], found[k]["many"], found[k]["first"], found[k]["few"]) for k in range(10)] == [(2, 2, t[3], t[3:]) for t in tokens]
+        monkeypatch.setattr(ngram_join, "LEAST_BITS", 1 << 40)
+        assert {r["sid"]: r.asDict() for r in ngram_join.meeting(sets).collect()} == {k: r.asDict() for k, r in found.items()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_crowded_maps_give_the_same_links(spark, monkeypatch):
+    """Bits that let half of all other keys through; joins by shuffle beyond every limit."""
+    real, rows = ngram_join.bit_map, corpus(11, 150)
+    noise = np.random.default_rng(3)
+    with monkeypatch.context() as m:
+        m.setattr(ngram_join, "bit_map", lambda keys, held: (bits := real(keys, held)) | noise.integers(0, 256, bits.shape, np.uint8) | noise.integers(0, 256, bits.shape, np.uint8))
+        assert run(spark, rows) == brute(rows)
+    for name, value in {"LEAST_BITS": 1 << 40, "BROADCAST_IDS": 0, "BROADCAST_KEYS": 0, "BROADCAST_UNITS": 0}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    assert run(spark, rows) == brute(rows)
