@@ -38,6 +38,8 @@ COLUMNS = 4096
 SETS_A_TASK = 2000
 #: Sets that are compared, and copies that are left out, are named to the tasks up to this many (some 50 MB); beyond, by shuffle.
 BROADCAST_IDS = 1_000_000
+#: More copies are named by sorted numbers up to this many (80 MB).
+NAMED_ROWS = 10_000_000
 #: Members of groups that are compared are sent to the sets up to this many (some 70 MB); beyond, sets are shuffled to them.
 BROADCAST_UNITS = 1_000_000
 
@@ -92,10 +94,21 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def distinct_sets(rows: DataFrame, lows: DataFrame) -> DataFrame:
-    """One of the rows of each sid: that of ``lows``. Copies are named to the tasks if they are few, so that their tokens needn't move."""
-    copies = tight(rows.where("sid IS NOT NULL").select("sid", "row").join(lows.select("sid", F.col("row").alias("own")), "sid").where("row != own").select("row"))
-    few = copies.count() <= BROADCAST_IDS
-    return rows.where("sid IS NOT NULL").join(F.broadcast(copies) if few else copies, "row", "left_anti").drop("row")
+    """One of the rows of each sid: that of ``lows``. Copies are named to the tasks, so that tokens needn't move."""
+    rows = rows.where("sid IS NOT NULL")
+    copies = tight(rows.select("sid", "row").join(lows.select("sid", F.col("row").alias("own")), "sid").where("row != own").select("row"))
+    held = copies.count()
+    if not BROADCAST_IDS < held <= NAMED_ROWS:
+        return rows.join(F.broadcast(copies) if held <= BROADCAST_IDS else copies, "row", "left_anti").drop("row")
+    named = rows.sparkSession.sparkContext.broadcast(np.sort(copies.toArrow()["row"].to_numpy()))
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column("row").to_numpy()
+            at = np.minimum(np.searchsorted(named.value, own), len(named.value) - 1)
+            yield batch.filter(pa.array(named.value[at] != own))
+
+    return rows.mapInArrow(run, rows.schema).drop("row")
 
 
 def bit_map(keys: DataFrame, held: int) -> np.ndarray:

@@ -164,6 +164,20 @@ def test_crowded_maps_give_the_same_links(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(ngram_join, "bit_map", lambda keys, held: (bits := real(keys, held)) | noise.integers(0, 256, bits.shape, np.uint8) | noise.integers(0, 256, bits.shape, np.uint8))
         assert run(spark, rows) == brute(rows)
-    for name, value in {"LEAST_BITS": 1 << 40, "BROADCAST_IDS": 0, "BROADCAST_KEYS": 0, "BROADCAST_UNITS": 0}.items():
+    for name, value in {"LEAST_BITS": 1 << 40, "BROADCAST_IDS": 0, "BROADCAST_KEYS": 0, "BROADCAST_UNITS": 0, "NAMED_ROWS": 0}.items():
         monkeypatch.setattr(ngram_join, name, value)
     assert run(spark, rows) == brute(rows)
+
+
+def test_copies_beyond_a_broadcast_move_no_tokens(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 7 if k else None, [k], k) for k in range(30)], "sid long, tokens array<long>, row long").repartition(3)
+    lows = spark.createDataFrame([(k % 7, k) for k in range(7, 14)], "sid long, row long")
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = common.cut(rows)
+        kept = ngram_join.distinct_sets(rows, lows)
+        assert sorted(map(tuple, kept.collect())) == [(k % 7, [k]) for k in range(7, 14)]
+        assert "Exchange" not in kept._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
