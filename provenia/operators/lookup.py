@@ -46,7 +46,8 @@ def ranked_candidates(mentions: DataFrame, works: DataFrame, top: int = TOP, ask
     only those meet the index, so a common word that stands beside rarer ones brings no rows. Nor does a term meet it if
     ``top`` works hold a rarer one that alone weighs more than this and all later ones: what only these bring ranks
     behind. A work is scored where it meets the mention's rarest term that it holds. Keys have to be distinct; null
-    texts have no terms; a mention without a known term has no candidate.
+    texts have no terms; a mention without a known term has no candidate. Joins with a catalogue are merge joins: the
+    size that Spark guesses of exploded works is a fraction of theirs, and the driver would be sent them whole.
     """
     parts = works.sparkSession.sparkContext.defaultParallelism  # few rows meet in many: left to their size, one task would do it all
     held = works.select("work", terms(F.coalesce("described", F.lit(""))).alias("held")).repartition(parts, "work")
@@ -54,9 +55,9 @@ def ranked_candidates(mentions: DataFrame, works: DataFrame, top: int = TOP, ask
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     size = works.agg(F.count(F.lit(1))).scalar()
     weights = counts.select("term", "n", F.length(F.bin(((size - size % F.col("n")) / F.col("n")).cast("long"))).cast("long").alias("weight"))
-    said = mentions.select("mention", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).join(weights, "term")
+    said = mentions.select("mention", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).join(weights.hint("merge"), "term")
     said = said.groupBy("mention").agg(F.sort_array(F.collect_list(F.struct("n", "term", "weight"))).alias("known"))
-    met = sought(said, top, asked).repartition(parts, "mention", "term").join(index, "term")
+    met = sought(said, top, asked).repartition(parts, "mention", "term").join(index.hint("merge"), "term")
     met = met.where(~F.exists(_rarer(), lambda x: F.array_contains("held", x["term"])))
     scores = met.select("mention", "work", _weigh(F.filter("known", lambda x: F.array_contains("held", x["term"]))).alias("score"))
     place = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "work"))
@@ -75,15 +76,15 @@ def look_up(mentions: DataFrame, works: DataFrame, top: int = TOP, asked: int =
     doi = F.regexp_replace(X.doi_of(text), r"[.,;)]+$", "")
     m = mentions.select("mention", F.col("text"), doi.alias("_doi"), F.nullif(X.surname_of(text), F.lit("")).alias("_author"), X.year_of(text).alias("_year"))
     authors = F.transform(F.coalesce("authors", F.array().cast("array<string>")), F.lower)
-    direct = m.where("_doi IS NOT NULL").join(works.select("work", "doi"), F.lower("_doi") == F.lower("doi"), "left").select("mention", "work", "doi")
+    direct = m.where("_doi IS NOT NULL").join(works.select("work", "doi").hint("merge"), F.lower("_doi") == F.lower("doi"), "left").select("mention", "work", "doi")
     described = F.concat_ws(" ", "title", F.concat_ws(" ", "authors"), F.col("year").cast("string"))
     named = m.where("_doi IS NULL AND _author IS NOT NULL")
     ranked = ranked_candidates(named.select("mention", "text"), works.select("work", described.alias("described")), top, asked)
     known = works.select("work", "doi", authors.alias("_authors"), F.col("year").alias("_published"))
     near = F.col("_year").isNull() | F.coalesce(F.abs(F.col("_published") - F.col("_year")) <= 1, F.lit(False))
-    matched = ranked.join(known, "work").join(named.select("mention", "_author", "_year"), "mention").where(F.array_contains("_authors", F.col("_author")) & near)
+    matched = ranked.join(known.hint("merge"), "work").join(named.select("mention", "_author", "_year").hint("merge"), "mention").where(F.array_contains("_authors", F.col("_author")) & near)
     hits = direct.unionByName(matched.select("mention", "work", "doi")).groupBy("mention").agg(F.count("work").alias("n"), F.min("work").alias("_work"), F.min("doi").alias("_one"))
-    rows = m.join(hits, "mention", "left").withColumn("candidates", F.coalesce("n", F.lit(0)).cast("long"))
+    rows = m.join(hits.hint("merge"), "mention", "left").withColumn("candidates", F.coalesce("n", F.lit(0)).cast("long"))
     failed = F.col("_doi").isNull() & F.col("_author").isNull()
     outcome = F.when(failed, OUTCOMES[3]).when(F.col("candidates") == 0, OUTCOMES[1]).when(F.col("candidates") == 1, OUTCOMES[0]).otherwise(OUTCOMES[2])
     only = F.col("candidates") == 1
@@ -98,7 +99,7 @@ def named_existence(answers: DataFrame, works: DataFrame) -> DataFrame:
     importable(answers.sparkSession)
     found = answers.select("capture", F.posexplode(parse.named_in("answer_text")).alias("pos", "c")).select("capture", "pos", "c.kind", F.col("c.text").alias("said"))
     once = found.select(F.col("said").alias("mention")).distinct().withColumn("text", F.col("mention"))
-    return found.join(look_up(once, works).withColumnRenamed("mention", "said"), "said").select("capture", "pos", "kind", "said", "outcome", "candidates", "work", "doi")
+    return found.join(look_up(once, works).withColumnRenamed("mention", "said").hint("merge"), "said").select("capture", "pos", "kind", "said", "outcome", "candidates", "work", "doi")
 
 
 def outcome_counts(found: DataFrame, *keys: str) -> DataFrame:

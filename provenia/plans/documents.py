@@ -180,7 +180,7 @@ def named_lookup(spark, d):
     doi = F.concat(F.lit("See 10.1234/p"), (F.col("conv_id") * 7 % 5000).cast("string"), F.lit(" as said. "))
     trial = F.concat(F.lit("See NCT"), F.lpad((F.col("conv_id") % 1000).cast("string"), 8, "0"), F.lit(". "))
     said = F.when(turn % 5 == 0, doi).when(turn % 5 == 4, trial).otherwise(named)
-    told = rows.join(w, "k").select(F.col("query_id").alias("capture"), F.concat(said, F.lit("\n"), F.coalesce("answer_text", F.lit(""))).alias("answer_text"))
+    told = rows.join(w.hint("merge"), "k").select(F.col("query_id").alias("capture"), F.concat(said, F.lit("\n"), F.coalesce("answer_text", F.lit(""))).alias("answer_text"))
     return lookup.named_existence(told, works).select("capture", "said", "outcome", "candidates", "work")
 
 

@@ -45,3 +45,12 @@ def test_batches_of_pages_are_bounded_by_bytes(spark):
     pages = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 50_000).alias("html"))
     most = pages.select("id", size("html").alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("rows")).first()
     assert most["rows"] == 400 and most["most"] < 6_000_000
+
+
+def test_a_catalogue_is_not_broadcast(spark, tmp_path):
+    parts = [(i, f"hot bolt{i % 3}", i % 50) for i in range(300)]
+    turns = [(i, t, "assistant", f"turn {t}") for i in range(60) for t in range(5)]
+    got, want = both(spark, tmp_path, "named_lookup", part=(parts, "p_partkey long, p_name string, p_size int"), conversations=(turns, "conv_id long, turn long, role string, text string"))
+    assert got == want and len(got) == 300
+    plan = catalogue.QUERIES["named_lookup"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
