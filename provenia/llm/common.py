@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenia.session import cut  # noqa: F401
+
 #: Buckets of at most this many rows are compared pair by pair; larger ones through their smallest member and then by blocks.
 SMALL_BUCKET = 8
 #: Members of a large bucket that one task compares with as many others at once, and shingles of them.
@@ -34,18 +35,6 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; a local one only where none is configured (tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="provenia-"))
-    return df.checkpoint(eager=True)
-
-
 #: Rows of a written table that one task reads back, so that a small table doesn't become many small shuffle files.
 ROWS_A_TASK = 200_000
 

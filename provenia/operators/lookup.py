@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provenia.functions import parse
 from provenia.functions import text as X
-from provenia.session import importable
+from provenia.session import cut, importable
 
 #: Outcomes of a lookup.
 OUTCOMES = ("CITATION_RESOLVED", "CITATION_NOT_FOUND", "CITATION_AMBIGUOUS", "CITATION_LOOKUP_FAILED")
@@ -15,6 +15,9 @@ OUTCOMES = ("CITATION_RESOLVED", "CITATION_NOT_FOUND", "CITATION_AMBIGUOUS", "CI
 #: Candidates ranked for a mention, and how many of its rarest terms find them.
 TOP, ASKED = 5, 4
 
+#: A term, or several together, that more works hold is met together with one more; up to how many.
+COMMON, WIDEST = 64, 3
+
 
 def terms(text: Column) -> Column:
     """Distinct lower-case words of letters and digits."""
@@ -37,29 +40,85 @@ def sought(said: DataFrame, top: int = TOP, asked: int = ASKED) -> DataFrame:
     return rows.where(~F.exists(_rarer(), lambda x: (x["n"] >= top) & (x["weight"] > F.col("rest")))).drop("rest")
 
 
-def ranked_candidates(mentions: DataFrame, works: DataFrame, top: int = TOP, asked: int = ASKED) -> DataFrame:
+def _after(terms: Column, i: Column) -> Column:
+    """What stands behind place i."""
+    return F.slice(terms, i + 2, F.size(terms))
+
+
+def _widened(asks: DataFrame) -> DataFrame:
+    """Each set of terms with one more of the mention's later terms; ``most``: what a work can score whose rarest terms they are."""
+    rows = asks.select("mention", "terms", "weight", "reached", "later", F.posexplode("later").alias("i", "x"))
+    most = F.col("weight") + _weigh(F.slice("later", F.col("i") + 1, F.size("later")))
+    return rows.select("mention", F.concat("terms", F.array("x.term")).alias("terms"), (F.col("weight") + F.col("x.weight")).alias("weight"), most.alias("most"), "reached", _after(F.col("later"), F.col("i")).alias("later"))
+
+
+def _holders(sets: DataFrame) -> DataFrame:
+    """(terms, work, later): each work's sets of terms with one more of its later terms."""
+    rows = sets.select("terms", "work", "later", F.posexplode("later").alias("i", "x"))
+    return rows.select(F.concat("terms", F.array("x")).alias("terms"), "work", _after(F.col("later"), F.col("i")).alias("later"))
+
+
+def _placed(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("work")))
+
+
+def met_works(said: DataFrame, index: DataFrame, top: int = TOP, asked: int = ASKED, common: int = COMMON, widest: int = WIDEST) -> DataFrame:
+    """(mention, work): works among which are the best ``top`` of each mention; some may come twice.
+
+    said: mention, known (n, term, weight of its terms that the index has, the rarest first). index: work, term. Of a set
+    of the mention's terms that more than ``common`` works hold, the first ``top`` works are met, which are the best of
+    those that share nothing else, and the set is widened by each later term; the works of any other set are all met, and
+    so are those of sets of ``widest`` terms. A set is left out if ``top`` works hold terms that weigh more than all that
+    its works can share: they rank behind.
+    """
+    common = max(top, common)
+    x = F.element_at("known", F.col("i") + 1)
+    heavier = F.exists(_rarer(), lambda y: (y["n"] >= top) & (y["weight"] > x["weight"]))
+    alone = sought(said, top, asked).where((x["n"] <= common) | ~heavier).select("mention", "term", F.when(x["n"] <= common, common).otherwise(top).alias("upto"))
+    met = alone.join(_placed(index, "term").where(F.col("place") <= common).hint("merge"), "term").where(F.col("place") <= F.col("upto")).select("mention", "work")
+
+    wide = said.select(F.explode("known").alias("x")).where(F.col("x.n") > common).select("x.n", "x.term").distinct()
+    held = index.join(wide.hint("merge"), "term").groupBy("work").agg(F.sort_array(F.collect_list(F.struct("n", "term"))).alias("held"))
+    held = cut(held.select("work", F.col("held.term").alias("later")))
+    sets = _holders(held.select(F.array().cast("array<string>").alias("terms"), "work", "later"))
+    reached = F.aggregate(F.slice("known", 1, asked), F.lit(0).cast("long"), lambda most, x: F.greatest(most, F.when(x["n"] >= top, x["weight"]).otherwise(0)))
+    asks = said.select("mention", "known", reached.alias("reached"), F.posexplode(F.slice("known", 1, asked)).alias("i", "x")).where(F.col("x.n") > common)
+    asks = asks.select("mention", F.array("x.term").alias("terms"), F.col("x.weight").alias("weight"), "reached", _after(F.col("known"), F.col("i")).alias("later"))
+    for width in range(2, widest + 1):
+        sets = _holders(sets.join(asks.select("terms").distinct().hint("merge"), "terms"))
+        counts = sets.groupBy("terms").agg(F.count(F.lit(1)).alias("n"))
+        asks = _widened(asks).where("most >= reached").join(counts.hint("merge"), "terms")
+        best = F.max(F.when(F.col("n") >= top, F.col("weight"))).over(Window.partitionBy("mention"))
+        asks = cut(asks.withColumn("reached", F.greatest("reached", best)).where("most >= reached"))
+        whole = F.lit(width == widest) | (F.col("n") <= common)
+        met = met.unionByName(asks.where(whole).select("mention", "terms").join(sets.hint("merge"), "terms").select("mention", "work"))
+        if width < widest:
+            asks = asks.where(~whole)
+            met = met.unionByName(asks.select("mention", "terms").join(_placed(sets, "terms").where(F.col("place") <= top).hint("merge"), "terms").select("mention", "work"))
+    return met
+
+
+def ranked_candidates(mentions: DataFrame, works: DataFrame, top: int = TOP, asked: int = ASKED, common: int = COMMON) -> DataFrame:
     """(mention, work, score, rank): the best ``top`` works of each mention by the terms they share.
 
     mentions: mention, text. works: work, described (all that the catalogue says of it, as text). A term that n of N
     works hold weighs the binary digits of N div n, so a common word counts little; the score is the sum over shared
-    terms, ties go to the smaller work. Candidates share one of the mention's ``asked`` rarest terms (ties by term):
-    only those meet the index, so a common word that stands beside rarer ones brings no rows. Nor does a term meet it if
-    ``top`` works hold a rarer one that alone weighs more than this and all later ones: what only these bring ranks
-    behind. A work is scored where it meets the mention's rarest term that it holds. Keys have to be distinct; null
-    texts have no terms; a mention without a known term has no candidate. Joins with a catalogue are merge joins: the
-    size that Spark guesses of exploded works is a fraction of theirs, and the driver would be sent them whole.
+    terms, ties go to the smaller work. Candidates share one of the mention's ``asked`` rarest terms (ties by term);
+    those that ``met_works`` leaves are scored by all their terms. Keys have to be distinct; null texts have no terms; a
+    mention without a known term has no candidate. Joins with a catalogue are merge joins: the size that Spark guesses
+    of exploded works is a fraction of theirs, and the driver would be sent them whole.
     """
     parts = works.sparkSession.sparkContext.defaultParallelism  # few rows meet in many: left to their size, one task would do it all
-    held = works.select("work", terms(F.coalesce("described", F.lit(""))).alias("held")).repartition(parts, "work")
-    index = held.select("work", "held", F.explode("held").alias("term"))
+    held = works.select("work", "described").repartition(parts, "work").select("work", terms(F.coalesce("described", F.lit(""))).alias("held"))
+    index = held.select("work", F.explode("held").alias("term"))
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     size = works.agg(F.count(F.lit(1))).scalar()
     weights = counts.select("term", "n", F.length(F.bin(((size - size % F.col("n")) / F.col("n")).cast("long"))).cast("long").alias("weight"))
     said = mentions.select("mention", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).join(weights.hint("merge"), "term")
     said = said.groupBy("mention").agg(F.sort_array(F.collect_list(F.struct("n", "term", "weight"))).alias("known"))
-    met = sought(said, top, asked).repartition(parts, "mention", "term").join(index.hint("merge"), "term")
-    met = met.where(~F.exists(_rarer(), lambda x: F.array_contains("held", x["term"])))
-    scores = met.select("mention", "work", _weigh(F.filter("known", lambda x: F.array_contains("held", x["term"]))).alias("score"))
+    met = held.join(met_works(cut(said), index, top, asked, common).hint("merge"), "work").repartition(parts, "mention")
+    met = said.join(met.hint("merge"), "mention")  # mention, known and work come from where nothing is cut, so their provenance stays
+    scores = met.select("mention", "work", _weigh(F.filter("known", lambda x: F.array_contains("held", x["term"]))).alias("score")).distinct()
     place = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "work"))
     return scores.withColumn("rank", place).where(F.col("rank") <= top)
 
